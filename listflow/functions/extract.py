@@ -38,11 +38,25 @@ def compensation_range(text: Column) -> Column:
     )
 
 
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def decode_entities(col: Column) -> Column:
+    """The common character entities; the ampersand comes last."""
+    for name, char in ENTITIES:
+        col = F.replace(col, F.lit(name), F.lit(char))
+    return col
+
+
+def inner_text(col: Column) -> Column:
+    return strip(decode_entities(strip_tags(col)))
+
+
 def anchors(html: Column) -> Column:
     """Array of ``(pos, href, label)`` for the anchors of a page in document order."""
     hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
     labels = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
-    pairs = F.zip_with(hrefs, labels, lambda h, l: F.struct(h.alias("href"), strip(strip_tags(l)).alias("label")))
+    pairs = F.zip_with(hrefs, labels, lambda h, l: F.struct(h.alias("href"), inner_text(l).alias("label")))
     return F.transform(
         pairs,
         lambda p, i: F.struct(i.alias("pos"), p["href"].alias("href"), p["label"].alias("label")),
@@ -52,7 +66,7 @@ def anchors(html: Column) -> Column:
 def first_element_text(html: Column, tags: list[str], default: str | None = None) -> Column:
     """Text of the first of the given tags that has any, tried in order."""
     found = [
-        blank_to_null(strip(strip_tags(F.regexp_extract(html, rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}>", 1))))
+        blank_to_null(inner_text(F.regexp_extract(html, rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}>", 1)))
         for t in tags
     ]
     return F.coalesce(*found, F.lit(default)) if default is not None else F.coalesce(*found)
