@@ -23,27 +23,25 @@ def company_kind(name: Column) -> Column:
     stealth = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in fv.STEALTH_PATTERNS)))
     # A name that is itself part of a known name counts too.
     big = any_of(F.contains(text, F.lit(c)) | F.contains(F.lit(c), text) for c in fv.BIG_TECH)
-    backer = classify(text, fv.VC_PORTFOLIOS)
-    no_backer = F.lit(None).cast("string")
 
-    def kind(label: str, backer_col: Column = no_backer, hidden: bool = False) -> Column:
+    def kind(label: str, backer: str | None = None, hidden: bool = False) -> Column:
         return F.struct(
-            F.lit(label).alias("company_type"), backer_col.alias("vc_backer"),
+            F.lit(label).alias("company_type"), F.lit(backer).cast("string").alias("vc_backer"),
             F.lit(hidden).alias("is_stealth"),
         )
 
-    return (
+    out = (
         F.when(F.coalesce(name, F.lit("")) == "", kind("other"))
         .when(stealth, kind("stealth", hidden=True))
         .when(big, kind("big_tech"))
-        .when(backer.isNotNull(), kind("vc_backed", backer))
-        .otherwise(kind("other"))
     )
+    for backer, portfolio in fv.VC_PORTFOLIOS:
+        out = out.when(has_any(text, portfolio), kind("vc_backed", backer))
+    return out.otherwise(kind("other"))
 
 
-def fill_company_kind(name: Column, company_type: Column, vc_backer: Column, is_stealth: Column) -> Column:
-    """:func:`company_kind` used only where the stored values are blank or false."""
-    found = company_kind(name)
+def fill_company_kind(found: Column, company_type: Column, vc_backer: Column, is_stealth: Column) -> Column:
+    """A :func:`company_kind` result used only where the stored values are blank or false."""
     return F.struct(
         F.coalesce(F.nullif(company_type, F.lit("")), found["company_type"]).alias("company_type"),
         F.coalesce(F.nullif(vc_backer, F.lit("")), found["vc_backer"]).alias("vc_backer"),
@@ -68,10 +66,9 @@ def employee_estimate(company_type: Column) -> Column:
 
 
 # ------------------------------------------------------------ perks
-def raise_flag(flag: Column, title: Column, description: Column, phrases: list[str]) -> Column:
-    """Keep a true flag; otherwise true when a phrase occurs; never lowers."""
-    hit = has_any(lowered(title, description), phrases)
-    return F.when(F.coalesce(flag, F.lit(False)) | hit, F.lit(True)).otherwise(flag)
+def raise_flag(flag: Column, text: Column, phrases: list[str]) -> Column:
+    """Keep a true flag; otherwise true when the lower-case text has a phrase; never lowers."""
+    return F.when(F.coalesce(flag, F.lit(False)) | has_any(text, phrases), F.lit(True)).otherwise(flag)
 
 
 def mentions(text: Column, phrases: list[str]) -> Column:
@@ -205,13 +202,15 @@ def ats_from_url(url: Column) -> Column:
 def ats_from_company(name: Column) -> Column:
     """Exact name first, then the first known name contained in it."""
     text = strip(F.lower(name))
-    exact = {term: label for label, terms in fv.ATS_COMPANY_RULES for term in terms}
-    return F.coalesce(lookup(text, exact), classify(text, fv.ATS_COMPANY_RULES))
+    return F.coalesce(ats_of_exact_name(text), classify(text, fv.ATS_COMPANY_RULES))
+
 
+def ats_label(by_url: Column, by_company: Column, url: Column) -> Column:
+    """URL, company and subdomain evidence combined; never null.
 
-def ats_label(name: Column, url: Column) -> Column:
-    """URL, company and subdomain evidence combined; never null."""
-    by_url, by_company = ats_from_url(url), ats_from_company(name)
+    Takes the results of :func:`ats_from_url` and :func:`ats_from_company`, so
+    that a caller can compute each once; see ``operators.enrich.with_ats``.
+    """
     return F.coalesce(
         F.when(by_url.isin(fv.ATS_AGGREGATORS), by_company),
         by_url,
@@ -221,10 +220,14 @@ def ats_label(name: Column, url: Column) -> Column:
     )
 
 
-def bulk_ats_label(name: Column, url: Column) -> Column:
-    """URL evidence, else the exact company name, else unknown."""
+def ats_of_exact_name(name: Column) -> Column:
     exact = {term: label for label, terms in fv.ATS_COMPANY_RULES for term in terms}
-    return F.coalesce(ats_from_url(url), lookup(F.lower(name), exact), F.lit(fv.ATS_UNKNOWN))
+    return lookup(name, exact)
+
+
+def bulk_ats_label(by_url: Column, name: Column) -> Column:
+    """URL evidence, else the exact company name, else unknown."""
+    return F.coalesce(by_url, ats_of_exact_name(F.lower(name)), F.lit(fv.ATS_UNKNOWN))
 
 
 def ats_ids(provider: str, url: Column) -> Column:
@@ -280,17 +283,16 @@ def candidate_level(parsed_level: Column, resume_text: Column, years: Column) ->
 def skill_domain(skills: Column, text: Column) -> Column:
     """Domain with most keywords in the text or the skills; the first of equals; at least 2."""
     t = F.lower(text_or_empty(text))
-    counts = []
-    for _, words in fv.SKILL_DOMAINS:
+    scored = []
+    for rank, (name, words) in enumerate(fv.SKILL_DOMAINS):
         hits = [
             F.coalesce(F.contains(t, F.lit(w)) | F.array_contains(skills, w), F.lit(False)).cast("int")
             for w in words
         ]
-        counts.append(sum(hits[1:], hits[0]))
-    best = F.greatest(*counts)
-    cases = [(fv.SKILL_DOMAIN_DEFAULT, best < fv.SKILL_DOMAIN_MIN)]
-    cases += [(name, n == best) for (name, _), n in zip(fv.SKILL_DOMAINS, counts)]
-    return first_match(cases, fv.SKILL_DOMAIN_DEFAULT)
+        # The lower rank wins among equal counts; every count is computed once.
+        scored.append(F.struct(sum(hits[1:], hits[0]).alias("n"), F.lit(-rank).alias("r"), F.lit(name).alias("name")))
+    default = F.struct(F.lit(fv.SKILL_DOMAIN_MIN - 1).alias("n"), F.lit(1).alias("r"), F.lit(fv.SKILL_DOMAIN_DEFAULT).alias("name"))
+    return F.array_max(F.array(default, *scored))["name"]
 
 
 def text_skills(text: Column) -> Column:

@@ -20,16 +20,17 @@ Rule = tuple[str, Sequence[str]]
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    found = list(conditions)
+    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
 
 
 def has_any(text: Column, terms: Iterable[str]) -> Column:
     """True when the text contains one of the terms."""
-    return any_of(F.contains(text, F.lit(t)) for t in terms)
+    return any_of(text.contains(t) for t in terms)
 
 
 def starts_with_any(text: Column, terms: Iterable[str]) -> Column:
-    return any_of(F.startswith(text, F.lit(t)) for t in terms)
+    return any_of(text.startswith(t) for t in terms)
 
 
 def word_pattern(patterns: Iterable[str]) -> str:

@@ -8,6 +8,7 @@ from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import as_timestamp, parse_date
 from listflow.functions.text import first_sentence, strip, text_or_empty
 from listflow.operators.dedup import add_key, first_per_key
+from listflow.operators.enrich import with_ats, with_bulk_ats
 from listflow.operators.lifecycle import expire, recover
 from listflow.operators.quality import insert_verdict
 from listflow.operators.search import SearchParams, search_page
@@ -85,13 +86,12 @@ def bulk_insert_rows(rows: DataFrame, as_of, order: str = "seq") -> DataFrame:
     keyed = add_key(ok, raw=("apply_url",))
     first = first_per_key(keyed, ["dedup_hash"], [F.asc(order)])
     now = as_timestamp(as_of)
-    return first.withColumns(
+    return with_bulk_ats(first).withColumns(
         {
             "is_active": F.lit(True),
             "created_at": now,
             "updated_at": now,
             "posted_date": F.coalesce(F.col("posted_date"), now),
-            "ats_detected": C.bulk_ats_label(F.col("company_name"), F.col("apply_url")),
         }
     )
 
@@ -104,7 +104,7 @@ def startup_maintenance(df: DataFrame, as_of) -> DataFrame:
 def search_with_ats(df: DataFrame, params: dict, as_of, **paging) -> DataFrame:
     """A search page with the ATS label of each shown row."""
     page = search_page(df, SearchParams.from_dict(params), as_of, **paging)
-    return page.withColumn("ats_detected", C.ats_label(F.col("company_name"), F.col("apply_url")))
+    return with_ats(page)
 
 
 def query_grid(queries: DataFrame, places: DataFrame, seed: int, per_class: int = 3, places_per_class: int = 2) -> DataFrame:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites per column expression are for debugging; rule tables make many expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import as_timestamp, parse_date
 from listflow.functions.extract import anchors, link_or_site, resolve_href, salary_range
-from listflow.functions.text import first_sentence, is_blank, key_hash, split_city, split_country, strip, text_or_empty
-from listflow.operators.dedup import unseen_links
+from listflow.functions.rules import has_any, lookup
+from listflow.functions.text import (
+    first_filled, first_sentence, is_blank, key_hash, split_city, split_country, strip, text_or_empty,
+)
+from listflow.operators.matching import top_per_group
 
 
 # ------------------------------------------------------------------ row builder
@@ -29,52 +32,61 @@ def board_rows(
     """Canonical rows from the raw texts of a board.
 
     Reads ``title, company, location, apply_url, description, salary_text,
-    posted_text``; missing ones count as empty. ``overrides`` are constants a
-    board forces on its rows.
+    posted_text``; missing ones count as empty. ``overrides`` are the values a
+    board forces on its rows; a null one leaves the row's own value.
     """
     have = set(df.columns)
-
-    def raw(name: str) -> Column:
-        return text_or_empty(F.col(name)) if name in have else F.lit("")
-
-    title, company, location = raw("title"), raw("company"), raw("location")
+    names = ("title", "company", "location", "apply_url", "description", "salary_text", "posted_text")
     hint = F.lit(remote_hint) if isinstance(remote_hint, str) else text_or_empty(remote_hint)
-    everything = F.concat_ws(" ", title, raw("description"), raw("salary_text"), hint)
-    pay = salary_range(F.when(raw("salary_text") != "", raw("salary_text")).otherwise(everything))
-    summary = F.nullif(first_sentence(raw("description")), F.lit(""))
-    posted = F.coalesce(parse_date(raw("posted_text")), raw("posted_text").try_cast("timestamp"), as_timestamp(as_of))
+    forced = {n: v if isinstance(v, Column) else F.lit(v) for n, v in (overrides or {}).items()}
+    staged = df.select(
+        *keep,
+        *[(text_or_empty(F.col(n)) if n in have else F.lit("")).alias(f"_{n}") for n in names],
+        hint.alias("_hint"),
+        (F.lit(source) if isinstance(source, str) else source).alias("_source"),
+        *[v.alias(f"_forced_{n}") for n, v in forced.items()],
+    )
+    title, company, location, pay_text = (F.col(f"_{n}") for n in ("title", "company", "location", "salary_text"))
+    # Values with several readers get a projection of their own.
+    everything = F.concat_ws(" ", title, F.col("_description"), pay_text, F.col("_hint"))
+    staged = staged.withColumns({"_all": everything, "_city": split_city(location), "_sentence": first_sentence(F.col("_description"))})
+    staged = staged.withColumns(
+        {
+            "_low": F.lower("_all"),
+            "_pay": salary_range(F.when(pay_text != "", pay_text).otherwise(F.col("_all"))),
+        }
+    )
+    posted = F.coalesce(parse_date(F.col("_posted_text")), F.col("_posted_text").try_cast("timestamp"), as_timestamp(as_of))
     rows = {
         "title": strip(title),
         "company_name": strip(company),
-        "location_city": split_city(location),
+        "location_city": F.col("_city"),
         "location_country": split_country(location),
-        "apply_url": raw("apply_url"),
-        "description": F.coalesce(summary, F.concat(title, F.lit(" at "), company)),
-        "salary_min": pay["min"],
-        "salary_max": pay["max"],
+        "apply_url": F.col("_apply_url"),
+        "description": F.coalesce(F.nullif("_sentence", F.lit("")), F.concat(title, F.lit(" at "), company)),
+        "salary_min": F.col("_pay.min"),
+        "salary_max": F.col("_pay.max"),
         "salary_currency": F.lit("USD"),
         "salary_period": F.lit("yearly"),
         "experience_level": C.page_level(title),
         "job_type": F.when(F.contains(F.lower(title), F.lit("intern")), "internship").otherwise("full-time"),
-        "remote_type": C.remote_from_text(F.when(hint != "", hint).otherwise(everything)),
-        "visa_sponsorship": C.mentions(everything, fv.PAGE_VISA),
-        "relocation_support": C.mentions(everything, fv.PAGE_RELOCATION),
+        "remote_type": C.remote_from_text(F.when(F.col("_hint") != "", F.col("_hint")).otherwise(F.col("_low"))),
+        "visa_sponsorship": has_any(F.col("_low"), fv.PAGE_VISA),
+        "relocation_support": has_any(F.col("_low"), fv.PAGE_RELOCATION),
         "company_type": F.lit("startup"),
-        "source_platforms": F.array(F.lit(source) if isinstance(source, str) else source),
+        "source_platforms": F.array("_source"),
         "is_active": F.lit(True),
         "is_stealth": F.lit(False),
-        "dedup_hash": key_hash(company, title, split_city(location), F.lit("")),
+        "dedup_hash": key_hash(company, title, F.col("_city"), F.lit("")),
         "posted_date": posted,
         "created_at": as_timestamp(as_of),
         "updated_at": as_timestamp(as_of),
         "last_seen_at": as_timestamp(as_of),
     }
-    for name, value in (overrides or {}).items():
-        if isinstance(value, list):
-            rows[name] = F.array(*[F.lit(v) for v in value])
-        else:
-            rows[name] = value if isinstance(value, Column) else F.lit(value)
-    return df.select(*keep, *[c.alias(n) for n, c in rows.items()])
+    for name in forced:
+        value = F.col(f"_forced_{name}")
+        rows[name] = F.coalesce(value, rows[name]) if name in rows else value
+    return staged.select(*keep, *[c.alias(n) for n, c in rows.items()])
 
 
 # ------------------------------------------------------------------ JSON boards
@@ -172,62 +184,63 @@ JSON_BOARDS = [
 ]
 
 
-def json_board_rows(df: DataFrame, board: JsonBoard, payload: str, as_of, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of one JSON board from its payload text."""
+def json_board_items(df: DataFrame, board: JsonBoard, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw items of one board's payload text, in a shape that all boards share."""
     ddl = f"array<struct<{board.record}>>"
     if board.root:
         ddl = f"struct<{board.root}: {ddl}>"
     parsed = F.from_json(payload, ddl)
     rows = F.slice(parsed[board.root] if board.root else parsed, board.skip + 1, board.cap)
     items = df.select(*keep, F.posexplode(rows).alias("pos", "_r"))
+    names = {f.split(":")[0].strip() for f in board.record.split(",")}
 
-    def get(path: str) -> Column:
-        return F.col(f"_r.{path}")
-
-    def first_of(paths: tuple[str, ...], default: str) -> Column:
-        return F.coalesce(*[get(p) for p in paths], F.lit(default))
+    def text(*paths: str, default: str = "") -> Column:
+        return F.coalesce(*[F.col(f"_r.{p}") for p in paths if p], F.lit(default))
 
-    names = {f.split(":")[0].strip() for f in board.record.split(",")}
-    default = board.location[1]
-    raw = {
-        "title": F.coalesce(get(board.title), F.lit("")),
-        "company": first_of(tuple(board.company.split(",")), ""),
-        "location": F.coalesce(get(board.location[0]), F.lit(default)),
-        "apply_url": first_of(*board.url),
-        "description": F.coalesce(get(board.description), F.lit("")) if board.description else F.lit(""),
-        "posted_text": F.coalesce(get(board.posted), F.lit("")) if board.posted else F.lit(""),
-    }
+    place, default_place = board.location
+    location = text(place, default=default_place)
     if board.source == "RemoteOK":  # an empty place counts as missing here
-        raw["location"] = F.when(raw["location"] == "", default).otherwise(raw["location"])
-    hint: "str | Column" = board.remote
+        location = first_filled(location, F.lit(default_place))
+    hint = F.lit(board.remote)
     if board.remote.startswith("flag"):
-        on = F.coalesce(get("remote"), F.lit(False))
-        hint = F.when(on, "remote").otherwise("" if board.remote == "flag_or_empty" else "onsite")
-    flat = items.select(*keep, "pos", "_r", hint_column(hint), *[c.alias(n) for n, c in raw.items()])
-    if board.need_title_company:
-        flat = flat.where((F.col("title") != "") & (F.col("company") != ""))
-    extra: dict[str, object] = dict(board.overrides)
-    if board.tags:
-        extra["tech_stack"] = F.when(F.size(get(board.tags)) > 0, F.slice(get(board.tags), 1, 10))
-    if "batch" in names:
-        extra["vc_backer"] = strip(F.concat(F.lit("YC "), F.coalesce(get("batch"), F.lit(""))))
-    rows = board_rows(flat, board.source, as_of, F.col("_hint"), (*keep, "pos", "_r"), extra)
-    if board.salary_currency:
-        low, high = get("salary_min"), get("salary_max")
-        stated = (F.coalesce(low, F.lit(0.0)) != 0) | (F.coalesce(high, F.lit(0.0)) != 0)
-        change = F.lit(True) if board.always_currency else stated
-        rows = rows.withColumns(
-            {
-                "salary_min": F.when(low != 0, low).otherwise(F.col("salary_min")),
-                "salary_max": F.when(high != 0, high).otherwise(F.col("salary_max")),
-                "salary_currency": F.when(change, board.salary_currency).otherwise(F.col("salary_currency")),
-            }
-        )
-    return rows.drop("_r")
+        otherwise = "" if board.remote == "flag_or_empty" else "onsite"
+        hint = F.when(F.coalesce(F.col("_r.remote"), F.lit(False)), "remote").otherwise(otherwise)
+    stated = {n: F.nullif(F.col(f"_r.{n}"), F.lit(0.0)) if n in names else F.lit(None).cast("double") for n in ("salary_min", "salary_max")}
+    has_pay = F.lit(board.always_currency) | stated["salary_min"].isNotNull() | stated["salary_max"].isNotNull()
+    currency = F.when(has_pay, board.salary_currency) if board.salary_currency else F.lit(None).cast("string")
+    tag_list = F.col(f"_r.{board.tags}") if board.tags else F.lit(None).cast("array<string>")
+    backer = strip(F.concat(F.lit("YC "), text("batch"))) if "batch" in names else F.lit(None).cast("string")
+    raw = {
+        "source": F.lit(board.source),
+        "title": text(board.title),
+        "company": text(*board.company.split(",")),
+        "location": location,
+        "apply_url": text(*board.url[0], default=board.url[1]),
+        "description": text(board.description),
+        "posted_text": text(board.posted),
+        "_hint": hint,
+        "_salary_min": stated["salary_min"],
+        "_salary_max": stated["salary_max"],
+        "_currency": currency,
+        "_tags": F.when(F.size(tag_list) > 0, F.slice(tag_list, 1, 10)),
+        "_backer": backer,
+        **{f"_{n}": F.lit(board.overrides.get(n)).cast("string") for n in FORCED},
+    }
+    flat = items.select(*keep, "pos", *[c.alias(n) for n, c in raw.items()])
+    return flat.where((F.col("title") != "") & (F.col("company") != "")) if board.need_title_company else flat
 
 
-def hint_column(hint: "str | Column") -> Column:
-    return (F.lit(hint) if isinstance(hint, str) else hint).alias("_hint")
+FORCED = ("company_type", "job_type", "remote_type", "experience_level")
+
+
+def json_board_rows(items: DataFrame, as_of, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical rows from the items of any boards, in one projection."""
+    overrides = {
+        **{n: F.col(f"_{n}") for n in FORCED},
+        "salary_min": F.col("_salary_min"), "salary_max": F.col("_salary_max"), "salary_currency": F.col("_currency"),
+        "tech_stack": F.col("_tags"), "vc_backer": F.col("_backer"),
+    }
+    return board_rows(items, F.col("source"), as_of, F.col("_hint"), (*keep, "source", "pos"), overrides)
 
 
 # ------------------------------------------------------------------ HTML boards
@@ -517,43 +530,71 @@ def page_cards(html: str, board: HtmlBoard) -> list[tuple]:
     return out
 
 
-def extract_cards(pages: DataFrame, page: str, html: str, board: HtmlBoard) -> DataFrame:
-    """One row per card: the page key and the raw card texts."""
+def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: list[HtmlBoard] = HTML_BOARDS) -> DataFrame:
+    """One row per card: page key, source and the raw card texts.
+
+    Every page names its board in ``source``, so all boards take one pass.
+    """
     names = [f.split()[0] for f in CARD_FIELDS.split(", ")]
     kind = pages.schema[page].dataType.simpleString()
+    by_source = {b.source: b for b in boards}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(key, *card) for key, body in zip(pdf[page], pdf[html]) for card in page_cards(body, board)]
-            yield pd.DataFrame(rows, columns=[page, *names])
-
-    return pages.select(page, html).mapInPandas(run, f"{page} {kind}, {CARD_FIELDS}")
-
-
-def html_board_rows(pages: DataFrame, page: str, html: str, board: HtmlBoard, as_of) -> DataFrame:
-    """Rows of one HTML board from its page table."""
-    cards = extract_cards(pages, page, html, board)
-    if board.unique_links:
-        cards = unseen_links(cards.where("href is not null"), page, "href", "pos")
-    title = F.coalesce(F.col("title"), F.lit(""))
-    company = F.coalesce(F.nullif(F.col("company"), F.lit("")), F.lit(board.default_company))
-    href = F.coalesce(F.col("href"), F.lit(""))
-    if board.absolute_only:
-        url = F.when(F.startswith(href, F.lit("http")), href).otherwise(board.absolute_only)
-    elif board.join_any:
-        url = link_or_site(href, F.lit(board.origin))
-    else:
-        url = resolve_href(href, F.lit(board.origin))
-    url = F.coalesce(F.nullif(url, F.lit("")), F.lit(board.default_url))
-    kept = cards.where(F.length(title) >= board.min_title)
-    if board.need_company:
-        kept = kept.where(F.coalesce(F.col("company"), F.lit("")) != "")
+            rows = [
+                (key, name, *card)
+                for key, name, body in zip(pdf[page], pdf[source], pdf[html])
+                for card in page_cards(body, by_source[name])
+            ]
+            yield pd.DataFrame(rows, columns=[page, source, *names])
+
+    known = pages.where(F.col(source).isin(list(by_source)))
+    return known.select(page, source, html).mapInPandas(run, f"{page} {kind}, {source} string, {CARD_FIELDS}")
+
+
+def html_board_rows(pages: DataFrame, page: str, html: str, source: str, as_of, boards: list[HtmlBoard] = HTML_BOARDS) -> DataFrame:
+    """Canonical rows of all HTML boards from one page table.
+
+    The boards' constants are a literal map on the source, so the cards of all
+    boards go through one projection.
+    """
+
+    def constant(name: str) -> Column:
+        return F.coalesce(lookup(F.col(source), {b.source: str(getattr(b, name)) for b in boards}), F.lit(""))
+
+    def on(name: str) -> Column:
+        return constant(name) == "True"
+
+    def forced(name: str) -> Column | None:
+        values = {b.source: str(b.overrides[name]).lower() for b in boards if name in b.overrides}
+        return lookup(F.col(source), values) if values else None
+
+    cards = extract_cards(pages, page, html, source, boards)
+    # A card without a link counts only on boards that do not go by links.
+    link = F.when(on("unique_links"), F.nullif(F.col("href"), F.lit(""))).otherwise(F.col("pos").cast("string"))
+    cards = cards.withColumn("_link", link).where("_link is not null")
+    cards = top_per_group(cards, [page, source, "_link"], [F.col("pos")], 1)
+    title, href = text_or_empty(F.col("title")), text_or_empty(F.col("href"))
+    url = (
+        F.when(constant("absolute_only") != "", F.when(F.startswith(href, F.lit("http")), href).otherwise(constant("absolute_only")))
+        .when(on("join_any"), link_or_site(href, constant("origin")))
+        .otherwise(resolve_href(href, constant("origin")))
+    )
+    kept = cards.where(F.length(title) >= constant("min_title").cast("int"))
+    kept = kept.where(~on("need_company") | (text_or_empty(F.col("company")) != ""))
     raw = kept.select(
-        page, "pos", title.alias("title"), company.alias("company"),
-        F.coalesce(F.col("location"), F.lit(board.default_location)).alias("location"),
-        url.alias("apply_url"), F.coalesce(F.col("salary_text"), F.lit("")).alias("salary_text"),
+        page, source, "pos", title.alias("title"), first_filled(F.col("company"), constant("default_company")).alias("company"),
+        F.coalesce(F.col("location"), constant("default_location")).alias("location"),
+        F.coalesce(F.nullif(url, F.lit("")), constant("default_url")).alias("apply_url"),
+        text_or_empty(F.col("salary_text")).alias("salary_text"), constant("remote_hint").alias("_hint"),
     )
-    return board_rows(raw, board.source, as_of, board.remote_hint, (page, "pos"), board.overrides)
+    tags = {b.source: "|".join(b.overrides["tech_stack"]) for b in boards if "tech_stack" in b.overrides}
+    overrides = {n: c for n in ("experience_level", "job_type", "remote_type") if (c := forced(n)) is not None}
+    if (visa := forced("visa_sponsorship")) is not None:
+        overrides["visa_sponsorship"] = visa.cast("boolean")
+    if tags:
+        overrides["tech_stack"] = F.split(lookup(F.col(source), tags), r"\|")
+    return board_rows(raw, F.col(source), as_of, F.col("_hint"), (page, source, "pos"), overrides)
 
 
 def page_links(pages: DataFrame, page: str, url: str, html: str, cap: int | None = None) -> DataFrame:

@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from listflow.functions import classify as C, fixed_values as fv
+from listflow.functions import classify as C
 from listflow.functions.dates import days_before, parse_date, relative_date
 from listflow.functions.extract import compensation_range
 from listflow.functions.text import strip
 from listflow.operators.dedup import add_key
+from listflow.operators.enrich import with_company_kind, with_perks
 
 
 @dataclass(frozen=True)
@@ -392,31 +393,9 @@ def normalize_records(df: DataFrame, feed: Feed, as_of) -> DataFrame:
 
 def enrich(df: DataFrame) -> DataFrame:
     """Dedup key with the posted day, company type, backer, stealth and perk flags."""
-    from listflow.functions.classify import fill_company_kind, raise_flag
-
-    have = set(df.columns)
-
-    def col(name: str, kind: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast(kind)
-
-    keyed = add_key(df.withColumn("posted_date", col("posted_date", "timestamp")), day="posted_date")
-    info = fill_company_kind(
-        F.col("company_name"), col("company_type", "string"), col("vc_backer", "string"), col("is_stealth", "boolean")
-    )
-    tagged = keyed.withColumn("_kind", info).withColumns(
-        {
-            "company_type": F.col("_kind.company_type"),
-            "vc_backer": F.col("_kind.vc_backer"),
-            "is_stealth": F.col("_kind.is_stealth"),
-        }
-    )
-    title, text = F.col("title"), F.col("description")
-    return tagged.withColumns(
-        {
-            "visa_sponsorship": raise_flag(col("visa_sponsorship", "boolean"), title, text, fv.PERK_VISA),
-            "relocation_support": raise_flag(col("relocation_support", "boolean"), title, text, fv.PERK_RELOCATION),
-        }
-    ).drop("_kind")
+    if "posted_date" not in df.columns:
+        df = df.withColumn("posted_date", F.lit(None).cast("timestamp"))
+    return with_perks(with_company_kind(add_key(df, day="posted_date")))
 
 
 def load_feed(df: DataFrame, feed: Feed, payload: str, as_of) -> DataFrame:

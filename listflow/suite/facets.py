@@ -53,13 +53,13 @@ def search_location(spark, sf):
 
 
 _PARAMS = dict(
-    remote_type="remote", experience_level="junior", job_type="contract", visa_sponsorship=True, salary_min=1000.0, salary_max=0, q="",
+    remote_type="remote", experience_level="senior", job_type="contract", visa_sponsorship=True, salary_min=1000.0, salary_max=0, q="",
 )
 
 
 @query(
     "search_facets", "F-3 F-4 F-18",
-    "SELECT id FROM listings WHERE remote_type = 'remote' AND experience_level = 'junior' AND visa_sponsorship = true AND job_type = 'contract' AND salary_min >= 1000",
+    "SELECT id FROM listings WHERE remote_type = 'remote' AND experience_level = 'senior' AND visa_sponsorship = true AND job_type = 'contract' AND salary_min >= 1000",
 )
 def search_facets(spark, sf):
     params = S.SearchParams.from_dict(_PARAMS)

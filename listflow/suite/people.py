@@ -8,7 +8,7 @@ from listflow.functions import fixed_values as fv
 from listflow.functions.classify import tier_or_stored
 from listflow.operators import accounts as A, alerts, ranking as R, similarity as V, stats
 from listflow.operators.lifecycle import one_default
-from listflow.operators.matching import overlap_counts, top_per_group
+from listflow.operators.matching import one_row, overlap_counts, top_per_group
 from listflow.suite.keys import sql_stars
 from listflow.suite.registry import any_of, case, list_col, query
 from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table
@@ -328,8 +328,8 @@ def _similarity(df):
 @query("vector_top", "V-1 V-3 J-9", _vector_sql(0.1, 10, False))
 def vector_top(spark, sf):
     df = table(spark, sf, "embeddings")
-    query_vector = df.where("vec_id = 0").select("embedding").scalar()
-    return _similarity(V.top_similar(df, query_vector, 10, 0.1, key="vec_id"))
+    wanted = one_row(df.select("vec_id", "embedding"), F.col("vec_id") == 0)
+    return _similarity(V.top_similar(df, list(wanted.embedding), 10, 0.1, key="vec_id"))
 
 
 @query("vector_similar_to", "V-2 J-9", _vector_sql(0.05, 5, True))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listflow.functions import classify as C, dates as D, extract as X, fixed_values as fv, text as T
 from listflow.functions.rules import lookup
-from listflow.operators import dedup, matching
+from listflow.operators import dedup, enrich, matching
 from listflow.sources.boards import page_links, usable_titles
 from listflow.suite.keys import TITLE, sql_clamp, sql_job_type, sql_level, sql_recovery_level
 from listflow.suite.registry import (
@@ -40,11 +40,8 @@ KIND, BACKER = sql_kind()
 )
 def company_kinds(spark, sf):
     df = listings(spark, sf).withColumn("_k", C.company_kind(F.col("company_name")))
-    df = df.withColumn("_f", C.fill_company_kind(*[F.col(c) for c in ("company_name", "company_type", "vc_backer", "is_stealth")]))
-    return df.select(
-        "id", F.col("_k.company_type").alias("kind"), F.col("_k.vc_backer").alias("backer"),
-        "_f.company_type", "_f.vc_backer", "_f.is_stealth",
-    )
+    df = df.select("*", F.col("_k.company_type").alias("kind"), F.col("_k.vc_backer").alias("backer"))
+    return enrich.with_company_kind(df).select("id", "kind", "backer", "company_type", "vc_backer", "is_stealth")
 
 
 @query(
@@ -67,11 +64,7 @@ BOTH = f"(lower(title) || ' ' || {TEXT})"
         CASE WHEN coalesce(relocation_support, false) OR {any_of(BOTH, fv.PERK_RELOCATION)} THEN true ELSE relocation_support END AS relocation_support FROM listings""",
 )
 def perk_flags(spark, sf):
-    t, d = F.col("title"), F.col("description")
-    return listings(spark, sf).select(
-        "id", C.raise_flag(F.col("visa_sponsorship"), t, d, fv.PERK_VISA).alias("visa_sponsorship"),
-        C.raise_flag(F.col("relocation_support"), t, d, fv.PERK_RELOCATION).alias("relocation_support"),
-    )
+    return enrich.with_perks(listings(spark, sf)).select("id", "visa_sponsorship", "relocation_support")
 
 
 @query(
@@ -156,9 +149,10 @@ ATS = f"""coalesce(CASE WHEN {equals_any(ATS_URL, fv.ATS_AGGREGATORS)} THEN {ATS
 )
 def ats_labels(spark, sf):
     n, u = F.col("company_name"), F.col("apply_url")
-    return listings(spark, sf).select(
-        "id", C.ats_from_url(u).alias("by_url"), C.ats_from_company(n).alias("by_company"),
-        C.ats_label(n, u).alias("ats_detected"), C.bulk_ats_label(n, u).alias("bulk_label"),
+    df = listings(spark, sf).select("id", "company_name", "apply_url", C.ats_from_url(u).alias("by_url"), C.ats_from_company(n).alias("by_company"))
+    return df.select(
+        "id", "by_url", "by_company", C.ats_label(F.col("by_url"), F.col("by_company"), u).alias("ats_detected"),
+        C.bulk_ats_label(F.col("by_url"), n).alias("bulk_label"),
     )
 
 
@@ -205,11 +199,10 @@ def ats_url_ids(spark, sf):
         {any_of(URL, fv.AGGREGATOR_URL_TERMS)} AS is_aggregator FROM d""",
 )
 def direct_apply_support(spark, sf):
-    df = listings(spark, sf).withColumn("_ats", C.ats_label(F.col("company_name"), F.col("apply_url")))
-    df = df.withColumn("_d", C.direct_apply(F.col("_ats"), F.col("apply_url")))
+    df = enrich.with_direct_apply(enrich.with_ats(listings(spark, sf)))
     return df.select(
-        "id", "_d.direct_apply_ats", C.has_direct_apply(F.col("_d.direct_apply_ats")).alias("supported"),
-        "_d.ats_board_token", "_d.ats_job_id", C.is_aggregator_url(F.col("apply_url")).alias("is_aggregator"),
+        "id", "direct_apply_ats", C.has_direct_apply(F.col("direct_apply_ats")).alias("supported"),
+        "ats_board_token", "ats_job_id", C.is_aggregator_url(F.col("apply_url")).alias("is_aggregator"),
     )
 
 
