@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from listflow.functions import fixed_values as fv
 from listflow.functions.rules import (
-    any_of, classify, first_match, found_terms, has_any, has_word, lookup, rule_condition,
+    classify, first_match, found_terms, has_any, has_word, let, lookup, term_array,
 )
 from listflow.functions.text import WS, WORD_CHARS, blank_to_null, strip, text_or_empty
 
@@ -19,25 +19,28 @@ def lowered(*cols: Column) -> Column:
 # ------------------------------------------------------------ company type
 def company_kind(name: Column) -> Column:
     """Struct ``(company_type, vc_backer, is_stealth)`` from a company name."""
-    text = strip(F.lower(name))
-    stealth = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in fv.STEALTH_PATTERNS)))
-    # A name that is itself part of a known name counts too.
-    big = any_of(F.contains(text, F.lit(c)) | F.contains(F.lit(c), text) for c in fv.BIG_TECH)
-
-    def kind(label: str, backer: str | None = None, hidden: bool = False) -> Column:
+    def kind(label: str, hidden: bool = False) -> Column:
         return F.struct(
-            F.lit(label).alias("company_type"), F.lit(backer).cast("string").alias("vc_backer"),
+            F.lit(label).alias("company_type"), F.lit(None).cast("string").alias("vc_backer"),
             F.lit(hidden).alias("is_stealth"),
         )
 
-    out = (
-        F.when(F.coalesce(name, F.lit("")) == "", kind("other"))
-        .when(stealth, kind("stealth", hidden=True))
-        .when(big, kind("big_tech"))
-    )
-    for backer, portfolio in fv.VC_PORTFOLIOS:
-        out = out.when(has_any(text, portfolio), kind("vc_backed", backer))
-    return out.otherwise(kind("other"))
+    def backed(backer: Column) -> Column:
+        label = F.when(backer.isNotNull(), "vc_backed").otherwise("other")
+        return F.struct(label.alias("company_type"), backer.alias("vc_backer"), F.lit(False).alias("is_stealth"))
+
+    def tiers(text: Column) -> Column:
+        stealth = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in fv.STEALTH_PATTERNS)))
+        # A name that is itself part of a known name counts too.
+        big = F.exists(term_array(fv.BIG_TECH), lambda c: F.contains(text, c) | F.contains(c, text))
+        return (
+            F.when(stealth, kind("stealth", hidden=True))
+            .when(big, kind("big_tech"))
+            .otherwise(let(classify(text, fv.VC_PORTFOLIOS), backed))
+        )
+
+    named = F.coalesce(name, F.lit("")) != ""
+    return F.when(named, let(strip(F.lower(name)), tiers)).otherwise(kind("other"))
 
 
 def fill_company_kind(found: Column, company_type: Column, vc_backer: Column, is_stealth: Column) -> Column:
@@ -54,7 +57,7 @@ def bulk_company_type(name: Column, description: Column) -> Column:
     return first_match(
         [
             ("big_tech", has_any(company, fv.BULK_BIG_TECH)),
-            ("stealth", F.contains(company, F.lit("stealth"))),
+            ("stealth", company.contains("stealth")),
             ("vc_backed", has_any(text, fv.BULK_FUNDING_PHRASES)),
         ],
         "startup",
@@ -72,7 +75,7 @@ def raise_flag(flag: Column, text: Column, phrases: list[str]) -> Column:
 
 
 def mentions(text: Column, phrases: list[str]) -> Column:
-    return has_any(F.lower(text_or_empty(text)), phrases)
+    return let(F.lower(text_or_empty(text)), lambda x: has_any(x, phrases))
 
 
 # ------------------------------------------------------------ level and job type
@@ -137,15 +140,15 @@ def title_domain(title: Column) -> Column:
 
 # ------------------------------------------------------------ place and remote
 def remote_from_text(text: Column, hybrid_words: list[str] = fv.PAGE_HYBRID_WORDS) -> Column:
-    t = F.lower(text_or_empty(text))
-    return first_match(
-        [
-            ("hybrid", has_any(t, fv.REMOTE_WORDS) & has_any(t, hybrid_words)),
-            ("remote", has_any(t, fv.REMOTE_WORDS)),
-            ("hybrid", F.contains(t, F.lit("hybrid"))),
-        ],
-        "onsite",
-    )
+
+    def run(t: Column) -> Column:
+        return (
+            F.when(has_any(t, fv.REMOTE_WORDS), F.when(has_any(t, hybrid_words), "hybrid").otherwise("remote"))
+            .when(t.contains("hybrid"), "hybrid")
+            .otherwise("onsite")
+        )
+
+    return let(F.lower(text_or_empty(text)), run)
 
 
 def remote_from_flag(flag: Column) -> Column:
@@ -282,17 +285,17 @@ def candidate_level(parsed_level: Column, resume_text: Column, years: Column) ->
 
 def skill_domain(skills: Column, text: Column) -> Column:
     """Domain with most keywords in the text or the skills; the first of equals; at least 2."""
-    t = F.lower(text_or_empty(text))
-    scored = []
-    for rank, (name, words) in enumerate(fv.SKILL_DOMAINS):
-        hits = [
-            F.coalesce(F.contains(t, F.lit(w)) | F.array_contains(skills, w), F.lit(False)).cast("int")
-            for w in words
-        ]
-        # The lower rank wins among equal counts; every count is computed once.
-        scored.append(F.struct(sum(hits[1:], hits[0]).alias("n"), F.lit(-rank).alias("r"), F.lit(name).alias("name")))
     default = F.struct(F.lit(fv.SKILL_DOMAIN_MIN - 1).alias("n"), F.lit(1).alias("r"), F.lit(fv.SKILL_DOMAIN_DEFAULT).alias("name"))
-    return F.array_max(F.array(default, *scored))["name"]
+
+    def run(t: Column) -> Column:
+        scored = []
+        for rank, (name, words) in enumerate(fv.SKILL_DOMAINS):
+            hit = F.filter(term_array(words), lambda w: F.contains(t, w) | F.coalesce(F.array_contains(skills, w), F.lit(False)))
+            # The lower rank wins among equal counts.
+            scored.append(F.struct(F.size(hit).alias("n"), F.lit(-rank).alias("r"), F.lit(name).alias("name")))
+        return F.array_max(F.array(default, *scored))["name"]
+
+    return let(F.lower(text_or_empty(text)), run)
 
 
 def text_skills(text: Column) -> Column:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import age_days, days_before
-from listflow.functions.rules import first_match, has_any
+from listflow.functions.rules import first_match, has_any, term_array
 from listflow.functions.text import WS, collapse_space, contains_text, strip, text_or_empty
 from listflow.operators.quality import star_rating
 from listflow.operators.search import where_all
 
 
 def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return term_array(values)
 
 
 def _lower_list(col: str) -> Column:

@@ -131,7 +131,7 @@ def _sql_merge_list(c: str, always: bool) -> str:
     return list_text(f"CASE WHEN {_NEW} THEN n.{c} WHEN {_KEPT} THEN s.{c} ELSE {merged} END")
 
 
-MERGE_SQL = (
+MERGE_SIDES = (
     _SIDES
     + f""" n AS (SELECT dedup_hash,
       coalesce(first(location_city ORDER BY seq) FILTER (WHERE {_sql_filled('location_city')}), first(location_city ORDER BY seq)) AS location_city,
@@ -139,6 +139,9 @@ MERGE_SQL = (
       first(visa_sponsorship ORDER BY seq) FILTER (WHERE visa_sponsorship IS NOT NULL) AS visa_sponsorship,
       {_sql_fold_list('tech_stack')}, {_sql_fold_list('source_platforms')}, first(is_active ORDER BY seq) AS is_active
       FROM i GROUP BY dedup_hash) """
+)
+MERGE_SQL = (
+    MERGE_SIDES
     + _sql_output(
         {
             "location_city": f"CASE WHEN {_NEW} THEN n.location_city WHEN {_KEPT} THEN s.location_city"

@@ -238,8 +238,8 @@ def candidate_levels(spark, sf):
         SELECT id, array_to_string(skills, '|') AS skills, {sql_domain(TEXT, 'skills')} AS domain FROM k""",
 )
 def text_skills(spark, sf):
-    df = postings(spark, sf).select("id", "description", C.text_skills(F.col("description")).alias("skills"))
-    return df.select("id", list_col("skills"), C.skill_domain(F.col("skills"), F.col("description")).alias("domain"))
+    df = postings(spark, sf).select("id", "description", C.text_skills(F.col("description")).alias("found"))
+    return df.select("id", list_col("found", "skills"), C.skill_domain(F.col("found"), F.col("description")).alias("domain"))
 
 
 # ------------------------------------------------------------------ rule tables and containment joins
