@@ -50,8 +50,9 @@ def normalize_key(col: Column) -> Column:
 
     Stripping comes first, so removing punctuation can leave a space at the end.
     """
-    kept = F.regexp_replace(strip(F.lower(text_or_empty(col))), f"[^a-z0-9{WS_CLASS}]", "")
-    return collapse_space(kept)
+    kept = F.regexp_replace(strip(F.lower(text_or_empty(col))), f"[^a-z0-9{WS_CLASS}]+", "")
+    # Only letters, digits and white space are left; single spaces stay untouched.
+    return F.regexp_replace(kept, "[^a-z0-9]{2,}|[^a-z0-9 ]", " ")
 
 
 def key_hash(*parts: Column, raw: tuple[Column, ...] = ()) -> Column:
@@ -66,9 +67,10 @@ def strip_tags(col: Column) -> Column:
 
 def first_sentence(col: Column, limit: int = 300) -> Column:
     """First sentence of tag-free text, or all of it, cut at ``limit`` characters."""
-    flat = strip(collapse_space(strip(strip_tags(text_or_empty(col)))))
-    sentence = F.regexp_extract(flat, r"^(.+?[.!?]) ", 1)
-    return F.left(F.coalesce(F.nullif(sentence, F.lit("")), flat), F.lit(limit))
+    flat = strip(strip_tags(text_or_empty(col)))
+    # Cut first, so that white space is collapsed in the sentence only.
+    sentence = F.regexp_extract(flat, rf"(?s)^(.+?[.!?]){WS}", 1)
+    return F.left(collapse_space(F.coalesce(F.nullif(sentence, F.lit("")), flat)), F.lit(limit))
 
 
 def truncate(col: Column, limit: int) -> Column:

@@ -49,14 +49,19 @@ def union_sources(df: DataFrame, keys: list[str], source: str, name: str = "n_so
     return df.select(*keys, source).distinct().groupBy(*keys).agg(F.count(source).alias(name))
 
 
-def with_key_summary(df: DataFrame, keys: list[str], order: list[Column], source: str) -> DataFrame:
-    """First row of each key with the key's row, duplicate and source counts."""
-    first = first_per_key(df, keys, order)
-    counts = (
-        df.groupBy(*keys, source).agg(F.count("*").alias("_n"))
-        .groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.count(source).alias("n_sources"))
+def with_key_summary(df: DataFrame, keys: list[str], order: list[str], source: str) -> DataFrame:
+    """First row of each key (lowest ``order``) with the key's row, duplicate and source counts.
+
+    One pass: each ``(key, source)`` is reduced to its first row and a count
+    before the shuffle, then the sources of a key are combined.
+    """
+    rest = [c for c in df.columns if c not in (*keys, *order, source)]
+    row = F.struct(*order, *rest)
+    per_source = df.groupBy(*keys, source).agg(F.count("*").alias("_n"), F.min(row).alias("_row"))
+    per_key = per_source.groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.count(source).alias("n_sources"), F.min("_row").alias("_row")
     )
-    return first.join(counts, keys).withColumn("n_duplicates", F.col("n_rows") - 1)
+    return per_key.select(*keys, "_row.*", "n_rows", "n_sources", (F.col("n_rows") - 1).alias("n_duplicates"))
 
 
 def unseen_links(df: DataFrame, page: str, href: str, pos: str) -> DataFrame:

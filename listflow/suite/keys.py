@@ -26,7 +26,7 @@ AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
 )
 def dedup_latest(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", key_hash(F.col("text")).alias("dedup_hash"))
-    out = dedup.with_key_summary(docs, ["dedup_hash"], [F.asc("doc_id")], "source")
+    out = dedup.with_key_summary(docs, ["dedup_hash"], ["doc_id"], "source")
     return out.select("doc_id", "dedup_hash", "n_rows", "n_sources", "n_duplicates")
 
 
