@@ -41,8 +41,18 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def plain_spaces(col: Column) -> Column:
+    """Every kind of white space as a plain space.
+
+    A character map, because a pattern over this many ranges takes several
+    times as long on whole texts; the patterns that follow can then be simple.
+    """
+    others = WS_CHARS.replace(" ", "")
+    return F.translate(col, others, " " * len(others))
+
+
 def collapse_space(col: Column) -> Column:
-    return F.regexp_replace(col, f"{WS}+", " ")
+    return F.regexp_replace(plain_spaces(col), " {2,}", " ")
 
 
 def normalize_key(col: Column) -> Column:
@@ -50,9 +60,10 @@ def normalize_key(col: Column) -> Column:
 
     Stripping comes first, so removing punctuation can leave a space at the end.
     """
-    kept = F.regexp_replace(strip(F.lower(text_or_empty(col))), f"[^a-z0-9{WS_CLASS}]+", "")
-    # Only letters, digits and white space are left; single spaces stay untouched.
-    return F.regexp_replace(kept, "[^a-z0-9]{2,}|[^a-z0-9 ]", " ")
+    spaced = F.trim(plain_spaces(F.lower(text_or_empty(col))))
+    # Everything but a-z, 0-9 and the space; no upper case is left at this point.
+    kept = F.regexp_replace(spaced, r"[\W_&&[^ ]]+", "")
+    return F.regexp_replace(kept, " {2,}", " ")
 
 
 def key_hash(*parts: Column, raw: tuple[Column, ...] = ()) -> Column:

@@ -339,15 +339,17 @@ def _card_pages(spark, sf) -> DataFrame:
         F.when(F.col("l_discount") > 0.02, F.concat(F.lit('<span class="location">City '), F.col("l_linenumber"), F.lit(", India</span>"))).otherwise(""),
         F.lit('<a href="'), F.when(F.col("l_tax") > 0.04, F.lit("https://x.example/")).otherwise("/job/"), F.col("l_partkey"), F.lit('">Apply</a></div>'),
     )
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", card.alias("card"))
-    df = df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "card"))).alias("cards"))
+    # Line numbers repeat within an order, so more columns fix the order of the cards.
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
+    df = table(spark, sf, "lineitem").select("l_orderkey", *order, card.alias("card"))
+    df = df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, "card"))).alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
     return df.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body><ul><li>Jobs<p>"), body, F.lit("</body>")).alias("html"))
 
 
-_CARDS = """c AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, card_part) - 1 AS pos, * FROM
-   (SELECT *, 0 AS card_part FROM lineitem)),
-  d AS (SELECT page_id, pos, 'Part & ' || l_partkey || 'Engineer' AS bad, 'Part & ' || l_partkey || ' Engineer' AS title,
+_CARDS = """c AS (SELECT *, l_orderkey AS page_id,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1 AS pos FROM lineitem),
+  d AS (SELECT page_id, pos, 'Part & ' || l_partkey || ' Engineer' AS title,
     CASE WHEN l_quantity > 10 THEN 'Maker ' || l_suppkey ELSE '' END AS company, CASE WHEN l_discount > 0.02 THEN 'City ' || l_linenumber || ', India' END AS place,
     CASE WHEN l_tax > 0.04 THEN 'https://x.example/' ELSE '/job/' END || l_partkey AS href FROM c)"""
 

@@ -12,7 +12,7 @@ from listflow.suite.registry import (
     any_of, case, equals_any, key_sha, key_text, list_col, list_text, query, rule_case, trim_ws, ts_col, ts_text,
     value_map, word, matches,
 )
-from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, listings, postings, table
+from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, listings, postings, table, texts
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
 
@@ -25,14 +25,14 @@ AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
         FROM (SELECT doc_id, source, {key_sha('text')} AS dedup_hash FROM documents) GROUP BY dedup_hash""",
 )
 def dedup_latest(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", key_hash(F.col("text")).alias("dedup_hash"))
+    docs = texts(spark, sf).select("doc_id", "source", key_hash(F.col("text")).alias("dedup_hash"))
     out = dedup.with_key_summary(docs, ["dedup_hash"], ["doc_id"], "source")
     return out.select("doc_id", "dedup_hash", "n_rows", "n_sources", "n_duplicates")
 
 
 @query("normalized_key_text", "D-1", f"SELECT doc_id, {key_text('text')} AS normalized FROM documents")
 def normalized_key_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", normalize_key(F.col("text")).alias("normalized"))
+    return texts(spark, sf).select("doc_id", normalize_key(F.col("text")).alias("normalized"))
 
 
 @query(

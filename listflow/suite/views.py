@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listflow.sources.tables import spread_small_scan
+
 LISTINGS_AS_OF = "2001-08-02 00:00:00"
 POSTINGS_AS_OF = "2024-03-01 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -170,6 +172,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, whose rules and patterns take much time per row."""
+    return spread_small_scan(table(spark, sf, "documents"))
+
+
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     columns = listings_columns(Dialect(spark=True))
     return table(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
@@ -177,4 +184,4 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     columns = postings_columns(Dialect(spark=True))
-    return table(spark, sf, "documents").selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+    return texts(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])

@@ -12,7 +12,7 @@ from listflow.suite.keys import TITLE, sql_clamp, sql_job_type, sql_level, sql_r
 from listflow.suite.registry import (
     WS, any_of, case, equals_any, list_col, matches, query, rule_case, trim_ws, ts_col, value_map,
 )
-from listflow.suite.views import EVENTS_AS_OF, LISTINGS_AS_OF, lit, listings, postings, table
+from listflow.suite.views import EVENTS_AS_OF, LISTINGS_AS_OF, lit, listings, postings, table, texts
 
 NAME = "lower(company_name)"
 TEXT = "lower(coalesce(description, ''))"
@@ -292,7 +292,7 @@ _FLAT = f"trim(regexp_replace({trim_ws(_NO_TAGS)}, '[{WS}]+', ' ', 'g'))"
 )
 def first_sentences(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.first_sentence(t).alias("sentence"), T.first_sentence(t, 500).alias("long_sentence"), T.truncate(t, 40).alias("preview")
     )
 
@@ -327,7 +327,7 @@ def salary_ranges(spark, sf):
     f"WITH p AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, {_thousands(_sql_pay(1))} AS low, {_thousands(_sql_pay(2))} AS high FROM p",
 )
 def salary_ranges_documents(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", X.salary_range(F.col("text")).alias("_r"))
+    df = texts(spark, sf).select("doc_id", X.salary_range(F.col("text")).alias("_r"))
     return df.select("doc_id", F.col("_r.min").alias("low"), F.col("_r.max").alias("high"))
 
 
