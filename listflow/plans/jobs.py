@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import as_timestamp, parse_date
+from listflow.functions.rules import term_array
 from listflow.functions.text import first_sentence, strip, text_or_empty
 from listflow.operators.dedup import add_key, first_per_key
 from listflow.operators.enrich import with_ats, with_bulk_ats
@@ -119,6 +120,8 @@ def query_grid(queries: DataFrame, places: DataFrame, seed: int, per_class: int
         order = [F.xxhash64(F.col("name"), F.lit(seed)), F.asc("name")]
         return top_per_group(df, ["is_home"], order, k)
 
-    q = pick(queries, per_class).select(F.col("name").alias("query"), F.lit(1).alias("_j"))
-    p = pick(places, places_per_class).select(F.col("name").alias("place"), F.lit(1).alias("_j"))
-    return q.join(F.broadcast(p), "_j").drop("_j")
+    # The sampled places are a handful by construction, so they become a literal.
+    names = [r.name for r in pick(places, places_per_class).select("name").orderBy("name").collect()]
+    if not names:
+        return pick(queries, per_class).select(F.col("name").alias("query"), F.col("name").alias("place")).limit(0)
+    return pick(queries, per_class).select(F.col("name").alias("query"), F.explode(term_array(names)).alias("place"))
