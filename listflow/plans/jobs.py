@@ -16,6 +16,7 @@ from listflow.operators.search import SearchParams, search_page
 from listflow.operators.upsert import upsert
 from listflow.schemas import LISTINGS, align_to_schema
 from listflow.sources.feeds import FEEDS, load_feed, union_feeds
+from listflow.sources.tables import staged
 
 
 def ingest_feeds(payloads: dict[str, DataFrame], as_of) -> DataFrame:
@@ -32,10 +33,14 @@ def ingest_feeds(payloads: dict[str, DataFrame], as_of) -> DataFrame:
 
 
 def refresh_listings(stored: DataFrame, payloads: dict[str, DataFrame], as_of, small_batch: bool = False) -> DataFrame:
-    """New snapshot after one ingest cycle under the merge policy."""
+    """New snapshot after one ingest cycle under the merge policy.
+
+    The normalized batch is written once: the upsert reads it several times, each
+    time only the columns it needs, and parsing is the costly part.
+    """
     batch = ingest_feeds(payloads, as_of)
     known = [f for f in LISTINGS if f.name in batch.columns]
-    rows = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], "seq")
+    rows = staged(batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], "seq"), "batch")
     return upsert(align_to_schema(stored, LISTINGS), rows, as_of, "merge", small_batch=small_batch)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from listflow.operators.lifecycle import latest_per_key
+from listflow.session import shared_dir
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -34,6 +35,17 @@ def with_month(df: DataFrame, ts: str = "posted_date", name: str = "posted_month
     return df.withColumn(name, F.date_format(ts, "yyyy-MM"))
 
 
+def staged(df: DataFrame, purpose: str = "staged") -> DataFrame:
+    """Write rows to the shared folder once and read them back.
+
+    For a costly input with several readers. The written table also cuts the
+    lineage, so a lost executor repeats a read and not the work before it.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: tuple[str, ...] = ("is_active",)) -> str:
     """Write one whole version. Readers keep the earlier one until told otherwise."""
     path = f"{base}/version={version}"

@@ -406,4 +406,4 @@ def alert_matches(spark, sf):
 def alert_matches_large(spark, sf):
     """The plan for more filters than fit a broadcast: shuffled joins and blocks."""
     fresh = listings(spark, sf).where("is_active").where(F.col("posted_date") >= F.lit(LISTINGS_AS_OF).cast("timestamp") - F.expr("interval 45 days"))
-    return alerts.match_alerts(fresh, _alerts(spark, sf), LISTINGS_AS_OF, max_broadcast=10)
+    return alerts.match_alerts(fresh, _alerts(spark, sf), LISTINGS_AS_OF, max_broadcast=50)
