@@ -166,20 +166,23 @@ def feed_wellfound(spark, sf):
     return df.select("title", "company_name", "company_type", "salary_min", "salary_max", "apply_url", list_col("tech_stack"))
 
 
+# Payloads with several records take a fixed span of listing ids, so that none can
+# grow with the table.
+SPAN = 40
+
+
 @query(
     "feed_linkedin", "S-10 P-10",
-    f"""SELECT o_custkey AS user_id, o_orderkey AS title, coalesce(o_orderstatus = 'O', false) AS easy_apply FROM orders
-        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 25""",
+    f"""SELECT o_orderkey // {SPAN} AS page, o_orderkey AS title, coalesce(o_orderstatus = 'O', false) AS easy_apply FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_orderkey // {SPAN} ORDER BY o_orderkey) <= 25""",
 )
 def feed_linkedin(spark, sf):
-    """One payload per user with all of that user's records; a payload counts for 25 at most."""
+    """A payload counts for 25 records at most."""
     record = F.struct(F.col("o_orderkey").alias("title"), (F.col("o_orderstatus") == "O").alias("easyApply"))
-    df = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(record)).alias("r"))
-    df = df.select(F.col("o_custkey").alias("user_id"), F.to_json("r").alias("payload"))
-    feed = S.FEEDS["LinkedIn"]
-    parsed = S.parse_payloads(df, feed, "payload", keep=("user_id",))
-    out = parsed.select("user_id", F.struct("*").alias("r")).select("user_id", "r.title", F.coalesce("r.easyApply", F.lit(False)).alias("easy_apply"))
-    return out.select("user_id", F.col("title").cast("bigint").alias("title"), "easy_apply")
+    df = table(spark, sf, "orders").groupBy(F.expr(f"o_orderkey div {SPAN}").alias("page"))
+    df = df.agg(F.array_sort(F.collect_list(record)).alias("r")).select("page", F.to_json("r").alias("payload"))
+    parsed = S.parse_payloads(df, S.FEEDS["LinkedIn"], "payload", keep=("page",))
+    return parsed.select("page", F.col("title").cast("bigint").alias("title"), F.coalesce("easyApply", F.lit(False)).alias("easy_apply"))
 
 
 @query(
@@ -262,7 +265,7 @@ def run_bulk_insert_rows(spark, sf):
 
 
 # ------------------------------------------------------------------ boards
-# One payload per customer with the customer's orders as items.
+# One payload per span of listings.
 def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
     fields = {
         board.title: "title", "description": "description", "url": "apply_url", "publication_date": "posted", "pubDate": "posted",
@@ -280,21 +283,21 @@ def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
             parts.append("'location', x.place")
         elif n in fields:
             parts.append(f"'{n}', x.{fields[n]}")
-    grouped = _items_per_user(spark, sf)
+    grouped = _items_per_page(spark, sf)
     items = F.expr(f"transform(items, x -> named_struct({', '.join(parts)}))")
     if board.skip:
         items = F.concat(F.slice(items, 1, 1), items)
     payload = F.to_json(F.struct(items.alias(board.root))) if board.root else F.to_json(items)
-    return grouped.select("user_id", payload.alias("payload"))
+    return grouped.select("page", payload.alias("payload"))
 
 
-def _items_per_user(spark, sf) -> DataFrame:
-    """The orders of each customer; equal for all boards, so its shuffle is reused."""
+def _items_per_page(spark, sf) -> DataFrame:
+    """The listings of each span of ids."""
     df = listings(spark, sf).selectExpr(
         "*", "concat(coalesce(location_city, 'Nowhere'), ', ', coalesce(location_country, '')) AS place", f"{_DAY} AS posted"
     )
     item = F.struct("id", "title", "company_name", "description", "apply_url", "tech_stack", "visa_sponsorship", "salary_min", "place", "posted")
-    return df.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return df.groupBy(F.expr(f"id div {SPAN}").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 _CITY = "nullif(trim(coalesce(location_city, 'Nowhere')), '')"
@@ -302,9 +305,9 @@ _CITY = "nullif(trim(coalesce(location_city, 'Nowhere')), '')"
 
 @query(
     "json_board_rows", "S-11 S-13 S-16 P-11 P-13 W-3 D-4",
-    "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS pos FROM listings) "
+    f"WITH n AS (SELECT *, id // {SPAN} AS page, id % {SPAN} AS pos FROM listings) "
     + " UNION ALL ".join(
-        f"""SELECT {B.source_rank(b.source)}::BIGINT AS source_rank, user_id, pos, {lit(b.source)} AS source, title,
+        f"""SELECT {B.source_rank(b.source)}::BIGINT AS source_rank, page, pos, {lit(b.source)} AS source, title,
         {key_sha('company_name', 'title', f"coalesce({_CITY}, '')", "''")} AS dedup_hash, {_CITY} AS location_city,
         {lit(b.overrides['experience_level']) if 'experience_level' in b.overrides else rule_case('lower(title)', fv.PAGE_LEVEL_TERMS, 'mid')} AS experience_level,
         {lit(b.overrides['remote_type']) if 'remote_type' in b.overrides else
@@ -321,37 +324,38 @@ _CITY = "nullif(trim(coalesce(location_city, 'Nowhere')), '')"
 )
 def json_board_rows(spark, sf):
     parts = [
-        (B.source_rank(b.source), B.json_board_items(_board_payloads(spark, sf, b), b, "payload", ("user_id",))) for b in B.JSON_BOARDS
+        (B.source_rank(b.source), B.json_board_items(_board_payloads(spark, sf, b), b, "payload", ("page",))) for b in B.JSON_BOARDS
     ]
-    out = B.json_board_rows(S.union_feeds(parts), LISTINGS_AS_OF, ("source_rank", "user_id"))
+    out = B.json_board_rows(S.union_feeds(parts), LISTINGS_AS_OF, ("source_rank", "page"))
     return out.select(
-        "source_rank", "user_id", "pos", list_col("source_platforms", "source"), "title", "dedup_hash", "location_city", "experience_level",
+        "source_rank", "page", "pos", list_col("source_platforms", "source"), "title", "dedup_hash", "location_city", "experience_level",
         "remote_type", "company_type", list_col("tech_stack"), ts_col("posted_date"), "salary_currency",
     )
 
 
-# One HTML page per order, a card per line item, cards nested in divs.
+# One HTML page per eight orders, a card per order, cards nested in divs. Two
+# neighbours share a link.
+CARDS = 8
+
+
 def _card_pages(spark, sf) -> DataFrame:
+    ref = F.expr("o_orderkey div 2")
     card = F.concat(
-        F.lit('<div class="job-card"><div class="top"><h3 class="title"> Part &amp; '), F.col("l_partkey"),
-        F.lit(' Engineer<br></h3><span class="company">'), F.when(F.col("l_quantity") > 10, F.concat(F.lit("Maker "), "l_suppkey")).otherwise(""),
+        F.lit('<div class="job-card"><div class="top"><h3 class="title"> Role &amp; '), F.col("o_orderkey"),
+        F.lit(' Engineer<br></h3><span class="company">'), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("Maker "), "o_custkey")).otherwise(""),
         F.lit("</span></div>"),
-        F.when(F.col("l_discount") > 0.02, F.concat(F.lit('<span class="location">City '), F.col("l_linenumber"), F.lit(", India</span>"))).otherwise(""),
-        F.lit('<a href="'), F.when(F.col("l_tax") > 0.04, F.lit("https://x.example/")).otherwise("/job/"), F.col("l_partkey"), F.lit('">Apply</a></div>'),
+        F.when(F.col("o_totalprice") > 90000, F.concat(F.lit('<span class="location">City '), "o_custkey", F.lit(", India</span>"))).otherwise(""),
+        F.lit('<a href="'), F.when(ref % 3 == 0, F.lit("https://x.example/")).otherwise("/job/"), ref, F.lit('">Apply</a></div>'),
     )
-    # Line numbers repeat within an order, so more columns fix the order of the cards.
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
-    df = table(spark, sf, "lineitem").select("l_orderkey", *order, card.alias("card"))
-    df = df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, "card"))).alias("cards"))
+    df = table(spark, sf, "orders").select("o_orderkey", card.alias("card"))
+    df = df.groupBy(F.expr(f"o_orderkey div {CARDS}").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "card"))).alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
-    return df.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body><ul><li>Jobs<p>"), body, F.lit("</body>")).alias("html"))
+    return df.select("page_id", F.concat(F.lit("<html><body><ul><li>Jobs<p>"), body, F.lit("</body>")).alias("html"))
 
 
-_CARDS = """c AS (SELECT *, l_orderkey AS page_id,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1 AS pos FROM lineitem),
-  d AS (SELECT page_id, pos, 'Part & ' || l_partkey || ' Engineer' AS title,
-    CASE WHEN l_quantity > 10 THEN 'Maker ' || l_suppkey ELSE '' END AS company, CASE WHEN l_discount > 0.02 THEN 'City ' || l_linenumber || ', India' END AS place,
-    CASE WHEN l_tax > 0.04 THEN 'https://x.example/' ELSE '/job/' END || l_partkey AS href FROM c)"""
+_CARDS = f"""d AS (SELECT o_orderkey // {CARDS} AS page_id, o_orderkey % {CARDS} AS pos, 'Role & ' || o_orderkey || ' Engineer' AS title,
+    CASE WHEN o_orderstatus <> 'F' THEN 'Maker ' || o_custkey ELSE '' END AS company, CASE WHEN o_totalprice > 90000 THEN 'City ' || o_custkey || ', India' END AS place,
+    CASE WHEN (o_orderkey // 2) % 3 = 0 THEN 'https://x.example/' ELSE '/job/' END || (o_orderkey // 2) AS href FROM orders)"""
 
 
 _BOARDS = [b for b in B.HTML_BOARDS]
@@ -383,7 +387,7 @@ _HTML_SQL = f"""WITH {_CARDS}, t AS (SELECT *, ([{', '.join(lit(b.source) for b
 
 @query("html_board_rows", "S-12 S-13 X-20 X-21 X-22 X-23 D-7 P-11 P-13 W-3", _HTML_SQL)
 def html_board_rows(spark, sf):
-    """Every order's page belongs to one of the boards."""
+    """Every page belongs to one of the boards."""
     names = ", ".join(lit(b.source) for b in _BOARDS)
     pages = _card_pages(spark, sf).withColumn("source", F.expr(f"element_at(array({names}), cast(page_id % {len(_BOARDS)} as int) + 1)"))
     rows = B.html_board_rows(pages, "page_id", "html", "source", LISTINGS_AS_OF)

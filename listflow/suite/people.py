@@ -9,6 +9,7 @@ from listflow.functions.classify import tier_or_stored
 from listflow.operators import accounts as A, alerts, ranking as R, similarity as V, stats
 from listflow.operators.lifecycle import one_default
 from listflow.operators.matching import one_row, overlap_counts, top_per_group
+from listflow.schemas import ranking_columns
 from listflow.suite.keys import sql_stars
 from listflow.suite.registry import any_of, case, list_col, query
 from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table
@@ -216,7 +217,9 @@ _RANKED = f"""WITH c AS (SELECT * FROM postings WHERE is_active AND posted_date
 
 @query("keyword_ranking", "R-3 F-15 G-5 G-7 W-4 P-15", f"{_RANKED} SELECT {_SCORE_COLUMNS} FROM ranked")
 def keyword_ranking(spark, sf):
-    return _score_columns(R.rank_by_keywords(postings(spark, sf), KEYWORDS, POSTINGS_AS_OF))
+    df = postings(spark, sf)
+    df = df.select("is_active", *[c for c in ranking_columns() if c in df.columns])
+    return _score_columns(R.rank_by_keywords(df, KEYWORDS, POSTINGS_AS_OF))
 
 
 @query("keyword_tier_counts", "A-6 R-3", f"{_RANKED} SELECT match_tier, count(*) AS n, count(*) FILTER (WHERE is_new) AS n_new FROM ranked GROUP BY 1")

@@ -81,10 +81,10 @@ def stream_upsert_merge(spark, sf):
     stored, incoming = _sides(spark, sf)
     log, landing, checkpoint = (shared_dir(spark, p) for p in ("log", "landing", "checkpoint"))
     write_changes(stored, log, 0)
-    # Two files in arrival order.
-    spans = incoming.agg(F.max("seq").alias("m")).first().m or 0
-    for part in (F.col("seq") <= spans // 2, F.col("seq") > spans // 2):
-        incoming.where(part).coalesce(1).write.mode("append").parquet(landing)
-    stream = J.landed_files(spark, landing, incoming.schema, "parquet", files_per_batch=1)
-    J.run_available(stream, J.upsert_handler(spark, log, LISTINGS_AS_OF), checkpoint)
+    handler = J.upsert_handler(spark, log, LISTINGS_AS_OF)
+    middle = (incoming.agg(F.max("seq").alias("m")).first().m or 0) // 2
+    # The earlier half lands and is processed, then the later half.
+    for half in (incoming.where(F.col("seq") <= middle), incoming.where(F.col("seq") > middle)):
+        half.write.mode("append").parquet(landing)
+        J.run_available(J.landed_files(spark, landing, incoming.schema, "parquet"), handler, checkpoint)
     return current_rows(read_changes(spark, log), "dedup_hash").select("dedup_hash", "salary_min", "is_active")

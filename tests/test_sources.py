@@ -78,6 +78,16 @@ def test_bulk_rows(spark):
     assert [(r.seq, r.company_type, r.remote_type, r.location_city) for r in kept] == [(1, "startup", "remote", "India")]
 
 
+def test_bulk_rows_with_remote_flag_and_currency(spark):
+    rows = [(1, "Dev", "Acme", "http://x/1", "Pune", "hybrid", True, "USD"), (2, "Dev two", "Acme", "http://x/2", "remote city", "", None, None), (3, "Dev", "A", "http://x/3", "", "", False, "EUR")]
+    df = spark.createDataFrame(rows, "seq int, title string, company string, url string, city string, description string, is_remote boolean, currency string")
+    df = df.withColumns({"posted_text": F.lit("2024-02-01"), "salary_min": F.lit(1.0), "salary_max": F.lit(2.0)})
+    got = {r.seq: r for r in bulk_rows(df, "JSearch", AS_OF).collect()}
+    assert set(got) == {1, 2}  # a foreign currency is a foreign listing
+    assert got[1].remote_type == "remote" and got[1].salary_currency == "USD"
+    assert got[2].remote_type == "onsite" and got[2].salary_currency == "INR"
+
+
 # ------------------------------------------------------------------ boards
 def board(name):
     return next(b for b in B.HTML_BOARDS + B.JSON_BOARDS if b.source == name)
@@ -198,6 +208,18 @@ def test_stream_upsert_equals_batch(spark, tmp_path, splits):
     assert tb.read_changes(spark, str(tmp_path / "compact")).count() == len(got)
 
 
+def test_compaction_expires_old_rows(spark, tmp_path):
+    from listflow.streaming import jobs as J
+
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", True, "2023-01-01"), ("b", True, "2024-02-20"), ("c", True, None)], "dedup_hash string, is_active boolean, d string")
+    rows = rows.withColumns({"posted_date": F.col("d").cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}).drop("d")
+    tb.write_changes(rows, log, 0)
+    target = J.compact(spark, log, str(tmp_path / "new"), as_of=AS_OF)
+    got = {r.dedup_hash: r.is_active for r in tb.read_changes(spark, target).collect()}
+    assert got == {"a": False, "b": True, "c": True}
+
+
 def test_shared_dir_follows_the_session(spark):
     from listflow.session import shared_dir
 
