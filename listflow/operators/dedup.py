@@ -56,6 +56,13 @@ def with_key_summary(df: DataFrame, keys: list[str], order: list[str], source: s
     before the shuffle, then the sources of a key are combined.
     """
     rest = [c for c in df.columns if c not in (*keys, *order, source)]
+    if len(order) == 1 and not rest:
+        # A plain minimum keeps the hash aggregate; a struct needs a sorted one.
+        per_source = df.groupBy(*keys, source).agg(F.count("*").alias("_n"), F.min(order[0]).alias("_first"))
+        per_key = per_source.groupBy(*keys).agg(
+            F.min("_first").alias(order[0]), F.sum("_n").alias("n_rows"), F.count(source).alias("n_sources")
+        )
+        return per_key.withColumn("n_duplicates", F.col("n_rows") - 1)
     row = F.struct(*order, *rest)
     per_source = df.groupBy(*keys, source).agg(F.count("*").alias("_n"), F.min(row).alias("_row"))
     per_key = per_source.groupBy(*keys).agg(

@@ -13,6 +13,7 @@ from listflow.functions.text import strip
 MAX_BROADCAST_ROWS = 10_000
 MAX_BROADCAST_TERMS = 1_000
 GRAM = 4
+SALTS = 64
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
@@ -95,7 +96,7 @@ def newest_per_match(
     exact and bounds what a very common text contributes.
     """
     per_text = top_per_group(rows, [text], order, limit)
-    pairs = substring_matches(per_text, text, terms, term, max_broadcast_terms)
+    pairs = substring_matches(rows, text, terms, term, max_broadcast_terms)
     joined = per_text.join(pairs, text)
     return top_per_group(joined, [term], order, limit, rank="rank")
 
@@ -105,15 +106,24 @@ def top_per_group(
 ) -> DataFrame:
     """First ``limit`` rows per key.
 
-    Spark puts a group limit below the shuffle, so at most ``limit`` rows per
-    key and task move even when one key holds most rows.
+    Up to its threshold Spark limits each group below the shuffle, so at most
+    ``limit`` rows per key and task move even when one key holds most rows.
+    Above it the rows are first cut per key and salt, which spreads such a key.
     """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if limit > threshold:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        df = _cut(salted, [*keys, "_salt"], order, limit, "_cut").drop("_cut", "_salt")
     name = rank or "_rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    out = ranked.where(F.col(name) <= limit)
+    out = _cut(df, keys, order, limit, name)
     return out if rank else out.drop(name)
 
 
+def _cut(df: DataFrame, keys: list[str], order: list[Column], limit: int, name: str) -> DataFrame:
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(name) <= limit)
+
+
 def one_row(df: DataFrame, condition: Column):
     """Point lookup: the only row that fits; fails on none or several."""
     rows = df.where(condition).limit(2).collect()

@@ -236,16 +236,15 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
-def insert_unique(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows to append and rows rejected because their key is taken.
+def mark_unique(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Incoming rows with ``accepted``: the key is free and this is its first row.
 
-    The first incoming row of a key counts (``order`` must be unique within a
-    key); later ones are rejected. A key with very many rows is reduced before
-    the shuffle and its join is left to the skew handling.
+    ``order`` must be unique within a key. A key with very many rows is reduced
+    before the shuffle and its join is left to the skew handling.
     """
     order_key = F.struct(*order)
     first = incoming.groupBy(*keys).agg(F.min(order_key).alias("_first"))
     taken = stored.select(*keys).distinct().withColumn("_taken", F.lit(True))
     marked = incoming.join(first.join(taken, keys, "left"), keys)
     ok = F.col("_taken").isNull() & (order_key == F.col("_first"))
-    return marked.where(ok).select(*incoming.columns), marked.where(~ok).select(*incoming.columns)
+    return marked.select(*incoming.columns, ok.alias("accepted"))

@@ -264,10 +264,8 @@ def delete_where(spark, sf):
 def insert_unique_pairs(spark, sf):
     df = listings(spark, sf).where("job_type is not null").select("id", "user_id", "job_type", "is_featured")
     stored = df.where("is_featured")
-    new, rejected = up.insert_unique(stored, df.where("not is_featured"), ["user_id", "job_type"], [F.col("id")])
-    return new.select("id", F.lit("appended").alias("outcome")).unionByName(
-        rejected.select("id", F.lit("rejected").alias("outcome"))
-    )
+    marked = up.mark_unique(stored, df.where("not is_featured"), ["user_id", "job_type"], [F.col("id")])
+    return marked.select("id", F.when(F.col("accepted"), "appended").otherwise("rejected").alias("outcome"))
 
 
 # ------------------------------------------------------------------ lifecycle

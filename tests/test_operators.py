@@ -55,6 +55,27 @@ def test_first_per_key_follows_arrival_order(spark):
         assert got == {"a": "early", "b": "only"}
 
 
+def test_large_top_k_equals_the_small_plan(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3 == 0).cast("string").alias("k"))
+    want = {r.id for r in matching.top_per_group(df, ["k"], [F.desc("id")], 900).collect()}
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100")
+    try:
+        got = matching.top_per_group(df, ["k"], [F.desc("id")], 900, rank="n")
+        assert {r.id for r in got.collect()} == want
+        assert "_salt" not in got.columns and got.where("n = 1").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_key_summary_with_more_columns(spark):
+    rows = [("a", 2, "x", "s1"), ("a", 1, "y", "s2"), ("a", 3, "z", "s1"), ("b", 4, "w", "s1")]
+    df = spark.createDataFrame(rows, "k string, seq int, v string, src string")
+    got = {r.k: (r.seq, r.v, r.n_rows, r.n_sources, r.n_duplicates) for r in dedup.with_key_summary(df, ["k"], ["seq"], "src").collect()}
+    assert got == {"a": (1, "y", 3, 2, 2), "b": (4, "w", 1, 1, 0)}
+    short = dedup.with_key_summary(df.drop("v"), ["k"], ["seq"], "src")
+    assert {(r.k, r.seq, r.n_rows, r.n_sources) for r in short.collect()} == {("a", 1, 3, 2), ("b", 4, 1, 1)}
+
+
 # ------------------------------------------------------------------ search
 def listings(spark, rows):
     return spark.createDataFrame(

@@ -117,9 +117,8 @@ def test_merge_is_idempotent_and_never_blanks(spark):
 def test_insert_unique(spark):
     stored = spark.createDataFrame([("u", "a")], "user string, job string")
     rows = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "u", "b"), (4, "v", "a")], "id int, user string, job string")
-    new, rejected = U.insert_unique(stored, rows, ["user", "job"], [F.col("id")])
-    assert {r.id for r in new.collect()} == {2, 4}
-    assert {r.id for r in rejected.collect()} == {1, 3}
+    got = {r.id: r.accepted for r in U.mark_unique(stored, rows, ["user", "job"], [F.col("id")]).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
 
 
 def test_update_and_delete_keep_null_conditions(spark):
