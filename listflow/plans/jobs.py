@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import as_timestamp, parse_date
-from listflow.functions.rules import term_array
+from listflow.functions.rules import lookup, term_array
 from listflow.functions.text import first_sentence, strip, text_or_empty
 from listflow.operators.dedup import add_key, first_per_key
 from listflow.operators.enrich import with_ats, with_bulk_ats
@@ -15,6 +17,7 @@ from listflow.operators.quality import insert_verdict
 from listflow.operators.search import SearchParams, search_page
 from listflow.operators.upsert import upsert
 from listflow.schemas import LISTINGS, align_to_schema
+from listflow.sources.boards import OTHER_SOURCES, REGIONAL_SOURCES, html_board_rows, json_board_rows, source_rank
 from listflow.sources.feeds import FEEDS, load_feed, union_feeds
 from listflow.sources.tables import staged
 
@@ -44,6 +47,28 @@ def refresh_listings(stored: DataFrame, payloads: dict[str, DataFrame], as_of, s
     return upsert(align_to_schema(stored, LISTINGS), rows, as_of, "merge", small_batch=small_batch)
 
 
+def refresh_from_boards(
+    stored: DataFrame, as_of, items: DataFrame | None = None, pages: DataFrame | None = None, small_batch: bool = False,
+) -> DataFrame:
+    """New snapshot after one board cycle: a known listing is only seen again.
+
+    ``items`` are the raw items of JSON boards with ``page``, ``pages`` the HTML
+    pages ``(page, source, html)``. Regional boards come first, then the others,
+    each in page order.
+    """
+    parts = []
+    if items is not None:
+        parts.append(json_board_rows(items, as_of, ("page",)))
+    if pages is not None:
+        parts.append(html_board_rows(pages, "page", "html", "source", as_of))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    ranks = lookup(F.col("source"), {s: str(source_rank(s)) for s in REGIONAL_SOURCES + OTHER_SOURCES}).cast("int")
+    rows = rows.where(F.col("title") != "").withColumn("seq", F.struct(ranks.alias("rank"), "page", "pos"))
+    known = [f for f in LISTINGS if f.name in rows.columns]
+    rows = staged(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], "seq"), "boards")
+    return upsert(align_to_schema(stored, LISTINGS), rows, as_of, "touch", small_batch=small_batch)
+
+
 def bulk_rows(df: DataFrame, source: str, as_of) -> DataFrame:
     """Bulk builder: inline enrichment and region check of home-country rows.
 
@@ -102,6 +127,14 @@ def bulk_insert_rows(rows: DataFrame, as_of, order: str = "seq") -> DataFrame:
     )
 
 
+def load_bulk(stored: DataFrame, rows: DataFrame, as_of, small_batch: bool = False) -> DataFrame:
+    """New snapshot after a bulk load: supplied values replace stored ones."""
+    batch = bulk_insert_rows(rows, as_of)
+    known = [f for f in LISTINGS if f.name in batch.columns]
+    batch = staged(batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], "seq"), "bulk")
+    return upsert(align_to_schema(stored, LISTINGS), batch, as_of, "overwrite", small_batch=small_batch)
+
+
 def startup_maintenance(df: DataFrame, as_of) -> DataFrame:
     """Recover first, then expire: the first takes the young rows, the second the old."""
     return df.transform(recover, as_of).transform(expire, as_of)

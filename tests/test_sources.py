@@ -149,6 +149,39 @@ def test_forced_values(spark):
     assert html_rows(spark, "Web3-DS", page) == []
 
 
+def test_board_cycle_touches_known_listings(spark):
+    from listflow.plans.jobs import refresh_from_boards
+
+    empty = spark.createDataFrame([], LISTINGS)
+    payload = payloads(spark, {"data": [{"title": "Python dev", "company_name": "Acme", "location": "Pune"}, {"title": "", "company_name": "Acme"}]})
+    items = B.json_board_items(payload.withColumn("page", F.lit(0)), board("Arbeitnow"), "payload", ("page",))
+    page = '<div class="job"><h3>Python dev</h3><span class="company">ACME</span><span class="location">Pune</span><a href="/x">x</a></div>'
+    pages = spark.createDataFrame([(0, "CutShort", page), (1, "ArcDev", page.replace("Python", "Rust"))], "page int, source string, html string")
+    first = refresh_from_boards(empty, AS_OF, items, pages)
+    got = {r.title: r for r in first.collect()}
+    # The regional board comes first and the two boards share a key.
+    assert set(got) == {"Python dev", "Rust dev"} and got["Python dev"].source_platforms == ["CutShort"]
+    later = "2024-03-05 00:00:00"
+    stale = first.withColumn("is_active", F.lit(False))
+    for small in (False, True):
+        again = {r.title: r for r in refresh_from_boards(stale, later, items, small_batch=small).collect()}
+        assert (again["Python dev"].is_active, again["Rust dev"].is_active) == (True, False)
+        assert str(again["Python dev"].last_seen_at) == later and str(again["Rust dev"].last_seen_at) == AS_OF
+        assert again["Python dev"].source_platforms == ["CutShort"]
+
+
+def test_bulk_load_overwrites(spark):
+    from listflow.plans.jobs import load_bulk
+
+    cols = "seq int, title string, company string, url string, city string, description string, posted_text string, salary_min double, salary_max double"
+    one = bulk_rows(spark.createDataFrame([(1, "Dev one", "Acme", "http://x/1", "Pune", "a", "2024-02-01", 5.0, 9.0)], cols), "Adzuna-IN", AS_OF)
+    two = bulk_rows(spark.createDataFrame([(1, "Dev one", "Acme", "http://x/1", "Pune", "remote", None, None, 7.0)], cols), "JSearch", "2024-03-02 00:00:00")
+    first = load_bulk(spark.createDataFrame([], LISTINGS), one, AS_OF)
+    r = load_bulk(first, two, "2024-03-02 00:00:00").collect()
+    assert len(r) == 1 and r[0].remote_type == "remote" and float(r[0].salary_min) == 5.0 and float(r[0].salary_max) == 7.0
+    assert r[0].source_platforms == ["JSearch"] and str(r[0].created_at) == "2024-03-02 00:00:00"
+
+
 # ------------------------------------------------------------------ tables
 def test_change_log_current_rows(spark, tmp_path):
     log = str(tmp_path / "log")
