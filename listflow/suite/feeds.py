@@ -15,7 +15,7 @@ from listflow.schemas import LISTINGS, align_to_schema
 from listflow.sources import boards as B, feeds as S
 from listflow.suite.keys import sql_job_type, sql_level, sql_region_ok
 from listflow.suite.registry import any_of, case, key_sha, list_col, list_text, query, rule_case, ts_col, ts_text, value_map
-from listflow.suite.views import LISTINGS_AS_OF, lit, listings, table
+from listflow.suite.views import LISTINGS_AS_OF, lit, wide_listings, table
 from listflow.suite.words import sql_remote
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
@@ -25,7 +25,7 @@ _SQL_POSTED = ts_text("created_at")
 
 def _payloads(spark, sf, record: str, wrap: str) -> DataFrame:
     """One payload per listing: ``record`` inside the feed's envelope, as JSON text."""
-    df = listings(spark, sf).selectExpr("*", f"{record} AS r")
+    df = wide_listings(spark, sf).selectExpr("*", f"{record} AS r")
     return df.selectExpr("id", f"to_json({wrap}) AS payload")
 
 
@@ -199,7 +199,7 @@ def feed_union_enriched(spark, sf):
     well = "named_struct('title', title, 'description', description, 'startup', named_struct('name', company_name))"
     a = _payloads(spark, sf, findwork.format(d=_DAY), "named_struct('results', array(r))")
     wrap = "named_struct('data', named_struct('talent', named_struct('jobListings', named_struct('results', array(r)))))"
-    b = listings(spark, sf).where("is_active").selectExpr("*", f"{well} AS r").selectExpr("id", f"to_json({wrap}) AS payload")
+    b = wide_listings(spark, sf).where("is_active").selectExpr("*", f"{well} AS r").selectExpr("id", f"to_json({wrap}) AS payload")
     parts = [
         (rank, S.load_feed(df, S.FEEDS[name], "payload", LISTINGS_AS_OF)) for rank, (name, df) in enumerate([("Findwork", a), ("Wellfound", b)])
     ]
@@ -247,7 +247,7 @@ def run_bulk_rows(spark, sf):
 
 
 def _bulk_input(spark, sf):
-    return listings(spark, sf).selectExpr(
+    return wide_listings(spark, sf).selectExpr(
         "id AS seq", "title", "company_name AS company", "apply_url AS url", "location_city AS city", "description",
         f"{_DAY} AS posted_text", "salary_min", "salary_max",
     )
@@ -293,7 +293,7 @@ def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
 
 def _items_per_page(spark, sf) -> DataFrame:
     """The listings of each span of ids."""
-    df = listings(spark, sf).selectExpr(
+    df = wide_listings(spark, sf).selectExpr(
         "*", "concat(coalesce(location_city, 'Nowhere'), ', ', coalesce(location_country, '')) AS place", f"{_DAY} AS posted"
     )
     item = F.struct("id", "title", "company_name", "description", "apply_url", "tech_stack", "visa_sponsorship", "salary_min", "place", "posted")

@@ -12,7 +12,7 @@ from listflow.operators.matching import one_row, overlap_counts, top_per_group
 from listflow.schemas import ranking_columns
 from listflow.suite.keys import sql_stars
 from listflow.suite.registry import any_of, case, list_col, query
-from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table
+from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table, wide_listings
 from listflow.suite.words import TEXT, sql_days, sql_domain
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
@@ -202,7 +202,7 @@ def _score_columns(df):
 
 @query("keyword_scores", "R-2", f"WITH {sql_keyword_scores('listings', LISTINGS_AS_OF, _WORDS, FACETS)} SELECT {_SCORE_COLUMNS} FROM scored")
 def keyword_scores(spark, sf):
-    return _score_columns(R.keyword_scores(listings(spark, sf), KEYWORDS, FACETS, LISTINGS_AS_OF))
+    return _score_columns(R.keyword_scores(wide_listings(spark, sf), KEYWORDS, FACETS, LISTINGS_AS_OF))
 
 
 @query("keyword_scores_postings", "R-2", f"WITH {sql_keyword_scores('postings', POSTINGS_AS_OF, _WORDS, {})} SELECT {_SCORE_COLUMNS} FROM scored")
@@ -295,13 +295,13 @@ def resume_ranking(spark, sf):
 @query("resume_ranking_all", "R-4 F-14", sql_resume("listings", LISTINGS_AS_OF, PERSON, 3650, 1_000_000_000))
 def resume_ranking_all(spark, sf):
     """Scores of every compatible listing, not only the best."""
-    df = listings(spark, sf).where("is_active and posted_date is not null")
+    df = wide_listings(spark, sf).where("is_active and posted_date is not null")
     return _resume_columns(R.resume_scores(R.compatible(df, PERSON), PERSON))
 
 
 @query("resume_ranking_junior", "R-4 R-5 F-14", sql_resume("listings", LISTINGS_AS_OF, JUNIOR, 3650, 20))
 def resume_ranking_junior(spark, sf):
-    return _resume_columns(R.rank_for_resume(listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650))
+    return _resume_columns(R.rank_for_resume(wide_listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650))
 
 
 @query(
@@ -310,7 +310,7 @@ def resume_ranking_junior(spark, sf):
     f" SELECT 'b', id, match_score FROM ({sql_resume('listings', LISTINGS_AS_OF, JUNIOR, 3650, 20)})",
 )
 def resume_ranking_people(spark, sf):
-    out = R.rank_for_resumes(listings(spark, sf), {"a": PERSON, "b": JUNIOR}, LISTINGS_AS_OF, days=3650)
+    out = R.rank_for_resumes(wide_listings(spark, sf), {"a": PERSON, "b": JUNIOR}, LISTINGS_AS_OF, days=3650)
     return out.select("candidate_id", "id", "match_score")
 
 

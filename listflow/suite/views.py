@@ -182,6 +182,12 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
+def wide_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """The listings for queries that spend much time per row."""
+    columns = listings_columns(Dialect(spark=True))
+    return spread_small_scan(table(spark, sf, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+
+
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     columns = postings_columns(Dialect(spark=True))
     return texts(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
