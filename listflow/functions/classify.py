@@ -8,7 +8,7 @@ from listflow.functions import fixed_values as fv
 from listflow.functions.rules import (
     classify, first_match, found_terms, has_any, has_word, let, lookup, term_array,
 )
-from listflow.functions.text import WS, WORD_CHARS, blank_to_null, strip, text_or_empty
+from listflow.functions.text import WS, WORD_CHARS, strip, text_or_empty
 
 
 def lowered(*cols: Column) -> Column:
