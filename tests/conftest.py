@@ -7,10 +7,7 @@ from listflow.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, memory="6g", shuffle_partitions=4)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    yield session
+    yield local_session(8, memory="6g", shuffle_partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
