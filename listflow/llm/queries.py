@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listflow.llm.common import table
 from listflow.llm.near_dup import near_duplicates
+from listflow.llm.quality import fit_field, quality
+from listflow.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,3 +24,16 @@ def query(fn: Query) -> Query:
 @query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_field(docs, table(spark, sf_dir, "labels"))).drop("lines")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return done.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
