@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     edges = staged(near.select("a", "b"), "edges")
 
     wanted = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = staged(plain.where("id is not null").join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    # one plan at every size: texts meet their ids by a shuffle even while the ids are few
+    texts = staged(plain.where("id is not null").join(wanted.hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     pairs = edges.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     checked = staged(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long, linked boolean"), "checked")
     roots = _settled(components(checked.where("linked")), checked, classes, texts, words, percent)
