@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listflow.llm.common import table
 from listflow.llm.near_dup import near_duplicates
+from listflow.llm.packing import pack
 from listflow.llm.quality import fit_field, quality
 from listflow.llm.repeats import remove_repeats
 
@@ -37,3 +38,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return done.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
