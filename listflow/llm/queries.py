@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listflow.llm import shards, url_rules
+from listflow.llm.chat import format_chat, read_back
 from listflow.llm.common import table
 from listflow.llm.mixing import mix_counts
 from listflow.llm.near_dup import near_duplicates
 from listflow.llm.packing import pack
 from listflow.llm.quality import fit_field, quality
 from listflow.llm.repeats import remove_repeats
+from listflow.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +55,44 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents")).drop("shards")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts(docs, ("source", "lang", "text"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
+#: Fixed values of the contract: host, path and verdict of each rule.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ", ".join(str(r) for r in URL_RULES)
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS t(host, path, verdict)"))
+
+
+ORACLES["op5_url_filters"] = url_rules.oracle(URL_RULES)
+
+#: Small against the default of 128 MiB, so that the test tables have many shards.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+ORACLES["op7_extendible_shards"] = shards.oracle(SHARD_BYTES)
+
+SAMPLE_TURN = "\\### Assistant: </turn> ok"
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAMPLE_TURN).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_chat(rows))
