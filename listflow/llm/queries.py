@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listflow.llm import shards, url_rules
+from listflow.llm.ann import nearest_neighbours
 from listflow.llm.chat import format_chat, read_back
 from listflow.llm.common import table
 from listflow.llm.mixing import mix_counts
@@ -96,3 +97,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAMPLE_TURN).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(format_chat(rows))
+
+
+@query
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
