@@ -8,7 +8,7 @@ from listflow.functions import fixed_values as fv
 from listflow.functions.rules import (
     classify, first_match, found_terms, has_any, has_word, let, lookup, term_array,
 )
-from listflow.functions.text import WS, WORD_CHARS, strip, text_or_empty
+from listflow.functions.text import WS, WORD_CHARS, plain_spaces, strip, text_or_empty
 
 
 def lowered(*cols: Column) -> Column:
@@ -187,13 +187,16 @@ def is_home_country(country: Column) -> Column:
     return F.coalesce(F.lower(country).isin("india", "in"), F.lit(False))
 
 
-def home_region_ok(title: Column, currency: Column, description: Column) -> Column:
-    """False when the title, the currency or the description shows a foreign listing."""
+def home_region_ok(title: Column, currency: Column, description: Column, window: int | None = None) -> Column:
+    """False when the title, the currency or the description shows a foreign listing.
+
+    The whole description counts, or its first ``window`` characters.
+    """
     t, d = F.lower(text_or_empty(title)), F.lower(text_or_empty(description))
     return ~(
         has_word(t, fv.FOREIGN_COUNTRIES + fv.FOREIGN_CITIES)
         | F.lower(text_or_empty(currency)).isin(fv.FOREIGN_CURRENCIES)
-        | F.rlike(F.left(d, F.lit(fv.FOREIGN_SALARY_WINDOW)), F.lit(fv.FOREIGN_SALARY_PATTERN))
+        | F.rlike(plain_spaces(d if window is None else F.left(d, F.lit(window))), F.lit(fv.FOREIGN_SALARY_PATTERN))
     )
 
 

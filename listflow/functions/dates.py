@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 from listflow.functions import fixed_values as fv
+from listflow.functions.text import plain_spaces
 
 DAY_MICROS = 86_400_000_000
 
@@ -39,8 +40,8 @@ def parse_date(text: Column) -> Column:
 
 def relative_date(text: Column, as_of: "Column | datetime | str") -> Column:
     """``3 days ago`` and the like; a month is 30 days; no number is null."""
-    pattern = r"([0-9]+)[ \t]*(day|hour|week|month)"
-    lowered = F.lower(text)
+    pattern = r"([0-9]+) *(day|hour|week|month)"
+    lowered = plain_spaces(F.lower(text))
     count = F.regexp_extract(lowered, pattern, 1).try_cast("int")
     unit = F.regexp_extract(lowered, pattern, 2)
     hours = (

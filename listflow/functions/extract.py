@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from listflow.functions import fixed_values as fv
-from listflow.functions.text import blank_to_null, strip, strip_tags, text_or_empty
+from listflow.functions.text import blank_to_null, plain_spaces, strip, strip_tags, text_or_empty
 
 ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
 
 def salary_range(text: Column, patterns: list[str] = fv.SALARY_PATTERNS) -> Column:
-    """Struct ``(min, max)``; values below 1000 count as thousands."""
+    """Struct ``(min, max)``; values below 1000 count as thousands. White space is of any kind."""
+    text = plain_spaces(text)
 
     def number(raw: Column) -> Column:
         value = F.regexp_replace(raw, ",", "").try_cast("double")

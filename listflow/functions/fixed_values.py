@@ -239,7 +239,6 @@ FOREIGN_CITIES = [
 ]
 FOREIGN_CURRENCIES = ["gbp", "eur", "chf", "aud", "cad", "sgd"]
 FOREIGN_SALARY_PATTERN = r"[£€]\s*[0-9]"
-FOREIGN_SALARY_WINDOW = 500
 PLACEHOLDER_COMPANIES = ["", "Indian Company", "Indian Startup", "AI Company"]
 
 # ---------------------------------------------------------------- salary text

@@ -105,15 +105,3 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 def found_terms(text: Column, terms: Sequence[str]) -> Column:
     """The terms contained in the text, in table order."""
     return let(text, lambda x: F.filter(term_array(terms), lambda t: F.contains(x, t)))
-
-
-def rules_from_table(rules: DataFrame, max_rules: int = MAX_INLINE_RULES) -> list[Rule]:
-    """Read a rule table ``(rank, pattern, label)`` of checked size.
-
-    A larger table belongs in
-    :func:`listflow.operators.matching.first_matching_term`, which joins.
-    """
-    rows = rules.orderBy("rank").select("label", "pattern").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules; use first_matching_term")
-    return [(r.label, [r.pattern]) for r in rows]

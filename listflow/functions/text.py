@@ -76,12 +76,18 @@ def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, r"<[^>]+>", "")
 
 
-def first_sentence(col: Column, limit: int = 300) -> Column:
-    """First sentence of tag-free text, or all of it, cut at ``limit`` characters."""
+def first_sentence(col: Column, limit: int | None = 300) -> Column:
+    """First sentence of tag-free text, or all of it, cut at ``limit`` characters (None: not cut)."""
     flat = strip(strip_tags(text_or_empty(col)))
     # Cut first, so that white space is collapsed in the sentence only.
     sentence = F.regexp_extract(flat, rf"(?s)^(.+?[.!?]){WS}", 1)
-    return F.left(collapse_space(F.coalesce(F.nullif(sentence, F.lit("")), flat)), F.lit(limit))
+    whole = collapse_space(F.coalesce(F.nullif(sentence, F.lit("")), flat))
+    return whole if limit is None else F.left(whole, F.lit(limit))
+
+
+def flat_text(col: Column) -> Column:
+    """Tag-free text on one line."""
+    return collapse_space(strip(strip_tags(text_or_empty(col))))
 
 
 def truncate(col: Column, limit: int) -> Column:

@@ -11,19 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from listflow.functions.text import strip
 
 MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_TERMS = 1_000
 GRAM = 4
 SALTS = 64
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether the DataFrame has at most ``max_rows`` rows; reads no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; beyond it the optimizer chooses."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether the DataFrame has at most ``max_rows`` rows and ``max_bytes`` as text; reads no more rows than needed."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and held <= max_bytes
 
 
 def substring_matches(

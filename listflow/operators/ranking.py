@@ -213,7 +213,7 @@ def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
             "_words": F.array_distinct(
                 F.filter(F.split(F.col("_title"), f"{WS}+"), lambda w: F.length(w) > 3)
             ),
-            "_domain": C.skill_domain(F.col("_tech"), F.concat(F.col("_title"), F.lit(" "), F.left("_desc", F.lit(200)))),
+            "_domain": C.skill_domain(F.col("_tech"), F.concat(F.col("_title"), F.lit(" "), F.col("_desc"))),
         }
     )
     overlap = F.bround(F.size("_matched") / F.size("_tech") * 40, 0).cast("int")

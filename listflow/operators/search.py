@@ -194,10 +194,10 @@ def search_page(
 
 
 def search_totals(
-    df: DataFrame, params: SearchParams, as_of, per_page: int = 20, featured_limit: int = 50,
+    df: DataFrame, params: SearchParams, as_of, per_page: int = 20, featured_limit: int | None = None,
     all_filters: bool = False,
 ) -> DataFrame:
-    """One row ``(total, total_pages)``: regular rows plus the shown featured ones, in one scan."""
+    """One row ``(total, total_pages)``: regular and featured rows, or at most ``featured_limit`` of the latter, in one scan."""
     only = None if all_filters else FEATURED_FILTERS
 
     def all_of(conditions: list[Column]) -> Column:
@@ -207,7 +207,7 @@ def search_totals(
     featured = all_of([is_featured(), *predicates(params, as_of, only)])
     counts = df.where(unexpired(as_of)).agg(
         F.count_if(regular).alias("regular"),
-        F.least(F.count_if(featured), F.lit(featured_limit)).alias("featured"),
+        (F.count_if(featured) if featured_limit is None else F.least(F.count_if(featured), F.lit(featured_limit))).alias("featured"),
     )
     total = F.col("regular") + F.col("featured")
     return counts.select(total.alias("total"), F.ceil(total / per_page).alias("total_pages"))

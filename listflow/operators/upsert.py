@@ -24,8 +24,9 @@ KEEP = ("id", "created_at")
 
 
 def _arrays(df: DataFrame, cols: list[str]) -> list[str]:
+    """The lists of tags, which are united. Other arrays, such as vectors, are one value like a scalar."""
     kinds = {f.name: f.dataType for f in df.schema}
-    return [c for c in cols if isinstance(kinds[c], T.ArrayType)]
+    return [c for c in cols if isinstance(kinds[c], T.ArrayType) and isinstance(kinds[c].elementType, T.StringType)]
 
 
 def _is_string(df: DataFrame, col: str) -> bool:
@@ -101,6 +102,8 @@ def _merged(c: str, stored: DataFrame, lists: list[str], sources: str) -> Column
         # A filled new value replaces a blank; two blanks leave the stored one.
         use_new = (F.coalesce(strip(s), F.lit("")) == "") & (F.coalesce(strip(n), F.lit("")) != "")
         return F.when(use_new, n).otherwise(s)
+    if isinstance(stored.schema[c].dataType, T.ArrayType):
+        return F.when(F.size(s) > 0, s).otherwise(F.coalesce(n, s))
     return F.coalesce(s, n)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import as_timestamp, parse_date
 from listflow.functions.rules import lookup, term_array
-from listflow.functions.text import first_sentence, strip, text_or_empty
+from listflow.functions.text import first_sentence, flat_text, strip, text_or_empty
 from listflow.operators.dedup import add_key, first_per_key
 from listflow.operators.enrich import with_ats, with_bulk_ats
 from listflow.operators.lifecycle import expire, recover
@@ -30,8 +30,9 @@ def ingest_feeds(payloads: dict[str, DataFrame], as_of) -> DataFrame:
     """
     parts = [(rank, load_feed(payloads[n], f, "payload", as_of)) for rank, (n, f) in enumerate(FEEDS.items()) if n in payloads]
     rows = union_feeds(parts).where(F.coalesce(F.col("title"), F.lit("")) != "")
-    # Arrival order: source priority, then the content itself, so it is stable.
-    seq = F.struct("source_rank", F.coalesce("apply_url", F.lit("")), F.xxhash64(F.coalesce("description", F.lit(""))))
+    # Arrival order: source priority, then the content itself, so it is stable. Rows that tie are alike in every column.
+    shown = [F.to_json(F.struct(F.col(c))) for c in sorted(rows.columns) if c != "source_rank"]
+    seq = F.struct("source_rank", F.coalesce("apply_url", F.lit("")), F.xxhash64(F.coalesce("description", F.lit(""))), F.sha2(F.concat(*shown), 256))
     return rows.withColumn("seq", seq)
 
 
@@ -69,15 +70,17 @@ def refresh_from_boards(
     return upsert(align_to_schema(stored, LISTINGS), rows, as_of, "touch", small_batch=small_batch)
 
 
-def bulk_rows(df: DataFrame, source: str, as_of) -> DataFrame:
+def bulk_rows(df: DataFrame, source: str, as_of, shown: int | None = 500) -> DataFrame:
     """Bulk builder: inline enrichment and region check of home-country rows.
 
     Reads ``title, company, url, city, description, posted_text, salary_min,
-    salary_max, is_remote``; the currency is ``currency`` or the rupee.
+    salary_max, is_remote``; the currency is ``currency`` or the rupee. The whole
+    description is judged; the shown one is its first sentence of at most
+    ``shown`` characters.
     """
     have = set(df.columns)
     title, company = strip(text_or_empty(F.col("title"))), strip(text_or_empty(F.col("company")))
-    text = first_sentence(F.col("description"), 500)
+    text = flat_text(F.col("description"))
     city = F.coalesce(F.nullif(F.col("city"), F.lit("")), F.lit("India"))
     guessed = C.remote_from_text(F.concat_ws(" ", title, city, text), fv.BULK_HYBRID_WORDS)
     if "is_remote" in have:
@@ -93,7 +96,8 @@ def bulk_rows(df: DataFrame, source: str, as_of) -> DataFrame:
         F.col("_city").alias("location_city"),
         F.lit("India").alias("location_country"),
         F.col("url").alias("apply_url"),
-        F.col("_d").alias("description"),
+        first_sentence(F.col("description"), shown).alias("description"),
+        F.col("_d"),
         parse_date(F.col("posted_text")).alias("posted_date"),
         F.array(F.lit(source)).alias("source_platforms"),
         guessed.alias("remote_type"),
@@ -107,8 +111,8 @@ def bulk_rows(df: DataFrame, source: str, as_of) -> DataFrame:
         currency.alias("salary_currency"),
     )
     filled = (F.col("title") != "") & (F.col("company_name") != "") & (text_or_empty(F.col("apply_url")) != "")
-    ok = C.home_region_ok(F.col("title"), F.col("salary_currency"), F.col("description"))
-    return rows.where(filled & ok)
+    ok = C.home_region_ok(F.col("title"), F.col("salary_currency"), F.col("_d"))
+    return rows.where(filled & ok).drop("_d")
 
 
 def bulk_insert_rows(rows: DataFrame, as_of, order: str = "seq") -> DataFrame:
@@ -155,7 +159,7 @@ def query_grid(queries: DataFrame, places: DataFrame, seed: int, per_class: int
     from listflow.operators.matching import top_per_group
 
     def pick(df: DataFrame, k: int) -> DataFrame:
-        order = [F.xxhash64(F.col("name"), F.lit(seed)), F.asc("name")]
+        order = [F.sha2(F.concat_ws("|", F.col("name"), F.lit(str(seed))), 256), F.asc("name")]
         return top_per_group(df, ["is_home"], order, k)
 
     # The sampled places are a handful by construction, so they become a literal.

@@ -95,7 +95,7 @@ class JsonBoard:
     """Where a board's JSON keeps the fields, and what it forces."""
 
     source: str
-    root: str  # name of the list; "" = the payload is the list
+    root: str  # path to the list, "[0]" behind a list on the way; "" = the payload is the list
     record: str
     title: str
     company: str
@@ -105,7 +105,6 @@ class JsonBoard:
     posted: str = ""
     tags: str = ""
     remote: str = "remote"  # constant hint, or "flag" for the boolean field
-    cap: int = 50
     skip: int = 0
     overrides: dict = field(default_factory=dict)
     salary_currency: str = ""  # set when the board states a salary
@@ -115,11 +114,11 @@ class JsonBoard:
 
 JSON_BOARDS = [
     JsonBoard(
-        "YC-WATS", "hits",
+        "YC-WATS", "results[0].hits",
         "title: string, company_name: string, location: string, url: string, description: string,"
         " remote: boolean, salary_min: double, salary_max: double, batch: string",
         "title", "company_name", ("location", "Remote"), (("url",), "https://www.workatastartup.com"),
-        description="description", remote="flag_or_empty", cap=30,
+        description="description", remote="flag_or_empty",
         overrides={"company_type": "vc_backed"}, salary_currency="USD", need_title_company=False,
     ),
     JsonBoard(
@@ -127,7 +126,7 @@ JSON_BOARDS = [
         "title: string, company_name: string, location: string, url: string, description: string,"
         " remote: boolean, tags: array<string>",
         "title", "company_name", ("location", ""), (("url",), "https://www.arbeitnow.com"),
-        description="description", tags="tags", remote="flag", cap=30,
+        description="description", tags="tags", remote="flag",
     ),
     JsonBoard(
         "Remotive", "jobs",
@@ -161,7 +160,7 @@ JSON_BOARDS = [
         "position: string, company: string, location: string, url: string, apply_url: string,"
         " description: string, tags: array<string>, date: string",
         "position", "company", ("location", "Remote"), (("url", "apply_url"), "https://remoteok.com"),
-        description="description", posted="date", tags="tags", cap=60, skip=1,
+        description="description", posted="date", tags="tags", skip=1,
     ),
     JsonBoard(
         "Adzuna-IN", "results",
@@ -177,20 +176,36 @@ JSON_BOARDS = [
         " redirect_url: string, adref: string, description: string, salary_min: double, salary_max: double,"
         " created: string",
         "title", "company.display_name", ("location.display_name", "India"), (("redirect_url", "adref"), ""),
-        description="description", posted="created", remote="", cap=30, salary_currency="INR",
+        description="description", posted="created", remote="", salary_currency="INR",
         always_currency=True,
         overrides={"job_type": "full-time", "remote_type": "onsite", "experience_level": "junior"},
     ),
 ]
 
 
-def json_board_items(df: DataFrame, board: JsonBoard, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Raw items of one board's payload text, in a shape that all boards share."""
+def _board_list(board: JsonBoard, payload: str) -> Column:
+    """The board's list of records in its payload."""
     ddl = f"array<struct<{board.record}>>"
-    if board.root:
-        ddl = f"struct<{board.root}: {ddl}>"
-    parsed = F.from_json(payload, ddl)
-    rows = F.slice(parsed[board.root] if board.root else parsed, board.skip + 1, board.cap)
+    steps = board.root.split(".") if board.root else []
+    for step in reversed(steps):
+        name = step.removesuffix("[0]")
+        ddl = f"struct<{name}: {f'array<{ddl}>' if name != step else ddl}>"
+    rows = F.from_json(payload, ddl)
+    for step in steps:
+        name = step.removesuffix("[0]")
+        rows = F.get(rows[name], 0) if name != step else rows[name]
+    return rows
+
+
+def json_board_items(
+    df: DataFrame, board: JsonBoard, payload: str, keep: tuple[str, ...] = (), limit: int | None = None, tag_limit: int | None = None,
+) -> DataFrame:
+    """Raw items of one board's payload text, in a shape that all boards share.
+
+    All items and tags unless ``limit`` or ``tag_limit`` keep the first ones.
+    """
+    found = _board_list(board, payload)
+    rows = F.slice(found, board.skip + 1, F.lit(limit) if limit is not None else F.greatest(F.size(found), F.lit(0)))
     items = df.select(*keep, F.posexplode(rows).alias("pos", "_r"))
     names = {f.split(":")[0].strip() for f in board.record.split(",")}
 
@@ -222,7 +237,7 @@ def json_board_items(df: DataFrame, board: JsonBoard, payload: str, keep: tuple[
         "_salary_min": stated["salary_min"],
         "_salary_max": stated["salary_max"],
         "_currency": currency,
-        "_tags": F.when(F.size(tag_list) > 0, F.slice(tag_list, 1, 10)),
+        "_tags": F.when(F.size(tag_list) > 0, F.slice(tag_list, 1, tag_limit) if tag_limit is not None else tag_list),
         "_backer": backer,
         **{f"_{n}": F.lit(board.overrides.get(n)).cast("string") for n in FORCED},
     }
@@ -292,7 +307,6 @@ class HtmlBoard:
     location: tuple[Pick, ...] = ()
     salary: tuple[Pick, ...] = ()
     fallback: tuple[Pick, ...] = ()  # cards when the first list finds none
-    cap: int = 30
     unique_links: bool = True  # one row per link; cards without a link are skipped
     link_title: bool = True  # the link's text stands in for a missing title
     min_title: int = 4
@@ -310,7 +324,7 @@ _HEADS = tags("h2", "h3", "h4")
 HTML_BOARDS = [
     HtmlBoard(
         "YC-Jobs", "https://www.ycombinator.com", (Pick(tag="a", href="/companies/"),), tags("span", "div"),
-        cap=40, min_title=3, default_company="YC Company", default_location="Remote",
+         min_title=3, default_company="YC Company", default_location="Remote",
     ),
     HtmlBoard(
         "Simplify", "https://simplify.jobs", (*parts("job", "card", "listing"), Pick(tag="a", href="/p/")),
@@ -349,14 +363,14 @@ HTML_BOARDS = [
         "HasJob", "https://hasjob.co",
         (*classes("listjob"), Pick(tag="a", cls="listheader"), Pick(tag="div", attr="data-headline")),
         (*classes("headline"), *tags("h2", "h3")), classes("companyname", "company", "org"), classes("location"),
-        fallback=(Pick(tag="a", href="/view/"),), cap=40, default_company="Indian Company",
+        fallback=(Pick(tag="a", href="/view/"),), default_company="Indian Company",
     ),
     HtmlBoard(
         "AI-Jobs", "https://ai-jobs.net",
         (*tags("article"), *classes("job-listing"), Pick(tag="tr", attr="class"), Pick(tag="div", cls="job-card"),
          Pick(tag="a", href="/job/")),
         (*_HEADS, *classes("title"), Pick(tag="td", nth=1)), (*classes("company", "org"), Pick(tag="td", nth=2)),
-        (*classes("location", "loc"), Pick(tag="td", nth=3)), cap=40, default_company="AI Company",
+        (*classes("location", "loc"), Pick(tag="td", nth=3)), default_company="AI Company",
         default_location="Remote", overrides={"tech_stack": ["AI", "Machine Learning"]},
     ),
     HtmlBoard(
@@ -364,7 +378,7 @@ HTML_BOARDS = [
         (Pick(tag="div", cls="ads-details"), Pick(tag="div", cls="job-listing"), *tags("article"),
          *classes("card"), Pick(tag="a", href="/job/")),
         (*_HEADS, *classes("title", "job-title")), classes("company", "org", "company-name"),
-        classes("location", "loc", "job-location"), cap=40, default_company="Indian AI Company",
+        classes("location", "loc", "job-location"), default_company="Indian AI Company",
         overrides={"tech_stack": ["AI", "Machine Learning", "Data Science"]},
     ),
     HtmlBoard(
@@ -374,7 +388,7 @@ HTML_BOARDS = [
         (*_HEADS, *classes("title", "job-title", "designation")), classes("company", "org", "company-name"),
         classes("location", "loc", "city"),
         fallback=(Pick(tag="a", href="/job/"), Pick(tag="div", part="job"), Pick(tag="div", part="listing")),
-        cap=40, default_company="Indian Startup",
+         default_company="Indian Startup",
     ),
     HtmlBoard(
         "Internshala", "https://internshala.com",
@@ -383,7 +397,7 @@ HTML_BOARDS = [
         (*tags("h3", "h4"), *classes("job-internship-name", "profile"), *parts("title")),
         (*classes("company_name", "company-name"), *parts("company")),
         (*classes("location_link"), *parts("location"), *classes("loc")),
-        fallback=(Pick(tag="a", href="/job/"), Pick(tag="a", href="/fresher")), cap=25,
+        fallback=(Pick(tag="a", href="/job/"), Pick(tag="a", href="/fresher")),
         default_company="Indian Startup",
         overrides={"experience_level": "junior", "job_type": "full-time", "remote_type": "onsite"},
     ),
@@ -393,7 +407,7 @@ HTML_BOARDS = [
         (*_HEADS, *classes("job-title"), *parts("title"), Pick(tag="span", cls="wrap-title")),
         (*classes("company-name"), *parts("company"), *classes("org")),
         (*classes("location"), *parts("loc"), *classes("city")),
-        fallback=(Pick(tag="a", href="freshersworld.com/jobs"),), cap=25, default_company="Indian Company",
+        fallback=(Pick(tag="a", href="freshersworld.com/jobs"),), default_company="Indian Company",
         join_any=True,
         overrides={"experience_level": "junior", "job_type": "full-time", "remote_type": "onsite"},
     ),
@@ -408,14 +422,14 @@ HTML_BOARDS = [
         (Pick(tag="div", part="job"), Pick(tag="a", href="/jobs/"), Pick(tag="div", cls="styles_result"),
          Pick(tag="div", part="listing")),
         (*_HEADS, *parts("title")), parts("company", "org"), parts("location"),
-        fallback=(Pick(tag="a", href="/company/"),), cap=20, default_company="India Startup",
+        fallback=(Pick(tag="a", href="/company/"),), default_company="India Startup",
     ),
     *[
         HtmlBoard(
             tag, "",
             (Pick(tag="div", part="job"), *tags("article"), Pick(tag="div", part="card"),
              Pick(tag="div", part="listing"), Pick(tag="a", href="/job/")),
-            (*_HEADS, *parts("title", "desig")), parts("company", "org"), parts("location", "loc"), cap=20,
+            (*_HEADS, *parts("title", "desig")), parts("company", "org"), parts("location", "loc"),
             default_company="Indian Startup", absolute_only=page, overrides={"remote_type": "onsite"},
         )
         for tag, page in [
@@ -506,8 +520,8 @@ class _Page(HTMLParser):
 CARD_FIELDS = "pos int, href string, title string, company string, location string, salary_text string"
 
 
-def page_cards(html: str, board: HtmlBoard) -> list[tuple]:
-    """Raw texts of a page's first ``cap`` cards, in document order."""
+def page_cards(html: str, board: HtmlBoard, limit: int | None = None) -> list[tuple]:
+    """Raw texts of a page's cards, or of the first ``limit``, in document order."""
     root = _Page(html or "").root
     for picks in filter(None, (board.cards, board.fallback)):
         cards = [n for n in root.walk() if any(p.fits(n) for p in picks)]
@@ -520,7 +534,7 @@ def page_cards(html: str, board: HtmlBoard) -> list[tuple]:
 
     any_link = (Pick(tag="a", href=""),)
     out = []
-    for pos, card in enumerate(cards[: board.cap]):
+    for pos, card in enumerate(cards[:limit]):
         link = card if card.tag == "a" else card.first(any_link)
         href = (link.attrs.get("href") or "") if link is not None else None
         title = text(card, board.title)
@@ -530,7 +544,7 @@ def page_cards(html: str, board: HtmlBoard) -> list[tuple]:
     return out
 
 
-def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: list[HtmlBoard] = HTML_BOARDS) -> DataFrame:
+def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: list[HtmlBoard] = HTML_BOARDS, limit: int | None = None) -> DataFrame:
     """One row per card: page key, source and the raw card texts.
 
     Every page names its board in ``source``, so all boards take one pass.
@@ -544,7 +558,7 @@ def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: l
             rows = [
                 (key, name, *card)
                 for key, name, body in zip(pdf[page], pdf[source], pdf[html])
-                for card in page_cards(body, by_source[name])
+                for card in page_cards(body, by_source[name], limit)
             ]
             yield pd.DataFrame(rows, columns=[page, source, *names])
 
@@ -552,7 +566,7 @@ def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: l
     return known.select(page, source, html).mapInPandas(run, f"{page} {kind}, {source} string, {CARD_FIELDS}")
 
 
-def html_board_rows(pages: DataFrame, page: str, html: str, source: str, as_of, boards: list[HtmlBoard] = HTML_BOARDS) -> DataFrame:
+def html_board_rows(pages: DataFrame, page: str, html: str, source: str, as_of, boards: list[HtmlBoard] = HTML_BOARDS, limit: int | None = None) -> DataFrame:
     """Canonical rows of all HTML boards from one page table.
 
     The boards' constants are a literal map on the source, so the cards of all
@@ -569,7 +583,7 @@ def html_board_rows(pages: DataFrame, page: str, html: str, source: str, as_of,
         values = {b.source: str(b.overrides[name]).lower() for b in boards if name in b.overrides}
         return lookup(F.col(source), values) if values else None
 
-    cards = extract_cards(pages, page, html, source, boards)
+    cards = extract_cards(pages, page, html, source, boards, limit)
     # A card without a link counts only on boards that do not go by links.
     link = F.when(on("unique_links"), F.nullif(F.col("href"), F.lit(""))).otherwise(F.col("pos").cast("string"))
     cards = cards.withColumn("_link", link).where("_link is not null")
@@ -600,7 +614,7 @@ def html_board_rows(pages: DataFrame, page: str, html: str, source: str, as_of,
 def page_links(pages: DataFrame, page: str, url: str, html: str, cap: int | None = None) -> DataFrame:
     """Links of flat pages in document order: built-in functions only, no Python.
 
-    ``cap`` keeps a board's first links, as the boards do. Links are resolved
+    All links, or the first ``cap`` of a page. Links are resolved
     against the page's own site.
     """
     from listflow.functions.extract import site_origin

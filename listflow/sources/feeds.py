@@ -27,7 +27,6 @@ class Feed:
     record: str  # fields of one record
     root: tuple[str, ...]  # path from the payload to the list of records; () = the payload is the list
     normalize: Callable[[DataFrame, object], DataFrame]
-    cap: int | None = None  # records used per payload, in order
     prepare: Callable[[DataFrame, object], DataFrame] | None = None
 
 
@@ -343,7 +342,7 @@ FEEDS: dict[str, Feed] = {
             "title: string, companyName: string, companyLogo: string, location: string, salaryMin: double,"
             " salaryMax: double, description: string, url: string, applyUrl: string, postedAt: string,"
             " easyApply: boolean",
-            (), normalize_linkedin, cap=25,
+            (), normalize_linkedin,
         ),
     ]
 }
@@ -363,21 +362,38 @@ def _records(feed: Feed, payload: Column) -> Column:
         rows = F.try_element_at(payload["results"], F.lit(1))["hits"]
     else:
         rows = reduce(lambda c, name: c[name], feed.root, payload)
-    return F.slice(rows, 1, feed.cap) if feed.cap else rows
+    return rows
 
 
-def parse_payloads(df: DataFrame, feed: Feed, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Records of JSON text payloads, one row each; bad payloads give no rows."""
+def parse_payloads(df: DataFrame, feed: Feed, payload: str, keep: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """Records of JSON text payloads, one row each; bad payloads give no rows.
+
+    All records, or the first ``limit`` of each payload.
+    """
     parsed = df.withColumn("_payload", F.from_json(payload, payload_ddl(feed)))
-    rows = parsed.select(*keep, F.explode(_records(feed, F.col("_payload"))).alias("_r"))
+    records = _records(feed, F.col("_payload"))
+    rows = parsed.select(*keep, F.explode(F.slice(records, 1, limit) if limit is not None else records).alias("_r"))
     return rows.select(*keep, "_r.*")
 
 
+def _unreadable(feed: Feed, payload: str) -> Column:
+    """Text that is no JSON of the expected shape; an absent or null list is none of that.
+
+    A payload that is a struct reports bad values in its corrupt record column.
+    """
+    text = F.col(payload)
+    if feed.root:
+        ddl = payload_ddl(feed)
+        parsed = F.from_json(text, f"{ddl[:-1]}, _corrupt: string>", {"columnNameOfCorruptRecord": "_corrupt"})
+        return text.isNotNull() & (parsed.isNull() | parsed["_corrupt"].isNotNull())
+    # A list at the top has no place for the mark: wrap it.
+    parsed = F.from_json(F.concat(F.lit('{"_list":'), text, F.lit("}")), f"struct<_list: {payload_ddl(feed)}, _corrupt: string>", {"columnNameOfCorruptRecord": "_corrupt"})
+    return text.isNotNull() & (parsed.isNull() | parsed["_corrupt"].isNotNull())
+
+
 def bad_payloads(df: DataFrame, feed: Feed, payload: str) -> DataFrame:
-    """The error table: payloads that are not JSON of the expected shape."""
-    parsed = F.from_json(payload, payload_ddl(feed))
-    empty = _records(feed, parsed).isNull()
-    return df.where(empty).select(F.lit(feed.name).alias("source"), F.col(payload).alias("record"))
+    """The error table: payloads that are not JSON of the expected shape, or hold values of another type."""
+    return df.where(_unreadable(feed, payload)).select(F.lit(feed.name).alias("source"), F.col(payload).alias("record"))
 
 
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:

@@ -20,17 +20,6 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Give a scan of few row groups one task per core; a larger one is left as it is.
-
-    A file with a single row group is read by a single task, which would also do
-    all later work of its stage. The row shuffle happens only below the session's
-    parallelism, so a table of many files never pays for it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def with_month(df: DataFrame, ts: str = "posted_date", name: str = "posted_month") -> DataFrame:
     return df.withColumn(name, F.date_format(ts, "yyyy-MM"))
 
@@ -53,8 +42,9 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: tuple[s
     return path
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of rows as a folder of its own; writing it again replaces it, so a retry doubles nothing."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_changes(df: DataFrame, log: str, batch: int) -> None:

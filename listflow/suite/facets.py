@@ -178,7 +178,7 @@ def search_later_page(spark, sf):
 
 @query(
     "search_totals", "G-4 A-2 X-27",
-    f"""WITH c AS (SELECT count(*) FILTER (WHERE is_featured <> true AND salary_min >= 1000) + least(count(*) FILTER (WHERE is_featured), 50) AS total
+    f"""WITH c AS (SELECT count(*) FILTER (WHERE is_featured <> true AND salary_min >= 1000) + count(*) FILTER (WHERE is_featured) AS total
         FROM listings WHERE {OPEN}) SELECT total, CAST(ceil(total / 20.0) AS BIGINT) AS total_pages FROM c""",
 )
 def search_totals(spark, sf):
@@ -221,10 +221,13 @@ def single_listing(spark, sf):
 
 @query(
     "query_place_grid", "J-14 G-6",
-    None,
+    """WITH t AS (SELECT DISTINCT title AS name, contains(title, 'Engineer') AS is_home FROM listings),
+       q AS (SELECT name FROM t QUALIFY row_number() OVER (PARTITION BY is_home ORDER BY sha256(name || '|7'), name) <= 3),
+       p AS (SELECT n_name AS place FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY sha256(n_name || '|7'), n_name) <= 2)
+       SELECT q.name AS query, place FROM q, p""",
 )
 def query_place_grid(spark, sf):
-    """Sampled titles and nations; the seeded hash order has no SQL counterpart."""
+    """Sampled titles and nations."""
     titles = listings(spark, sf).select(F.col("title").alias("name")).distinct()
     titles = titles.withColumn("is_home", F.contains("name", F.lit("Engineer")))
     places = table(spark, sf, "nation").select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 0).alias("is_home"))

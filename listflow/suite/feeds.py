@@ -15,7 +15,7 @@ from listflow.schemas import LISTINGS, align_to_schema
 from listflow.sources import boards as B, feeds as S
 from listflow.suite.keys import sql_job_type, sql_level, sql_region_ok
 from listflow.suite.registry import any_of, case, key_sha, list_col, list_text, query, rule_case, ts_col, ts_text, value_map
-from listflow.suite.views import LISTINGS_AS_OF, lit, wide_listings, table
+from listflow.suite.views import LISTINGS_AS_OF, lit, listings, table
 from listflow.suite.words import sql_remote
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
@@ -25,7 +25,7 @@ _SQL_POSTED = ts_text("created_at")
 
 def _payloads(spark, sf, record: str, wrap: str) -> DataFrame:
     """One payload per listing: ``record`` inside the feed's envelope, as JSON text."""
-    df = wide_listings(spark, sf).selectExpr("*", f"{record} AS r")
+    df = listings(spark, sf).selectExpr("*", f"{record} AS r")
     return df.selectExpr("id", f"to_json({wrap}) AS payload")
 
 
@@ -173,11 +173,9 @@ SPAN = 40
 
 @query(
     "feed_linkedin", "S-10 P-10",
-    f"""SELECT o_orderkey // {SPAN} AS page, o_orderkey AS title, coalesce(o_orderstatus = 'O', false) AS easy_apply FROM orders
-        QUALIFY row_number() OVER (PARTITION BY o_orderkey // {SPAN} ORDER BY o_orderkey) <= 25""",
+    f"SELECT o_orderkey // {SPAN} AS page, o_orderkey AS title, coalesce(o_orderstatus = 'O', false) AS easy_apply FROM orders",
 )
 def feed_linkedin(spark, sf):
-    """A payload counts for 25 records at most."""
     record = F.struct(F.col("o_orderkey").alias("title"), (F.col("o_orderstatus") == "O").alias("easyApply"))
     df = table(spark, sf, "orders").groupBy(F.expr(f"o_orderkey div {SPAN}").alias("page"))
     df = df.agg(F.array_sort(F.collect_list(record)).alias("r")).select("page", F.to_json("r").alias("payload"))
@@ -188,7 +186,7 @@ def feed_linkedin(spark, sf):
 @query(
     "feed_union_enriched", "S-16 S-17 O-1 D-3 C-2 C-3 P-12 E2",
     f"""WITH u AS (SELECT 0 AS source_rank, title, company_name, location_city, created_at AS posted, description, 'Findwork' AS source FROM listings
-          UNION ALL SELECT 1, title, company_name, location_city, NULL, description, 'Wellfound' FROM listings WHERE is_active)
+          UNION ALL SELECT 1, title, company_name, location_city, NULL, description, 'Wellfound' FROM listings)
         SELECT source_rank::BIGINT AS source_rank, source AS source_platforms, count(*) AS n,
           count(DISTINCT {key_sha('company_name', 'title', "CASE source WHEN 'Wellfound' THEN '' ELSE location_city END", "coalesce(strftime(posted, '%Y-%m-%d'), '')")}) AS n_keys,
           count(*) FILTER (WHERE {any_of("lower(title || ' ' || coalesce(description, ''))", fv.PERK_VISA)}) AS n_visa,
@@ -199,7 +197,7 @@ def feed_union_enriched(spark, sf):
     well = "named_struct('title', title, 'description', description, 'startup', named_struct('name', company_name))"
     a = _payloads(spark, sf, findwork.format(d=_DAY), "named_struct('results', array(r))")
     wrap = "named_struct('data', named_struct('talent', named_struct('jobListings', named_struct('results', array(r)))))"
-    b = wide_listings(spark, sf).where("is_active").selectExpr("*", f"{well} AS r").selectExpr("id", f"to_json({wrap}) AS payload")
+    b = listings(spark, sf).selectExpr("*", f"{well} AS r").selectExpr("id", f"to_json({wrap}) AS payload")
     parts = [
         (rank, S.load_feed(df, S.FEEDS[name], "payload", LISTINGS_AS_OF)) for rank, (name, df) in enumerate([("Findwork", a), ("Wellfound", b)])
     ]
@@ -228,13 +226,13 @@ def bad_payloads(spark, sf):
 # ------------------------------------------------------------------ bulk rows
 _SENT = "trim(regexp_replace(regexp_replace(coalesce(description, ''), '<[^>]+>', '', 'g'), '[ \\t\\n]+', ' ', 'g'))"
 _BULK = f"""b AS (SELECT id AS seq, trim(title) AS title, trim(company_name) AS company_name, coalesce(nullif(location_city, ''), 'India') AS city, apply_url,
-   left(coalesce(nullif(regexp_extract({_SENT}, '^(.+?[.!?]) ', 1), ''), {_SENT}), 500) AS d, salary_min FROM listings),
+   {_SENT} AS d, left(coalesce(nullif(regexp_extract({_SENT}, '^(.+?[.!?]) ', 1), ''), {_SENT}), 500) AS shown, salary_min FROM listings),
   k AS (SELECT * FROM b WHERE title <> '' AND company_name <> '' AND apply_url <> '' AND {sql_region_ok('lower(title)', "'INR'", 'd')})"""
 
 
 @query(
     "bulk_rows", "S-14 P-13 P-14 C-4 C-5 C-8 C-10 C-12 F-12",
-    f"""WITH {_BULK} SELECT seq, title, city AS location_city, d AS description, {sql_remote("lower(title || ' ' || city || ' ' || d)", ['hybrid'])} AS remote_type,
+    f"""WITH {_BULK} SELECT seq, title, city AS location_city, shown AS description, {sql_remote("lower(title || ' ' || city || ' ' || d)", ['hybrid'])} AS remote_type,
         {sql_level('lower(title)')} AS experience_level, {sql_job_type("lower(title || ' ' || d)")} AS job_type,
         {case([('big_tech', any_of('lower(company_name)', fv.BULK_BIG_TECH)), ('stealth', "contains(lower(company_name), 'stealth')"),
                ('vc_backed', any_of('lower(d)', fv.BULK_FUNDING_PHRASES))], 'startup')} AS company_type,
@@ -247,7 +245,7 @@ def run_bulk_rows(spark, sf):
 
 
 def _bulk_input(spark, sf):
-    return wide_listings(spark, sf).selectExpr(
+    return listings(spark, sf).selectExpr(
         "id AS seq", "title", "company_name AS company", "apply_url AS url", "location_city AS city", "description",
         f"{_DAY} AS posted_text", "salary_min", "salary_max",
     )
@@ -287,13 +285,17 @@ def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
     items = F.expr(f"transform(items, x -> named_struct({', '.join(parts)}))")
     if board.skip:
         items = F.concat(F.slice(items, 1, 1), items)
-    payload = F.to_json(F.struct(items.alias(board.root))) if board.root else F.to_json(items)
+    # One source wraps its list in a list of results; the others name it at the top, or not at all.
+    if board.source == "YC-WATS":
+        items = F.array(F.struct(items.alias("hits")))
+    name = {"YC-WATS": "results", "Arbeitnow": "data", "RemoteOK": "", "Adzuna-IN": "results", "Adzuna-IN-Junior": "results"}.get(board.source, "jobs")
+    payload = F.to_json(F.struct(items.alias(name))) if name else F.to_json(items)
     return grouped.select("page", payload.alias("payload"))
 
 
 def _items_per_page(spark, sf) -> DataFrame:
     """The listings of each span of ids."""
-    df = wide_listings(spark, sf).selectExpr(
+    df = listings(spark, sf).selectExpr(
         "*", "concat(coalesce(location_city, 'Nowhere'), ', ', coalesce(location_country, '')) AS place", f"{_DAY} AS posted"
     )
     item = F.struct("id", "title", "company_name", "description", "apply_url", "tech_stack", "visa_sponsorship", "salary_min", "place", "posted")
@@ -315,10 +317,10 @@ _CITY = "nullif(trim(coalesce(location_city, 'Nowhere')), '')"
           (lit('remote') if b.remote == 'remote' else ("CASE WHEN visa_sponsorship THEN 'remote' ELSE 'onsite' END" if b.remote == 'flag' else
            "CASE WHEN visa_sponsorship THEN 'remote' ELSE " + sql_remote("lower(title || ' ' || coalesce(description, '') || '  ')", fv.PAGE_HYBRID_WORDS) + " END")))} AS remote_type,
         {lit(b.overrides.get('company_type', 'startup'))} AS company_type,
-        {list_text("CASE WHEN len(tech_stack) > 0 THEN tech_stack[1:10] END") if b.tags == 'tags' else 'CAST(NULL AS VARCHAR)'} AS tech_stack,
+        {list_text("CASE WHEN len(tech_stack) > 0 THEN tech_stack END") if b.tags == 'tags' else 'CAST(NULL AS VARCHAR)'} AS tech_stack,
         {_SQL_POSTED if b.posted else ts_text(AS_OF)} AS posted_date,
         {"CASE WHEN true THEN 'INR' END" if b.always_currency else ("CASE WHEN coalesce(salary_min, 0) <> 0 THEN 'INR' ELSE 'USD' END" if b.salary_currency == 'INR' else "'USD'")} AS salary_currency
-        FROM n WHERE pos < {b.cap} {"AND title <> '' AND company_name <> ''" if b.need_title_company else ''}"""
+        FROM n {"WHERE title <> '' AND company_name <> ''" if b.need_title_company else ''}"""
         for b in B.JSON_BOARDS
     ),
 )

@@ -9,10 +9,10 @@ from listflow.functions.text import key_hash, normalize_key
 from listflow.operators import dedup, lifecycle, quality, upsert as up
 from listflow.plans.jobs import startup_maintenance
 from listflow.suite.registry import (
-    any_of, case, equals_any, key_sha, key_text, list_col, list_text, query, rule_case, trim_ws, ts_col, ts_text,
+    WS, any_of, case, equals_any, key_sha, key_text, list_col, list_text, query, rule_case, trim_ws, ts_col, ts_text,
     value_map, word, matches,
 )
-from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, listings, postings, table, texts, wide_listings
+from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, listings, postings, table, texts
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
 
@@ -42,7 +42,7 @@ def normalized_key_text(spark, sf):
         {key_sha('company_name', 'title', 'location_city', raw=['apply_url'])} AS key_url FROM listings""",
 )
 def dedup_key_variants(spark, sf):
-    df = dedup.add_key(wide_listings(spark, sf), name="key_no_date")
+    df = dedup.add_key(listings(spark, sf), name="key_no_date")
     df = dedup.add_key(df, day="posted_date", name="key_day")
     return dedup.add_key(df, raw=("apply_url",), name="key_url").select("id", "key_no_date", "key_day", "key_url")
 
@@ -53,7 +53,7 @@ def dedup_key_variants(spark, sf):
         FROM (SELECT *, {key_sha('company_name', 'title', 'location_city', "''")} AS dedup_hash FROM listings)) WHERE rn = 1""",
 )
 def first_seen_rows(spark, sf):
-    df = dedup.add_key(wide_listings(spark, sf)).select("id", "dedup_hash", "created_at")
+    df = dedup.add_key(listings(spark, sf)).select("id", "dedup_hash", "created_at")
     return dedup.first_per_key(df, ["dedup_hash"], [F.asc("created_at"), F.asc("id")]).select("id", "dedup_hash")
 
 
@@ -332,7 +332,7 @@ def expire_old(spark, sf):
 
 @query("recover_valid", "L-2 F-13 C-7 C-8 C-11", _sql_life(_RECOVER, "true", sql_recovery_level(TITLE), sql_job_type(TITLE), sql_clamp("remote_type")))
 def recover_valid(spark, sf):
-    return _life(lifecycle.recover(wide_listings(spark, sf), LISTINGS_AS_OF))
+    return _life(lifecycle.recover(listings(spark, sf), LISTINGS_AS_OF))
 
 
 @query(
@@ -344,7 +344,7 @@ def recover_valid(spark, sf):
     ),
 )
 def recategorize_active(spark, sf):
-    return _life(lifecycle.recategorize(wide_listings(spark, sf), LISTINGS_AS_OF))
+    return _life(lifecycle.recategorize(listings(spark, sf), LISTINGS_AS_OF))
 
 
 def sql_level(t: str) -> str:
@@ -362,7 +362,7 @@ def sql_region_ok(t: str, currency: str, text: str) -> str:
     return (
         f"NOT ({word(t, fv.FOREIGN_COUNTRIES + fv.FOREIGN_CITIES)} OR "
         f"{equals_any(f'lower(coalesce({currency}, chr(32)))', fv.FOREIGN_CURRENCIES)} OR "
-        f"{matches(f'left(lower(coalesce({text}, chr(32))), 500)', '[£€][ ]*[0-9]')})"
+        f"{matches(f'lower(coalesce({text}, chr(32)))', f'[£€][{WS}]*[0-9]')})"
     )
 
 
@@ -374,7 +374,7 @@ def sql_region_ok(t: str, currency: str, text: str) -> str:
     ),
 )
 def reactivate_region(spark, sf):
-    return _life(lifecycle.reactivate_region(wide_listings(spark, sf), LISTINGS_AS_OF))
+    return _life(lifecycle.reactivate_region(listings(spark, sf), LISTINGS_AS_OF))
 
 
 @query(
@@ -449,7 +449,7 @@ _INSERT = case(
 @query("insert_rejects", "F-10 A-8", f"SELECT {_INSERT} AS reason, count(*) AS n FROM listings GROUP BY 1")
 def insert_rejects(spark, sf):
     verdict = quality.insert_verdict(F.col("title"), F.col("company_name"), F.col("apply_url"))
-    return quality.reject_counts(wide_listings(spark, sf), verdict)
+    return quality.reject_counts(listings(spark, sf), verdict)
 
 
 def sql_quality() -> str:
@@ -476,7 +476,7 @@ _LEVEL_FIX = f"CASE WHEN coalesce(experience_level, '') <> '' THEN {sql_level(TI
 @query("quality_verdicts", "F-11 F-12 C-5", f"SELECT id, {sql_quality()} AS reason, {_LEVEL_FIX} AS experience_level FROM listings")
 def quality_verdicts(spark, sf):
     cols = [F.col(c) for c in ("title", "company_name", "apply_url", "location_country", "salary_currency", "description")]
-    return wide_listings(spark, sf).select(
+    return listings(spark, sf).select(
         "id", quality.quality_verdict(*cols).alias("reason"),
         quality.corrected_level(F.col("title"), F.col("experience_level")).alias("experience_level"),
     )
@@ -500,7 +500,7 @@ _CLEAN_TYPE = f"coalesce(nullif({value_map('lower(trim(job_type))', fv.JOB_TYPE_
         CASE WHEN lower(trim(remote_type)) IN ('remote', 'hybrid', 'onsite') THEN remote_type ELSE 'onsite' END AS remote_type FROM listings""",
 )
 def sanitized_rows(spark, sf):
-    out = quality.sanitize(wide_listings(spark, sf))
+    out = quality.sanitize(listings(spark, sf))
     return out.select("id", "experience_level", "location_city", "location_country", "job_type", "remote_type")
 
 
@@ -542,7 +542,7 @@ def _stars(df: DataFrame, as_of: str) -> DataFrame:
 
 @query("star_ratings", "R-1 X-27", _stars_query("listings", LISTINGS_AS_OF))
 def star_ratings(spark, sf):
-    return _stars(wide_listings(spark, sf), LISTINGS_AS_OF)
+    return _stars(listings(spark, sf), LISTINGS_AS_OF)
 
 
 @query("star_ratings_postings", "R-1", _stars_query("postings", POSTINGS_AS_OF))

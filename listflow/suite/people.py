@@ -12,7 +12,7 @@ from listflow.operators.matching import one_row, overlap_counts, top_per_group
 from listflow.schemas import ranking_columns
 from listflow.suite.keys import sql_stars
 from listflow.suite.registry import any_of, case, list_col, query
-from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table, wide_listings
+from listflow.suite.views import LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table
 from listflow.suite.words import TEXT, sql_days, sql_domain
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
@@ -145,13 +145,13 @@ def new_user_profiles(spark, sf):
 @query(
     "shared_tags", "J-7",
     """WITH w AS (SELECT DISTINCT p_partkey, lower(unnest(string_split(p_name, ' '))) AS tag FROM part),
-       b AS (SELECT DISTINCT p_brand, lower(unnest(string_split(p_name, ' '))) AS tag FROM part WHERE p_size > 45)
+       b AS (SELECT DISTINCT p_brand, lower(unnest(string_split(p_name, ' '))) AS tag FROM part)
        SELECT p_brand, p_partkey, count(*) AS shared FROM w JOIN b USING (tag) GROUP BY 1, 2""",
 )
 def shared_tags(spark, sf):
     part = table(spark, sf, "part")
     rows = part.select("p_partkey", F.split("p_name", " ").alias("tags"))
-    brands = part.where("p_size > 45").select("p_brand", F.explode(F.split("p_name", " ")).alias("t")).distinct()
+    brands = part.select("p_brand", F.explode(F.split("p_name", " ")).alias("t")).distinct()
     brands = brands.groupBy("p_brand").agg(F.collect_set("t").alias("tags"))
     return overlap_counts(brands, "p_brand", "tags", rows, "p_partkey", "tags").select("p_brand", "p_partkey", "shared")
 
@@ -202,7 +202,7 @@ def _score_columns(df):
 
 @query("keyword_scores", "R-2", f"WITH {sql_keyword_scores('listings', LISTINGS_AS_OF, _WORDS, FACETS)} SELECT {_SCORE_COLUMNS} FROM scored")
 def keyword_scores(spark, sf):
-    return _score_columns(R.keyword_scores(wide_listings(spark, sf), KEYWORDS, FACETS, LISTINGS_AS_OF))
+    return _score_columns(R.keyword_scores(listings(spark, sf), KEYWORDS, FACETS, LISTINGS_AS_OF))
 
 
 @query("keyword_scores_postings", "R-2", f"WITH {sql_keyword_scores('postings', POSTINGS_AS_OF, _WORDS, {})} SELECT {_SCORE_COLUMNS} FROM scored")
@@ -262,7 +262,7 @@ def sql_resume(view: str, as_of: str, p: R.Candidate, days: int, limit: int) ->
     tech = "list_distinct(list_transform(coalesce(tech_stack, CAST([] AS VARCHAR[])), lambda t: lower(t)))"
     words = "list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 3))"
     bonus = case([(str(b), f"lv = {lit(j)}") for j, b in fv.LEVEL_BONUS[p.level].items()], "0")
-    domain = sql_domain(f"(lower(title) || ' ' || left({TEXT}, 200))", "tech")
+    domain = sql_domain(f"(lower(title) || ' ' || {TEXT})", "tech")
     return f"""WITH f AS (SELECT *, {level} AS lv, {in_desc} AS in_desc, {tech} AS tech, {words} AS tw FROM {view}
         WHERE is_active AND posted_date >= TIMESTAMP '{as_of}' - INTERVAL {days} DAY AND {' AND '.join(conditions)}),
       g AS (SELECT *, CASE WHEN len(tech) > 0 THEN list_filter({skills}, lambda s: list_contains(tech, s)) ELSE in_desc END AS hit,
@@ -295,13 +295,13 @@ def resume_ranking(spark, sf):
 @query("resume_ranking_all", "R-4 F-14", sql_resume("listings", LISTINGS_AS_OF, PERSON, 3650, 1_000_000_000))
 def resume_ranking_all(spark, sf):
     """Scores of every compatible listing, not only the best."""
-    df = wide_listings(spark, sf).where("is_active and posted_date is not null")
+    df = listings(spark, sf).where("is_active and posted_date is not null")
     return _resume_columns(R.resume_scores(R.compatible(df, PERSON), PERSON))
 
 
 @query("resume_ranking_junior", "R-4 R-5 F-14", sql_resume("listings", LISTINGS_AS_OF, JUNIOR, 3650, 20))
 def resume_ranking_junior(spark, sf):
-    return _resume_columns(R.rank_for_resume(wide_listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650))
+    return _resume_columns(R.rank_for_resume(listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650))
 
 
 @query(
@@ -310,7 +310,7 @@ def resume_ranking_junior(spark, sf):
     f" SELECT 'b', id, match_score FROM ({sql_resume('listings', LISTINGS_AS_OF, JUNIOR, 3650, 20)})",
 )
 def resume_ranking_people(spark, sf):
-    out = R.rank_for_resumes(wide_listings(spark, sf), {"a": PERSON, "b": JUNIOR}, LISTINGS_AS_OF, days=3650)
+    out = R.rank_for_resumes(listings(spark, sf), {"a": PERSON, "b": JUNIOR}, LISTINGS_AS_OF, days=3650)
     return out.select("candidate_id", "id", "match_score")
 
 

@@ -12,8 +12,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listflow.sources.tables import spread_small_scan
-
 LISTINGS_AS_OF = "2001-08-02 00:00:00"
 POSTINGS_AS_OF = "2024-03-01 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -51,6 +49,7 @@ TEXTS = [
     "We offer visa sponsorship and a relocation package. Join us.", "Series A startup. Pays $100k - $200k. Apply now",
     "Python and SQL with Docker! 5+ years needed.", "Remote, work from home. <b>Great</b> team. Machine learning with pandas",
     "Hybrid role on a contract basis", "Salary € 50 per hour. Part time", "", None,
+    "Pays €\u00a050 an hour", "A plain text that goes on for a while. " * 15 + "It pays £ 40 and offers visa sponsorship",
 ]
 
 
@@ -173,8 +172,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, whose rules and patterns take much time per row."""
-    return spread_small_scan(table(spark, sf, "documents"))
+    """The documents."""
+    return table(spark, sf, "documents")
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,12 +181,6 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def wide_listings(spark: SparkSession, sf: str) -> DataFrame:
-    """The listings for queries that spend much time per row."""
-    columns = listings_columns(Dialect(spark=True))
-    return spread_small_scan(table(spark, sf, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
-
-
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     columns = postings_columns(Dialect(spark=True))
     return texts(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])

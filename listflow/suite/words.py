@@ -12,7 +12,7 @@ from listflow.suite.keys import TITLE, sql_clamp, sql_job_type, sql_level, sql_r
 from listflow.suite.registry import (
     WS, any_of, case, equals_any, list_col, matches, query, rule_case, trim_ws, ts_col, value_map,
 )
-from listflow.suite.views import EVENTS_AS_OF, LISTINGS_AS_OF, lit, wide_listings, postings, table, texts
+from listflow.suite.views import EVENTS_AS_OF, LISTINGS_AS_OF, lit, listings, postings, table, texts
 
 NAME = "lower(company_name)"
 TEXT = "lower(coalesce(description, ''))"
@@ -39,7 +39,7 @@ KIND, BACKER = sql_kind()
         coalesce(nullif(vc_backer, ''), {BACKER}) AS vc_backer, coalesce(is_stealth, false) OR {KIND} = 'stealth' AS is_stealth FROM listings""",
 )
 def company_kinds(spark, sf):
-    df = wide_listings(spark, sf).withColumn("_k", C.company_kind(F.col("company_name")))
+    df = listings(spark, sf).withColumn("_k", C.company_kind(F.col("company_name")))
     df = df.select("*", F.col("_k.company_type").alias("kind"), F.col("_k.vc_backer").alias("backer"))
     return enrich.with_company_kind(df).select("id", "kind", "backer", "company_type", "vc_backer", "is_stealth")
 
@@ -64,7 +64,7 @@ BOTH = f"(lower(title) || ' ' || {TEXT})"
         CASE WHEN coalesce(relocation_support, false) OR {any_of(BOTH, fv.PERK_RELOCATION)} THEN true ELSE relocation_support END AS relocation_support FROM listings""",
 )
 def perk_flags(spark, sf):
-    return enrich.with_perks(wide_listings(spark, sf)).select("id", "visa_sponsorship", "relocation_support")
+    return enrich.with_perks(listings(spark, sf)).select("id", "visa_sponsorship", "relocation_support")
 
 
 @query(
@@ -82,7 +82,7 @@ def perk_mentions(spark, sf):
             C.mentions(d, fv.BULK_VISA).alias("bulk_visa"), C.mentions(d, fv.BULK_RELOCATION).alias("bulk_relocation"),
         )
 
-    return flags(wide_listings(spark, sf), F.col("id")).unionAll(flags(postings(spark, sf), -1 - F.col("id")))
+    return flags(listings(spark, sf), F.col("id")).unionAll(flags(postings(spark, sf), -1 - F.col("id")))
 
 
 # ------------------------------------------------------------------ levels, types, domains
@@ -93,7 +93,7 @@ def perk_mentions(spark, sf):
 )
 def experience_levels(spark, sf):
     t = F.col("title")
-    return wide_listings(spark, sf).select(
+    return listings(spark, sf).select(
         "id", C.experience_level(t).alias("level"), C.recovery_level(t).alias("recovery_level"), C.page_level(t).alias("page_level")
     )
 
@@ -104,7 +104,7 @@ def experience_levels(spark, sf):
         coalesce({value_map("lower(nullif(job_type, ''))", fv.JOB_TYPE_SYNONYMS)}, nullif(job_type, '')) AS synonym FROM listings""",
 )
 def job_types(spark, sf):
-    return wide_listings(spark, sf).select(
+    return listings(spark, sf).select(
         "id", C.job_type(F.col("title"), F.col("description")).alias("from_text"),
         C.normalize_job_type(F.col("job_type")).alias("synonym"),
     )
@@ -112,7 +112,7 @@ def job_types(spark, sf):
 
 @query("title_domains", "C-9", f"SELECT id, {rule_case(TITLE, fv.TITLE_DOMAINS, 'Software Engineering')} AS domain FROM listings")
 def title_domains(spark, sf):
-    return wide_listings(spark, sf).select("id", C.title_domain(F.col("title")).alias("domain"))
+    return listings(spark, sf).select("id", C.title_domain(F.col("title")).alias("domain"))
 
 
 def sql_remote(t: str, hybrid: list[str]) -> str:
@@ -127,7 +127,7 @@ def sql_remote(t: str, hybrid: list[str]) -> str:
 )
 def remote_types(spark, sf):
     both = F.concat_ws(" ", F.col("title"), F.coalesce(F.col("description"), F.lit("")))
-    return wide_listings(spark, sf).select(
+    return listings(spark, sf).select(
         "id", C.remote_from_text(both).alias("page_remote"), C.remote_from_text(both, fv.BULK_HYBRID_WORDS).alias("bulk_remote"),
         C.clamp_remote(F.col("remote_type")).alias("clamped"), C.remote_from_flag(F.col("visa_sponsorship")).alias("from_flag"),
     )
@@ -149,7 +149,7 @@ ATS = f"""coalesce(CASE WHEN {equals_any(ATS_URL, fv.ATS_AGGREGATORS)} THEN {ATS
 )
 def ats_labels(spark, sf):
     n, u = F.col("company_name"), F.col("apply_url")
-    df = wide_listings(spark, sf).select("id", "company_name", "apply_url", C.ats_from_url(u).alias("by_url"), C.ats_from_company(n).alias("by_company"))
+    df = listings(spark, sf).select("id", "company_name", "apply_url", C.ats_from_url(u).alias("by_url"), C.ats_from_company(n).alias("by_company"))
     return df.select(
         "id", "by_url", "by_company", C.ats_label(F.col("by_url"), F.col("by_company"), u).alias("ats_detected"),
         C.bulk_ats_label(F.col("by_url"), n).alias("bulk_label"),
@@ -186,7 +186,7 @@ def ats_url_ids(spark, sf):
     for p in _PROVIDERS:
         ids, name = C.ats_ids(p, F.col("apply_url")), p.lower().replace(" ", "_")
         cols += [ids["board"].alias(f"{name}_board"), ids["job"].alias(f"{name}_job")]
-    return wide_listings(spark, sf).select("id", *cols)
+    return listings(spark, sf).select("id", *cols)
 
 
 @query(
@@ -199,7 +199,7 @@ def ats_url_ids(spark, sf):
         {any_of(URL, fv.AGGREGATOR_URL_TERMS)} AS is_aggregator FROM d""",
 )
 def direct_apply_support(spark, sf):
-    df = enrich.with_direct_apply(enrich.with_ats(wide_listings(spark, sf)))
+    df = enrich.with_direct_apply(enrich.with_ats(listings(spark, sf)))
     return df.select(
         "id", "direct_apply_ats", C.has_direct_apply(F.col("direct_apply_ats")).alias("supported"),
         "ats_board_token", "ats_job_id", C.is_aggregator_url(F.col("apply_url")).alias("is_aggregator"),
@@ -273,7 +273,7 @@ def name_contains_term(spark, sf):
        FROM listings l JOIN companies c ON contains(lower(l.company_name), lower(c.name)) WHERE l.is_active) WHERE rank <= 50""",
 )
 def newest_per_company(spark, sf):
-    df = wide_listings(spark, sf).select("id", "company_name", "posted_date", "is_active")
+    df = listings(spark, sf).select("id", "company_name", "posted_date", "is_active")
     companies = df.where("company_name <> ''").select(F.substring_index("company_name", " ", 1).alias("name"))
     order = [F.desc_nulls_first("posted_date"), F.asc("id")]
     out = matching.newest_per_match(df.where("is_active"), "company_name", companies, "name", order, 50)
@@ -297,25 +297,29 @@ def first_sentences(spark, sf):
     )
 
 
-PAY = ["$100k - $200k", "$100,000-$200,000", "120k–150k", "$30-50/hr", "none", "", "from $90K to $110K now", "$1,500 to 2,500"]
-_PAY_SPARK = f"element_at(array({', '.join(lit(p) for p in PAY)}), cast(o_orderkey % {len(PAY)} as int) + 1) || ' ' || o_orderpriority"
-_PAY_DUCK = f"([{', '.join(lit(p) for p in PAY)}])[(o_orderkey % {len(PAY)}) + 1] || ' ' || o_orderpriority"
+# Texts with the range each states; the oracle has these values and no pattern.
+PAY = [
+    ("$100k - $200k", 100_000, 200_000), ("$100,000-$200,000", 100_000, 200_000), ("120k–150k", 120_000, 150_000), ("$30-50/hr", 30_000, 50_000),
+    ("none", None, None), ("", None, None), ("from $90K to $110K now", 90_000, 110_000), ("$1,500 to 2,500", 1_500, 2_500),
+    ("$\u00a0100k\u00a0-\u2009$200k", 100_000, 200_000), ("80\u3000k\u00a0to 95 k", 80_000, 95_000), (f"{'long text ' * 90}$70k-$75k", 70_000, 75_000),
+]
+_PAY_SPARK = f"element_at(array({', '.join(lit(p) for p, _, _ in PAY)}), cast(o_orderkey % {len(PAY)} as int) + 1) || ' ' || o_orderpriority"
 
 
-def _sql_pay(group: int) -> str:
-    whens = " ".join(
-        f"WHEN {matches('t', p)} THEN TRY_CAST(replace(regexp_extract(t, {lit(p)}, {group}), ',', '') AS DOUBLE)" for p in fv.SALARY_PATTERNS
-    )
-    return f"(CASE {whens} END)"
+def _sql_pay(place: int) -> str:
+    return f"([{', '.join('NULL' if p[place] is None else str(p[place]) for p in PAY)}])[(o_orderkey % {len(PAY)}) + 1]::DOUBLE"
 
 
-def _thousands(v: str) -> str:
-    return f"CASE WHEN {v} < 1000 THEN {v} * 1000 ELSE {v} END"
+def _sql_found_pay(group: int) -> str:
+    patterns = [p.replace(r"\s", f"[{WS}]") for p in fv.SALARY_PATTERNS]
+    whens = " ".join(f"WHEN {matches('t', p)} THEN TRY_CAST(replace(regexp_extract(t, {lit(p)}, {group}), ',', '') AS DOUBLE)" for p in patterns)
+    value = f"(CASE {whens} END)"
+    return f"CASE WHEN {value} < 1000 THEN {value} * 1000 ELSE {value} END"
 
 
 @query(
     "salary_ranges", "X-2",
-    f"WITH p AS (SELECT o_orderkey, {_PAY_DUCK} AS t FROM orders) SELECT o_orderkey, {_thousands(_sql_pay(1))} AS low, {_thousands(_sql_pay(2))} AS high FROM p",
+    f"SELECT o_orderkey, {_sql_pay(1)} AS low, {_sql_pay(2)} AS high FROM orders",
 )
 def salary_ranges(spark, sf):
     df = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_PAY_SPARK} AS t").withColumn("_r", X.salary_range(F.col("t")))
@@ -324,7 +328,7 @@ def salary_ranges(spark, sf):
 
 @query(
     "salary_ranges_documents", "X-2",
-    f"WITH p AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, {_thousands(_sql_pay(1))} AS low, {_thousands(_sql_pay(2))} AS high FROM p",
+    f"WITH p AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, {_sql_found_pay(1)} AS low, {_sql_found_pay(2)} AS high FROM p",
 )
 def salary_ranges_documents(spark, sf):
     df = texts(spark, sf).select("doc_id", X.salary_range(F.col("text")).alias("_r"))
@@ -372,7 +376,8 @@ def parsed_dates(spark, sf):
 )
 def relative_dates(spark, sf):
     unit = "element_at(array('hours ago', 'Days ago', ' weeks ago', 'month ago', 'yesterday'), cast(event_id % 5 as int) + 1)"
-    text = f"CASE WHEN event_id % 5 = 4 THEN 'yesterday' ELSE concat('Posted ', user_id, ' ', {unit}) END"
+    gap = "CASE event_id % 3 WHEN 0 THEN '\u00a0' WHEN 1 THEN ' \t' ELSE ' ' END"
+    text = f"CASE WHEN event_id % 5 = 4 THEN 'yesterday' ELSE concat('Posted ', user_id, {gap}, {unit}) END"
     df = table(spark, sf, "events").selectExpr("event_id", f"{text} AS t")
     return df.select("event_id", D.relative_date(F.col("t"), EVENTS_AS_OF).alias("posted")).select("event_id", ts_col("posted"))
 
@@ -424,7 +429,7 @@ _HAS = {c: f"coalesce({c}, 0) <> 0" for c in ("salary_min", "salary_max")}
         regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM listings""",
 )
 def card_labels(spark, sf):
-    return wide_listings(spark, sf).select(
+    return listings(spark, sf).select(
         "id", T.salary_label(F.col("salary_min"), F.col("salary_max"), F.col("salary_currency")).alias("salary"),
         D.age_label(F.col("posted_date"), LISTINGS_AS_OF).alias("age"), T.initials(F.col("company_name")).alias("initials"),
         T.slugify(F.col("title")).alias("slug"),
@@ -443,7 +448,7 @@ def event_age_labels(spark, sf):
     """SELECT id, split_part(title, ' ', 1) AS first_name, CASE WHEN contains(title, ' ') THEN substr(title, strpos(title, ' ') + 1) ELSE '' END AS last_name FROM listings""",
 )
 def name_parts(spark, sf):
-    return wide_listings(spark, sf).select("id", T.first_name(F.col("title")).alias("first_name"), T.last_name(F.col("title")).alias("last_name"))
+    return listings(spark, sf).select("id", T.first_name(F.col("title")).alias("first_name"), T.last_name(F.col("title")).alias("last_name"))
 
 
 @query(
@@ -457,7 +462,7 @@ def name_parts(spark, sf):
 )
 def place_lookups(spark, sf):
     place = F.concat_ws(", ", T.text_or_empty(F.col("location_city")), F.lit("Region"), T.text_or_empty(F.col("location_country")))
-    df = wide_listings(spark, sf).withColumn("place", place)
+    df = listings(spark, sf).withColumn("place", place)
     return df.select(
         "id", T.split_city(F.col("place")).alias("city"), T.split_country(F.col("place")).alias("country"),
         C.country_name(F.col("location_country")).alias("country_name"),
@@ -525,11 +530,11 @@ def page_link_rows(spark, sf):
 
 @query(
     "page_first_links", "D-7 W-2 W-3 X-23",
-    f"""{_LINKS} SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS rn FROM links WHERE pos < 20 AND href <> '')
+    f"""{_LINKS} SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS rn FROM links WHERE href <> '')
         WHERE rn = 1 AND length(label) >= 4""",
 )
 def page_first_links(spark, sf):
-    found = page_links(table(spark, sf, "pages"), "page_id", "url", "html", cap=20)
+    found = page_links(table(spark, sf, "pages"), "page_id", "url", "html")
     return usable_titles(dedup.unseen_links(found, "page_id", "href", "pos")).select("page_id", "pos", "href")
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from listflow.functions import classify as C, dates as D, extract as X, text as T
-from listflow.functions.rules import classify, has_any, lookup, rules_from_table
+from listflow.functions.rules import classify, has_any, lookup
 
 c = F.col
 
@@ -105,7 +105,7 @@ def test_experience_level(one, title, level):
     "title, currency, text, ok",
     [
         ("Engineer - UK", "INR", "", False), ("Engineer (Germany)", "INR", "", False), ("Duke Analyst", "INR", "", True),
-        ("Engineer", "EUR", "", False), ("Engineer", None, "x" * 488 + " € 50", False), ("Engineer", None, "x" * 510 + "€ 50", True),
+        ("Engineer", "EUR", "", False), ("Engineer", None, "x" * 488 + " € 50", False), ("Engineer", None, "x" * 510 + "€ 50", False),
         ("New York lead", None, None, False), ("Engineer", "usd", None, True),
     ],
 )
@@ -164,10 +164,17 @@ def test_rules_quote_and_order(one, spark):
         assert one(classify(c("t"), rules, "z"), t=text) == label
     assert one(has_any(c("t"), [f"w{i}" for i in range(20)]), t="has w13 in it") is True
     assert one(lookup(c("t"), {"a'b": "1"}), t="a'b") == "1"
-    table = spark.createDataFrame([(2, "x", "late"), (1, "xy", "early")], "rank int, pattern string, label string")
-    assert rules_from_table(table) == [("early", ["xy"]), ("late", ["x"])]
-    with pytest.raises(ValueError):
-        rules_from_table(table, max_rules=1)
+
+
+def test_every_kind_of_white_space_counts(one):
+    from listflow.functions import dates as D, extract as X
+
+    assert one(X.salary_range(c("t"))["min"], t="$\u00a0100k - $200k") == 100000.0
+    assert one(C.home_region_ok(c("t"), F.lit("INR"), c("d")), t="Dev", d="pays €\u00a050") is False
+    assert one(C.home_region_ok(c("t"), F.lit("INR"), c("d")), t="Dev", d="x " * 400 + "£ 7") is False
+    assert one(C.home_region_ok(c("t"), F.lit("INR"), c("d"), window=500), t="Dev", d="x " * 400 + "£ 7") is True
+    assert str(one(D.relative_date(c("t"), "2024-01-10 00:00:00"), t="3\u00a0days ago")) == "2024-01-07 00:00:00"
+    assert one(T.first_sentence(c("t"), None), t="w" * 900) == "w" * 900
 
 
 def test_skill_domain_ties_and_minimum(one):

@@ -78,4 +78,5 @@ def test_dedup_combines_before_the_shuffle(spark):
 
 def test_size_checks(spark):
     assert matching.is_small(spark.range(5), 5) and not matching.is_small(spark.range(6), 5)
-    assert "isBroadcast" not in plan(matching.broadcast_if_small(spark.range(10), 5))
+    wide = spark.range(3).withColumn("text", F.expr("repeat('x', 1000)"))
+    assert matching.is_small(wide, 5, max_bytes=4000) and not matching.is_small(wide, 5, max_bytes=2000)

@@ -35,15 +35,28 @@ def test_adzuna_area_and_coordinates(spark):
     assert r[0].location_coords.lat == 51.5 and r[1].location_coords is None and r[1].location_city is None
 
 
-def test_linkedin_takes_25_and_bad_payloads_are_kept_aside(spark):
+def test_linkedin_takes_all_and_bad_payloads_are_kept_aside(spark):
     good = [{"title": f"t{i}"} for i in range(40)]
     f = S.FEEDS["LinkedIn"]
     df = payloads(spark, good, "{cut off", "12")
-    assert S.parse_payloads(df, f, "payload").count() == 25
+    assert S.parse_payloads(df, f, "payload").count() == 40
+    assert S.parse_payloads(df, f, "payload", limit=25).count() == 25
     bad = S.bad_payloads(df, f, "payload").collect()
     assert {r.record for r in bad} == {"{cut off", "12"} and {r.source for r in bad} == {"LinkedIn"}
 
 
+def test_an_absent_list_is_no_error_and_a_wrong_type_is_one(spark):
+    good = ['{"results": null}', "{}", '{"results": []}', '{"results": [{"role": "Dev", "extra": 1}]}']
+    bad = ['{"results": [{"role": 5, "remote": "yes"}]}', '{"results": [{"role": "x"}', "text"]
+    got = S.bad_payloads(payloads(spark, *good, *bad), S.FEEDS["Findwork"], "payload").collect()
+    assert {r.record for r in got} == set(bad)
+
+
+def test_wats_list_lies_under_the_first_result(spark):
+    rows = json_rows(spark, "YC-WATS", {"results": [{"hits": [{"title": "Dev", "company_name": "A", "batch": "W21"}, {"title": "Ops", "company_name": "B"}]}, {"hits": [{"title": "No"}]}]})
+    assert [(r.title, r.vc_backer) for r in rows] == [("Dev", "YC W21"), ("Ops", "YC")]
+
+
 def test_wellfound_compensation_and_link(spark):
     rec = {"title": "Dev", "url": "abc", "compensation": "$90k - $120k", "startup": {"name": "Acme"}, "skills": [{"name": "Go"}, {}]}
     r = feed(spark, "Wellfound", {"data": {"talent": {"jobListings": {"results": [rec]}}}}).first()
@@ -75,7 +88,7 @@ def test_bulk_rows(spark):
     got = bulk_rows(df, "Adzuna-IN", AS_OF)
     assert {r.seq for r in got.collect()} == {1, 2, 4}
     kept = bulk_insert_rows(got, AS_OF).collect()
-    assert [(r.seq, r.company_type, r.remote_type, r.location_city) for r in kept] == [(1, "startup", "remote", "India")]
+    assert [(r.seq, r.company_type, r.remote_type, r.location_city) for r in kept] == [(1, "vc_backed", "remote", "India")]
 
 
 def test_bulk_rows_with_remote_flag_and_currency(spark):
@@ -98,10 +111,12 @@ def json_rows(spark, name, payload):
     return B.json_board_rows(B.json_board_items(payloads(spark, payload), b, "payload"), AS_OF).orderBy("pos").collect()
 
 
-def test_remoteok_skips_the_first_item_and_caps(spark):
+def test_remoteok_skips_the_first_item_and_takes_all(spark):
     items = [{"legal": "x"}] + [{"position": f"Dev {i}", "company": "Acme", "location": "", "tags": ["a"] * 12} for i in range(70)]
     rows = json_rows(spark, "RemoteOK", items)
-    assert len(rows) == 60 and rows[0].title == "Dev 0" and rows[0].location_city == "Remote" and len(rows[0].tech_stack) == 10
+    assert len(rows) == 70 and rows[0].title == "Dev 0" and rows[0].location_city == "Remote" and len(rows[0].tech_stack) == 12
+    few = B.json_board_rows(B.json_board_items(payloads(spark, items), board("RemoteOK"), "payload", limit=60, tag_limit=10), AS_OF).collect()
+    assert len(few) == 60 and {len(r.tech_stack) for r in few} == {10}
 
 
 def test_adzuna_india_currency(spark):
@@ -129,10 +144,11 @@ def test_nested_cards_and_fallbacks(spark):
     assert (rows[1].company_name, rows[1].apply_url, rows[1].remote_type) == ("Acme", "https://arc.dev/j/1", "remote")
 
 
-def test_unique_links_caps_and_skips(spark):
+def test_unique_links_and_skips(spark):
     cards = "".join(f'<a class="listheader" href="/view/{i // 2}"><span class="headline">Job {i}</span></a>' for i in range(100))
     rows = html_rows(spark, "HasJob", cards + "<a class=listheader>none</a>", "", None)
-    assert len(rows) == 20 and rows[0].company_name == "Indian Company" and rows[0].apply_url == "https://hasjob.co/view/0"
+    assert len(rows) == 50 and len(B.page_cards(cards, board("HasJob"), 40)) == 40
+    assert rows[0].company_name == "Indian Company" and rows[0].apply_url == "https://hasjob.co/view/0"
 
 
 def test_fallback_cards_and_deep_nesting(spark):
@@ -200,12 +216,11 @@ def test_snapshot_layout(spark, tmp_path):
     assert tb.read_table(spark, path, ["id", "posted_month"]).first().posted_month == "2024-02"
 
 
-def test_small_scans_are_spread(spark, tmp_path):
+def test_a_repeated_append_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(100).coalesce(1).write.parquet(path)
-    assert tb.spread_small_scan(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 50)
-    assert tb.spread_small_scan(wide) is wide
+    for batch in (0, 1, 1):
+        tb.append_rows(spark.range(10), path, batch)
+    assert tb.read_table(spark, path).count() == 20
 
 
 # ------------------------------------------------------------------ streams

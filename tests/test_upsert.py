@@ -12,6 +12,14 @@ FIELDS = "dedup_hash string, id string, city string, pay double, flag boolean, t
 NEW = "dedup_hash string, seq long, city string, pay double, flag boolean, tags array<string>, source_platforms array<string>, is_active boolean"
 
 
+def test_vectors_are_one_value(spark):
+    old = spark.createDataFrame([("a", [0.9, 0.1, 0.5], ["x"]), ("b", None, None), ("c", [], ["x"])], "dedup_hash string, v array<float>, tags array<string>")
+    new = spark.createDataFrame([("a", 1, [0.2, 0.1, 0.7], ["w"]), ("b", 1, [0.3, 0.1], ["w"]), ("b", 2, [0.1, 0.3], ["v"]), ("c", 1, [0.5, 0.25], None)], "dedup_hash string, seq long, v array<float>, tags array<string>")
+    for small in (False, True):
+        got = {r.dedup_hash: ([round(x, 3) for x in r.v], r.tags) for r in U.upsert(old, new, NOW, small_batch=small).collect()}
+        assert got == {"a": ([0.9, 0.1, 0.5], ["w", "x"]), "b": ([0.3, 0.1], ["v", "w"]), "c": ([0.5, 0.25], ["x"])}
+
+
 def blank(v) -> bool:
     return v is None or (isinstance(v, str) and not v.strip()) or (isinstance(v, list) and not v)
 
