@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -197,20 +198,18 @@ def _board_list(board: JsonBoard, payload: str) -> Column:
     return rows
 
 
-def json_board_items(
-    df: DataFrame, board: JsonBoard, payload: str, keep: tuple[str, ...] = (), limit: int | None = None, tag_limit: int | None = None,
-) -> DataFrame:
-    """Raw items of one board's payload text, in a shape that all boards share.
+FORCED = ("company_type", "job_type", "remote_type", "experience_level")
 
-    All items and tags unless ``limit`` or ``tag_limit`` keep the first ones.
-    """
-    found = _board_list(board, payload)
-    rows = F.slice(found, board.skip + 1, F.lit(limit) if limit is not None else F.greatest(F.size(found), F.lit(0)))
-    items = df.select(*keep, F.posexplode(rows).alias("pos", "_r"))
+
+def _board_item(board: JsonBoard, record: Column, tag_limit: int | None) -> Column:
+    """One record in the shape that all boards share."""
     names = {f.split(":")[0].strip() for f in board.record.split(",")}
 
+    def value(path: str) -> Column:
+        return reduce(lambda c, name: c[name], path.split("."), record)
+
     def text(*paths: str, default: str = "") -> Column:
-        return F.coalesce(*[F.col(f"_r.{p}") for p in paths if p], F.lit(default))
+        return F.coalesce(*[value(p) for p in paths if p], F.lit(default))
 
     place, default_place = board.location
     location = text(place, default=default_place)
@@ -219,16 +218,16 @@ def json_board_items(
     hint = F.lit(board.remote)
     if board.remote.startswith("flag"):
         otherwise = "" if board.remote == "flag_or_empty" else "onsite"
-        hint = F.when(F.coalesce(F.col("_r.remote"), F.lit(False)), "remote").otherwise(otherwise)
-    stated = {n: F.nullif(F.col(f"_r.{n}"), F.lit(0.0)) if n in names else F.lit(None).cast("double") for n in ("salary_min", "salary_max")}
+        hint = F.when(F.coalesce(value("remote"), F.lit(False)), "remote").otherwise(otherwise)
+    stated = {n: F.nullif(value(n), F.lit(0.0)) if n in names else F.lit(None).cast("double") for n in ("salary_min", "salary_max")}
     has_pay = F.lit(board.always_currency) | stated["salary_min"].isNotNull() | stated["salary_max"].isNotNull()
     currency = F.when(has_pay, board.salary_currency) if board.salary_currency else F.lit(None).cast("string")
-    tag_list = F.col(f"_r.{board.tags}") if board.tags else F.lit(None).cast("array<string>")
+    tag_list = value(board.tags) if board.tags else F.lit(None).cast("array<string>")
     backer = strip(F.concat(F.lit("YC "), text("batch"))) if "batch" in names else F.lit(None).cast("string")
-    raw = {
-        "source": F.lit(board.source),
-        "title": text(board.title),
-        "company": text(*board.company.split(",")),
+    title, company = text(board.title), text(*board.company.split(","))
+    fields = {
+        "title": title,
+        "company": company,
         "location": location,
         "apply_url": text(*board.url[0], default=board.url[1]),
         "description": text(board.description),
@@ -240,12 +239,28 @@ def json_board_items(
         "_tags": F.when(F.size(tag_list) > 0, F.slice(tag_list, 1, tag_limit) if tag_limit is not None else tag_list),
         "_backer": backer,
         **{f"_{n}": F.lit(board.overrides.get(n)).cast("string") for n in FORCED},
+        "_usable": (title != "") & (company != "") | F.lit(not board.need_title_company),
     }
-    flat = items.select(*keep, "pos", *[c.alias(n) for n, c in raw.items()])
-    return flat.where((F.col("title") != "") & (F.col("company") != "")) if board.need_title_company else flat
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
-FORCED = ("company_type", "job_type", "remote_type", "experience_level")
+def json_board_items(
+    pages: DataFrame, payload: str, source: str = "source", keep: tuple[str, ...] = (), boards: list[JsonBoard] = JSON_BOARDS,
+    limit: int | None = None, tag_limit: int | None = None,
+) -> DataFrame:
+    """Raw items of landed payload texts, each of the board that ``source`` names, in one pass.
+
+    All items and tags unless ``limit`` or ``tag_limit`` keep the first ones.
+    """
+
+    def of(board: JsonBoard) -> Column:
+        found = _board_list(board, payload)
+        rows = F.slice(found, board.skip + 1, F.lit(limit) if limit is not None else F.greatest(F.size(found), F.lit(0)))
+        return F.when(F.col(source) == board.source, F.transform(rows, lambda r: _board_item(board, r, tag_limit)))
+
+    lists = F.coalesce(*[of(board) for board in boards])
+    items = pages.select(*keep, F.col(source).alias("source"), F.posexplode(lists).alias("pos", "_item"))
+    return items.select(*keep, "source", "pos", "_item.*").where("_usable").drop("_usable")
 
 
 def json_board_rows(items: DataFrame, as_of, keep: tuple[str, ...] = ()) -> DataFrame:

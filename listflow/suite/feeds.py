@@ -263,8 +263,13 @@ def run_bulk_insert_rows(spark, sf):
 
 
 # ------------------------------------------------------------------ boards
-# One payload per span of listings.
-def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
+# One payload per span of listings; the spans belong to the boards in turn. One source
+# wraps its list in a list of results; the others name it at the top, or not at all.
+_LIST_NAMES = {"Arbeitnow": "data", "RemoteOK": "", "Adzuna-IN": "results", "Adzuna-IN-Junior": "results"}
+_BOARD_NAMES = [b.source for b in B.JSON_BOARDS]
+
+
+def _board_payload(board: B.JsonBoard):
     fields = {
         board.title: "title", "description": "description", "url": "apply_url", "publication_date": "posted", "pubDate": "posted",
         "date": "posted", "created": "posted", "tags": "tech_stack", "remote": "visa_sponsorship", "salary_min": "salary_min",
@@ -281,16 +286,20 @@ def _board_payloads(spark, sf, board: B.JsonBoard) -> DataFrame:
             parts.append("'location', x.place")
         elif n in fields:
             parts.append(f"'{n}', x.{fields[n]}")
-    grouped = _items_per_page(spark, sf)
     items = F.expr(f"transform(items, x -> named_struct({', '.join(parts)}))")
     if board.skip:
         items = F.concat(F.slice(items, 1, 1), items)
-    # One source wraps its list in a list of results; the others name it at the top, or not at all.
     if board.source == "YC-WATS":
-        items = F.array(F.struct(items.alias("hits")))
-    name = {"YC-WATS": "results", "Arbeitnow": "data", "RemoteOK": "", "Adzuna-IN": "results", "Adzuna-IN-Junior": "results"}.get(board.source, "jobs")
-    payload = F.to_json(F.struct(items.alias(name))) if name else F.to_json(items)
-    return grouped.select("page", payload.alias("payload"))
+        return F.to_json(F.struct(F.array(F.struct(items.alias("hits"))).alias("results")))
+    name = _LIST_NAMES.get(board.source, "jobs")
+    return F.to_json(F.struct(items.alias(name))) if name else F.to_json(items)
+
+
+def _board_pages(spark, sf) -> DataFrame:
+    names = ", ".join(lit(n) for n in _BOARD_NAMES)
+    pages = _items_per_page(spark, sf).withColumn("source", F.expr(f"element_at(array({names}), cast(page % {len(_BOARD_NAMES)} as int) + 1)"))
+    payload = F.coalesce(*[F.when(F.col("source") == b.source, _board_payload(b)) for b in B.JSON_BOARDS])
+    return pages.select("page", "source", payload.alias("payload"))
 
 
 def _items_per_page(spark, sf) -> DataFrame:
@@ -320,15 +329,15 @@ _CITY = "nullif(trim(coalesce(location_city, 'Nowhere')), '')"
         {list_text("CASE WHEN len(tech_stack) > 0 THEN tech_stack END") if b.tags == 'tags' else 'CAST(NULL AS VARCHAR)'} AS tech_stack,
         {_SQL_POSTED if b.posted else ts_text(AS_OF)} AS posted_date,
         {"CASE WHEN true THEN 'INR' END" if b.always_currency else ("CASE WHEN coalesce(salary_min, 0) <> 0 THEN 'INR' ELSE 'USD' END" if b.salary_currency == 'INR' else "'USD'")} AS salary_currency
-        FROM n {"WHERE title <> '' AND company_name <> ''" if b.need_title_company else ''}"""
-        for b in B.JSON_BOARDS
+        FROM n WHERE page % {len(B.JSON_BOARDS)} = {i} {"AND title <> '' AND company_name <> ''" if b.need_title_company else ''}"""
+        for i, b in enumerate(B.JSON_BOARDS)
     ),
 )
 def json_board_rows(spark, sf):
-    parts = [
-        (B.source_rank(b.source), B.json_board_items(_board_payloads(spark, sf, b), b, "payload", ("page",))) for b in B.JSON_BOARDS
-    ]
-    out = B.json_board_rows(S.union_feeds(parts), LISTINGS_AS_OF, ("source_rank", "page"))
+    items = B.json_board_items(_board_pages(spark, sf), "payload", keep=("page",))
+    ranks = value_map("source", {b.source: str(B.source_rank(b.source)) for b in B.JSON_BOARDS})
+    items = items.withColumn("source_rank", F.expr(ranks).cast("int"))
+    out = B.json_board_rows(items, LISTINGS_AS_OF, ("source_rank", "page"))
     return out.select(
         "source_rank", "page", "pos", list_col("source_platforms", "source"), "title", "dedup_hash", "location_city", "experience_level",
         "remote_type", "company_type", list_col("tech_stack"), ts_col("posted_date"), "salary_currency",

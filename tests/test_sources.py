@@ -108,14 +108,14 @@ def board(name):
 
 def json_rows(spark, name, payload):
     b = board(name)
-    return B.json_board_rows(B.json_board_items(payloads(spark, payload), b, "payload"), AS_OF).orderBy("pos").collect()
+    return B.json_board_rows(B.json_board_items(payloads(spark, payload).withColumn("source", F.lit(b.source)), "payload"), AS_OF).orderBy("pos").collect()
 
 
 def test_remoteok_skips_the_first_item_and_takes_all(spark):
     items = [{"legal": "x"}] + [{"position": f"Dev {i}", "company": "Acme", "location": "", "tags": ["a"] * 12} for i in range(70)]
     rows = json_rows(spark, "RemoteOK", items)
     assert len(rows) == 70 and rows[0].title == "Dev 0" and rows[0].location_city == "Remote" and len(rows[0].tech_stack) == 12
-    few = B.json_board_rows(B.json_board_items(payloads(spark, items), board("RemoteOK"), "payload", limit=60, tag_limit=10), AS_OF).collect()
+    few = B.json_board_rows(B.json_board_items(payloads(spark, items).withColumn("board", F.lit("RemoteOK")), "payload", "board", limit=60, tag_limit=10), AS_OF).collect()
     assert len(few) == 60 and {len(r.tech_stack) for r in few} == {10}
 
 
@@ -170,7 +170,7 @@ def test_board_cycle_touches_known_listings(spark):
 
     empty = spark.createDataFrame([], LISTINGS)
     payload = payloads(spark, {"data": [{"title": "Python dev", "company_name": "Acme", "location": "Pune"}, {"title": "", "company_name": "Acme"}]})
-    items = B.json_board_items(payload.withColumn("page", F.lit(0)), board("Arbeitnow"), "payload", ("page",))
+    items = B.json_board_items(payload.withColumns({"page": F.lit(0), "source": F.lit("Arbeitnow")}), "payload", keep=("page",))
     page = '<div class="job"><h3>Python dev</h3><span class="company">ACME</span><span class="location">Pune</span><a href="/x">x</a></div>'
     pages = spark.createDataFrame([(0, "CutShort", page), (1, "ArcDev", page.replace("Python", "Rust"))], "page int, source string, html string")
     first = refresh_from_boards(empty, AS_OF, items, pages)
