@@ -11,6 +11,7 @@ from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import age_days, days_before
 from listflow.functions.rules import first_match, has_any, term_array
 from listflow.functions.text import WS, collapse_space, contains_text, strip, text_or_empty
+from listflow.operators.matching import top_per_group
 from listflow.operators.quality import star_rating
 from listflow.operators.search import where_all
 
@@ -132,6 +133,10 @@ def rank_by_keywords(
 
 
 # ------------------------------------------------------------------ résumés
+#: Candidates that a block holds.
+PEOPLE_BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Candidate:
     """What a résumé says, as plain values for one projection over all listings."""
@@ -177,23 +182,26 @@ def candidate_of(profiles: DataFrame) -> Candidate:
     )
 
 
-def compatible(df: DataFrame, person: Candidate) -> DataFrame:
-    """Hard filters: level, senior titles and long experience for juniors, non-tech titles."""
-    title = F.lower(text_or_empty(F.col("title")))
-    level = strip(F.lower(text_or_empty(F.col("experience_level"))))
-    allowed = fv.LEVELS_ALLOWED.get(person.level, ["junior", "mid", "senior", ""])
-    conditions = [level.isin(allowed + [""])]
-    if person.level in ("intern", "junior"):
-        conditions.append(~has_any(title, fv.SENIOR_TITLE_TERMS))
-        conditions.append(~has_any(F.lower(text_or_empty(F.col("description"))), fv.LONG_EXPERIENCE_TERMS))
-    if len(person.skills) >= 3:
-        conditions.append(~has_any(title, fv.RANK_NON_TECH))
-    return where_all(df, conditions)
+@dataclass
+class _Person:
+    """A candidate's features as columns: literals, or those of a joined table."""
 
+    skills: Column
+    level: Column
+    domain: Column
+    words: Column
+    past_title_words: Column
 
-def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
-    """Skill, title, level, domain and description scores of one candidate."""
-    skills = _strings(person.skills)
+
+def _literals(person: Candidate) -> _Person:
+    return _Person(_strings(person.skills), F.lit(person.level), F.lit(person.domain), _strings(person.words), _strings(person.past_title_words))
+
+
+_FEATURES = ("_title", "_desc", "_level", "_tech", "_words", "_domain", "_senior", "_long", "_non_tech")
+
+
+def listing_features(df: DataFrame) -> DataFrame:
+    """What scores need of a listing, whoever the candidate is."""
     df = df.withColumns(
         {
             "_title": F.lower(text_or_empty(F.col("title"))),
@@ -202,45 +210,69 @@ def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
             "_tech": F.array_distinct(_lower_list("tech_stack")),
         }
     )
-    df = df.withColumn("_in_desc", F.filter(skills, lambda s: F.contains(F.col("_desc"), s)))
+    return df.withColumns(
+        {
+            "_words": F.array_distinct(F.filter(F.split(F.col("_title"), f"{WS}+"), lambda w: F.length(w) > 3)),
+            "_domain": C.skill_domain(F.col("_tech"), F.concat(F.col("_title"), F.lit(" "), F.col("_desc"))),
+            "_senior": has_any(F.col("_title"), fv.SENIOR_TITLE_TERMS),
+            "_long": has_any(F.col("_desc"), fv.LONG_EXPERIENCE_TERMS),
+            "_non_tech": has_any(F.col("_title"), fv.RANK_NON_TECH),
+        }
+    )
+
+
+def _compatible(p: _Person) -> Column:
+    """Hard filters: level, senior titles and long experience for juniors, non-tech titles."""
+    other = F.col("_level").isin(["junior", "mid", "senior", ""])
+    allowed = first_match([(F.col("_level").isin([*levels, ""]), p.level == name) for name, levels in fv.LEVELS_ALLOWED.items()], other)
+    too_high = p.level.isin("intern", "junior") & (F.col("_senior") | F.col("_long"))
+    return allowed & ~too_high & ~((F.size(p.skills) >= 3) & F.col("_non_tech"))
+
+
+def compatible(df: DataFrame, person: Candidate) -> DataFrame:
+    """Listings that pass one candidate's hard filters."""
+    return listing_features(df).where(_compatible(_literals(person))).select(*df.columns)
+
+
+def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
+    """Skill, title, level, domain and description scores of one candidate."""
+    return _scored(listing_features(df), _literals(person))
+
+
+def _scored(df: DataFrame, p: _Person) -> DataFrame:
+    df = df.withColumn("_in_desc", F.filter(p.skills, lambda s: F.contains(F.col("_desc"), s)))
     has_tech = F.size("_tech") > 0
     df = df.withColumns(
         {
-            "_matched": F.when(has_tech, F.array_intersect(skills, F.col("_tech"))).otherwise(F.col("_in_desc")),
-            "_missing": F.when(has_tech, F.array_except(F.col("_tech"), skills)).otherwise(
-                F.array().cast("array<string>")
-            ),
-            "_words": F.array_distinct(
-                F.filter(F.split(F.col("_title"), f"{WS}+"), lambda w: F.length(w) > 3)
-            ),
-            "_domain": C.skill_domain(F.col("_tech"), F.concat(F.col("_title"), F.lit(" "), F.col("_desc"))),
+            "_matched": F.when(has_tech, F.array_intersect(p.skills, F.col("_tech"))).otherwise(F.col("_in_desc")),
+            "_missing": F.when(has_tech, F.array_except(F.col("_tech"), p.skills)).otherwise(F.array().cast("array<string>")),
         }
     )
     overlap = F.bround(F.size("_matched") / F.size("_tech") * 40, 0).cast("int")
     skill_score = F.when(has_tech, overlap).otherwise(F.least(F.lit(20), F.size("_matched") * 4))
-    shared = F.size(F.array_intersect(F.col("_words"), _strings(person.past_title_words)))
-    known = F.size(F.array_intersect(F.col("_words"), _strings(person.words)))
+    shared = F.size(F.array_intersect(F.col("_words"), p.past_title_words))
+    known = F.size(F.array_intersect(F.col("_words"), p.words))
     title_score = F.least(F.lit(10), shared * 5) + F.least(F.lit(10), known * 2)
-    bonuses = fv.LEVEL_BONUS.get(person.level, {})
-    bonus = first_match([(points, F.col("_level") == lv) for lv, points in bonuses.items()], 0) if bonuses else F.lit(0)
+    pairs = [(points, (p.level == own) & (F.col("_level") == wanted)) for own, table in fv.LEVEL_BONUS.items() for wanted, points in table.items()]
+    bonus = first_match(pairs, 0)
     df = df.withColumns(
         {
             "skill_score": skill_score,
             "title_score": title_score,
             "_bonus": bonus,
-            "domain_score": F.when(F.col("_domain") == person.domain, 10)
-            .when((F.col("_domain") == fv.SKILL_DOMAIN_DEFAULT) | F.lit(person.domain == fv.SKILL_DOMAIN_DEFAULT), 5)
+            "domain_score": F.when(F.col("_domain") == p.domain, 10)
+            .when((F.col("_domain") == fv.SKILL_DOMAIN_DEFAULT) | (p.domain == fv.SKILL_DOMAIN_DEFAULT), 5)
             .otherwise(0),
             "description_score": F.least(F.lit(10), F.size("_in_desc") * 2),
         }
     )
     df = df.withColumn("level_score", F.greatest(F.lit(0), F.least(F.lit(20), F.col("_bonus") + 10)))
-    total = _add([F.col(f"{p}_score") for p in ("skill", "title", "level", "domain", "description")])
+    total = _add([F.col(f"{n}_score") for n in ("skill", "title", "level", "domain", "description")])
     parts = F.array_compact(
         F.array(
             F.when(F.size("_matched") > 0, F.concat(F.size("_matched").cast("string"), F.lit(" matching skills"))),
             F.when(F.col("_bonus") >= 10, F.lit("great level fit")),
-            F.when(F.col("domain_score") >= 8, F.lit(f"{person.domain} domain")),
+            F.when(F.col("domain_score") >= 8, F.concat(p.domain, F.lit(" domain"))),
         )
     )
     reasoning = F.when(F.size(parts) > 0, F.array_join(parts, " · ")).otherwise("some relevance found")
@@ -250,10 +282,10 @@ def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
             "match_reasoning": reasoning,
             "matching_skills": F.slice(F.array_sort("_matched"), 1, 10),
             "missing_skills": F.slice(F.array_sort("_missing"), 1, 5),
-            "level_match": F.col("_level") == person.level,
+            "level_match": F.col("_level") == p.level,
         }
     ).withColumn("match_tier", C.tier(F.col("match_score")))
-    return df.drop("_title", "_desc", "_level", "_tech", "_in_desc", "_matched", "_missing", "_words", "_domain", "_bonus")
+    return df.drop(*_FEATURES, "_in_desc", "_matched", "_missing", "_bonus")
 
 
 def rank_for_resume(
@@ -266,10 +298,24 @@ def rank_for_resume(
     return scored.orderBy(F.desc("match_score"), F.desc("posted_date"), F.asc("id")).limit(limit)
 
 
-def rank_for_resumes(df: DataFrame, people: dict[str, Candidate], as_of, **options) -> DataFrame:
-    """Top listings of several candidates: one top-k per candidate, no pairing of the tables."""
-    parts = [
-        rank_for_resume(df, person, as_of, **options).withColumn("candidate_id", F.lit(name))
-        for name, person in people.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def rank_for_resumes(
+    df: DataFrame, people: DataFrame, as_of, days: int = fv.RESUME_RANK_DAYS, limit: int = 20, block: int = PEOPLE_BLOCK,
+) -> DataFrame:
+    """Best listings for each candidate of a table, as ``rank_for_resume`` gives them, with ``candidate_id``.
+
+    ``people`` has ``candidate_id, skills, level, domain, words,
+    past_title_words``. Candidates stand in blocks of about ``block``; a listing
+    meets each block once, so the listings are read and their features found
+    once, however many candidates there are. Only the best of each candidate and
+    task reach the shuffle.
+    """
+    recent = df.where(F.col("is_active") & (F.col("posted_date") >= days_before(as_of, days)))
+    fields = ("candidate_id", "skills", "level", "domain", "words", "past_title_words")
+    blocks = -(-people.count() // block) or 1
+    held = people.withColumn("_block", F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)).cast("int"))
+    held = held.groupBy("_block").agg(F.collect_list(F.struct(*fields)).alias("_people"))
+    met = listing_features(recent).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "_block")
+    pairs = met.withColumn("_one", F.explode("_people")).drop("_people", "_block")
+    p = _Person(*[F.col(f"_one.{n}") for n in fields[1:]])
+    scored = _scored(pairs.where(_compatible(p)), p).withColumn("candidate_id", F.col("_one.candidate_id")).drop("_one")
+    return top_per_group(scored, ["candidate_id"], [F.desc("match_score"), F.desc("posted_date"), F.asc("id")], limit)

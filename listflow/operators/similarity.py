@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -67,59 +64,48 @@ def top_similar_many(
 ) -> DataFrame:
     """Exact top ``limit`` rows for each of many queries.
 
-    Query vectors go to the tasks in blocks of bounded size. A task multiplies
-    its Arrow batches with the block and keeps the best rows of each query, so
-    pairs are never rows: at most ``limit`` per query and task leave it. The
-    table is scanned once per block.
+    Queries and rows meet in blocks of about ``block_rows`` and ``8 *
+    block_rows``, both by a hash of the key. A task multiplies one pair of blocks
+    and keeps the best of each query, so pairs are never rows and nothing goes
+    through the driver. Both tables are scanned once, whatever their size.
     """
-    qs = queries.select(F.col(query_key), F.col(vector).alias("_q")).where("_q is not null")
-    blocks = max(1, -(-qs.count() // block_rows))
-    spread = qs.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-    key_type = df.schema[key].dataType
+    asked = queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("q")).where("q is not null")
+    rows = df.select(F.col(key).alias("rid"), F.col(vector).alias("v")).where("v is not null")
+    n_asked, n_rows = max(1, -(-asked.count() // block_rows)), max(1, -(-rows.count() // (8 * block_rows)))
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def own(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    left = asked.select(own("qid", n_asked).alias("a"), all_of(n_rows).alias("b"), "qid", "q")
+    right = rows.select(all_of(n_asked).alias("a"), own("rid", n_rows).alias("b"), "rid", "v")
     out = T.StructType(
         [
             T.StructField(query_key, queries.schema[query_key].dataType),
-            T.StructField(key, key_type),
+            T.StructField(key, df.schema[key].dataType),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    rows = df.where(F.col(vector).isNotNull()).select(key, vector)
-    parts = []
-    for b in range(blocks):
-        batch = spread.where(F.col("_block") == b).select(query_key, "_q").toPandas()
-        if len(batch):
-            parts.append(rows.mapInPandas(_local_top(batch, limit, threshold, vector, key, query_key, exclude_self), out))
-    if not parts:
-        return df.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))
-    best = reduce(DataFrame.unionByName, parts)
+    best = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_block_top(limit, threshold, exclude_self, [f.name for f in out]), out)
     return top_per_group(best, [query_key], [F.desc("similarity"), F.asc(key)], limit, rank="rank")
 
 
-def _local_top(batch: pd.DataFrame, limit: int, threshold: float, vector: str, key: str, query_key: str, exclude_self: bool):
-    ids = batch[query_key].to_numpy()
-    unit = np.stack(batch["_q"].to_numpy()).astype(np.float64)
-    lengths = np.linalg.norm(unit, axis=1, keepdims=True)
-    unit = np.divide(unit, lengths, out=np.full_like(unit, np.nan), where=lengths > 0)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for pdf in parts:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (unit @ m.T) / n
-            row_ids = pdf[key].to_numpy()
-            hit = sims > threshold
-            if exclude_self:
-                hit &= ids[:, None] != row_ids[None, :]
-            q, r = np.nonzero(hit)
-            found = pd.DataFrame({query_key: ids[q], key: row_ids[r], "similarity": sims[q, r]})
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values([query_key, "similarity", key], ascending=[True, False, True])
-            kept = kept.groupby(query_key, sort=False).head(limit)
-        if kept is not None and len(kept):
-            yield kept
+def _block_top(limit: int, threshold: float, exclude_self: bool, names: list[str]):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names})
+        q, v = np.stack(left["q"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
+        ids, row_ids = left["qid"].to_numpy(), right["rid"].to_numpy()
+        hit = sims > threshold
+        if exclude_self:
+            hit &= ids[:, None] != row_ids[None, :]
+        a, b = np.nonzero(hit)
+        found = pd.DataFrame({names[0]: ids[a], names[1]: row_ids[b], "similarity": sims[a, b]})
+        found = found.sort_values([names[0], "similarity", names[1]], ascending=[True, False, True])
+        return found.groupby(names[0], sort=False).head(limit)
 
     return run

@@ -310,8 +310,9 @@ def resume_ranking_junior(spark, sf):
     f" SELECT 'b', id, match_score FROM ({sql_resume('listings', LISTINGS_AS_OF, JUNIOR, 3650, 20)})",
 )
 def resume_ranking_people(spark, sf):
-    out = R.rank_for_resumes(listings(spark, sf), {"a": PERSON, "b": JUNIOR}, LISTINGS_AS_OF, days=3650)
-    return out.select("candidate_id", "id", "match_score")
+    rows = [(n, p.skills, p.level, p.domain, p.words, p.past_title_words) for n, p in (("a", PERSON), ("b", JUNIOR))]
+    people = spark.createDataFrame(rows, "candidate_id string, skills array<string>, level string, domain string, words array<string>, past_title_words array<string>")
+    return R.rank_for_resumes(listings(spark, sf), people, LISTINGS_AS_OF, days=3650).select("candidate_id", "id", "match_score")
 
 
 # ------------------------------------------------------------------ vectors

@@ -278,3 +278,23 @@ def test_align_to_schema(spark):
     out = align_to_schema(spark.createDataFrame([("t", 5, "x")], "title string, salary_min int, other string"), LISTINGS)
     assert out.schema == LISTINGS.__class__([f for f in LISTINGS]) or [f.name for f in out.schema] == [f.name for f in LISTINGS]
     assert out.first().salary_min == 5 and "other" not in out.columns
+
+
+def test_candidates_of_a_table_rank_as_each_alone(spark):
+    from listflow.suite.people import JUNIOR, PERSON
+    from listflow.suite.views import LISTINGS_AS_OF, listings
+
+    df = listings(spark, "/root/testdata/sf0.001")
+    rows = [(f"{n}{i}", p.skills, p.level, p.domain, p.words, p.past_title_words) for i in range(3) for n, p in (("a", PERSON), ("b", JUNIOR))]
+    people = spark.createDataFrame(rows, "candidate_id string, skills array<string>, level string, domain string, words array<string>, past_title_words array<string>")
+    for block in (64, 2):
+        many = ranking.rank_for_resumes(df, people, LISTINGS_AS_OF, days=3650, limit=7, block=block)
+        # one scan of the listings, however many the candidates
+        assert many._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+        got = {}
+        for r in many.collect():
+            got.setdefault(r.candidate_id, []).append((-r.match_score, r.id, r.match_reasoning))
+        for n, p in (("a", PERSON), ("b", JUNIOR)):
+            alone = sorted((-r.match_score, r.id, r.match_reasoning) for r in ranking.rank_for_resume(df, p, LISTINGS_AS_OF, days=3650, limit=7).collect())
+            assert all(sorted(got[f"{n}{i}"]) == alone for i in range(3))
+    assert ranking.rank_for_resumes(df, people.limit(0), LISTINGS_AS_OF).count() == 0
