@@ -171,7 +171,7 @@ def search_page(
 ) -> DataFrame:
     """Featured rows (page 1 only) before the page of regular rows.
 
-    Adds ``tier`` (0 featured, 1 regular), ``position`` within the tier and ``_is_new``.
+    Adds ``tier`` (0 featured, 1 regular), ``position`` within the tier, ``_is_new`` and ``_is_featured``.
     Both tiers are top-k plans; nothing but their rows reaches the union.
     """
     from pyspark.sql import Window
@@ -183,12 +183,12 @@ def search_page(
 
     order = sort_keys(sort_by, descending)
     regular = placed(page_of(regular_rows(df, params, as_of), order, page, per_page), 1, order)
-    regular = regular.withColumn("_is_new", is_new(F.col("created_at"), as_of))
+    regular = regular.withColumn("_is_new", is_new(F.col("created_at"), as_of)).withColumn("_is_featured", F.lit(False))
     if page != 1:
         return regular
     top_order = sort_keys("created_at", True)
     featured = featured_rows(df, params, as_of, all_filters).orderBy(*top_order).limit(featured_limit)
-    top = placed(featured, 0, top_order).withColumn("_is_new", F.lit(False))
+    top = placed(featured, 0, top_order).withColumn("_is_new", F.lit(False)).withColumn("_is_featured", F.lit(True))
     # The two tiers exclude each other by their predicate.
     return top.unionByName(regular).orderBy("tier", "position")
 
@@ -229,8 +229,10 @@ def flag_members(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFram
 
 
 def list_companies(
-    df: DataFrame, q: str | None = None, company_type: str | None = None, vc_backer: str | None = None
+    df: DataFrame, q: str | None = None, company_type: str | None = None, vc_backer: str | None = None,
+    page: int | None = None, per_page: int = 20, order: tuple[str, ...] = ("id",),
 ) -> DataFrame:
+    """Companies that fit, all of them or one page in ``order``."""
     conditions = []
     if q:
         conditions.append(contains_text(F.col("name"), q))
@@ -238,4 +240,30 @@ def list_companies(
         conditions.append(F.col("company_type") == company_type)
     if vc_backer:
         conditions.append(has_tag(vc_backer, "vc_backers"))
-    return where_all(df, conditions)
+    found = where_all(df, conditions)
+    return found if page is None else page_of(found, [F.asc(c) for c in order], page, per_page)
+
+
+def company_total(df: DataFrame, q: str | None = None, company_type: str | None = None, vc_backer: str | None = None) -> DataFrame:
+    """One row ``(total)``: companies that fit, on all pages."""
+    return list_companies(df, q, company_type, vc_backer).agg(F.count("*").alias("total"))
+
+
+def company_profile(companies: DataFrame, listings: DataFrame, slug: str, limit: int = 50) -> DataFrame:
+    """The company of a slug beside each of its ``limit`` newest active listings.
+
+    A listing belongs to it when its company name contains the company's.
+    ``job_count`` is the number of listings shown. A company without any has one
+    row of nulls; an unknown slug, or one that several companies bear, is an error.
+    """
+    from pyspark.sql import Window
+
+    from listflow.operators.matching import one_row
+
+    company = one_row(companies.select("slug", "name"), F.col("slug") == slug)
+    jobs = listings.where(F.col("is_active") & contains_text(F.col("company_name"), company.name))
+    order = [F.desc_nulls_first("posted_date"), F.asc("id")]
+    # The count is over the rows shown, at most ``limit``.
+    shown = jobs.orderBy(*order).limit(limit).withColumn("job_count", F.count("*").over(Window.partitionBy("is_active")))
+    one = companies.where(F.col("slug") == slug).select(F.col("slug").alias("company_slug"), F.col("name").alias("profile_name"))
+    return one.join(shown.withColumn("company_slug", F.lit(slug)), "company_slug", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0)))

@@ -119,6 +119,32 @@ def company_list(spark, sf):
     return S.list_companies(df, "9", "BUILDING", "BUILDING").select("id", "name")
 
 
+def _companies(spark, sf):
+    return table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS company_type", "array(c_mktsegment) AS vc_backers")
+
+
+@query("company_page", "F-16 G-4", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_name ILIKE '%9%' ORDER BY 1 LIMIT 20 OFFSET 40")
+def company_page(spark, sf):
+    return S.list_companies(_companies(spark, sf), "9", page=3).select("id", "name")
+
+
+@query("company_total", "F-16 A-2", "SELECT count(*) AS total FROM customer WHERE c_name ILIKE '%9%' AND c_mktsegment = 'BUILDING'")
+def company_total(spark, sf):
+    return S.company_total(_companies(spark, sf), "9", "BUILDING")
+
+
+@query(
+    "company_profile", "F-16 J-9",
+    """SELECT 'google-india' AS company_slug, id, company_name, count(*) OVER () AS job_count FROM
+       (SELECT * FROM listings WHERE is_active AND company_name ILIKE '%google india%' ORDER BY posted_date DESC NULLS FIRST, id LIMIT 50)""",
+)
+def company_profile(spark, sf):
+    """Every company name of the listings has a page of its own."""
+    df = listings(spark, sf)
+    companies = df.select(F.col("company_name").alias("name")).distinct().withColumn("slug", F.replace(F.lower("name"), F.lit(" "), F.lit("-")))
+    return S.company_profile(companies, df, "google-india").select("company_slug", "id", "company_name", "job_count")
+
+
 # ------------------------------------------------------------------ sorting and paging
 @query(
     "sorted_nulls_first", "G-1 H-2",

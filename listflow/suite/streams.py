@@ -9,9 +9,9 @@ from listflow.session import shared_dir
 from listflow.sources import feeds as S
 from listflow.sources.tables import current_rows, read_changes, write_changes
 from listflow.streaming import jobs as J
-from listflow.suite.keys import MERGE_SIDES, _sides
+from listflow.suite.keys import MERGE_SIDES, _EXPIRE, _sides
 from listflow.suite.registry import query, ts_col, ts_text
-from listflow.suite.views import LISTINGS_AS_OF, table
+from listflow.suite.views import LISTINGS_AS_OF, listings, table
 
 
 def _event_stream(spark, sf):
@@ -71,7 +71,7 @@ def stream_feed_ingest(spark, sf):
 
 
 @query(
-    "stream_upsert_merge", "T-3 T-5 U-1 U-4 S-23",
+    "stream_upsert_merge", "T-3 U-1 U-4 S-23",
     MERGE_SIDES
     + """SELECT coalesce(s.dedup_hash, n.dedup_hash) AS dedup_hash, coalesce(s.salary_min, n.salary_min) AS salary_min,
     coalesce(s.is_active, n.is_active) AS is_active FROM s FULL JOIN n ON s.dedup_hash = n.dedup_hash""",
@@ -88,3 +88,19 @@ def stream_upsert_merge(spark, sf):
         half.write.mode("append").parquet(landing)
         J.run_available(J.landed_files(spark, landing, incoming.schema, "parquet"), handler, checkpoint)
     return current_rows(read_changes(spark, log), "dedup_hash").select("dedup_hash", "salary_min", "is_active")
+
+
+@query(
+    "stream_expiry", "T-5 L-1 S-20",
+    f"""SELECT CAST(id AS VARCHAR) AS dedup_hash, CASE WHEN coalesce({_EXPIRE}, false) THEN false ELSE is_active END AS is_active,
+        CASE WHEN coalesce({_EXPIRE}, false) THEN {ts_text(f"TIMESTAMP '{LISTINGS_AS_OF}'")} ELSE {ts_text('posted_date')} END AS changed FROM listings""",
+)
+def stream_expiry(spark, sf):
+    """Listings land in files, two to a micro-batch; compaction of their log expires the old ones."""
+    rows = listings(spark, sf).select(F.col("id").cast("string").alias("dedup_hash"), F.col("id").alias("seq"), "is_active", "posted_date", F.col("posted_date").alias("updated_at"))
+    log, landing, checkpoint, compacted = (shared_dir(spark, p) for p in ("log", "landing", "checkpoint", "compacted"))
+    rows.repartition(6, "dedup_hash").write.parquet(landing)
+    stream = J.landed_files(spark, landing, rows.schema, "parquet", files_per_batch=2)
+    J.run_available(stream, lambda df, batch: write_changes(df.drop("seq"), log, batch), checkpoint)
+    J.compact(spark, log, compacted, as_of=LISTINGS_AS_OF)
+    return read_changes(spark, compacted).select("dedup_hash", "is_active", ts_col("updated_at", "changed"))

@@ -298,3 +298,16 @@ def test_candidates_of_a_table_rank_as_each_alone(spark):
             alone = sorted((-r.match_score, r.id, r.match_reasoning) for r in ranking.rank_for_resume(df, p, LISTINGS_AS_OF, days=3650, limit=7).collect())
             assert all(sorted(got[f"{n}{i}"]) == alone for i in range(3))
     assert ranking.rank_for_resumes(df, people.limit(0), LISTINGS_AS_OF).count() == 0
+
+
+def test_company_pages(spark):
+    companies = spark.createDataFrame([(1, "acme", "Acme"), (2, "none", "Nobody"), (3, "twice", "A"), (4, "twice", "B")], "id long, slug string, name string")
+    jobs = spark.createDataFrame([(i, "ACME Labs" if i % 2 else "Other", i != 5, f"2024-01-0{i}") for i in range(1, 8)], "id long, company_name string, is_active boolean, d string").withColumn("posted_date", F.to_timestamp("d"))
+    got = search.company_profile(companies, jobs, "acme", limit=2).collect()
+    assert sorted((r.id, r.job_count) for r in got) == [(3, 2), (7, 2)]
+    assert [(r.id, r.job_count) for r in search.company_profile(companies, jobs, "none").collect()] == [(None, 0)]
+    for slug in ("missing", "twice"):
+        with pytest.raises(LookupError):
+            search.company_profile(companies, jobs, slug)
+    assert [r.id for r in search.list_companies(companies, page=2, per_page=3).collect()] == [4]
+    assert search.company_total(companies, "a").first().total == 2
