@@ -423,3 +423,40 @@ def union_feeds(parts: list[tuple[int, DataFrame]]) -> DataFrame:
     """Bag union of sources with their priority as ``source_rank``."""
     ranked = [df.withColumn("source_rank", F.lit(rank)) for rank, df in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+
+
+#: List and record of a bulk source's payload.
+BULK_RECORDS = {
+    "Adzuna-IN": (
+        "results",
+        "title: string, company: struct<display_name: string>, location: struct<display_name: string, area: array<string>>,"
+        " redirect_url: string, description: string, created: string, salary_min: double, salary_max: double",
+    ),
+    "JSearch": (
+        "data",
+        "job_title: string, employer_name: string, job_apply_link: string, job_city: string, job_description: string,"
+        " job_is_remote: boolean, job_posted_at_datetime_utc: string, job_min_salary: double, job_max_salary: double,"
+        " job_salary_currency: string",
+    ),
+}
+
+
+def bulk_payload_rows(df: DataFrame, source: str, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of bulk payloads in the columns that ``plans.jobs.bulk_rows`` reads.
+
+    The city is the last of a place's areas, else the place's name.
+    """
+    root, record = BULK_RECORDS[source]
+    parsed = F.from_json(payload, f"struct<{root}: array<struct<{record}>>>")
+    r = df.select(*keep, F.explode(parsed[root]).alias("_r"))
+    if source == "JSearch":
+        names = {
+            "title": "job_title", "company": "employer_name", "url": "job_apply_link", "city": "job_city", "description": "job_description",
+            "posted_text": "job_posted_at_datetime_utc", "salary_min": "job_min_salary", "salary_max": "job_max_salary",
+            "is_remote": "job_is_remote", "currency": "job_salary_currency",
+        }
+        return r.select(*keep, *[F.col(f"_r.{field}").alias(name) for name, field in names.items()])
+    areas = F.col("_r.location.area")
+    city = F.when(F.size(areas) > 0, F.element_at(areas, -1)).otherwise(F.col("_r.location.display_name"))
+    names = {"title": "title", "company": "company.display_name", "url": "redirect_url", "description": "description", "posted_text": "created", "salary_min": "salary_min", "salary_max": "salary_max"}
+    return r.select(*keep, *[F.col(f"_r.{field}").alias(name) for name, field in names.items()], city.alias("city"))

@@ -231,7 +231,7 @@ _BULK = f"""b AS (SELECT id AS seq, trim(title) AS title, trim(company_name) AS
 
 
 @query(
-    "bulk_rows", "S-14 P-13 P-14 C-4 C-5 C-8 C-10 C-12 F-12",
+    "bulk_rows", "P-13 P-14 C-4 C-5 C-8 C-10 C-12 F-12",
     f"""WITH {_BULK} SELECT seq, title, city AS location_city, shown AS description, {sql_remote("lower(title || ' ' || city || ' ' || d)", ['hybrid'])} AS remote_type,
         {sql_level('lower(title)')} AS experience_level, {sql_job_type("lower(title || ' ' || d)")} AS job_type,
         {case([('big_tech', any_of('lower(company_name)', fv.BULK_BIG_TECH)), ('stealth', "contains(lower(company_name), 'stealth')"),
@@ -252,7 +252,7 @@ def _bulk_input(spark, sf):
 
 
 @query(
-    "bulk_insert_rows", "S-15 D-5 D-6 F-10 C-16 U-3",
+    "bulk_insert_rows", "D-5 D-6 F-10 C-16 U-3",
     f"""WITH {_BULK}, v AS (SELECT *, {key_sha('company_name', 'title', 'city', raw=['apply_url'])} AS dedup_hash FROM k
           WHERE length(title) >= 5 AND apply_url LIKE 'http%' AND NOT {any_of('lower(title)', fv.BULK_NON_TECH)})
         SELECT dedup_hash, min(seq) AS seq FROM v GROUP BY 1""",
@@ -262,6 +262,44 @@ def run_bulk_insert_rows(spark, sf):
     return bulk_insert_rows(rows, LISTINGS_AS_OF).select("dedup_hash", "seq")
 
 
+def _bulk_payload_sql(city: str, currency: str, remote: str) -> str:
+    return f"""WITH b AS (SELECT *, trim(title) AS t, trim(company_name) AS c, coalesce(nullif({city}, ''), 'India') AS city, {_SENT} AS d FROM listings),
+      k AS (SELECT *, {currency} AS currency FROM b WHERE t <> '' AND c <> '' AND apply_url <> '')
+      SELECT id AS seq, t AS title, c AS company_name, city AS location_city, {remote} AS remote_type, currency AS salary_currency, salary_min, salary_max,
+        {_SQL_POSTED} AS posted_date FROM k WHERE {sql_region_ok('lower(t)', 'currency', 'd')}"""
+
+
+def _bulk_payload_rows(spark, sf, source: str, record: str) -> DataFrame:
+    root = S.BULK_RECORDS[source][0]
+    landed = listings(spark, sf).selectExpr("id AS seq", "*", f"{record} AS r").selectExpr("seq", f"to_json(named_struct('{root}', array(r))) AS payload")
+    rows = bulk_rows(S.bulk_payload_rows(landed, source, keep=("seq",)), source, LISTINGS_AS_OF)
+    return rows.select("seq", "title", "company_name", "location_city", "remote_type", "salary_currency", "salary_min", "salary_max", ts_col("posted_date"))
+
+
+@query(
+    "bulk_payloads_adzuna", "S-14 P-13",
+    _bulk_payload_sql("CASE id % 3 WHEN 0 THEN location_city ELSE location_country END", "'INR'", sql_remote("lower(t || ' ' || city || ' ' || d)", ["hybrid"])),
+)
+def bulk_payloads_adzuna(spark, sf):
+    """Places with areas, with an empty list of them, and with a name only."""
+    record = f"""named_struct('redirect_url', apply_url, 'title', title, 'company', named_struct('display_name', company_name),
+      'location', named_struct('display_name', location_country, 'area', CASE id % 3 WHEN 0 THEN array('India', location_city) WHEN 1 THEN cast(array() as array<string>) END),
+      'description', description, 'created', {_DAY}, 'salary_min', salary_min, 'salary_max', salary_max)"""
+    return _bulk_payload_rows(spark, sf, "Adzuna-IN", record)
+
+
+@query(
+    "bulk_payloads_jsearch", "S-15 P-14",
+    _bulk_payload_sql(
+        "location_city", "coalesce(salary_currency, 'INR')", f"CASE WHEN visa_sponsorship THEN 'remote' ELSE {sql_remote('lower(t || chr(32) || d)', ['hybrid'])} END"
+    ),
+)
+def bulk_payloads_jsearch(spark, sf):
+    record = f"""named_struct('job_apply_link', apply_url, 'job_title', title, 'employer_name', company_name, 'job_city', location_city, 'job_description', description,
+      'job_is_remote', visa_sponsorship, 'job_posted_at_datetime_utc', {_DAY}, 'job_min_salary', salary_min, 'job_max_salary', salary_max, 'job_salary_currency', salary_currency)"""
+    return _bulk_payload_rows(spark, sf, "JSearch", record)
+
+
 # ------------------------------------------------------------------ boards
 # One payload per span of listings; the spans belong to the boards in turn. One source
 # wraps its list in a list of results; the others name it at the top, or not at all.
