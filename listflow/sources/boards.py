@@ -276,7 +276,7 @@ def json_board_rows(items: DataFrame, as_of, keep: tuple[str, ...] = ()) -> Data
 # ------------------------------------------------------------------ HTML boards
 @dataclass(frozen=True)
 class Pick:
-    """One element test: tag, class word, part of the class, part of the link, place in the row."""
+    """One element test: tag, class word, part of the class, part of the link, place in the row, ancestors."""
 
     tag: str = ""
     cls: str = ""
@@ -284,6 +284,8 @@ class Pick:
     href: str | None = None
     nth: int = 0
     attr: str = ""
+    id: str = ""
+    within: tuple["Pick", ...] = ()  # ancestors, the outermost first
 
     def fits(self, node: "_Node") -> bool:
         a = node.attrs
@@ -295,8 +297,17 @@ class Pick:
             and (self.href is None or ("href" in a and self.href in (a["href"] or "")))
             and (not self.attr or self.attr in a)
             and (not self.nth or node.place == self.nth)
+            and (not self.id or a.get("id") == self.id)
+            and (not self.within or self._lies_within(node))
         )
 
+    def _lies_within(self, node: "_Node") -> bool:
+        wanted = list(self.within)
+        while wanted and (node := node.parent) is not None:
+            if wanted[-1].fits(node):
+                wanted.pop()
+        return not wanted
+
 
 def tags(*names: str) -> tuple[Pick, ...]:
     return tuple(Pick(tag=n) for n in names)
@@ -376,7 +387,7 @@ HTML_BOARDS = [
     ),
     HtmlBoard(
         "HasJob", "https://hasjob.co",
-        (*classes("listjob"), Pick(tag="a", cls="listheader"), Pick(tag="div", attr="data-headline")),
+        (*[Pick(cls="listjob", within=(outer,)) for outer in (*classes("sticky-outer-wrapper", "stickycontainer"), Pick(id="main"), *classes("col-auto"))], Pick(tag="a", cls="listheader"), Pick(tag="div", attr="data-headline")),
         (*classes("headline"), *tags("h2", "h3")), classes("companyname", "company", "org"), classes("location"),
         fallback=(Pick(tag="a", href="/view/"),), default_company="Indian Company",
     ),
@@ -407,8 +418,9 @@ HTML_BOARDS = [
     ),
     HtmlBoard(
         "Internshala", "https://internshala.com",
-        (*classes("individual_internship"), Pick(tag="div", cls="internship_meta"), Pick(tag="div", part="job"),
-         Pick(tag="a", href="/fresher-job/"), Pick(tag="div", part="internship")),
+        (Pick(tag="div", cls="individual_internship"), Pick(tag="div", cls="internship_meta"), Pick(tag="div", part="job"),
+         Pick(tag="a", href="/fresher-job/"),
+         Pick(tag="div", part="internship", within=(Pick(tag="div", cls="container-fluid"), Pick(cls="internship_list_container")))),
         (*tags("h3", "h4"), *classes("job-internship-name", "profile"), *parts("title")),
         (*classes("company_name", "company-name"), *parts("company")),
         (*classes("location_link"), *parts("location"), *classes("loc")),
@@ -418,7 +430,7 @@ HTML_BOARDS = [
     ),
     HtmlBoard(
         "Freshersworld", "https://www.freshersworld.com",
-        (Pick(tag="div", part="job"), Pick(tag="a", href="/job/")),
+        (Pick(tag="div", part="job"), Pick(tag="a", href="/job/"), Pick(cls="job-details", within=(Pick(tag="div", cls="latest-jobs-block"),))),
         (*_HEADS, *classes("job-title"), *parts("title"), Pick(tag="span", cls="wrap-title")),
         (*classes("company-name"), *parts("company"), *classes("org")),
         (*classes("location"), *parts("loc"), *classes("city")),
@@ -475,10 +487,10 @@ def source_rank(source: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "items", "place", "elements")
+    __slots__ = ("tag", "attrs", "items", "place", "elements", "parent")
 
-    def __init__(self, tag: str, attrs: dict, place: int):
-        self.tag, self.attrs, self.items, self.place, self.elements = tag, attrs, [], place, 0
+    def __init__(self, tag: str, attrs: dict, place: int, parent: "_Node | None" = None):
+        self.tag, self.attrs, self.items, self.place, self.elements, self.parent = tag, attrs, [], place, 0, parent
 
     def walk(self) -> Iterator["_Node"]:
         """Descendant elements in document order; unclosed tags may nest very deep."""
@@ -498,8 +510,16 @@ class _Node:
                 todo.extend(reversed(item.items))
         return "".join(out)
 
-    def first(self, picks: tuple[Pick, ...]) -> "_Node | None":
-        return next((n for n in self.walk() if any(p.fits(n) for p in picks)), None)
+    def firsts(self, wanted: dict[str, tuple[Pick, ...]]) -> dict[str, "_Node"]:
+        """The first descendant that fits each of the wanted tests, in one walk."""
+        found, left = {}, dict(wanted)
+        for node in self.walk():
+            for name in [n for n, picks in left.items() if any(p.fits(node) for p in picks)]:
+                found[name] = node
+                del left[name]
+            if not left:
+                break
+        return found
 
 
 class _Page(HTMLParser):
@@ -517,7 +537,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1]
         parent.elements += 1
-        node = _Node(tag, dict(attrs), parent.elements)
+        node = _Node(tag, dict(attrs), parent.elements, parent)
         parent.items.append(node)
         if tag not in self._VOID:
             self.open.append(node)
@@ -543,19 +563,17 @@ def page_cards(html: str, board: HtmlBoard, limit: int | None = None) -> list[tu
         if cards:
             break
 
-    def text(card: _Node, picks: tuple[Pick, ...]) -> str | None:
-        hit = card.first(picks) if picks else None
-        return hit.text() if hit is not None else None
-
-    any_link = (Pick(tag="a", href=""),)
+    wanted = {"title": board.title, "company": board.company, "location": board.location, "salary": board.salary, "link": (Pick(tag="a", href=""),)}
+    wanted = {name: picks for name, picks in wanted.items() if picks}
     out = []
     for pos, card in enumerate(cards[:limit]):
-        link = card if card.tag == "a" else card.first(any_link)
+        hits = card.firsts(wanted)
+        link = card if card.tag == "a" else hits.get("link")
         href = (link.attrs.get("href") or "") if link is not None else None
-        title = text(card, board.title)
+        title, company, place, pay = (hits[n].text() if n in hits else None for n in ("title", "company", "location", "salary"))
         if title is None and board.link_title and link is not None:
             title = link.text()
-        out.append((pos, href, title, text(card, board.company), text(card, board.location), text(card, board.salary)))
+        out.append((pos, href, title, company, place, pay))
     return out
 
 

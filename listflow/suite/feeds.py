@@ -385,29 +385,28 @@ def json_board_rows(spark, sf):
 # One HTML page per eight orders, a card per order, cards nested in divs. Two
 # neighbours share a link.
 CARDS = 8
+_BOARDS = list(B.HTML_BOARDS)
 
 
 def _card_pages(spark, sf) -> DataFrame:
-    ref = F.expr("o_orderkey div 2")
+    ref, board = F.expr("o_orderkey div 2"), F.expr(f"(o_orderkey div {CARDS}) % {len(_BOARDS)}")
     card = F.concat(
-        F.lit('<div class="job-card"><div class="top"><h3 class="title"> Role &amp; '), F.col("o_orderkey"),
+        F.lit('<div class="job-card listjob"><div class="top"><h3 class="title"> Role &amp; '), F.col("o_orderkey"),
         F.lit(' Engineer<br></h3><span class="company">'), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("Maker "), "o_custkey")).otherwise(""),
         F.lit("</span></div>"),
         F.when(F.col("o_totalprice") > 90000, F.concat(F.lit('<span class="location">City '), "o_custkey", F.lit(", India</span>"))).otherwise(""),
-        F.lit('<a href="'), F.when(ref % 3 == 0, F.lit("https://x.example/")).otherwise("/job/"), ref, F.lit('">Apply</a></div>'),
+        F.lit('<a href="'), F.when(ref % 3 == 0, F.lit("https://x.example/")).when(board == 0, "/companies/").otherwise("/job/"), ref, F.lit('">Apply</a></div>'),
     )
     df = table(spark, sf, "orders").select("o_orderkey", card.alias("card"))
     df = df.groupBy(F.expr(f"o_orderkey div {CARDS}").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "card"))).alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
-    return df.select("page_id", F.concat(F.lit("<html><body><ul><li>Jobs<p>"), body, F.lit("</body>")).alias("html"))
+    return df.select("page_id", F.concat(F.lit('<html><body><ul><li>Jobs<p><div id="main">'), body, F.lit("</body>")).alias("html"))
 
 
 _CARDS = f"""d AS (SELECT o_orderkey // {CARDS} AS page_id, o_orderkey % {CARDS} AS pos, 'Role & ' || o_orderkey || ' Engineer' AS title,
     CASE WHEN o_orderstatus <> 'F' THEN 'Maker ' || o_custkey ELSE '' END AS company, CASE WHEN o_totalprice > 90000 THEN 'City ' || o_custkey || ', India' END AS place,
-    CASE WHEN (o_orderkey // 2) % 3 = 0 THEN 'https://x.example/' ELSE '/job/' END || (o_orderkey // 2) AS href FROM orders)"""
-
-
-_BOARDS = [b for b in B.HTML_BOARDS]
+    CASE WHEN (o_orderkey // 2) % 3 = 0 THEN 'https://x.example/' WHEN (o_orderkey // {CARDS}) % {len(_BOARDS)} = 0 THEN '/companies/' ELSE '/job/' END || (o_orderkey // 2) AS href
+    FROM orders)"""
 
 
 def _by_board(value) -> str:
@@ -415,15 +414,14 @@ def _by_board(value) -> str:
     return "CASE source " + " ".join(f"WHEN {lit(b.source)} THEN {lit(str(value(b)))}" for b in _BOARDS) + " END"
 
 
-# These pages have no cards of two boards, whose rules ask for other links. A third
-# board's rules fit only the links themselves, so its titles are the link texts.
-_NO_CARDS = "('YC-Jobs', 'HasJob')"
+# The rules of two boards fit only the links themselves, so their titles are the link texts.
+_LINK_BOARDS = "('YC-Jobs', 'Karkidi')"
 _HTML_SQL = f"""WITH {_CARDS}, t AS (SELECT *, ([{', '.join(lit(b.source) for b in _BOARDS)}])[(page_id % {len(_BOARDS)}) + 1] AS source FROM d),
-  s AS (SELECT page_id, pos, href, source, CASE WHEN source = 'Karkidi' THEN 'Apply' ELSE title END AS title, CASE WHEN source = 'Karkidi' THEN '' ELSE company END AS company,
-    CASE WHEN source NOT IN ('Karkidi', 'Simplify') THEN place END AS place FROM t WHERE source <> 'Karkidi' OR href LIKE '/job/%'),
+  s AS (SELECT page_id, pos, href, source, CASE WHEN source IN {_LINK_BOARDS} THEN 'Apply' ELSE title END AS title, CASE WHEN source IN {_LINK_BOARDS} THEN '' ELSE company END AS company,
+    CASE WHEN source NOT IN ('YC-Jobs', 'Karkidi', 'Simplify') THEN place END AS place FROM t WHERE source NOT IN {_LINK_BOARDS} OR href LIKE '/%'),
   k AS (SELECT *, {_by_board(lambda b: b.unique_links)} AS unique_links, {_by_board(lambda b: b.need_company)} AS need_company,
     coalesce(nullif(company, ''), {_by_board(lambda b: b.default_company)}) AS named, coalesce(place, {_by_board(lambda b: b.default_location)}) AS located,
-    {_by_board(lambda b: b.origin)} AS origin, {_by_board(lambda b: b.absolute_only)} AS absolute_only FROM s WHERE source NOT IN {_NO_CARDS}
+    {_by_board(lambda b: b.origin)} AS origin, {_by_board(lambda b: b.absolute_only)} AS absolute_only FROM s
     QUALIFY unique_links = 'False' OR row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1)
   SELECT source, page_id, title, named AS company_name, split_part(located, ',', 1) AS location_city,
     CASE WHEN contains(located, ',') THEN trim(regexp_extract(located, '[^,]*$')) END AS location_country,

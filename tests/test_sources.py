@@ -151,6 +151,16 @@ def test_unique_links_and_skips(spark):
     assert rows[0].company_name == "Indian Company" and rows[0].apply_url == "https://hasjob.co/view/0"
 
 
+def test_cards_lie_within_their_ancestors(spark):
+    job = '<div class="listjob"><span class="headline">Job {}</span><a href="/v/{}">x</a></div>'
+    page = job.format("out", 0) + f'<div id="main"><p>{job.format("in", 1)}</p></div><div class="col-auto">{job.format("too", 2)}</div>'
+    assert [r.title for r in html_rows(spark, "HasJob", page)] == ["Job in", "Job too"]
+    card = '<div class="x-internship"><h3>Analyst {}</h3><a href="/i/{}">x</a></div>'
+    page = card.format("out", 0) + f'<div class="container-fluid"><div class="internship_list_container">{card.format("in", 1)}</div></div>'
+    # the container's own class holds the word too, but it does not lie in itself
+    assert [r.title for r in html_rows(spark, "Internshala", page)] == ["Analyst in"]
+
+
 def test_fallback_cards_and_deep_nesting(spark):
     rows = html_rows(spark, "HasJob", "<p>" * 5000 + '<a href="/view/9"> Data Engineer </a><script>var x="<a href=/view/8>no</a>"</script>')
     assert [r.title for r in rows] == ["Data Engineer"]
