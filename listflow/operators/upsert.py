@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from listflow.functions.dates import as_timestamp
 from listflow.functions.text import strip
+from listflow.operators.matching import is_small
 
+#: Rows of a folded batch that may be broadcast, if their bytes allow it.
+MAX_BATCH_ROWS = 100_000
 KEEP = ("id", "created_at")
 
 
@@ -183,14 +186,20 @@ def upsert(
     """The new snapshot: every stored row, changed where matched, plus the new rows.
 
     ``stored`` has one row per key. ``incoming`` may have many, in the order of
-    ``order``. With ``small_batch`` (the caller has counted the batch) the folded
-    batch is broadcast and the stored table is not shuffled; otherwise both sides
-    meet in one full outer join on the key. The results are equal.
+    ``order``. With ``small_batch`` the folded batch is written once to the shared
+    folder and measured there; if its rows and bytes are few it is broadcast and
+    the stored table is not shuffled. Otherwise both sides meet in one full outer
+    join on the key. The results are equal.
     ``with_action`` adds ``action``: inserted, updated or kept. ``only_changes``
     leaves the kept rows out, for a change log instead of a new snapshot.
     """
     now = as_timestamp(as_of)
     batch = fold_for_policy(incoming.where(F.col(key).isNotNull()), policy, key, order)
+    if small_batch:
+        from listflow.sources.tables import staged
+
+        batch = staged(batch, "folded")
+        small_batch = is_small(batch, MAX_BATCH_ROWS)
     shared = [c for c in batch.columns if c in stored.columns]
     matched = _matched_columns(policy, stored, shared, key, now, sources)
     inserted = _inserted_columns(policy, stored, shared, key, now)

@@ -15,7 +15,7 @@ from listflow.operators.matching import MAX_BROADCAST_ROWS, is_small
 from listflow.operators.upsert import upsert
 from listflow.session import shared_dir
 from listflow.sources.feeds import Feed, load_feed
-from listflow.sources.tables import current_rows, read_changes, write_changes
+from listflow.sources.tables import current_rows, read_changes, staged, write_changes
 
 
 def landed_files(
@@ -98,6 +98,8 @@ def upsert_handler(
     """
 
     def handle(df: DataFrame, batch: int) -> None:
+        # Written once: the batch is read for its size, its keys and its rows.
+        df = staged(df, "micro-batch")
         small = is_small(df, max_broadcast)
         keys = df.select(key).distinct()
         log_rows = read_changes(spark, log, before=batch + 1)

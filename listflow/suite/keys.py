@@ -167,12 +167,9 @@ def upsert_merge(spark, sf):
 
 @query("upsert_merge_small_batch", "U-1 U-4 J-4", MERGE_SQL)
 def upsert_merge_small_batch(spark, sf):
-    """The same upsert; the folded batch is broadcast when a count shows that it is small."""
-    from listflow.operators.matching import MAX_BROADCAST_ROWS, is_small
-
+    """The same upsert; the folded batch is broadcast when its rows and bytes are few."""
     stored, incoming = _sides(spark, sf)
-    small = is_small(incoming, 10 * MAX_BROADCAST_ROWS)
-    return _show(up.upsert(stored, incoming, LISTINGS_AS_OF, "merge", small_batch=small, with_action=True))
+    return _show(up.upsert(stored, incoming, LISTINGS_AS_OF, "merge", small_batch=True, with_action=True))
 
 
 def _first_row(c: str) -> str:
