@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from listflow.llm.common import staged, table
+from listflow.llm.common import drop_staged, hidden, staged, staged_so_far, table
 from listflow.llm.mixing import mix
 from listflow.llm.near_dup import near_duplicates
 from listflow.llm.packing import pack
@@ -29,8 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once; rows without an id stay."""
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    name = hidden(left, "again")
     again = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_again", again).where("_again = 1 or doc_id is null").drop("_again")
+    return left.withColumn(name, again).where((F.col(name) == 1) | F.col("doc_id").isNull()).drop(name)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole table. Once a stage is written, what it and those before it staged goes."""
+    docs, since = table(spark, sf_dir, "documents"), staged_so_far()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.split()[0].lower())
+        drop_staged(spark, since)
     return docs

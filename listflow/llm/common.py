@@ -7,7 +7,6 @@ numpy finds words, their hashes and the text that each belongs to.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +35,38 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: Tables written by ``staged`` in this process that have not been dropped.
+_WRITTEN: list[str] = []
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several steps read to the shared folder and read it back.
 
-    The copy outlives lost executors and cuts lineage.
+    The copy outlives lost executors and cuts lineage. It stays until
+    ``drop_staged`` or the owner of ``spark.checkpoint.dir`` removes it.
     """
     path = shared_dir(df.sparkSession, f"llm-{purpose}")
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the tables staged after the first ``since``, but for the last ``keep``.
+
+    Only right when nothing that is still to be read depends on them.
+    """
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def staged_so_far() -> int:
+    return len(_WRITTEN)
+
+
 def hidden(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -55,10 +76,6 @@ def hidden(df: DataFrame, stem: str) -> str:
     return name
 
 
-def fresh_id() -> str:
-    return uuid.uuid4().hex
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> _S32)

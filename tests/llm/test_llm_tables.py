@@ -265,3 +265,13 @@ def test_nothing_else_imports_the_package():
     assert {"pipeline", *QUERIES} <= set(entry.queries())
     code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, *a):\n        if name.startswith('listflow.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert 'pipeline' not in e.queries() and not any(k.startswith('op1_') for k in e.queries()) and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_run_leaves_only_its_result(spark):
+    from listflow.llm import common
+
+    before = list(common._WRITTEN)
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p for p in common._WRITTEN if p not in before]
+    assert len(left) == 1 and rows.count() > 0
+    assert Path(left[0].removeprefix("file:")).is_dir() and not list(Path(left[0]).parent.glob("llm-quality-*"))
