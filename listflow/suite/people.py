@@ -215,13 +215,22 @@ _RANKED = f"""WITH c AS (SELECT * FROM postings WHERE is_active AND posted_date
   ranked AS (SELECT * FROM scored WHERE match_score >= 15 ORDER BY match_score DESC, is_new DESC, days_old, id LIMIT 30)"""
 
 
-@query("keyword_ranking", "R-3 F-15 G-5 G-7 W-4 P-15", f"{_RANKED} SELECT {_SCORE_COLUMNS} FROM ranked")
+@query("keyword_ranking", "R-3 F-15 G-5 W-4 P-15", f"{_RANKED} SELECT {_SCORE_COLUMNS} FROM ranked")
 def keyword_ranking(spark, sf):
     df = postings(spark, sf)
     df = df.select("is_active", *[c for c in ranking_columns() if c in df.columns])
     return _score_columns(R.rank_by_keywords(df, KEYWORDS, POSTINGS_AS_OF))
 
 
+@query(
+    "keyword_ranking_newest", "G-7 R-3",
+    _RANKED.replace("INTERVAL 21 DAY)", "INTERVAL 21 DAY ORDER BY posted_date DESC, id LIMIT 200)") + f" SELECT {_SCORE_COLUMNS} FROM ranked",
+)
+def keyword_ranking_newest(spark, sf):
+    """Only the newest 200 candidates are scored."""
+    return _score_columns(R.rank_by_keywords(postings(spark, sf), KEYWORDS, POSTINGS_AS_OF, newest_only=200))
+
+
 @query("keyword_tier_counts", "A-6 R-3", f"{_RANKED} SELECT match_tier, count(*) AS n, count(*) FILTER (WHERE is_new) AS n_new FROM ranked GROUP BY 1")
 def keyword_tier_counts(spark, sf):
     return stats.tier_counts(R.rank_by_keywords(postings(spark, sf), KEYWORDS, POSTINGS_AS_OF))

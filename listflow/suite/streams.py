@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listflow.session import shared_dir
 from listflow.sources import feeds as S
-from listflow.sources.tables import current_rows, read_changes, write_changes
+from listflow.sources.tables import append_rows, current_rows, read_changes, write_changes
 from listflow.streaming import jobs as J
 from listflow.suite.keys import MERGE_SIDES, _EXPIRE, _sides
 from listflow.suite.registry import query, ts_col, ts_text
@@ -90,8 +90,17 @@ def stream_upsert_merge(spark, sf):
     return current_rows(read_changes(spark, log), "dedup_hash").select("dedup_hash", "salary_min", "is_active")
 
 
+@query("append_batches", "S-20", "SELECT event_id % 3 AS batch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def append_batches(spark, sf):
+    """Batches of rows are added to a table; one is written twice, as after a retry."""
+    events, path = table(spark, sf, "events"), shared_dir(spark, "appended")
+    for batch in (0, 1, 1, 2):
+        append_rows(events.where(F.col("event_id") % 3 == batch), path, batch)
+    return read_changes(spark, path).groupBy("batch", "event_type").agg(F.count("*").alias("n"))
+
+
 @query(
-    "stream_expiry", "T-5 L-1 S-20",
+    "stream_expiry", "T-5 L-1",
     f"""SELECT CAST(id AS VARCHAR) AS dedup_hash, CASE WHEN coalesce({_EXPIRE}, false) THEN false ELSE is_active END AS is_active,
         CASE WHEN coalesce({_EXPIRE}, false) THEN {ts_text(f"TIMESTAMP '{LISTINGS_AS_OF}'")} ELSE {ts_text('posted_date')} END AS changed FROM listings""",
 )
