@@ -6,7 +6,7 @@ writes numbered by batch id, so a replayed batch overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -72,18 +72,39 @@ def run_available(
     query.awaitTermination()
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream to its end into a change log and return the log."""
+def drain(stream: DataFrame, mode: str = "append", later: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Run a stream to its end into a change log and return the log.
+
+    Each of ``later`` lands more files; the stream then runs on from where it was.
+    """
     spark = stream.sparkSession
     log, checkpoint = shared_dir(spark, "log"), shared_dir(spark, "checkpoint")
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    run_available(stream, lambda df, batch: write_changes(df, log, batch), checkpoint, mode)
+    for land in (None, *later):
+        if land:
+            land()
+        run_available(stream, lambda df, batch: write_changes(df, log, batch), checkpoint, mode)
     return spark.read.schema(schema).parquet(log)
 
 
-def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+def drain_latest(stream: DataFrame, keys: list[str], later: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Run an updating aggregate to its end and return the last state of each key."""
-    return latest_per_key(drain(stream, "update"), keys, [F.desc("batch")]).drop("batch")
+    return latest_per_key(drain(stream, "update", later), keys, [F.desc("batch")]).drop("batch")
+
+
+def drain_seen(stream: DataFrame, keys: list[str], ts: str, later: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """First and last sight of each key over all micro-batches.
+
+    Each micro-batch adds its own minima and maxima to a log, and the log is
+    aggregated; no state is kept for any key between batches.
+    """
+    spark = stream.sparkSession
+    log, checkpoint = shared_dir(spark, "log"), shared_dir(spark, "checkpoint")
+    for land in (None, *later):
+        if land:
+            land()
+        run_available(stream, lambda df, batch: write_changes(seen_times(df, keys, ts), log, batch), checkpoint)
+    return read_changes(spark, log).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def upsert_handler(

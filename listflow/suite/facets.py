@@ -134,7 +134,7 @@ def company_total(spark, sf):
 
 
 @query(
-    "company_profile", "F-16 J-9",
+    "company_profile", "F-16 J-3",
     """SELECT 'google-india' AS company_slug, id, company_name, count(*) OVER () AS job_count FROM
        (SELECT * FROM listings WHERE is_active AND company_name ILIKE '%google india%' ORDER BY posted_date DESC NULLS FIRST, id LIMIT 50)""",
 )

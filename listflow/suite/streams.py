@@ -15,8 +15,17 @@ from listflow.suite.views import LISTINGS_AS_OF, listings, table
 
 
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return J.landed_files(spark, sf, schema, "parquet", name_filter="events.parquet")
+    """The events land in time order, week by week: the first is there, the others come later."""
+    events, landing = table(spark, sf, "events"), shared_dir(spark, "landing")
+    week = F.floor(F.date_format("ts", "D").cast("int") / 7)
+    weeks = [r.w for r in events.select(week.alias("w")).distinct().orderBy("w").collect()]  # at most 53
+
+    def landed(w):
+        return lambda: events.where(week == w).write.mode("append").parquet(landing)
+
+    first, *later = [landed(w) for w in weeks]
+    first()
+    return J.landed_files(spark, landing, events.schema, "parquet"), later
 
 
 @query(
@@ -25,8 +34,9 @@ def _event_stream(spark, sf):
 )
 def stream_distinct_keys(spark, sf):
     """Each user and event type once: the delay is longer than the data's span."""
-    rows = J.distinct_within(_event_stream(spark, sf), ["user_id", "event_type"], "ts", "60 days")
-    return J.drain(rows.select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    events, later = _event_stream(spark, sf)
+    rows = J.distinct_within(events, ["user_id", "event_type"], "ts", "60 days")
+    return J.drain(rows.select("user_id", "event_type"), later=later).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -34,7 +44,8 @@ def stream_distinct_keys(spark, sf):
     f"SELECT user_id, {ts_text('min(ts)')} AS first_seen, {ts_text('max(ts)')} AS last_seen FROM events GROUP BY 1",
 )
 def stream_seen_times(spark, sf):
-    out = J.drain_latest(J.seen_times(_event_stream(spark, sf), ["user_id"], "ts"), ["user_id"])
+    events, later = _event_stream(spark, sf)
+    out = J.drain_seen(events, ["user_id"], "ts", later)
     return out.select("user_id", ts_col("first_seen"), ts_col("last_seen"))
 
 
@@ -43,7 +54,8 @@ def stream_seen_times(spark, sf):
     f"SELECT {ts_text('time_bucket(INTERVAL 10 MINUTE, ts)')} AS window_start, count(*) AS n FROM events GROUP BY 1",
 )
 def stream_window_counts(spark, sf):
-    out = J.drain_latest(J.window_counts(_event_stream(spark, sf), "ts"), ["window_start"])
+    events, later = _event_stream(spark, sf)
+    out = J.drain_latest(J.window_counts(events, "ts"), ["window_start"], later)
     return out.select(ts_col("window_start"), "n")
 
 
