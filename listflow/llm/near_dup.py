@@ -10,10 +10,15 @@ probability 3e-6.
 
 Only links between different shingle sets are sought: documents with the same
 set are one class. Classes under a key are compared with the smallest class
-there. Where that leaves a family of candidates in several components, the
-members outside its largest component are compared with the whole family, block
-by block; within a block, only those not yet connected. So no key emits all its
-pairs, and none is dropped. A link counts only when the full sets confirm it.
+there. Where classes under a key are too far from it, and nothing else near puts
+them in one family of candidates, the signatures of those outside the key's
+largest family are compared with all others under the key, block by block; within
+a block, a near pair is a candidate where it joins two families. So classes
+within the distance always end in one family. Where that leaves a family in
+several components, the members outside its largest component are compared with
+the whole family, block by block; within a block, only those not yet connected.
+So no key emits all its pairs, and none is dropped. A link counts only when the
+full sets confirm it.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ SIZE = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Members of a family that one comparing task holds from each side.
 BLOCK = 256
+#: Members of a key, without their texts, that are compared at a time from each side.
+KEY_BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _XOR = _rng.integers(0, 1 << 64, SIZE, dtype=np.uint64)
@@ -116,6 +123,45 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _joining(rep: np.ndarray, sig: np.ndarray, family: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs within the distance, one of them on the left, that join two families."""
+    label = np.unique(family, return_inverse=True)[1]
+    right = np.flatnonzero(~left)
+    for i in np.flatnonzero(left):
+        others = right[label[right] != label[i]]
+        for begin in range(0, len(others), 256):
+            some = others[begin : begin + 256]
+            some = some[label[some] != label[i]]
+            for j in some[(sig[some] != sig[i]).sum(axis=1) <= DISTANCE]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield int(rep[i]), int(rep[j])
+
+
+def _join_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_joining`` over runs of rows with equal ``key``, ``outer`` and ``block``."""
+
+    def run(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        rep, family, left = (t.column(c).to_numpy() for c in ("rep", "family", "left"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
+        found = [pair for x, y in zip(starts, starts[1:]) for pair in _joining(rep[x:y], sig[x:y], family[x:y], left[x:y])]
+        return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, new]).combine_chunks() if held is not None else new
+        if held.num_rows:
+            at = np.stack([held.column(c).to_numpy() for c in ("key", "outer", "block")])
+            starts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+            # the last run may go on in the next batch
+            if len(starts) > 1:
+                yield run(held.slice(0, starts[-1]), starts)
+                held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield run(held, [0, held.num_rows])
+
+
 def _compare_blocks(words: int, percent: int):
     """Links that join different components between one block of outsiders and one block of the family."""
 
@@ -166,12 +212,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     pivots = staged(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "pivots")
     met = keys.join(pivots, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     sigs = classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-    near = (
+    apart = (
         met.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(_distance("sig_a", "sig_b") <= DISTANCE)
+        .select("a", "b", (_distance("sig_a", "sig_b") <= DISTANCE).alias("near"))
     )
-    edges = staged(near.select("a", "b"), "edges")
+    apart = staged(apart, "edges")
+    edges = apart.where("near").select("a", "b").union(_bridges(apart, classes, pivots))
 
     wanted = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # one plan at every size: texts meet their ids by a shuffle even while the ids are few
@@ -186,6 +233,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _bridges(apart: DataFrame, classes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Candidates that join families which share a key with a pivot too far from one of them."""
+    families = components(apart.where("near"))
+    far = apart.where("not near")
+    for end in ("a", "b"):
+        far = far.join(families.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    heads = staged(far.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a").distinct(), "far")
+    if not heads.take(1):
+        return heads.select("a", F.col("a").alias("b"))
+    reps = apart.join(heads, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = classes.join(reps, "rep").join(families, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("family"), F.explode(_keys("sig")).alias("key"))
+    members = staged(own.join(pivots.join(heads, F.col("pivot") == F.col("a"), "left_semi"), "key").select("key", "rep", "family"), "keyed")
+    counts = members.groupBy("key", "family").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("family", F.struct("n", -F.col("family"))).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    largest = largest.where("n > 2 and n > most").select("key", "largest", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / KEY_BLOCK).alias("outer_blocks"))
+    full = members.join(largest, "key").join(classes.select("rep", "sig"), "rep")
+    mine, outer = F.pmod(F.xxhash64("rep"), "blocks"), F.pmod(F.xxhash64("rep"), "outer_blocks")
+    left = full.where("family <> largest").select("key", outer.alias("outer"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "sig", "family", F.lit(True).alias("left"))
+    right = full.select("key", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("outer"), mine.alias("block"), "rep", "sig", "family", F.lit(False).alias("left"))
+    by = ("key", "outer", "block")
+    return staged(left.union(right).repartition(*by).sortWithinPartitions(*by).mapInArrow(_join_families, "a long, b long").distinct(), "bridges")
+
+
 def _settled(roots: DataFrame, checked: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Roots after comparing, within each family of candidates, what the pivots left unconnected."""
     ends = checked.where("not linked")

@@ -126,6 +126,39 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def under_far_pivots():
+    """Two near texts, and before them a far one for each key that both have (shingles of one word)."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:58], "x", "y"])]
+    by_word = {w: np.frombuffer(signature(shingle_sets_of(w)), "<u2") for w in words}
+    a, b = (np.frombuffer(signature(shingle_sets_of(t)), "<u2") for t in texts)
+    assert 0 < (a != b).sum() <= DISTANCE
+    rows = {}
+    for chunk in range(0, SIZE, 4):
+        for out in range(4):
+            at = [chunk + i for i in range(4) if i != out]
+            if (a[at] == b[at]).all():
+                few = sorted({next(w for w in words[:58] if by_word[w][i] == a[i]) for i in at})
+                far = np.frombuffer(signature(shingle_sets_of(" ".join(few))), "<u2")
+                assert (far[at] == a[at]).all() and (far != a).sum() > DISTANCE < (far != b).sum()
+                rows[" ".join(few)] = None
+    return [(i, t) for i, t in enumerate([*rows, *texts], 1)]
+
+
+def shingle_sets_of(text):
+    return next(shingle_sets([text.encode()], 1))
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_texts_under_far_pivots_are_met(spark, monkeypatch, block):
+    monkeypatch.setattr("listflow.llm.near_dup.KEY_BLOCK", block)
+    rows = under_far_pivots()
+    _, root = brute_components(rows, 1)
+    assert root[rows[-1][0]] == rows[-2][0] > 1
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
 def test_near_duplicates_of_the_test_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     sets, root = brute_components(rows, 4)
