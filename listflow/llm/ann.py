@@ -161,6 +161,20 @@ def _filed(router: Router, probes: int):
     return run
 
 
+def _asked(router: Router, held: np.ndarray, top: int):
+    """The parts that a query searches: ``router.probes`` at least, more until they hold ``top`` rows besides those of its own id."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                route = router.route(_unit(_matrix(batch.column(1))), router.parts)
+                short = np.cumsum(held[route], axis=1) < top + batch.column(2).to_numpy()[:, None]
+                probes = np.minimum(np.maximum(short.sum(axis=1) + 1, router.probes), router.parts)
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r[:n] for r, n in zip(route.astype(np.int32), probes)], pa.list_(pa.int32()))], names=["id", "v", "parts"])
+
+    return run
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows, by the same sums whatever stands around them, so that equal vectors tie."""
     dot = np.einsum("ij,ij->i", x, y)
@@ -221,8 +235,13 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
     filed = "id long, v array<double>, parts array<int>"
     indexed = rows.mapInArrow(_filed(router, 1), filed).select("id", "v", F.col("parts")[0].alias("part"))
     indexed = staged(indexed, "index")
-    asked = usable.where(F.col("id") % every == 0).mapInArrow(_filed(router, router.probes), filed).select("id", "v", F.explode("parts").alias("part"))
     # one row per part, of which there are at most sample / PART_SAMPLE
+    held = np.zeros(router.parts, np.int64)
+    for part, n in indexed.groupBy("part").count().collect():
+        held[part] = n
+    queries = usable.where(F.col("id") % every == 0)
+    queries = queries.join(queries.groupBy("id").agg(F.count("*").alias("own")), "id").select("id", "v", "own")
+    asked = queries.mapInArrow(_asked(router, held, top), filed).select("id", "v", F.explode("parts").alias("part"))
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
     n_queries = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks"))
     blocks = F.broadcast(sizes.join(n_queries, "part"))

@@ -158,6 +158,14 @@ def test_odd_vectors_and_ties(spark):
     assert nearest_neighbours(frame.limit(0)).count() == 0 and nearest_neighbours(frame.where("vec_id = 150")).count() == 0
 
 
+def test_a_query_in_a_small_part_goes_on_to_others(spark, monkeypatch):
+    router = Router((np.eye(2), np.zeros(2), np.eye(2), np.zeros(2)), 2, 1)
+    monkeypatch.setattr("listflow.llm.ann.fit_router", lambda vectors: router)
+    rows = [(i, [1.0, i / 1000]) for i in range(3)] + [(i, [i / 1000, 1.0]) for i in range(3, 30)]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0} and sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5]
+
+
 # -------------------------------------------------------------------- mixing
 def brute_targets(sizes, share=1.5, most=2, weights=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
