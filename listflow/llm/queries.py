@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listflow.llm import shards, url_rules
+from listflow.llm.alignment import align_tokens
 from listflow.llm.ann import nearest_neighbours
 from listflow.llm.chat import format_chat, read_back
 from listflow.llm.common import table
@@ -102,3 +103,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    done = align_tokens(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
