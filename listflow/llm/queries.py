@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listflow.llm import shards, url_rules
+from listflow.llm import negatives, personal, shards, url_rules
 from listflow.llm.alignment import align_tokens
 from listflow.llm.ann import nearest_neighbours
 from listflow.llm.chat import format_chat, read_back
@@ -112,3 +112,18 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = align_tokens(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"), digest=True)
     return done.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+ORACLES["op11_hard_negatives"] = negatives.oracle()
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.digests(personal.find_personal(docs, personal.fit_field(docs)))
