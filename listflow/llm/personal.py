@@ -320,15 +320,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_field(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     """Fit a field to what the patterns find in at most ``sample`` documents with a digit or an @.
 
-    They are chosen by a hash of their text, so reruns agree. The driver gets the
-    shapes of their words, no text.
+    They are chosen by a hash of their text, so reruns agree, and equal texts count
+    once. The driver gets the shapes of their words, no text.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    limit = texts.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    limit = texts.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if limit is None:
         return no_field()
-    found = texts.where(F.col("h") <= limit).orderBy("h").limit(sample).select("text").mapInArrow(_sampled, "words binary").where("words is not null").collect()
+    found = texts.where(F.col("h") <= limit).dropDuplicates(["h"]).select("text").mapInArrow(_sampled, "words binary").where("words is not null").collect()
     words, labels = Words(), []
     for row in sorted(bytes(r.words) for r in found):
         run, features, skips, own = pickle.loads(row)
