@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from listflow.llm.common import staged
+from listflow.llm.common import drop_staged, staged, staged_so_far
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -12,9 +12,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round a node and its root take the smallest root among the neighbours,
     then each root is replaced by its own root. Rounds end when nothing changes;
-    a table is written to the shared folder in each, nothing comes to the driver.
+    a table is written to the shared folder in each, and only the last stays there;
+    nothing comes to the driver.
     Nulls and self-links are ignored; repeated links count once.
     """
+    since = staged_so_far()
     ok = links.where("a is not null and b is not null and a <> b")
     both = staged(ok.select("a", "b").union(ok.select("b", "a")).distinct(), "links")
     roots = staged(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "roots")
@@ -27,4 +29,5 @@ def components(links: DataFrame) -> DataFrame:
         done = not after.where("root <> next").take(1)
         roots = after.select("node", F.col("next").alias("root"))
         if done:
+            drop_staged(links.sparkSession, since)
             return roots

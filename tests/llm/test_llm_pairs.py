@@ -9,10 +9,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from listflow.llm.common import Words, table, windows
 from listflow.llm.components import components
-from listflow.llm.near_dup import DISTANCE, SIZE, near_duplicates, shingle_sets, signature, similar
+from listflow.llm.near_dup import DISTANCE, SIZE, near_duplicates, one_of_each, shingle_sets, signature, similar
 from listflow.llm.queries import QUERIES
 from listflow.llm.repeats import remove_repeats
 
@@ -30,11 +31,9 @@ def shingles(text, n):
 
 
 def brute_components(rows, n, percent=80):
-    sets = collections.defaultdict(set)
-    for i, text in rows:
-        if i is not None:
-            sets[i] |= shingles(text, n)
-    up = {i: i for i in sets}
+    """The shingles of each row, and the smallest id that its links reach; rows without an id link nothing."""
+    sets = [shingles(text, n) for _, text in rows]
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
@@ -42,9 +41,10 @@ def brute_components(rows, n, percent=80):
         return x
 
     keys = collections.defaultdict(list)
-    for i, s in sets.items():
-        for x in s:
-            keys[x].append(i)
+    for k, s in enumerate(sets):
+        if rows[k][0] is not None:
+            for x in s:
+                keys[x].append(k)
     tried = set()
     for members in keys.values():
         for k, b in enumerate(members):
@@ -55,7 +55,15 @@ def brute_components(rows, n, percent=80):
                     if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                         x, y = root(a), root(b)
                         up[max(x, y)] = min(x, y)
-    return sets, {i: root(i) for i in sets}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return sets, [None if i is None else least[root(k)] for k, (i, _) in enumerate(rows)]
+
+
+def told(rows, sets, component):
+    return sorted(((i, len(s), c, i is None or c == i) for (i, _), s, c in zip(rows, sets, component)), key=str)
 
 
 def near_family(rng, size, edits):
@@ -113,19 +121,60 @@ def test_components_of_chains_stars_and_nulls(spark):
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_duplicates_equal_brute_force(spark, n):
     rows = odd_rows()
-    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'z' as Digest", "2 as rep")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'z' as Digest", "2 as node", "3 as h")
     got = near_duplicates(frame, words=n).collect()
-    sets, root = brute_components(rows, n)
-    assert len(got) == len(rows)
-    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
+    assert sorted(map(tuple, got), key=str) == told(rows, *brute_components(rows, n))
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def repeated_ids():
+    """Ids that several texts share, each with a near copy under another id, and one id that a third of all rows bear."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = []
+    for i in range(12):
+        a, b = text(), text()
+        near = lambda t: "x" + t[1:]
+        rows += [(i, a), (i, b), (100 + i, near(b)), (90 - i, near(a)), (1000, text()), (1000, a if i % 2 else text())]
+    return rows + [(1000, rows[4][1])] * 3
+
+
+def test_rows_with_one_id_are_linked_by_their_own_texts(spark):
+    rows = repeated_ids()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = told(rows, *brute_components(rows, 5))
+    assert sorted(map(tuple, near_duplicates(frame).collect()), key=str) == want
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n o p q r s t u v"), (3, "x i j k l m n o p q r s t u v")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("make", [odd_rows, repeated_ids])
+def test_one_row_of_each_group_stays(spark, make):
+    rows = make() + [(None, "same words in here again"), (None, "same words in here again")]
+    sets, component = brute_components(rows, 5)
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _told int").selectExpr("*", "map('k', 1) as number", "array(1) as _id")
+    got = one_of_each(frame)
+    assert got.columns == frame.columns
+    kept = [r._told for r in got.collect()]
+    assert len(kept) == len(set(kept))
+    free = {k for k, (i, _) in enumerate(rows) if i is None or not sets[k]}
+    assert free <= set(kept)
+    groups = collections.defaultdict(list)
+    root = brute_roots(rows, sets)
+    for k in set(range(len(rows))) - free:
+        groups[root[k]].append(k)
+    for members in groups.values():
+        stay = [k for k in members if k in kept]
+        assert len(stay) == 1 and rows[stay[0]][0] == min(rows[k][0] for k in members)
+
+
+def brute_roots(rows, sets):
+    """A group for each row: numbers in place of ids tell groups with equal smallest ids apart."""
+    numbered = [(None if i is None else k, t) for k, (i, t) in enumerate(rows)]
+    return brute_components(numbered, 5)[1]
+
+
 def under_far_pivots():
     """Two near texts, and before them a far one for each key that both have (shingles of one word)."""
     words = [f"w{i}" for i in range(60)]
@@ -152,18 +201,20 @@ def shingle_sets_of(text):
 @pytest.mark.parametrize("block", [1024, 2])
 def test_near_texts_under_far_pivots_are_met(spark, monkeypatch, block):
     monkeypatch.setattr("listflow.llm.near_dup.KEY_BLOCK", block)
+    # with classes numbered by their ids, the far texts are the pivots
+    monkeypatch.setattr("listflow.llm.near_dup.numbered", lambda: F.col("least.id"))
     rows = under_far_pivots()
-    _, root = brute_components(rows, 1)
-    assert root[rows[-1][0]] == rows[-2][0] > 1
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
-    assert {r.doc_id: r.component_id for r in got} == root
+    want = told(rows, *brute_components(rows, 1))
+    assert (rows[-1][0], rows[-2][0]) in {(i, c) for i, _, c, _ in want}
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(map(tuple, near_duplicates(frame, words=1).collect()), key=str) == want
 
 
 def test_near_duplicates_of_the_test_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
-    sets, root = brute_components(rows, 4)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op1_near_duplicates"](spark, SF).collect()}
-    assert got == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+    got = QUERIES["op1_near_duplicates"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=str) == told(rows, *brute_components(rows, 4))
 
 
 def brute_repeats(rows, window):
