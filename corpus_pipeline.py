@@ -8,11 +8,11 @@ lost run can start again at any stage's table.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listflow.llm.common import drop_staged, hidden, staged, staged_so_far, table
+from listflow.llm.common import drop_staged, staged, staged_so_far, table
 from listflow.llm.mixing import mix
-from listflow.llm.near_dup import near_duplicates
+from listflow.llm.near_dup import one_of_each
 from listflow.llm.packing import pack
 from listflow.llm.quality import fit_field, keep_content
 from listflow.llm.repeats import remove_repeats
@@ -27,11 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once; rows without an id stay."""
-    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    name = hidden(left, "again")
-    again = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn(name, again).where((F.col(name) == 1) | F.col("doc_id").isNull()).drop(name)
+    return one_of_each(docs, words=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
