@@ -4,8 +4,12 @@ Each task reads its part of the documents once, encodes them and places every
 piece as it comes: into the open sequence with the least free space that still
 holds it, found as the lowest set bit, from the piece's length on, of a bitset
 keyed by free space. When all places are open, the fullest sequence closes
-first. So a task's memory is the open bins and one batch, and nothing is
-shuffled; the only waste beyond best fit is the last open bins of each task.
+first. So a task's memory is the pieces of the open bins and one batch.
+
+What a task leaves open at its end, at most ``OPEN`` sequences, is packed once
+more: the sequences are dealt to groups of bounded size, in which the same best
+fit places their pieces anew, the longest first. So the number of sequences hardly
+depends on how many tasks the documents came in.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from listflow.llm.common import Words, chunks, small_batches, text_bytes
+from listflow.llm.common import Words, chunks, small_batches, staged, text_bytes
 
 #: Open sequences of a task.
 OPEN = 1024
+#: Tokens of a group in which the sequences that tasks left open are packed again.
+GROUP_TOKENS = 4 << 20
 #: Distinct words whose ids a worker holds; beyond it, it starts over.
 HELD_WORDS = 1_000_000
 
@@ -116,9 +122,13 @@ class BestFit:
         self.size, self.most = size, most
         self.bins: list[list[int]] = [[] for _ in range(size + 1)]
         self.free, self.open, self.made = 0, 0, 0
+        #: Bins that have closed, until the caller clears it.
+        self.closed: list[int] = []
 
     def _put(self, number: int, free: int) -> None:
-        if free:
+        if not free:
+            self.closed.append(number)
+        else:
             self.bins[free].append(number)
             self.free |= 1 << free
             self.open += 1
@@ -138,7 +148,7 @@ class BestFit:
             number = self._take(free)
         else:
             if self.open >= self.most:
-                self._take((self.free & -self.free).bit_length() - 1)
+                self.closed.append(self._take((self.free & -self.free).bit_length() - 1))
             number, free = self.made, self.size
             self.made += 1
         self._put(number, free - length)
@@ -157,7 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str =
     """
     small_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-    schema = pa.schema(fields)
+    done = pa.schema(fields)
+    first = done.append(pa.field("closed", pa.bool_()))
     last = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,22 +178,55 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str =
         base = (context.partitionId() if context else 0) << 33
         bins = BestFit(size, most_open)
         words = encoder(tokenizer)
+        held: dict[int, list[tuple]] = {}
+        out: list[tuple] = []
+        tokens = 0
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
-            held = 0
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(text_bytes(batch.column(1)))):
                 ids = ids.tobytes() + last
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, size)):
                     length = min(size, n - start)
                     number, offset = bins.place(length)
-                    for column, value in zip(out, (doc, piece, start, length, ids[4 * start : 4 * (start + length)], base + number, offset)):
-                        column.append(value)
-                    held += length
-                    if held > 1 << 20:
-                        yield pa.record_batch(out, schema=schema)
-                        out, held = [[] for _ in fields], 0
-            yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(out, fields)], schema=schema)
+                    held.setdefault(number, []).append((doc, piece, start, length, ids[4 * start : 4 * (start + length)], base + number, offset, True))
+                    for closed in bins.closed:
+                        out += held.pop(closed)
+                        tokens += size
+                    bins.closed.clear()
+                    if tokens > 1 << 20:
+                        yield _batch(out, first)
+                        out, tokens = [], 0
+        for rows in held.values():
+            out += [(*row[:-1], False) for row in rows]
+            tokens += size
+            if tokens > 1 << 20:
+                yield _batch(out, first)
+                out, tokens = [], 0
+        yield _batch(out, first)
+
+    def again(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(f).to_pylist() for f in done.names)), key=lambda r: (-r[3], str(r[0]), r[1], r[4]))
+        bins = BestFit(size, len(rows))
+        base = (1 << 62) + (table.column("grp")[0].as_py() << 33)
+        out = []
+        for row in rows:
+            number, offset = bins.place(row[3])
+            out.append((*row[:5], base + number, offset))
+        return pa.Table.from_batches([_batch(out, done)])
 
     types = [T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType(), T.LongType(), T.LongType()]
-    return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(run, T.StructType([T.StructField(f[0], t) for f, t in zip(fields, types)]))
+    shape = T.StructType([T.StructField(f[0], t) for f, t in zip(fields, types)])
+    plain = docs.select(F.col(id_column).cast("long"), F.col(text).cast("string"))
+    pieces = staged(plain.mapInArrow(run, T.StructType([*shape.fields, T.StructField("closed", T.BooleanType())])), "pieces")
+    left = pieces.where("not closed")
+    tokens = left.agg(F.sum("length")).first()[0]
+    closed = pieces.where("closed").drop("closed")
+    if not tokens:
+        return closed
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(-(-tokens // GROUP_TOKENS))).cast("long")
+    return closed.union(left.withColumn("grp", group).drop("closed").groupBy("grp").applyInArrow(again, shape))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
