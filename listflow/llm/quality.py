@@ -6,14 +6,16 @@ best sequence of labels, and a text stays when enough of its words stand in
 content lines. Fixed rules on the whole text reject it before that.
 
 The field is fitted here, by gradient ascent on its log-likelihood, on a bounded
-sample of labelled texts (``SAMPLE`` of each class by the hash of their id, and
-``SAMPLE_LINES`` neighbouring lines of each). A line takes the label of its
-text: only texts are labelled. Everything else reads whole texts.
+sample of labelled texts (``SAMPLE`` of each class by the hash of their id). Only
+texts are labelled, so a line takes the label of its text; texts are read whole,
+in runs of ``RUN`` lines. Runs of a good and a bad text joined, in either order,
+show the field where the label changes, so that it can find boilerplate within a
+text and the share of content decides. Everything else reads whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from listflow.llm.common import Words, chunks, small_batches, text_bytes
 
 SAMPLE = 1000
-SAMPLE_LINES = 64
+#: Lines of a labelled text that the fit takes as one sequence.
+RUN = 32
 #: Least share of words in content lines.
 SHARE = 0.5
 FEATURES = ("bias", "symbols", "exclamations", "capitals", "digits", "words", "word_length", "echoes", "repeats", "duplicate", "sentence_end", "empty")
@@ -181,48 +184,61 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, field: Fiel
     return labels
 
 
-def fit(features: list[np.ndarray], content: list[bool], rounds: int = 300, rate: float = 0.2, decay: float = 1e-5) -> Field:
-    """Fit the field to texts whose lines all bear one label: exact gradients by forward and backward sums."""
+def fit(features: list[np.ndarray], content: Sequence[bool | np.ndarray], weights: np.ndarray | None = None, rounds: int = 300, rate: float = 0.2, decay: float = 1e-5, enough: float = 0.005) -> Field:
+    """Fit the field to sequences of labelled lines: exact gradients by forward and backward sums.
+
+    ``content`` is one label for all lines of a sequence, or one for each. Without
+    ``weights``, those of either single label weigh as much in all. It ends
+    when ten rounds gain less than ``enough`` of what is left to gain.
+    """
     count = np.array([len(f) for f in features])
     order = np.argsort(-count, kind="stable")
-    count, y = count[order], np.array(content, bool)[order]
+    count = count[order]
     n, longest = len(count), int(count[0])
-    x = np.zeros((n, longest, len(FEATURES)))
+    x, truth = np.concatenate([features[k] for k in order]), np.zeros((n, longest))
     for i, k in enumerate(order):
-        x[i, : count[i]] = features[k]
+        truth[i, : count[i]] = content[k]
     real = np.arange(longest)[None, :] < count[:, None]
     inner = real[:, 1:]
-    class_size = np.bincount(y, minlength=2)
-    weight = (n / 2 / class_size[y.astype(int)]) / count.sum()
+    active = (count[:, None] > np.arange(longest)).sum(axis=0).tolist()
+    of_line, of_step = np.nonzero(real)[0], np.nonzero(inner)[0]
+    if weights is None:
+        y = truth[:, 0].astype(int)
+        weights = (n / 2 / np.maximum(np.bincount(y, minlength=2), 1)[y])[np.argsort(order)]
+    weight = weights[order] / (weights[order] * count).sum()
+    label = truth.astype(int)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[:, :-1][inner], label[:, 1:][inner]), weight[of_step])
+    truth, opens = truth[real], np.cumsum(count) - count
     params = np.zeros(len(FEATURES) + 6)
     m, v = np.zeros_like(params), np.zeros_like(params)
-
-    def sums(a: np.ndarray, axis: int) -> np.ndarray:
-        top = a.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+    reached: list[float] = []
 
     for step in range(1, rounds + 1):
         w, start, steps = params[: len(FEATURES)], params[-6:-4], params[-4:].reshape(2, 2)
         emit = np.zeros((n, longest, 2))
-        emit[:, :, 1] = x @ w
+        emit[real, 1] = score = x @ w
         ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         ahead[:, 0] = start + emit[:, 0]
         for t in range(1, longest):
-            k = int((count > t).sum())
-            ahead[:k, t] = sums(ahead[:k, t - 1, :, None] + steps[None], 1) + emit[:k, t]
+            k = active[t]
+            before = ahead[:k, t - 1]
+            ahead[:k, t] = np.logaddexp(before[:, :1] + steps[0], before[:, 1:] + steps[1]) + emit[:k, t]
         for t in range(longest - 2, -1, -1):
-            k = int((count > t + 1).sum())
-            behind[:k, t] = sums(steps[None] + (emit[:k, t + 1] + behind[:k, t + 1])[:, None, :], 2)
-        total = sums(ahead[np.arange(n), count - 1], 1)
-        single = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
-        pair = np.exp(ahead[:, :-1, :, None] + steps[None, None] + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]) * inner[:, :, None, None]
-        truth = np.where(y, 1.0, 0.0)
+            k = active[t + 1]
+            after = emit[:k, t + 1] + behind[:k, t + 1]
+            behind[:k, t] = np.logaddexp(after[:, :1] + steps[:, 0], after[:, 1:] + steps[:, 1])
+        total = np.logaddexp.reduce(ahead[np.arange(n), count - 1], axis=1)
+        single = np.exp(ahead[real] + behind[real] - total[of_line, None])
+        pair = np.exp(ahead[:, :-1][inner][:, :, None] + steps + (emit + behind)[:, 1:][inner][:, None, :] - total[of_step, None, None])
+        right = (weight * (start[label[:, 0]] - total)).sum() + (weight[of_line] * score * truth).sum() + (seen * steps).sum()
+        reached.append(float(right))
+        if step > 10 and reached[-1] - reached[-11] < enough * -reached[-1]:
+            break
         grad = np.zeros_like(params)
-        grad[: len(FEATURES)] = np.einsum("n,nt,ntf->f", weight, (truth[:, None] - single[:, :, 1]) * real, x)
-        grad[-6:-4] = (weight[:, None] * (np.stack([1 - truth, truth], 1) - single[:, 0])).sum(0)
-        seen = np.zeros((2, 2))
-        seen[0, 0], seen[1, 1] = (weight * (1 - truth) * inner.sum(1)).sum(), (weight * truth * inner.sum(1)).sum()
-        grad[-4:] = (seen - np.einsum("n,ntij->ij", weight, pair)).ravel()
+        grad[: len(FEATURES)] = (weight[of_line] * (truth - single[:, 1])) @ x
+        grad[-6:-4] = weight @ (np.eye(2)[label[:, 0]] - single[opens])
+        grad[-4:] = (seen - np.tensordot(weight[of_step], pair, 1)).ravel()
         grad -= decay * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -236,33 +252,42 @@ def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts = text_bytes(batch.column(1))
         for begin, end in chunks(texts):
             lines = Lines(texts[begin:end])
-            for i in range(end - begin):
-                spare = max(0, int(lines.count[i]) - SAMPLE_LINES)
-                at = lines.first[i] + spare // 2
-                out.append(lines.features[at : min(at + SAMPLE_LINES, lines.first[i + 1])].astype("<f4").tobytes())
+            out += [lines.features[a:b].astype("<f4").tobytes() for a, b in zip(lines.first, lines.first[1:])]
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["good", "features"])
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field:
-    """Fit a field on at most ``sample`` labelled texts of each class.
+def training_runs(good: list[np.ndarray], bad: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Sequences, labels of their lines and weights: runs of good texts, of bad ones, and of both joined."""
+    good, bad = ([t[i : i + run] for t in side for i in range(0, len(t), run)] for side in (good, bad))
+    joined = [pair[:: 1 - k % 2 * 2] for k, pair in enumerate(zip(good, bad))]
+    sequences = good + bad + [np.concatenate(p) for p in joined]
+    labels = [np.ones(len(t)) for t in good] + [np.zeros(len(t)) for t in bad]
+    labels += [np.concatenate([np.full(len(t), float(k % 2 == at)) for at, t in enumerate(p)]) for k, p in enumerate(joined)]
+    return sequences, labels, np.repeat([1 / len(good), 1 / len(bad), 1 / len(joined)], [len(good), len(bad), len(joined)])
+
+
+def fit_field(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, run: int = RUN) -> Field:
+    """Fit a field on at most ``sample`` labelled texts of each class, each read whole.
 
     Without labelled texts of both classes it is ``PRIOR``. Null labels, ids and
-    texts are left out. At most ``2 * sample`` ids are broadcast, and as many
-    short tables of features come to the driver.
+    texts are left out. Of several texts with one id, the first in order counts; an id
+    with both labels counts as good. At most ``2 * sample`` ids are broadcast, and
+    as many tables of features come to the driver.
     """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_column).alias("id"), (F.col(label) == 1).alias("good")).where("id is not null and good is not null").distinct()
+    known = labels.select(F.col(id_column).alias("id"), (F.col(label) == 1).alias("good")).where("id is not null and good is not null").groupBy("id").agg(F.max("good").alias("good"))
     known = known.withColumn("order", F.xxhash64("id"))
     chosen = None
     for good in (False, True):
         part = known.where(F.col("good") == good).orderBy("order", "id").limit(sample).select("id", "good")
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(_sampled_lines, "good boolean, features binary").collect()
-    rows = sorted((r.good, bytes(r.features)) for r in rows)
-    if len({good for good, _ in rows}) < 2:
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    rows = sorted((r.good, bytes(r.features)) for r in found.select("good", "text").mapInArrow(_sampled_lines, "good boolean, features binary").collect())
+    sides = [[np.frombuffer(f, "<f4").reshape(-1, len(FEATURES)).astype(float) for good, f in rows if good == side] for side in (True, False)]
+    if not all(sides):
         return PRIOR
-    return fit([np.frombuffer(f, "<f4").reshape(-1, len(FEATURES)).astype(float) for _, f in rows], [good for good, _ in rows])
+    return fit(*training_runs(*sides, run))
 
 
 def quality(docs: DataFrame, field: Field, id_column: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
