@@ -7,17 +7,15 @@ numpy finds words, their hashes and the text that each belongs to.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from listflow.session import shared_dir
 
 #: Bytes of text that one step of array work takes at most, unless one text is longer.
 CHUNK_BYTES = 1 << 20
-#: Words a group or task of the array operators is meant to hold.
-GROUP_WORDS = 1_500_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,6 +74,38 @@ def hidden(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Copies of one row that are made in one go.
+COPIES = 1000
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
+def spread_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a hash ``name`` that differs from row to row, also where rows are wholly alike.
+
+    Rows that occur once are only hashed. Of those that occur several times, one
+    stands for all: it is written out as often as it was counted, with a number
+    in its hash. So copies spread as other rows do, the same way in every run.
+    """
+    by = [F.to_json(F.struct(f.name)) if _holds_map(f.dataType) else F.col(f.name) for f in docs.schema]
+    hashed = docs.withColumn(name, F.xxhash64(*by))
+    of = hidden(hashed, "of")
+    several = staged(hashed.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.col(name).alias("h"), "n"), "several")
+    if not several.take(1):
+        return hashed
+    once = hashed.join(several.select(F.col("h").alias(of)), F.col(name) == F.col(of), "left_anti")
+    held = [f"c{k}" for k in range(len(docs.columns))]
+    alike = hashed.select(F.col(name).alias("key"), *[F.col(c).alias(k) for c, k in zip(docs.columns, held)]).join(several, F.col("key") == F.col("h"))
+    one = alike.groupBy("h").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in held])
+    runs = one.withColumn("run", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})"))).repartition("h", "run")
+    copies = runs.withColumn("number", F.explode(F.expr(f"sequence(run * {COPIES}, least(n, (run + 1) * {COPIES}) - 1)")))
+    return once.union(copies.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, held)], F.xxhash64("h", "number").alias(name)))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> _S32)
@@ -184,7 +214,7 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def groups_for(docs: DataFrame, text: str, per_group: int = GROUP_WORDS, least: int = 1) -> int:
-    """Number of groups that hold about ``per_group`` words each, from the bytes of all texts."""
+def groups_for(docs: DataFrame, text: str, per_group: Sequence[int], least: int = 1) -> list[int]:
+    """Numbers of groups that hold about so many words each, from the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(least, -(-size // (6 * per_group)))
+    return [max(least, -(-size // (6 * n))) for n in per_group]

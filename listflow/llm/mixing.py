@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from listflow.llm.common import hidden, staged
+from listflow.llm.common import hidden, spread_rows, staged
 
 BLOCKS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,9 +110,8 @@ def mix_plan(rows: DataFrame, shards: int, weights: Sequence[float], share: floa
     return whole.join(taken, ["rank", "block"], "left").select("source", "block", "source_size", "target", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,last:bigint>>")).alias("draws"))
 
 
-def _rows(docs: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
-    h = F.xxhash64(id_column, source, text)
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), h.alias("h"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"))
+def _rows(spread: DataFrame, name: str, id_column: str, source: str, text: str) -> DataFrame:
+    return spread.select(F.col(id_column).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.col(name).alias("h"), F.pmod(name, F.lit(BLOCKS)).cast("int").alias("block"))
 
 
 def _with_draws(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -128,9 +127,11 @@ def mix_counts(docs: DataFrame, shards: int = 64, weights: Sequence[float] = (3,
     Sources in code point order, null last, weigh as ``weights`` in turn and
     share ``share`` times all words; none gets more than ``most`` times its own.
     A null or empty text has no words and nothing is taken of it. Rows that are
-    wholly alike are taken alike. An empty table gives no rows.
+    wholly alike are numbered and drawn each for itself. An empty table gives no rows.
     """
-    rows = staged(_rows(docs, id_column, source, text), "mix-rows")
+    name = hidden(docs, "row")
+    kept = docs.drop(*[c for c in docs.columns if c.lower() == "shard"])
+    rows = staged(_rows(spread_rows(kept, name), name, id_column, source, text), "mix-rows")
     drawn = _with_draws(rows, mix_plan(rows, shards, weights, share, most, seed), seed)
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
@@ -140,12 +141,12 @@ def mix(docs: DataFrame, shards: int = 64, weights: Sequence[float] = (3, 1, 2),
 
     The added column ``shard`` replaces one of that name. See ``mix_counts``.
     """
-    rows = staged(_rows(docs, id_column, source, text), "mix-rows")
-    plan = mix_plan(rows, shards, weights, share, most, seed)
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "shard"])
-    name = hidden(kept, "row")
-    h = F.xxhash64(id_column, source, text)
-    full = kept.select(F.struct(*kept.columns).alias(name), F.col(source).cast("string").alias("source"), h.alias("h"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("block"))
+    name, row = hidden(kept, "hash"), hidden(kept, "row")
+    spread = spread_rows(kept, name)
+    rows = staged(_rows(spread, name, id_column, source, text), "mix-rows")
+    plan = mix_plan(rows, shards, weights, share, most, seed)
+    full = spread.select(F.struct(*kept.columns).alias(row), F.col(source).cast("string").alias("source"), F.col(name).alias("h"), F.pmod(name, F.lit(BLOCKS)).cast("int").alias("block"))
     drawn = _with_draws(full, plan, seed).withColumn("draw", F.explode("draws"))
-    placed = drawn.select(name, F.col("draw.shard").alias("shard"), F.xxhash64("h", "draw.epoch", "draw.shard", F.lit(seed + 1)).alias("place"))
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "place").select(f"{name}.*", "shard")
+    placed = drawn.select(row, F.col("draw.shard").alias("shard"), F.xxhash64("h", "draw.epoch", "draw.shard", F.lit(seed + 1)).alias("place"))
+    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "place").select(f"{row}.*", "shard")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from listflow.llm.common import Words, chunks, groups_for, hidden, mixed, small_batches, text_bytes, windows
+from listflow.llm.common import Words, chunks, groups_for, hidden, mixed, small_batches, spread_rows, text_bytes, windows
 
 #: Words of a group of texts, and probes of a part of the hash space.
 GROUP, PART = 400_000, 2_000_000
@@ -223,12 +223,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, out: s
     small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
     size = (window + 1) // 2
-    groups = groups_for(docs, text, GROUP, LEAST)
-    parts = groups_for(docs, text, PART, LEAST)
+    groups, parts = groups_for(docs, text, (GROUP, PART), LEAST)
     name, place = hidden(docs, "group"), docs.columns.index(text)
     plain = docs.withColumn(text, F.col(text).cast("string"))
-    by = [f.name for f in plain.schema if isinstance(f.dataType, T.AtomicType)]
-    dealt = plain.select(F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int").alias(name), *plain.columns)
+    # copies of a row are numbered, so they spread over groups as other rows do
+    dealt = spread_rows(plain, name).select(F.pmod(name, F.lit(groups)).cast("int").alias(name), *plain.columns)
 
     def texts():
         # the same plan each time, so that its exchange runs once

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from listflow.llm.common import Words, table, windows
+from listflow.llm.common import Words, spread_rows, table, windows
 from listflow.llm.components import components
 from listflow.llm.near_dup import DISTANCE, SIZE, near_duplicates, one_of_each, shingle_sets, signature, similar
 from listflow.llm.queries import QUERIES
@@ -248,6 +248,17 @@ def test_repeats_equal_brute_force(spark, window):
     assert remove_repeats(frame.limit(0), window=window).count() == 0
 
 
+def test_copies_of_a_row_spread_over_groups(spark):
+    rows = [(1, "same row " * 20)] * 3000 + [(2, "w " * 40), (3, None), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', doc_id) as kind")
+    spread = spread_rows(frame, "h")
+    assert sorted((r.doc_id, str(r.text), str(r.kind)) for r in spread.collect()) == sorted((i, str(t), str({"k": i})) for i, t in rows)
+    held = collections.Counter(r.h % 64 for r in spread.where("doc_id = 1").collect())
+    assert len({r.h for r in spread.collect()}) == len(rows) and len(held) == 64 and max(held.values()) < 100
+    got = remove_repeats(frame).collect()
+    assert sorted((r.doc_id, r.repeats.n_removed) for r in got) == [(1, 40)] * 3000 + [(2, 40), (3, 0), (3, 0)]
+
+
 def test_text_without_repeats_is_unchanged(spark):
     rows = [(1, "a  b\n\nc\t"), (2, " d ")]
     assert sorted((r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == rows

@@ -13,12 +13,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from listflow.llm.chat import Template, format_chat, read_back
 from listflow.llm.common import table
 from listflow.llm.packing import BestFit, WordEncoder, pack
-from listflow.llm.quality import FEATURES, PRIOR, SCALE, Field, Lines, fit, fit_field, keep_content, quality, viterbi
+from listflow.llm.quality import FEATURES, PRIOR, SCALE, Field, Lines, fit, fit_field, keep_content, quality, training_runs, viterbi
 from listflow.llm.queries import QUERIES, SAMPLE_TURN
 from listflow.llm.token_counts import attribute, token_counts
 
@@ -110,6 +111,36 @@ def test_field_holds_on_texts_it_was_not_fitted_on(spark):
     assert sum(kept[r.doc_id] == (r.quality == 1) for r in held) >= 0.97 * len(held)
 
 
+def test_share_follows_the_parts_of_mixed_texts(spark):
+    """A good and a bad text that the fit has not seen, joined: the share of content is near the good one's share of words."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    field = fit_field(docs, labels.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = ([r.text for r in held if r.quality == q and r.text and r.text.strip()] for q in (1, 0))
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k in range(200):
+        pair = [rng.choice(good), rng.choice(bad)]
+        n = [len(t.split()) for t in pair]
+        want[k] = n[0] / sum(n)
+        rows.append((k, "\n".join(pair[:: 1 - k % 2 * 2])))
+    got = {r.doc_id: r.content_share for r in quality(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert sum(0 < x < 1 for x in got.values()) >= 160
+    assert np.mean([abs(got[k] - want[k]) for k in want]) <= 0.1
+
+
+def test_fit_reads_texts_whole_and_ids_once(spark):
+    good, bad = "Plain words of a sentence here.\n" * 100, "a### b$$$ c%%%\n" * 90
+    rows = [(1, good), (2, bad)] * 3 + [(3, good), (4, bad), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(5, 1), (1, 1)], "doc_id long, quality int")
+    sequences, kinds, weights = training_runs([np.zeros((100, len(FEATURES)))] * 2, [np.ones((90, len(FEATURES)))] * 2, 32)
+    assert sum(map(len, sequences[:14])) == 380 and len(sequences) == len(kinds) == len(weights) and [len(s) for s in sequences] == [len(k) for k in kinds]
+    assert all((s[:, 0] == 1 - k).all() for s, k in zip(sequences, kinds))
+    field = fit_field(frame, labels)
+    assert field != PRIOR and [r.kept for r in quality(spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string"), field).select("content_share", (F.col("content_share") > 0.5).alias("kept")).orderBy("content_share").collect()] == [False, True]
+
+
 # ------------------------------------------------------------- token counts
 def test_rules_for_tokens_across_a_boundary():
     ends = np.array([2, 5, 6])  # tokens [0,2) [2,5) [5,6)
@@ -214,6 +245,23 @@ def test_packing_odd_rows(spark):
     assert pack(frame.limit(0), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 64, 211])
+def test_sequences_hardly_depend_on_partitions(spark, parts):
+    docs = table(spark, SF, "documents")
+    made, tokens = check_packing(pack(docs.repartition(parts), WORDS).collect(), [(r.doc_id, r.text) for r in docs.collect()], 4096)
+    assert made <= 1.03 * tokens / 4096
+
+
+def test_packing_closes_and_packs_again_in_groups(spark, monkeypatch):
+    monkeypatch.setattr("listflow.llm.packing.GROUP_TOKENS", 400)
+    rng = random.Random(2)
+    rows = [(i % 50, "word " * rng.randrange(70)) for i in range(400)] + [(7, "same text " * 5)] * 200
+    for most_open in (1, 4, 1000):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        made, tokens = check_packing(pack(frame, WORDS, size=64, most_open=most_open).collect(), rows, 64)
+        assert made <= (1.5 if most_open == 1 else 1.25) * tokens / 64
+
+
 def test_packing_the_test_table(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     made, tokens = check_packing(pack(table(spark, SF, "documents"), WORDS).collect(), docs, 4096)
