@@ -540,3 +540,10 @@ TRENDING_TITLE_TERMS = [
 # ---------------------------------------------------------------- résumé files
 RESUME_EXTENSIONS = ["pdf", "doc", "docx"]
 RESUME_MAX_BYTES = 5 * 1024 * 1024
+
+# The words of a résumé match's reasons.
+REASON_SKILLS = " matching skills"
+REASON_LEVEL = "great level fit"
+REASON_DOMAIN = " domain"
+REASON_JOINT = " · "
+REASON_NONE = "some relevance found"

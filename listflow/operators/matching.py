@@ -1,7 +1,7 @@
 """Joins on containment: which terms occur in which texts.
 
 The right side's size decides the physical plan, never the result: a term table
-below the bound is broadcast, a larger one is joined on a piece of each term.
+below the bound is broadcast, a larger one is joined on the rarest piece of each term.
 """
 
 from __future__ import annotations
@@ -42,26 +42,40 @@ def substring_matches(
     p = p.withColumn("_key", F.lower("_term"))
     if is_small(p, max_broadcast_terms):
         pairs = t.join(F.broadcast(p), F.contains(F.col("_low"), F.col("_key")))
-    else:
-        # Equi-join on the first GRAM characters of each term (all of a shorter
-        # one) against the pieces of those lengths in each text, then verify.
-        p = p.withColumn("_gram", F.left("_key", F.lit(GRAM)))
-        pieces = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(GRAM)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length("_low")),
-                    lambda i: F.substring(F.col("_low"), i, n),
-                ),
-            )
-        )
-        grams = t.where(F.length("_low") > 0).select(
-            "_text", "_low", F.explode(F.array_distinct(pieces)).alias("_gram")
-        )
-        pairs = grams.join(p, "_gram").where(F.contains(F.col("_low"), F.col("_key")))
+        return pairs.select(F.col("_text").alias(text), F.col("_term").alias(term))
+    found = _piece_candidates(t.select("_low").distinct(), p.select("_key").distinct())
+    # Texts come by their hash, so of each only its pieces have crossed the network so far.
+    by_hash = t.withColumn("_hash", F.xxhash64("_low")).join(found, "_hash").where(F.contains(F.col("_low"), F.col("_key")))
+    pairs = by_hash.select("_text", "_key").join(p, "_key")
     return pairs.select(F.col("_text").alias(text), F.col("_term").alias(term))
 
 
+def _pieces(column: str, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters; none of a shorter text."""
+    last = F.length(column) - size + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(column), i, size)))
+
+
+def _piece_candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs ``(_hash of _low, _key)`` in which the text holds the rarest piece of the term.
+
+    Each term stands in the index under one piece only, of ``GRAM`` characters or
+    its own length if that is less: the one that the fewest texts hold. A text
+    sends its hash with its pieces of the lengths that terms have, so the work is
+    in proportion to its length and no text is sent along.
+    """
+    sizes = sorted(r[0] for r in terms.select(F.least(F.length("_key"), F.lit(GRAM))).distinct().collect())  # at most GRAM
+    own = terms.select("_key", F.explode(_pieces("_key", F.least(F.length("_key"), F.lit(GRAM)))).alias("_piece"))
+    every = F.flatten(F.array(*[_pieces("_low", F.lit(n)) for n in sizes]))
+    sent = texts.select(F.xxhash64("_low").alias("_hash"), F.explode(every).alias("_piece"))
+    wanted = sent.join(own.select("_piece").distinct(), "_piece", "left_semi")
+    counts = wanted.groupBy("_piece").agg(F.count("*").alias("_n"))
+    # A term with a piece that no text holds is indexed under that one and meets nothing.
+    index = own.join(counts, "_piece", "left").groupBy("_key").agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), F.col("_piece"))).alias("_piece"))
+    return wanted.join(index, "_piece").select("_hash", "_key")
+
+
 def first_matching_term(
     texts: DataFrame,
     text: str,
@@ -139,3 +153,47 @@ def overlap_counts(left: DataFrame, left_id: str, left_tags: str, right: DataFra
 
     joined = tags(left, left_id, left_tags).join(tags(right, right_id, right_tags), "tag")
     return joined.groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+
+
+#: Rows under one tag on either side that meet in one task.
+TAG_BLOCK = 4_096
+
+
+def overlaps_of_at_least(left: DataFrame, left_id: str, left_tags: str, right: DataFrame, right_id: str, right_tags: str, least: int, block: int = TAG_BLOCK) -> DataFrame:
+    """Pairs of rows that share at least ``least`` tags, with ``shared``; ids are unique on either side.
+
+    Tags are ordered by how many rows have them, rare ones first. Two rows that
+    share ``least`` tags share one among all but the last ``least - 1`` of each in
+    that order, so only those are indexed and met, and the tags that most rows
+    have hardly ever are. A row with fewer tags is out. A pair is given under the
+    first tag that both have, so it needs no distinct. Where a tag is met by more
+    than ``block`` rows of both sides, these meet in blocks.
+    """
+
+    def tagged(df: DataFrame, key: str, col: str) -> DataFrame:
+        lowered = F.array_distinct(F.array_compact(F.transform(F.col(col), lambda x: strip(F.lower(x)))))
+        return df.select(F.col(key).alias("id"), lowered.alias("tags")).where(F.size("tags") >= least)
+
+    sides = [tagged(left, left_id, left_tags), tagged(right, right_id, right_tags)]
+    single = [s.select("id", F.explode("tags").alias("tag")) for s in sides]
+    freq = single[0].select("tag").union(single[1].select("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        ranked = rows.join(freq, "tag").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("t"))
+        tags = F.transform("t", lambda x: x["tag"])
+        head = F.slice(tags, F.lit(1), F.size("t") - (least - 1))
+        return ranked.select("id", tags.alias("tags"), F.explode(head).alias("tag"))
+
+    indexed = [prefixes(s) for s in single]
+    sizes = [i.groupBy("tag").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for i, n in zip(indexed, ("lefts", "rights"))]
+    sizes = sizes[0].join(sizes[1], "tag")
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(sizes, "tag").select(F.col("tag").alias("tag"), F.col("id").alias(f"{name}_id"), F.col("tags").alias(f"{name}_tags"), mine.alias(own), each.alias(other))
+
+    met = dealt(indexed[0], "left", "lefts", "rights").join(dealt(indexed[1], "right", "rights", "lefts"), ["tag", "lefts", "rights"])
+    common = F.array_intersect("left_tags", "right_tags")
+    found = met.withColumn("common", common).where((F.size("common") >= least) & (F.get("common", F.lit(0)) == F.col("tag")))
+    return found.select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id), F.size("common").cast("long").alias("shared"))

@@ -11,7 +11,7 @@ from listflow.functions import classify as C, fixed_values as fv
 from listflow.functions.dates import age_days, days_before
 from listflow.functions.rules import first_match, has_any, term_array
 from listflow.functions.text import WS, collapse_space, contains_text, strip, text_or_empty
-from listflow.operators.matching import top_per_group
+from listflow.operators.matching import MAX_BROADCAST_BYTES, top_per_group
 from listflow.operators.quality import star_rating
 from listflow.operators.search import where_all
 
@@ -234,12 +234,20 @@ def compatible(df: DataFrame, person: Candidate) -> DataFrame:
     return listing_features(df).where(_compatible(_literals(person))).select(*df.columns)
 
 
-def resume_scores(df: DataFrame, person: Candidate) -> DataFrame:
-    """Skill, title, level, domain and description scores of one candidate."""
-    return _scored(listing_features(df), _literals(person))
+def resume_scores(df: DataFrame, person: Candidate, matched_limit: int | None = None, missing_limit: int | None = None) -> DataFrame:
+    """Skill, title, level, domain and description scores of one candidate.
 
+    The limits cut the lists of matching and missing skills that are shown, not
+    those that are scored.
+    """
+    return _scored(listing_features(df), _literals(person), matched_limit, missing_limit)
+
+
+def _cut(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
 
-def _scored(df: DataFrame, p: _Person) -> DataFrame:
+
+def _scored(df: DataFrame, p: _Person, matched_limit: int | None = None, missing_limit: int | None = None) -> DataFrame:
     df = df.withColumn("_in_desc", F.filter(p.skills, lambda s: F.contains(F.col("_desc"), s)))
     has_tech = F.size("_tech") > 0
     df = df.withColumns(
@@ -270,18 +278,18 @@ def _scored(df: DataFrame, p: _Person) -> DataFrame:
     total = _add([F.col(f"{n}_score") for n in ("skill", "title", "level", "domain", "description")])
     parts = F.array_compact(
         F.array(
-            F.when(F.size("_matched") > 0, F.concat(F.size("_matched").cast("string"), F.lit(" matching skills"))),
-            F.when(F.col("_bonus") >= 10, F.lit("great level fit")),
-            F.when(F.col("domain_score") >= 8, F.concat(p.domain, F.lit(" domain"))),
+            F.when(F.size("_matched") > 0, F.concat(F.size("_matched").cast("string"), F.lit(fv.REASON_SKILLS))),
+            F.when(F.col("_bonus") >= 10, F.lit(fv.REASON_LEVEL)),
+            F.when(F.col("domain_score") >= 8, F.concat(p.domain, F.lit(fv.REASON_DOMAIN))),
         )
     )
-    reasoning = F.when(F.size(parts) > 0, F.array_join(parts, " · ")).otherwise("some relevance found")
+    reasoning = F.when(F.size(parts) > 0, F.array_join(parts, fv.REASON_JOINT)).otherwise(fv.REASON_NONE)
     df = df.withColumns(
         {
             "match_score": total,
             "match_reasoning": reasoning,
-            "matching_skills": F.slice(F.array_sort("_matched"), 1, 10),
-            "missing_skills": F.slice(F.array_sort("_missing"), 1, 5),
+            "matching_skills": _cut(F.array_sort("_matched"), matched_limit),
+            "missing_skills": _cut(F.array_sort("_missing"), missing_limit),
             "level_match": F.col("_level") == p.level,
         }
     ).withColumn("match_tier", C.tier(F.col("match_score")))
@@ -290,32 +298,55 @@ def _scored(df: DataFrame, p: _Person) -> DataFrame:
 
 def rank_for_resume(
     df: DataFrame, person: Candidate, as_of, days: int = fv.RESUME_RANK_DAYS, limit: int = 20,
-    newest_only: int | None = None,
+    newest_only: int | None = None, matched_limit: int | None = None, missing_limit: int | None = None,
 ) -> DataFrame:
     """Best listings for one candidate: score, then the younger."""
     recent = df.where(F.col("is_active") & (F.col("posted_date") >= days_before(as_of, days)))
-    scored = resume_scores(compatible(newest(recent, newest_only), person), person)
+    scored = resume_scores(compatible(newest(recent, newest_only), person), person, matched_limit, missing_limit)
     return scored.orderBy(F.desc("match_score"), F.desc("posted_date"), F.asc("id")).limit(limit)
 
 
+OTHER_LEVEL = "other"
+
+
+def _level_class(level: Column) -> Column:
+    """The rows of the table of allowed levels; a level that it does not name has the rule for all others."""
+    return F.when(level.isin(list(fv.LEVELS_ALLOWED)), level).otherwise(F.lit(OTHER_LEVEL))
+
+
+def _classes_allowed() -> Column:
+    """The classes of candidates that a listing's level admits."""
+    rules = [(name, [*levels, ""]) for name, levels in fv.LEVELS_ALLOWED.items()] + [(OTHER_LEVEL, ["junior", "mid", "senior", ""])]
+    return F.array_compact(F.array(*[F.when(F.col("_level").isin(levels), F.lit(name)) for name, levels in rules]))
+
+
 def rank_for_resumes(
     df: DataFrame, people: DataFrame, as_of, days: int = fv.RESUME_RANK_DAYS, limit: int = 20, block: int = PEOPLE_BLOCK,
+    max_bytes: int = MAX_BROADCAST_BYTES, matched_limit: int | None = None, missing_limit: int | None = None,
 ) -> DataFrame:
     """Best listings for each candidate of a table, as ``rank_for_resume`` gives them, with ``candidate_id``.
 
     ``people`` has ``candidate_id, skills, level, domain, words,
-    past_title_words``. Candidates stand in blocks of about ``block``; a listing
-    meets each block once, so the listings are read and their features found
-    once, however many candidates there are. Only the best of each candidate and
-    task reach the shuffle.
+    past_title_words``. Candidates stand in blocks of about ``block`` of one level
+    class; a listing meets the blocks of the classes that its level admits. The
+    blocks are broadcast, at most ``max_bytes`` of candidates in one pass over
+    the listings, so the listings themselves cross no network: only the best of
+    each candidate and task do. More candidates take more passes.
     """
     recent = df.where(F.col("is_active") & (F.col("posted_date") >= days_before(as_of, days)))
     fields = ("candidate_id", "skills", "level", "domain", "words", "past_title_words")
-    blocks = -(-people.count() // block) or 1
-    held = people.withColumn("_block", F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)).cast("int"))
-    held = held.groupBy("_block").agg(F.collect_list(F.struct(*fields)).alias("_people"))
-    met = listing_features(recent).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "_block")
-    pairs = met.withColumn("_one", F.explode("_people")).drop("_people", "_block")
+    person = F.struct(*fields)
+    held, size = people.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(person))), F.lit(0))).first()
+    passes = max(1, -(-size // max_bytes))
+    blocks = max(1, -(-held // (passes * block)))
+    met = listing_features(recent).withColumn("_class", F.explode(_classes_allowed()))
     p = _Person(*[F.col(f"_one.{n}") for n in fields[1:]])
-    scored = _scored(pairs.where(_compatible(p)), p).withColumn("candidate_id", F.col("_one.candidate_id")).drop("_one")
-    return top_per_group(scored, ["candidate_id"], [F.desc("match_score"), F.desc("posted_date"), F.asc("id")], limit)
+    best = []
+    for turn in range(passes):
+        mine = people.where(F.pmod(F.xxhash64("candidate_id", F.lit(1)), F.lit(passes)) == turn)
+        grouped = mine.groupBy(_level_class(F.col("level")).alias("_class"), F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)).alias("_block"))
+        grouped = grouped.agg(F.collect_list(person).alias("_people")).drop("_block")
+        pairs = met.join(F.broadcast(grouped), "_class").withColumn("_one", F.explode("_people")).drop("_people", "_class")
+        scored = _scored(pairs.where(_compatible(p)), p, matched_limit, missing_limit).withColumn("candidate_id", F.col("_one.candidate_id")).drop("_one")
+        best.append(top_per_group(scored, ["candidate_id"], [F.desc("match_score"), F.desc("posted_date"), F.asc("id")], limit))
+    return reduce(DataFrame.unionByName, best)

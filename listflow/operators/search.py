@@ -166,10 +166,14 @@ def search_page(
     per_page: int = 20,
     sort_by: str = "created_at",
     descending: bool = True,
-    featured_limit: int = 50,
+    featured_limit: int | None = None,
     all_filters: bool = False,
 ) -> DataFrame:
-    """Featured rows (page 1 only) before the page of regular rows.
+    """Featured rows before the page of regular rows.
+
+    All featured rows stand on page 1. With ``featured_limit`` it has that many
+    of them and each later page as many more, so that every row that
+    ``search_totals`` counts stands on one page.
 
     Adds ``tier`` (0 featured, 1 regular), ``position`` within the tier, ``_is_new`` and ``_is_featured``.
     Both tiers are top-k plans; nothing but their rows reaches the union.
@@ -184,10 +188,12 @@ def search_page(
     order = sort_keys(sort_by, descending)
     regular = placed(page_of(regular_rows(df, params, as_of), order, page, per_page), 1, order)
     regular = regular.withColumn("_is_new", is_new(F.col("created_at"), as_of)).withColumn("_is_featured", F.lit(False))
-    if page != 1:
+    if page != 1 and featured_limit is None:
         return regular
     top_order = sort_keys("created_at", True)
-    featured = featured_rows(df, params, as_of, all_filters).orderBy(*top_order).limit(featured_limit)
+    featured = featured_rows(df, params, as_of, all_filters)
+    if featured_limit is not None:
+        featured = page_of(featured, top_order, page, featured_limit)
     top = placed(featured, 0, top_order).withColumn("_is_new", F.lit(False)).withColumn("_is_featured", F.lit(True))
     # The two tiers exclude each other by their predicate.
     return top.unionByName(regular).orderBy("tier", "position")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from listflow.functions.vectors import cosine_similarity
 from listflow.operators.matching import one_row, top_per_group
@@ -40,6 +40,30 @@ def top_similar(
     return scored.where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), F.asc(key)).limit(limit)
 
 
+def register_similar_rows(spark: SparkSession, name: str, source: str, key: str = "id", vector: str = "embedding") -> None:
+    """A SQL table function ``name(query, threshold, rows_wanted, exclude)`` over the table or view ``source``.
+
+    It returns ``key`` and ``similarity`` as ``top_similar`` does. The limit is a
+    rank, not a LIMIT, so it need not be a constant: the function can be called
+    with the columns of another table. ``exclude`` may be null. The arithmetic is
+    that of ``cosine_similarity``.
+    """
+    kind = spark.table(source).schema[key].dataType.simpleString()
+    items = f"zip_with({vector}, query, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE))"
+    square = "aggregate({v}, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE))"
+    length = f"sqrt({square.format(v=vector)}) * sqrt({square.format(v='query')})"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<FLOAT>, threshold DOUBLE, rows_wanted INT, exclude {kind})
+        RETURNS TABLE({key} {kind}, similarity DOUBLE)
+        RETURN SELECT {key}, similarity FROM (
+          SELECT {key}, similarity, row_number() OVER (ORDER BY similarity DESC, {key}) AS place FROM (
+            SELECT {key}, CASE WHEN {length} > 0 THEN aggregate({items}, 0D, (s, x) -> s + x) / ({length}) END AS similarity
+            FROM {source} WHERE {vector} IS NOT NULL AND NOT ({key} <=> exclude))
+          WHERE similarity > threshold)
+        WHERE place <= rows_wanted"""
+    )
+
+
 def similar_to(
     df: DataFrame, row_id: object, limit: int = 5, threshold: float = 0.7,
     vector: str = "embedding", key: str = "id",

@@ -70,12 +70,12 @@ def refresh_from_boards(
     return upsert(align_to_schema(stored, LISTINGS), rows, as_of, "touch", small_batch=small_batch)
 
 
-def bulk_rows(df: DataFrame, source: str, as_of, shown: int | None = 500) -> DataFrame:
+def bulk_rows(df: DataFrame, source: str, as_of, shown: int | None = None) -> DataFrame:
     """Bulk builder: inline enrichment and region check of home-country rows.
 
     Reads ``title, company, url, city, description, posted_text, salary_min,
     salary_max, is_remote``; the currency is ``currency`` or the rupee. The whole
-    description is judged; the shown one is its first sentence of at most
+    description is judged; the shown one is its first sentence, whole or cut to
     ``shown`` characters.
     """
     have = set(df.columns)

@@ -192,7 +192,7 @@ def _page_sql(regular: str, featured: str, page: int, per_page: int) -> str:
     _page_sql("salary_min >= 1000", "true", 1, 20),
 )
 def search_first_page(spark, sf):
-    out = search_with_ats(listings(spark, sf), {"salary_min": 1000.0}, LISTINGS_AS_OF, page=1, per_page=20)
+    out = search_with_ats(listings(spark, sf), {"salary_min": 1000.0}, LISTINGS_AS_OF, page=1, per_page=20, featured_limit=50)
     return out.select("id", "tier", "ats_detected", "_is_new")
 
 
@@ -202,6 +202,20 @@ def search_later_page(spark, sf):
     return out.select("id", "tier", "ats_detected", "_is_new")
 
 
+@query(
+    "search_featured_pages", "G-3 G-4",
+    f"""WITH r AS (SELECT id, is_featured = true AS top, row_number() OVER (PARTITION BY is_featured = true ORDER BY created_at DESC NULLS FIRST, id) AS n
+        FROM listings WHERE {OPEN} AND (is_featured = true OR is_featured <> true AND salary_min >= 1000))
+      SELECT page, id, CASE WHEN top THEN 0 ELSE 1 END::BIGINT AS tier FROM r, (VALUES (1::BIGINT), (2::BIGINT), (3::BIGINT)) p(page)
+      WHERE CASE WHEN top THEN n > (page - 1) * 15 AND n <= page * 15 ELSE n > (page - 1) * 20 AND n <= page * 20 END""",
+)
+def search_featured_pages(spark, sf):
+    """Featured rows beyond the first page's stand on the pages after it."""
+    df, params = listings(spark, sf), S.SearchParams(salary_min=1000.0)
+    pages = [S.search_page(df, params, LISTINGS_AS_OF, page=n, featured_limit=15).select(F.lit(n).alias("page"), "id", "tier") for n in (1, 2, 3)]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
 @query(
     "search_totals", "G-4 A-2 X-27",
     f"""WITH c AS (SELECT count(*) FILTER (WHERE is_featured <> true AND salary_min >= 1000) + count(*) FILTER (WHERE is_featured) AS total

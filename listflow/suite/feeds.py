@@ -15,8 +15,8 @@ from listflow.schemas import LISTINGS, align_to_schema
 from listflow.sources import boards as B, feeds as S
 from listflow.suite.keys import sql_job_type, sql_level, sql_region_ok
 from listflow.suite.registry import any_of, case, key_sha, list_col, list_text, query, rule_case, ts_col, ts_text, value_map
-from listflow.suite.views import LISTINGS_AS_OF, lit, listings, table
-from listflow.suite.words import sql_remote
+from listflow.suite.views import LISTINGS_AS_OF, lit, listings, postings, table
+from listflow.suite.words import _FLAT, sql_remote
 
 AS_OF = f"TIMESTAMP '{LISTINGS_AS_OF}'"
 _DAY = "date_format(created_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
@@ -239,7 +239,7 @@ _BULK = f"""b AS (SELECT id AS seq, trim(title) AS title, trim(company_name) AS
         {any_of('lower(d)', fv.BULK_VISA)} AS visa_sponsorship, 'INR' AS salary_currency FROM k""",
 )
 def run_bulk_rows(spark, sf):
-    return bulk_rows(_bulk_input(spark, sf), "Adzuna-IN", LISTINGS_AS_OF).select(
+    return bulk_rows(_bulk_input(spark, sf), "Adzuna-IN", LISTINGS_AS_OF, shown=500).select(
         "seq", "title", "location_city", "description", "remote_type", "experience_level", "job_type", "company_type", "visa_sponsorship", "salary_currency"
     )
 
@@ -251,6 +251,23 @@ def _bulk_input(spark, sf):
     )
 
 
+_WHOLE_FLAT = _FLAT.replace("(text,", "(description,")
+
+
+@query(
+    "bulk_rows_whole", "P-14 X-1",
+    f"""WITH d AS (SELECT id AS seq, trim(title) AS title, trim(company_name) AS company_name, apply_url, {_WHOLE_FLAT} AS d FROM postings)
+        SELECT seq, title, coalesce(nullif(regexp_extract(d, '^(.+?[.!?]) ', 1), ''), d) AS description FROM d
+        WHERE title <> '' AND company_name <> '' AND apply_url <> '' AND {sql_region_ok('lower(title)', "'INR'", 'd')}""",
+)
+def bulk_rows_whole(spark, sf):
+    """Documents as bulk rows, their first sentences whole."""
+    rows = postings(spark, sf).selectExpr(
+        "id AS seq", "title", "company_name AS company", "apply_url AS url", "location_city AS city", "description", "cast(null as string) AS posted_text", "salary_min", "salary_max",
+    )
+    return bulk_rows(rows, "Adzuna-IN", LISTINGS_AS_OF).select("seq", "title", "description")
+
+
 @query(
     "bulk_insert_rows", "D-5 D-6 F-10 C-16 U-3",
     f"""WITH {_BULK}, v AS (SELECT *, {key_sha('company_name', 'title', 'city', raw=['apply_url'])} AS dedup_hash FROM k

@@ -8,7 +8,8 @@ from listflow.functions import fixed_values as fv
 from listflow.functions.classify import tier_or_stored
 from listflow.operators import accounts as A, alerts, ranking as R, similarity as V, stats
 from listflow.operators.lifecycle import one_default
-from listflow.operators.matching import one_row, overlap_counts, top_per_group
+from listflow.operators.lsh import planes, top_similar_hashed
+from listflow.operators.matching import one_row, overlap_counts, overlaps_of_at_least, top_per_group
 from listflow.schemas import ranking_columns
 from listflow.suite.keys import sql_stars
 from listflow.suite.registry import any_of, case, list_col, query
@@ -156,6 +157,19 @@ def shared_tags(spark, sf):
     return overlap_counts(brands, "p_brand", "tags", rows, "p_partkey", "tags").select("p_brand", "p_partkey", "shared")
 
 
+@query(
+    "shared_tags_at_least", "J-7",
+    """WITH t AS (SELECT DISTINCT o_custkey AS id, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+       SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM t a JOIN t b ON a.part = b.part AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 4""",
+)
+def shared_tags_at_least(spark, sf):
+    """Customers who ordered at least four of the same parts; a small block, so that common parts are met in several."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    bought = orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_custkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tags"))
+    pairs = overlaps_of_at_least(bought.withColumnRenamed("o_custkey", "left_id"), "left_id", "tags", bought.withColumnRenamed("o_custkey", "right_id"), "right_id", "tags", 4, block=16)
+    return pairs.where("left_id < right_id")
+
+
 @query(
     "newest_orders_per_customer", "W-1 W-4",
     "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3",
@@ -258,7 +272,7 @@ def _sql_list(values: list[str]) -> str:
     return "CAST([" + ", ".join(lit(v) for v in values) + "] AS VARCHAR[])"
 
 
-def sql_resume(view: str, as_of: str, p: R.Candidate, days: int, limit: int) -> str:
+def sql_resume(view: str, as_of: str, p: R.Candidate, days: int, limit: int, hits: str = "[1:10]", misses: str = "[1:5]") -> str:
     skills = _sql_list(p.skills)
     allowed = ", ".join(lit(v) for v in fv.LEVELS_ALLOWED[p.level])
     level = "lower(trim(coalesce(experience_level, '')))"
@@ -287,7 +301,7 @@ def sql_resume(view: str, as_of: str, p: R.Candidate, days: int, limit: int) ->
           CASE WHEN domain_score >= 8 THEN {lit(p.domain + ' domain')} END], lambda x: x IS NOT NULL), ' · ') AS why FROM h)
       SELECT id, match_score, skill_score, title_score, level_score, domain_score, description_score,
         {case([(n, f"match_score >= {low}") for n, low in fv.MATCH_TIERS], 'weak')} AS match_tier, CASE WHEN why = '' THEN 'some relevance found' ELSE why END AS match_reasoning,
-        array_to_string(list_sort(hit)[1:10], '|') AS matching_skills, array_to_string(list_sort(miss)[1:5], '|') AS missing_skills,
+        array_to_string(list_sort(hit){hits}, '|') AS matching_skills, array_to_string(list_sort(miss){misses}, '|') AS missing_skills,
         lv = {lit(p.level)} AS level_match FROM i ORDER BY match_score DESC, posted_date DESC, id LIMIT {limit}"""
 
 
@@ -296,21 +310,31 @@ def _resume_columns(df):
     return df.select("id", *scores, "match_tier", "match_reasoning", list_col("matching_skills"), list_col("missing_skills"), "level_match")
 
 
+#: Skills shown of each kind.
+SHOWN = {"matched_limit": 10, "missing_limit": 5}
+
+
 @query("resume_ranking", "R-4 R-5 F-14 J-7 J-8 X-19", sql_resume("postings", POSTINGS_AS_OF, PERSON, 30, 20))
 def resume_ranking(spark, sf):
-    return _resume_columns(R.rank_for_resume(postings(spark, sf), PERSON, POSTINGS_AS_OF))
+    return _resume_columns(R.rank_for_resume(postings(spark, sf), PERSON, POSTINGS_AS_OF, **SHOWN))
 
 
 @query("resume_ranking_all", "R-4 F-14", sql_resume("listings", LISTINGS_AS_OF, PERSON, 3650, 1_000_000_000))
 def resume_ranking_all(spark, sf):
     """Scores of every compatible listing, not only the best."""
     df = listings(spark, sf).where("is_active and posted_date is not null")
-    return _resume_columns(R.resume_scores(R.compatible(df, PERSON), PERSON))
+    return _resume_columns(R.resume_scores(R.compatible(df, PERSON), PERSON, **SHOWN))
 
 
 @query("resume_ranking_junior", "R-4 R-5 F-14", sql_resume("listings", LISTINGS_AS_OF, JUNIOR, 3650, 20))
 def resume_ranking_junior(spark, sf):
-    return _resume_columns(R.rank_for_resume(listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650))
+    return _resume_columns(R.rank_for_resume(listings(spark, sf), JUNIOR, LISTINGS_AS_OF, days=3650, **SHOWN))
+
+
+@query("resume_ranking_whole", "R-4 X-19", sql_resume("postings", POSTINGS_AS_OF, PERSON, 3650, 1_000_000_000, "", ""))
+def resume_ranking_whole(spark, sf):
+    """Every compatible document with all its matching and missing skills, as without limits."""
+    return _resume_columns(R.resume_scores(R.compatible(postings(spark, sf).where("is_active"), PERSON), PERSON))
 
 
 @query(
@@ -363,6 +387,42 @@ def vector_top_many(spark, sf):
     return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+#: Tables and bits of the approximate form: the test vectors' neighbours are some 60 degrees apart.
+HASH_TABLES, HASH_BITS = 18, 4
+
+
+def _hash_sql(width: int = 64) -> str:
+    """Buckets of all vectors, from the same hyperplanes."""
+    sides = [f"({t}, {b}, [{', '.join(str(int(x)) for x in plane)}])" for t, bits in enumerate(planes(width, HASH_TABLES, HASH_BITS)) for b, plane in enumerate(bits)]
+    return f"""s AS (SELECT vec_id, tab, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(plane AS DOUBLE[])) > 0 THEN 1 << bit ELSE 0 END) AS bucket
+      FROM embeddings, (VALUES {', '.join(sides)}) p(tab, bit, plane) GROUP BY 1, 2)"""
+
+
+@query(
+    "vector_top_many_hashed", "V-4",
+    f"""WITH {_hash_sql()}, c AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM s a JOIN s b ON a.tab = b.tab AND a.bucket = b.bucket AND a.vec_id <> b.vec_id)
+      SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT c.query_id, c.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS s,
+        row_number() OVER (PARTITION BY c.query_id ORDER BY s DESC, c.vec_id) AS rank FROM c JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = c.query_id
+        WHERE s > 0.2) WHERE rank <= 5""",
+)
+def vector_top_many_hashed(spark, sf):
+    df = table(spark, sf, "embeddings")
+    queries = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    out = top_similar_hashed(df, queries, 5, 0.2, key="vec_id", tables=HASH_TABLES, bits=HASH_BITS)
+    return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("vector_top_function", "V-1 J-9", _vector_sql(0.1, 10, True))
+def vector_top_function(spark, sf):
+    """The search called from SQL, its limit an argument like the others."""
+    table(spark, sf, "embeddings").createOrReplaceTempView("embeddings")
+    V.register_similar_rows(spark, "similar_rows", "embeddings", "vec_id", "embedding")
+    return spark.sql(
+        """SELECT vec_id, round(similarity, 6) AS similarity
+           FROM similar_rows((SELECT embedding FROM embeddings WHERE vec_id = 0), 0.1D, (SELECT CAST(count(*) AS INT) FROM embeddings WHERE vec_id < 10), 0)"""
+    )
+
+
 # ------------------------------------------------------------------ alerts
 # Stored alerts: one per customer, with filters that follow from the row.
 _ALERT_SPARK = {

@@ -5,14 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from listflow.operators import dedup, matching, search, stats, upsert as U
+from listflow.operators import dedup, matching, ranking as R, search, stats, upsert as U
 from listflow.suite import QUERIES
 from listflow.suite.views import listings
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 # Vector blocks and nested HTML cards are the two places that use pandas batches.
-PANDAS_QUERIES = {"vector_top_many", "html_board_rows"}
+PANDAS_QUERIES = {"vector_top_many", "vector_top_many_hashed", "html_board_rows"}
 STREAMS = {n for n in QUERIES if n.startswith("stream_")}
 
 
@@ -76,6 +76,35 @@ def test_dedup_combines_before_the_shuffle(spark):
     assert "partial_count" in text
 
 
+def test_ranking_for_many_people_moves_no_listing(spark):
+    """With broadcasting by size off, as for a large table, listings cross no exchange before they are cut to the best."""
+    people = spark.createDataFrame([("a", ["python"], "senior", "data", ["data"], ["engineer"])], "candidate_id string, skills array<string>, level string, domain string, words array<string>, past_title_words array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(R.rank_for_resumes(listings(spark, SF), people, "2001-08-02 00:00:00", days=3650))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    # from the scan upwards, the first exchange stands above a limit per candidate
+    scan = text[: text.index("Scan parquet")]
+    assert scan.rindex("WindowGroupLimit") > scan.rindex("Exchange hashpartitioning(candidate_id")
+
+
+def test_large_term_tables_send_pieces_not_texts(spark):
+    texts = listings(spark, SF).select("description")
+    terms = spark.range(50).selectExpr("concat('visa ', id) AS term")
+    found = matching._piece_candidates(texts.selectExpr("lower(description) AS _low").distinct(), terms.selectExpr("term AS _key").distinct())
+    pieces = [line for line in plan(found).splitlines() if "Exchange hashpartitioning(_piece" in line]
+    assert pieces
+    for line in plan(found).splitlines():
+        # what is dealt by pieces has no text with it
+        if "Generate explode" in line and "_low" in line:
+            assert "[_hash" in line or "_low#" in line
+    below = plan(found).split("Exchange hashpartitioning(_piece")[1:]
+    assert all("_low" not in part.splitlines()[1].split("Project [")[-1].split("]")[0].split(" AS ")[-1] for part in below if "Project [" in part.splitlines()[1])
+
+
 def test_size_checks(spark):
     assert matching.is_small(spark.range(5), 5) and not matching.is_small(spark.range(6), 5)
     wide = spark.range(3).withColumn("text", F.expr("repeat('x', 1000)"))
