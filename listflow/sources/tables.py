@@ -42,6 +42,44 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: tuple[s
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever the table is kept."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def logged_batches(spark: SparkSession, log: str) -> list[int]:
+    """The numbers of the batches that a log holds, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+class BatchState:
+    """A small table that each batch of a stream replaces, kept as one folder per batch.
+
+    Batch ``n`` reads what the batch before it wrote and writes its own folder.
+    Older ones go, so disk and reads stay those of two states, and a replayed
+    batch finds the state that it found the first time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: "T.StructType | str"):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def before(self, batch: int) -> DataFrame:
+        earlier = [b for b in logged_batches(self.spark, self.path) if b < batch]
+        if not earlier:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={earlier[-1]}")
+
+    def write(self, df: DataFrame, batch: int) -> DataFrame:
+        write_changes(df, self.path, batch)
+        for old in [b for b in logged_batches(self.spark, self.path) if b < batch][:-1]:
+            drop_path(self.spark, f"{self.path}/batch={old}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+
+
 def append_rows(df: DataFrame, path: str, batch: int) -> None:
     """Add a batch of rows as a folder of its own; writing it again replaces it, so a retry doubles nothing."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -52,9 +90,9 @@ def write_changes(df: DataFrame, log: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{log}/batch={batch}")
 
 
-def read_changes(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
+def read_changes(spark: SparkSession, log: str, before: int | None = None, schema: "T.StructType | str | None" = None) -> DataFrame:
     """All logged rows with their ``batch``, optionally of earlier batches only."""
-    df = spark.read.parquet(log)
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(log)
     return df if before is None else df.where(F.col("batch") < before)
 
 

@@ -446,16 +446,18 @@ def _unset(name: str) -> str:
     return f"coalesce(CAST(a.{name} AS VARCHAR), '') = ''"
 
 
-_ALERT_SQL = f"""WITH a AS (SELECT c_custkey AS alert_id, c_nationkey AS user_id, {', '.join(f'{e} AS {n}' for n, e in _ALERT_DUCK.items())} FROM customer WHERE c_acctbal < 1500),
-  l AS (SELECT * FROM listings WHERE is_active AND posted_date >= {AS_OF} - INTERVAL 45 DAY)
-  SELECT alert_id, a.user_id::BIGINT AS user_id, l.id FROM a JOIN l ON
-   ({_unset('remote_type')} OR l.remote_type = a.remote_type) AND ({_unset('experience_level')} OR l.experience_level = a.experience_level)
+_ALERTS_SQL = f"a AS (SELECT c_custkey AS alert_id, c_nationkey AS user_id, {', '.join(f'{e} AS {n}' for n, e in _ALERT_DUCK.items())}, ['realtime', 'daily', 'weekly', NULL][c_custkey % 4 + 1] AS frequency FROM customer WHERE c_acctbal < 1500)"
+#: Whether a listing ``l`` fits an alert ``a``.
+_ALERT_ON = f"""({_unset('remote_type')} OR l.remote_type = a.remote_type) AND ({_unset('experience_level')} OR l.experience_level = a.experience_level)
    AND ({_unset('company_type')} OR l.company_type = a.company_type) AND (a.salary_min = 0 OR l.salary_min >= a.salary_min)
    AND ({_unset('q')} OR contains(lower(l.title), lower(a.q)) OR contains(lower(l.company_name), lower(a.q)) OR contains(lower(l.description), lower(a.q)))
    AND ({_unset('location')} OR contains(lower(l.location_city), a.location) OR contains(lower(l.location_country), a.location)
      OR l.location_country = CASE a.location WHEN 'india' THEN 'IN' WHEN 'uk' THEN 'GB' END)
    AND (a.tech_stack IS NULL OR list_has_all(l.tech_stack, a.tech_stack)) AND ({_unset('source')} OR list_contains(l.source_platforms, a.source))
-   AND ({_unset('posted_within')} OR l.posted_date >= {AS_OF} - INTERVAL 30 DAY)"""
+   AND ({_unset('posted_within')} OR l.posted_date >= {{as_of}} - INTERVAL 30 DAY)"""
+_ALERT_SQL = f"""WITH {_ALERTS_SQL},
+  l AS (SELECT * FROM listings WHERE is_active AND posted_date >= {AS_OF} - INTERVAL 45 DAY)
+  SELECT alert_id, a.user_id::BIGINT AS user_id, l.id FROM a JOIN l ON {_ALERT_ON.format(as_of=AS_OF)}"""
 
 
 def _alerts(spark, sf):

@@ -54,6 +54,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     head = "WITH " + ", ".join(f"{n} AS ({v})" for n, v in used.items())
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"{head.replace('WITH ', 'WITH RECURSIVE ', 1)}, {body[15:]}"
     return f"{head}, {body[5:]}" if body.upper().startswith("WITH ") else f"{head} {body}"
 
 

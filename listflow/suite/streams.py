@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from listflow.session import shared_dir
 from listflow.sources import feeds as S
 from listflow.sources.tables import append_rows, current_rows, read_changes, write_changes
-from listflow.streaming import jobs as J
+from listflow.streaming import digests as D, expiry as X, jobs as J, late as L
 from listflow.suite.keys import MERGE_SIDES, _EXPIRE, _sides
+from listflow.suite.people import _ALERT_ON, _ALERTS_SQL, _alerts as stored_alerts
 from listflow.suite.registry import query, ts_col, ts_text
 from listflow.suite.views import LISTINGS_AS_OF, listings, table
 
@@ -125,3 +126,103 @@ def stream_expiry(spark, sf):
     J.run_available(stream, lambda df, batch: write_changes(df.drop("seq"), log, batch), checkpoint)
     J.compact(spark, log, compacted, as_of=LISTINGS_AS_OF)
     return read_changes(spark, compacted).select("dedup_hash", "is_active", ts_col("updated_at", "changed"))
+
+
+# ------------------------------------------------------------------ late rows
+# Every eleventh event lands with the week three weeks later, every fifth of the rest with the next one.
+_LATE_BY = "CASE WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END"
+
+
+def _late_stream(spark, sf):
+    """The events, week by week, some of them in a later week's landing."""
+    events, landing = table(spark, sf, "events"), shared_dir(spark, "landing")
+    part = F.floor(F.date_format("ts", "D").cast("int") / 7) + F.expr(_LATE_BY)
+    parts = [r.w for r in events.select(part.alias("w")).distinct().orderBy("w").collect()]  # at most 56
+    return events, landing, [(events.where(part == w)) for w in parts]
+
+
+_LANDED = f"""e AS (SELECT *, dayofyear(ts) // 7 + {_LATE_BY} AS landing FROM events),
+  w AS (SELECT landing, max(max(ts)) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS mark FROM e GROUP BY landing),
+  m AS (SELECT e.*, coalesce(ts < mark, false) AS late FROM e JOIN w USING (landing))"""
+
+
+@query(
+    "stream_late_windows", "T-7 T-6",
+    f"""WITH {_LANDED} SELECT {ts_text('time_bucket(INTERVAL 1 HOUR, ts)')} AS window_start, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS n_late
+        FROM m GROUP BY 1""",
+)
+def stream_late_windows(spark, sf):
+    """Hourly counts of events on time and of those behind a watermark of ten days."""
+    events, landing, parts = _late_stream(spark, sf)
+    folder, checkpoint = shared_dir(spark, "late"), shared_dir(spark, "checkpoint")
+    handle = L.windows_with_late(spark, folder, "ts", "1 hour", "10 days")
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        J.run_available(J.landed_files(spark, landing, events.schema, "parquet"), handle, checkpoint)
+    return L.read_windows(spark, folder).select(ts_col("window_start"), "n", "n_late")
+
+
+@query(
+    "stream_late_counts", "T-6 T-2",
+    f"""WITH {_LANDED} SELECT dense_rank() OVER (ORDER BY landing) - 1 AS batch, count(*) AS n_landed, count(*) FILTER (WHERE NOT late) AS n_kept, count(*) FILTER (WHERE late) AS n_late
+        FROM m GROUP BY landing""",
+)
+def stream_late_counts(spark, sf):
+    """What became of the rows of each landing, where keys are kept once within ten days."""
+    events, landing, parts = _late_stream(spark, sf)
+    folder, checkpoint = shared_dir(spark, "late"), shared_dir(spark, "checkpoint")
+    handle = L.distinct_with_late(spark, folder, ["user_id", "event_type"], "ts", "10 days")
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        J.run_available(J.landed_files(spark, landing, events.schema, "parquet"), handle, checkpoint)
+    return L.late_counts(spark, folder)
+
+
+# ------------------------------------------------------------------ timers
+@query(
+    "stream_lapses", "T-5 T-4",
+    f"""WITH o AS (SELECT o_custkey, o_orderdate::TIMESTAMP AS seen, lead(o_orderdate::TIMESTAMP) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS next_at,
+          max(o_orderdate::TIMESTAMP) OVER () AS latest FROM orders)
+        SELECT o_custkey, {ts_text('seen')} AS last_seen, {ts_text('seen + INTERVAL 45 DAY')} AS expired_at FROM o
+        WHERE CASE WHEN next_at IS NULL THEN seen + INTERVAL 45 DAY < latest - INTERVAL 1 DAY ELSE next_at > seen + INTERVAL 45 DAY END""",
+)
+def stream_lapses(spark, sf):
+    """Customers whose last order is 45 days past, by timers, over three landings in time order."""
+    orders, landing = table(spark, sf, "orders").select("o_custkey", "o_orderdate"), shared_dir(spark, "landing")
+    third = F.when(F.col("o_orderdate") < F.lit("1997-03-10").cast("timestamp"), 0).when(F.col("o_orderdate") < F.lit("1999-05-20").cast("timestamp"), 1).otherwise(2)
+    landed = lambda n: lambda: orders.where(third == n).write.mode("append").parquet(landing)
+    landed(0)()
+    stream = X.lapses(J.landed_files(spark, landing, orders.schema, "parquet"), "o_custkey", "o_orderdate")
+    out = J.drain(stream, later=[landed(1), landed(2)])
+    return out.select("o_custkey", ts_col("last_seen"), ts_col("expired_at"))
+
+
+# ------------------------------------------------------------------ alert digests
+_DIGEST_PARTS = [f"{LISTINGS_AS_OF}'::TIMESTAMP - INTERVAL '{d} DAY" for d in (9, 8, 6, 4, 2, 1)]
+_FREQUENCY = ["realtime", "daily", "weekly", None]
+_DIGEST_SQL = f"""WITH RECURSIVE {_ALERTS_SQL}, c AS (SELECT l.*, (created_at >= '{_DIGEST_PARTS[0]}')::INT + {' + '.join(f"(created_at >= '{p}')::INT" for p in _DIGEST_PARTS[1:])} AS landing FROM listings l),
+  t AS (SELECT landing, row_number() OVER (ORDER BY landing) AS step, max(max(created_at)) OVER (ORDER BY landing) AS clock FROM c GROUP BY landing),
+  l AS (SELECT c.*, step, clock FROM c JOIN t USING (landing)),
+  m AS MATERIALIZED (SELECT alert_id, a.user_id, a.frequency, l.id, step FROM a JOIN l ON {_ALERT_ON.format(as_of='l.clock')}),
+  n AS MATERIALIZED (SELECT alert_id, frequency, step, count(*) AS n FROM m GROUP BY ALL),
+  k AS MATERIALIZED (SELECT a.alert_id, a.frequency, t.step, t.clock, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT alert_id, frequency FROM n) a CROSS JOIN t LEFT JOIN n ON n.alert_id = a.alert_id AND n.step = t.step),
+  s AS (SELECT alert_id, 0::BIGINT AS step, NULL::TIMESTAMP AS last, 0::HUGEINT AS held, NULL::TIMESTAMP AS fired_at, 0::HUGEINT AS sent FROM (SELECT DISTINCT alert_id FROM k)
+    UNION ALL SELECT alert_id, step, CASE WHEN fires THEN clock ELSE last END, CASE WHEN fires THEN 0 ELSE held END, CASE WHEN fires THEN clock END, CASE WHEN fires THEN held ELSE 0 END FROM (
+      SELECT k.alert_id, k.step, s.last, s.held + k.n AS held, k.clock, s.held + k.n > 0 AND (s.last IS NULL OR k.clock >= s.last + to_days(CASE k.frequency WHEN 'realtime' THEN 0 WHEN 'weekly' THEN 7 ELSE 1 END)) AS fires
+      FROM s JOIN k ON k.alert_id = s.alert_id AND k.step = s.step + 1))
+  SELECT alert_id::VARCHAR AS alert_id, {ts_text('fired_at')} AS fired_at, sent::BIGINT AS n FROM s WHERE fired_at IS NOT NULL"""
+
+
+@query("stream_alert_digests", "T-8", _DIGEST_SQL)
+def stream_alert_digests(spark, sf):
+    """Listings land in seven parts; alerts of every frequency send what has waited for them."""
+    landing, folder, checkpoint = (shared_dir(spark, p) for p in ("landing", "digests", "checkpoint"))
+    words = ", ".join("null" if f is None else f"'{f}'" for f in _FREQUENCY)
+    stored = stored_alerts(spark, sf).withColumn("frequency", F.expr(f"element_at(array({words}), cast(id % 4 as int) + 1)")).withColumn("last_triggered_at", F.lit(None).cast("timestamp"))
+    rows = listings(spark, sf)
+    part = sum(((F.col("created_at") >= F.expr(f"TIMESTAMP '{LISTINGS_AS_OF}' - INTERVAL {d} DAY")).cast("int") for d in (9, 8, 6, 4, 2, 1)), F.lit(0))
+    handle = D.digest_handler(spark, folder, lambda: stored)
+    for n in range(7):
+        rows.where(part == n).write.mode("append").parquet(landing)
+        J.run_available(J.landed_files(spark, landing, rows.schema, "parquet"), handle, checkpoint)
+    return D.read_digests(spark, folder).groupBy("alert_id", ts_col("fired_at")).agg(F.count("*").alias("n"))
