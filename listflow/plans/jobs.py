@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,22 +19,76 @@ from listflow.operators.search import SearchParams, search_page
 from listflow.operators.upsert import upsert
 from listflow.schemas import LISTINGS, align_to_schema
 from listflow.sources.boards import OTHER_SOURCES, REGIONAL_SOURCES, html_board_rows, json_board_rows, source_rank
-from listflow.sources.feeds import FEEDS, load_feed, union_feeds
+from listflow.sources.feeds import FEEDS, enrich, load_feed, normalize_records, parse_with_errors, read_sources, union_feeds
 from listflow.sources.tables import staged
 
 
+def _with_arrival(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    """The union of enriched rows that have a title, with a unique ``seq``."""
+    rows = union_feeds(parts).where(F.coalesce(F.col("title"), F.lit("")) != "")
+    # Arrival order: source priority, then the content itself, so it is stable. Rows that tie are alike in every column.
+    shown = [F.to_json(F.struct(F.col(c))) for c in sorted(rows.columns) if c != "source_rank"]
+    seq = F.struct("source_rank", F.coalesce("apply_url", F.lit("")), F.xxhash64(F.coalesce("description", F.lit(""))), F.sha2(F.concat(*shown), 256))
+    return rows.withColumn("seq", seq)
+
+
 def ingest_feeds(payloads: dict[str, DataFrame], as_of) -> DataFrame:
     """Union of all feeds' enriched rows in priority order, with a unique ``seq``.
 
     ``payloads`` maps a feed name to a DataFrame of payload text with the
     column ``payload``. Rows without a title are dropped.
     """
-    parts = [(rank, load_feed(payloads[n], f, "payload", as_of)) for rank, (n, f) in enumerate(FEEDS.items()) if n in payloads]
-    rows = union_feeds(parts).where(F.coalesce(F.col("title"), F.lit("")) != "")
-    # Arrival order: source priority, then the content itself, so it is stable. Rows that tie are alike in every column.
-    shown = [F.to_json(F.struct(F.col(c))) for c in sorted(rows.columns) if c != "source_rank"]
-    seq = F.struct("source_rank", F.coalesce("apply_url", F.lit("")), F.xxhash64(F.coalesce("description", F.lit(""))), F.sha2(F.concat(*shown), 256))
-    return rows.withColumn("seq", seq)
+    return _with_arrival([(rank, load_feed(payloads[n], f, "payload", as_of)) for rank, (n, f) in enumerate(FEEDS.items()) if n in payloads])
+
+
+def ingest_with_errors(payloads: dict[str, DataFrame], as_of) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``ingest_feeds``, and the unreadable payloads as ``source, record``, both of one parse.
+
+    Parsing is the costly part, so each feed's records and errors are written once.
+    """
+    parts, errors = [], []
+    for rank, (name, feed) in enumerate(FEEDS.items()):
+        if name in payloads:
+            both = staged(parse_with_errors(payloads[name], feed, "payload"), "parsed")
+            records = both.where("error is null").select("record.*")
+            parts.append((rank, enrich(normalize_records(records, feed, as_of))))
+            errors.append(both.where("error is not null").select(F.lit(name).alias("source"), F.col("error").alias("record")))
+    return _with_arrival(parts), reduce(DataFrame.union, errors)
+
+
+@dataclass(frozen=True)
+class Cycle:
+    """One ingest cycle: the new snapshot, unreadable payloads, sources that could not be read, and counts of all of it."""
+
+    snapshot: DataFrame
+    errors: DataFrame
+    failed: DataFrame
+    report: DataFrame
+
+
+def ingest_cycle(stored: DataFrame, paths: dict[str, str], as_of, small_batch: bool = False, whole_files: bool = False) -> Cycle:
+    """Read all sources that can be read, and merge what they give into the stored listings.
+
+    ``report`` has ``source, action, n``: per source how many rows were found,
+    payloads unreadable and reads failed, and for the whole cycle (source ``all``)
+    how many listings were inserted, updated and kept.
+    """
+    payloads, failed = read_sources(stored.sparkSession, paths, whole_files)
+    failed = failed.where(F.col("source").isin(list(FEEDS)))
+    target = align_to_schema(stored, LISTINGS)
+    lost = failed.groupBy("source").agg(F.lit("failed").alias("action"), F.count("*").alias("n"))
+    if not set(payloads) & set(FEEDS):
+        none = failed.limit(0).select("source", F.col("reason").alias("record"))
+        return Cycle(target, none, failed, lost)
+    rows, errors = ingest_with_errors(payloads, as_of)
+    known = [f for f in LISTINGS if f.name in rows.columns]
+    rows = staged(rows.select("source_rank", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in known], "seq"), "batch")
+    merged = staged(upsert(target, rows.drop("source_rank"), as_of, "merge", small_batch=small_batch, with_action=True), "merged")
+    names = F.element_at(F.array(*[F.lit(n) for n in FEEDS]), F.col("source_rank") + 1)
+    found = rows.groupBy(names.alias("source")).agg(F.lit("found").alias("action"), F.count("*").alias("n"))
+    bad = errors.groupBy("source").agg(F.lit("unreadable").alias("action"), F.count("*").alias("n"))
+    changed = merged.groupBy("action").agg(F.count("*").alias("n")).select(F.lit("all").alias("source"), "action", "n")
+    return Cycle(merged.drop("action"), errors, failed, reduce(DataFrame.unionByName, [found, bad, lost, changed]))
 
 
 def refresh_listings(stored: DataFrame, payloads: dict[str, DataFrame], as_of, small_batch: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listflow.functions import classify as C
@@ -396,6 +397,45 @@ def bad_payloads(df: DataFrame, feed: Feed, payload: str) -> DataFrame:
     return df.where(_unreadable(feed, payload)).select(F.lit(feed.name).alias("source"), F.col(payload).alias("record"))
 
 
+def parse_with_errors(df: DataFrame, feed: Feed, payload: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records and unreadable payloads of one parse: ``keep``, ``record`` (a struct) and ``error`` (the payload's text).
+
+    A row holds a record or an error. Records are those of ``parse_payloads``, errors
+    those of ``bad_payloads``; a payload with bad values in it gives both. Only an
+    object in place of a list at the top is no record here.
+    """
+    text, mark = F.col(payload), {"columnNameOfCorruptRecord": "_corrupt"}
+    if feed.root:
+        parsed = F.from_json(text, f"{payload_ddl(feed)[:-1]}, _corrupt: string>", mark)
+    else:
+        # A list at the top has no place for the mark: wrap it.
+        parsed = F.from_json(F.concat(F.lit('{"_list":'), text, F.lit("}")), f"struct<_list: {payload_ddl(feed)}, _corrupt: string>", mark)
+    rows = df.select(*keep, text.alias("_text"), parsed.alias("_parsed"))
+    records = _records(feed, F.col("_parsed")) if feed.root else F.col("_parsed._list")
+    kind = f"array<struct<record: struct<{feed.record}>, error: string>>"
+    found = F.transform(records, lambda r: F.struct(r.alias("record"), F.lit(None).cast("string").alias("error")))
+    bad = F.col("_text").isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull())
+    # no record has the shape of the records, and is told from a null record by its error
+    error = F.when(bad, F.array(F.struct(F.lit(None).cast(f"struct<{feed.record}>").alias("record"), F.col("_text").alias("error"))))
+    nothing = F.array().cast(kind)
+    return rows.select(*keep, F.explode(F.concat(F.coalesce(found, nothing), F.coalesce(error, nothing))).alias("_e")).select(*keep, "_e.record", "_e.error")
+
+
+def read_sources(spark: SparkSession, paths: dict[str, str], whole_files: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Landed payloads of each source, and the sources that could not be read: ``source, reason``.
+
+    A source whose folder is absent or unreadable contributes nothing and does not
+    stop the others.
+    """
+    payloads, failed = {}, []
+    for source, path in paths.items():
+        try:
+            payloads[source] = read_payloads(spark, path, whole_files)
+        except AnalysisException as why:
+            failed.append((source, why.getCondition() or "UNKNOWN"))
+    return payloads, spark.createDataFrame(failed, "source string, reason string")
+
+
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Landed payloads as text: one per line, or one per file."""
     reader = spark.read.option("wholetext", str(whole_files).lower())

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from listflow.functions import fixed_values as fv
 from listflow.operators.stats import load_report
-from listflow.plans.jobs import bulk_insert_rows, bulk_rows
+from listflow.plans.jobs import bulk_insert_rows, bulk_rows, ingest_cycle
 from listflow.schemas import LISTINGS, align_to_schema
+from listflow.session import shared_dir
 from listflow.sources import boards as B, feeds as S
 from listflow.suite.keys import sql_job_type, sql_level, sql_region_ok
 from listflow.suite.registry import any_of, case, key_sha, list_col, list_text, query, rule_case, ts_col, ts_text, value_map
@@ -251,6 +252,30 @@ def _bulk_input(spark, sf):
     )
 
 
+_CYCLE_KEY = key_sha("company", "title", "''", raw=["''"])
+
+
+@query(
+    "ingest_cycle_report", "S-17 A-8 S-0",
+    f"""WITH f AS (SELECT 'Findwork' AS source, lang = 'de' AS bad, text AS title, source AS company FROM documents WHERE doc_id % 2 = 0
+          UNION ALL SELECT 'JSearch', lang = 'fr', text, lang FROM documents WHERE doc_id % 2 = 1),
+        ok AS (SELECT source, title, company FROM f WHERE NOT bad AND title <> '')
+        SELECT source, 'found' AS action, count(*) AS n FROM ok GROUP BY 1 UNION ALL SELECT source, 'unreadable', count(*) FROM f WHERE bad GROUP BY 1
+        UNION ALL SELECT 'Apify', 'failed', 1 UNION ALL SELECT 'all', 'inserted', count(DISTINCT {_CYCLE_KEY}) FROM ok""",
+)
+def ingest_cycle_report(spark, sf):
+    """Half of the documents land as payloads of one feed and half of another, some of them cut; a third feed's folder is not there."""
+    docs = table(spark, sf, "documents")
+    places = {name: shared_dir(spark, f"landed-{name.lower()}") for name in ("Findwork", "JSearch", "Apify")}
+    for rest, name, bad, root, title, company in ((0, "Findwork", "de", "results", "role", "source"), (1, "JSearch", "fr", "data", "job_title", "lang")):
+        employer = {"role": "company_name", "job_title": "employer_name"}[title]
+        record = F.struct(F.col("text").alias(title), F.col(company).alias(employer))
+        payload = F.when(F.col("lang") == bad, F.concat(F.lit("{"), F.translate("text", "\n\r", "  "))).otherwise(F.to_json(F.struct(F.array(record).alias(root))))
+        docs.where(F.col("doc_id") % 2 == rest).select(payload.alias("value")).write.text(places[name])
+    stored = spark.createDataFrame([], LISTINGS)
+    return ingest_cycle(stored, places, LISTINGS_AS_OF).report
+
+
 _WHOLE_FLAT = _FLAT.replace("(text,", "(description,")
 
 

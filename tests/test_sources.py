@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from listflow.plans.jobs import bulk_insert_rows, bulk_rows, ingest_feeds, refresh_listings
+from listflow.plans.jobs import bulk_insert_rows, bulk_rows, ingest_cycle, ingest_feeds, refresh_listings
 from listflow.schemas import LISTINGS
 from listflow.sources import boards as B, feeds as S, tables as tb
 
@@ -282,3 +282,42 @@ def test_shared_dir_follows_the_session(spark):
     from listflow.session import shared_dir
 
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("name", sorted(S.FEEDS))
+def test_rows_and_errors_of_one_parse(spark, name):
+    """Every feed: the records and errors of one parse are those of the two that were read apart."""
+    feed = S.FEEDS[name]
+    whole = spark.range(3).select(F.from_json(F.lit("{}"), f"struct<{feed.record}>").alias("r"))
+    fields = [f.name for f in whole.schema["r"].dataType.fields][:2]
+    record = "{" + ", ".join(f'"{f}": "v"' for f in fields) + "}"
+    inner = f"[{record}, {record}]"
+    payload = inner
+    for step in reversed(feed.root):
+        payload = '{"%s": %s}' % (step, payload if step != "results" or feed.root[-1] != "hits" else f"[{payload}]")
+    texts = [payload, "{", "", "null", "[]", "{}", "no json", None, payload[:-1], payload.replace('"v"', "5"), payload.replace('"v"', "[1]"), payload.replace('"v"', "{}")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, payload string")
+    both = S.parse_with_errors(df, feed, "payload", ("id",))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    rows = S.parse_payloads(df, feed, "payload", ("id",))
+    # an empty object in place of a list at the top is no record here, and one of nulls there
+    some = lambda r: any(v is not None for v in r[1:]) or feed.root
+    assert sorted(map(str, both.where("error is null").select("id", "record.*").collect())) == sorted(str(r) for r in rows.collect() if some(r))
+    assert sorted(r.error for r in both.where("error is not null").collect()) == sorted(r.record for r in S.bad_payloads(df, feed, "payload").collect())
+
+
+def test_a_cycle_records_what_it_could_not_read(spark, tmp_path):
+    lines = {"Findwork": ['{"results": [{"role": "Dev one", "company_name": "A"}, {"role": "", "company_name": "B"}]}', "{broken"], "JSearch": ['{"data": [{"job_title": "Dev one", "employer_name": "A"}]}']}
+    for name, rows in lines.items():
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(str(tmp_path / name))
+    paths = {n: str(tmp_path / n) for n in ("Findwork", "JSearch", "Adzuna")}
+    empty = spark.createDataFrame([], LISTINGS)
+    first = ingest_cycle(empty, paths, AS_OF)
+    told = lambda c: {(r.source, r.action): r.n for r in c.report.collect()}
+    assert told(first) == {("Findwork", "found"): 1, ("JSearch", "found"): 1, ("Findwork", "unreadable"): 1, ("Adzuna", "failed"): 1, ("all", "inserted"): 1}
+    assert [tuple(r) for r in first.errors.collect()] == [("Findwork", "{broken")]
+    assert [(r.source, r.reason) for r in first.failed.collect()] == [("Adzuna", "PATH_NOT_FOUND")]
+    again = ingest_cycle(first.snapshot, paths, "2024-03-02 00:00:00", small_batch=True)
+    assert told(again)["all", "updated"] == 1 and again.snapshot.count() == 1
+    nothing = ingest_cycle(first.snapshot, {"Adzuna": paths["Adzuna"]}, AS_OF)
+    assert told(nothing) == {("Adzuna", "failed"): 1} and nothing.snapshot.count() == 1 and nothing.errors.count() == 0
