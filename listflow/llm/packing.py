@@ -29,9 +29,9 @@ from listflow.llm.common import Words, chunks, small_batches, staged, text_bytes
 #: Open sequences of a task.
 OPEN = 1024
 #: Tokens of a group in which the sequences that tasks left open are packed again.
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 1 << 20
 #: Distinct words whose ids a worker holds; beyond it, it starts over.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 300_000
 
 
 #: Words for which lower case and pieces can be found here: no marks to join, no white space but the plain kind, no İ.
