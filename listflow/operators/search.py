@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from listflow.functions import fixed_values as fv
 from listflow.functions.dates import days_before, is_new
@@ -138,6 +138,28 @@ def page_of(df: DataFrame, order: list[Column], page: int, per_page: int) -> Dat
     return (ordered.offset(skip) if skip else ordered).limit(per_page)
 
 
+def build_page_index(df: DataFrame, path: str, order: list[Column], ranges: int) -> None:
+    """Write ``df`` as about ``ranges`` runs of the sort order, and how many rows stand before each.
+
+    One range shuffle and one sort, made once for any number of pages. The counts
+    have a row per range.
+    """
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("page_range", F.spark_partition_id())
+    placed.write.partitionBy("page_range").parquet(f"{path}/rows")
+    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("page_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("page_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("before", before).coalesce(1).write.parquet(f"{path}/counts")
+
+
+def page_from_index(spark: SparkSession, path: str, order: list[Column], page: int, per_page: int, schema: T.StructType) -> DataFrame:
+    """Any page of an index: the ranges that it touches are read, one or two as a rule, whatever its number."""
+    begin, end = (page - 1) * per_page, page * per_page
+    touched = spark.read.parquet(f"{path}/counts").where((F.col("before") < end) & (F.col("before") + F.col("n") > begin)).orderBy("before").collect()
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("page_range", T.IntegerType())])).parquet(f"{path}/rows")
+    rows = rows.where(F.col("page_range").isin([r.page_range for r in touched])).drop("page_range").orderBy(*order)
+    return rows.offset(begin - touched[0].before).limit(per_page) if touched else rows.limit(0)
+
+
 def page_after(
     df: DataFrame, per_page: int, cursor: tuple | None = None, sort_by: str = "created_at", tie: str = "id"
 ) -> DataFrame:
@@ -178,8 +200,6 @@ def search_page(
     Adds ``tier`` (0 featured, 1 regular), ``position`` within the tier, ``_is_new`` and ``_is_featured``.
     Both tiers are top-k plans; nothing but their rows reaches the union.
     """
-    from pyspark.sql import Window
-
     def placed(rows: DataFrame, tier: int, order: list[Column]) -> DataFrame:
         # The input is at most one page, so this window never sees more.
         position = F.row_number().over(Window.partitionBy(F.lit(tier)).orderBy(*order))
@@ -262,8 +282,6 @@ def company_profile(companies: DataFrame, listings: DataFrame, slug: str, limit:
     ``job_count`` is the number of listings shown. A company without any has one
     row of nulls; an unknown slug, or one that several companies bear, is an error.
     """
-    from pyspark.sql import Window
-
     from listflow.operators.matching import one_row
 
     company = one_row(companies.select("slug", "name"), F.col("slug") == slug)

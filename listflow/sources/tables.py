@@ -7,6 +7,10 @@ executor or a replayed batch ends in the same state.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from listflow.operators.lifecycle import latest_per_key
@@ -31,10 +35,30 @@ def staged(df: DataFrame, purpose: str = "staged") -> DataFrame:
     lineage, so a lost executor repeats a read and not the work before it.
     """
     path = shared_dir(df.sparkSession, purpose)
+    getattr(_SCRATCH, "paths", []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Per thread, as streams run in threads of their own: what ``staged`` has written since ``scratch`` was entered.
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what ``staged`` writes inside: for work that is done when it is left, as a batch of a stream."""
+    outer, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.paths:
+            drop_path(spark, path)
+        if outer is None:
+            del _SCRATCH.paths
+        else:
+            _SCRATCH.paths = outer
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: tuple[str, ...] = ("is_active",)) -> str:
     """Write one whole version. Readers keep the earlier one until told otherwise."""
     path = f"{base}/version={version}"
@@ -105,3 +129,73 @@ def current_rows(log: DataFrame, key: str, only_keys: DataFrame | None = None, o
     if only_keys is not None:
         log = log.join(only_keys.select(key).distinct(), key, "left_semi")
     return latest_per_key(log, [key], [order if order is not None else F.desc("batch")]).drop("batch")
+
+
+class MergeLog:
+    """A table as a base and the batches of changes since, both cut by a hash of the key.
+
+    A batch reads only the folders of its own keys' buckets. After
+    ``compact_every`` batches the current rows become a new base; the base before
+    it and the changes since that stay until the next one, so that a replayed batch
+    finds what it found, and all older folders go. So disk holds two bases and
+    the changes of at most twice ``compact_every`` batches, whatever has run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "dedup_hash", buckets: int = 64, compact_every: int = 8):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.buckets, self.compact_every = buckets, compact_every
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
+        rows = df.select(*self.schema.names).withColumn("bucket", self._bucket())
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={batch}")
+
+    def start(self, df: DataFrame) -> None:
+        """The table before any batch."""
+        self._write(df, "base", -1)
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        """The changed rows of a batch; writing it again replaces it. Compacts when it is time."""
+        self._write(df, "changes", batch)
+        bases = self._bases(batch)
+        newest = bases[-1] if bases else None
+        since = [b for b in logged_batches(self.spark, f"{self.path}/changes") if (newest is None or b > newest) and b <= batch]
+        if len(since) >= self.compact_every:
+            self._write(self.current(batch + 1), "base", batch)
+            for kind in ("base", "changes"):
+                # with changes, those that the base before this one holds
+                for old in logged_batches(self.spark, f"{self.path}/{kind}"):
+                    if newest is not None and (old < newest if kind == "base" else old <= newest):
+                        drop_path(self.spark, f"{self.path}/{kind}/batch={old}")
+
+    def _bases(self, before: int) -> list[int]:
+        return [b for b in logged_batches(self.spark, f"{self.path}/base") if b < before]
+
+    def read(self, before: int, buckets: list[int] | None = None) -> DataFrame:
+        """All versions of the rows of ``buckets``, with their ``batch``, of batches before the given one."""
+        shape = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        bases = self._bases(before)
+        newest = bases[-1] if bases else None
+        parts = [self.spark.createDataFrame([], shape).withColumn("batch", F.lit(0).cast("long"))]
+        if newest is not None:
+            parts.append(self.spark.read.schema(shape).parquet(f"{self.path}/base/batch={newest}").withColumn("batch", F.lit(newest).cast("long")))
+        for b in logged_batches(self.spark, f"{self.path}/changes"):
+            if b < before and (newest is None or b > newest):
+                parts.append(self.spark.read.schema(shape).parquet(f"{self.path}/changes/batch={b}").withColumn("batch", F.lit(b).cast("long")))
+        if buckets is not None:
+            parts = [p.where(F.col("bucket").isin(buckets)) for p in parts]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.drop("bucket")
+
+    def current(self, before: int = 1 << 62) -> DataFrame:
+        """The latest state of every key."""
+        return latest_per_key(self.read(before), [self.key], [F.desc("batch")]).drop("batch")
+
+    def stored(self, keys: DataFrame, batch: int, small: bool = False) -> DataFrame:
+        """The latest state before a batch of its keys, from their buckets alone."""
+        buckets = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # at most ``buckets``
+        return current_rows(self.read(batch, buckets), self.key, F.broadcast(keys) if small else keys)

@@ -15,7 +15,7 @@ from listflow.operators.matching import MAX_BROADCAST_ROWS, is_small
 from listflow.operators.upsert import upsert
 from listflow.session import shared_dir
 from listflow.sources.feeds import Feed, load_feed
-from listflow.sources.tables import current_rows, read_changes, staged, write_changes
+from listflow.sources.tables import MergeLog, current_rows, read_changes, scratch, staged, write_changes
 
 
 def landed_files(
@@ -119,13 +119,31 @@ def upsert_handler(
     """
 
     def handle(df: DataFrame, batch: int) -> None:
-        # Written once: the batch is read for its size, its keys and its rows.
-        df = staged(df, "micro-batch")
-        small = is_small(df, max_broadcast)
-        keys = df.select(key).distinct()
-        log_rows = read_changes(spark, log, before=batch + 1)
-        stored = current_rows(log_rows, key, F.broadcast(keys) if small else keys)
-        write_changes(upsert(stored, df, as_of, policy, key, order, small_batch=small, only_changes=True), log, batch + 1)
+        with scratch(spark):
+            # Written once: the batch is read for its size, its keys and its rows.
+            df = staged(df, "micro-batch")
+            small = is_small(df, max_broadcast)
+            keys = df.select(key).distinct()
+            log_rows = read_changes(spark, log, before=batch + 1)
+            stored = current_rows(log_rows, key, F.broadcast(keys) if small else keys)
+            write_changes(upsert(stored, df, as_of, policy, key, order, small_batch=small, only_changes=True), log, batch + 1)
+
+    return handle
+
+
+def merge_handler(log: MergeLog, as_of, policy: str = "merge", order: str = "seq", max_broadcast: int = MAX_BROADCAST_ROWS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` handler that upserts into a bucketed merge log.
+
+    A batch reads the buckets of its own keys, and what it staged goes when it is
+    written, so a stream of any length costs a batch what its buckets cost.
+    """
+
+    def handle(df: DataFrame, batch: int) -> None:
+        with scratch(log.spark):
+            df = staged(df.where(F.col(log.key).isNotNull()), "micro-batch")
+            small = is_small(df, max_broadcast)
+            stored = log.stored(df.select(log.key).distinct(), batch, small)
+            log.write(upsert(stored, df, as_of, policy, log.key, order, small_batch=small, only_changes=True), batch)
 
     return handle
 

@@ -9,6 +9,7 @@ from listflow.operators import search as S, stats
 from listflow.operators.lifecycle import in_home_region
 from listflow.operators.matching import one_row
 from listflow.plans.jobs import query_grid, search_with_ats
+from listflow.session import shared_dir
 from listflow.suite.registry import query, ts_col, ts_text
 from listflow.suite.views import EVENTS_AS_OF, LISTINGS_AS_OF, POSTINGS_AS_OF, lit, listings, postings, table
 from listflow.suite.words import ATS
@@ -167,6 +168,18 @@ def page_by_offset(spark, sf):
     return S.page_of(df, S.sort_keys("salary_max", False), 3, 25).select("id")
 
 
+@query(
+    "page_by_index", "G-2",
+    "SELECT id, n // 20 + 1 AS page FROM (SELECT id, row_number() OVER (ORDER BY salary_max DESC NULLS FIRST, id) - 1 AS n FROM listings) WHERE n // 20 + 1 IN (1, 7, 700)",
+)
+def page_by_index(spark, sf):
+    """Pages near and far by one index; each reads the ranges of its own rows."""
+    df, path, order = listings(spark, sf).select("id", "salary_max"), shared_dir(spark, "pages"), S.sort_keys("salary_max")
+    S.build_page_index(df, path, order, 16)
+    pages = [S.page_from_index(spark, path, order, n, 20, df.schema).select("id", F.lit(n).alias("page")) for n in (1, 7, 700)]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
 @query(
     "page_by_cursor", "G-8",
     """SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM listings

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listflow.session import shared_dir
 from listflow.sources import feeds as S
-from listflow.sources.tables import append_rows, current_rows, read_changes, write_changes
+from listflow.sources.tables import MergeLog, append_rows, current_rows, read_changes, write_changes
 from listflow.streaming import digests as D, expiry as X, jobs as J, late as L
 from listflow.suite.keys import MERGE_SIDES, _EXPIRE, _sides
 from listflow.suite.people import _ALERT_ON, _ALERTS_SQL, _alerts as stored_alerts
@@ -103,6 +103,25 @@ def stream_upsert_merge(spark, sf):
     return current_rows(read_changes(spark, log), "dedup_hash").select("dedup_hash", "salary_min", "is_active")
 
 
+@query(
+    "stream_merge_buckets", "T-3 U-1 U-4 S-23",
+    MERGE_SIDES
+    + """SELECT coalesce(s.dedup_hash, n.dedup_hash) AS dedup_hash, coalesce(s.salary_min, n.salary_min) AS salary_min,
+    coalesce(s.is_active, n.is_active) AS is_active FROM s FULL JOIN n ON s.dedup_hash = n.dedup_hash""",
+)
+def stream_merge_buckets(spark, sf):
+    """The same merge into a log cut by key buckets, over five landings with a compaction in between."""
+    stored, incoming = _sides(spark, sf)
+    path, landing, checkpoint = (shared_dir(spark, p) for p in ("merge", "landing", "checkpoint"))
+    log = MergeLog(spark, path, stored.schema, buckets=8, compact_every=3)
+    log.start(stored)
+    step = (incoming.agg(F.max("seq").alias("m")).first().m or 0) // 5 + 1
+    for n in range(5):
+        incoming.where(F.expr(f"seq div {step} = {n}")).write.mode("append").parquet(landing)
+        J.run_available(J.landed_files(spark, landing, incoming.schema, "parquet"), J.merge_handler(log, LISTINGS_AS_OF), checkpoint)
+    return log.current().select("dedup_hash", "salary_min", "is_active")
+
+
 @query("append_batches", "S-20", "SELECT event_id % 3 AS batch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def append_batches(spark, sf):
     """Batches of rows are added to a table; one is written twice, as after a retry."""

@@ -311,3 +311,31 @@ def test_company_pages(spark):
             search.company_profile(companies, jobs, slug)
     assert [r.id for r in search.list_companies(companies, page=2, per_page=3).collect()] == [4]
     assert search.company_total(companies, "a").first().total == 2
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_by_index_equal_offset_pages(spark, tmp_path, descending):
+    rows = [(i, None if i % 13 == 0 else float(i * 7919 % 101)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    order, path = search.sort_keys("v", descending), str(tmp_path / "pages")
+    search.build_page_index(df, path, order, 12)
+    for page, per_page in ((1, 10), (7, 10), (120, 10), (121, 10), (10_000, 1), (1, 5000), (3, 333), (900, 1)):
+        want = [tuple(r) for r in search.page_of(df, order, page, per_page).collect()]
+        got = search.page_from_index(spark, path, order, page, per_page, df.schema)
+        assert [tuple(r) for r in got.collect()] == want
+    far = search.page_from_index(spark, path, order, 900, 1, df.schema)
+    assert len(far.inputFiles()) > 5 and "PartitionFilters: [(page_range" in (text := far._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [isnotnull(page_range" in text
+    assert far.select(F.input_file_name()).distinct().count() == 1
+
+
+def test_pages_beyond_a_limit_hold_the_other_featured_rows(spark):
+    from listflow.suite.views import listings as order_listings
+
+    df = order_listings(spark, "/root/testdata/sf0.001")
+    params, seen = search.SearchParams(), []
+    totals = search.search_totals(df, params, "2001-08-02 00:00:00", per_page=20).first()
+    for page in range(1, totals.total_pages + 1):
+        seen += [(r.tier, r.id) for r in search.search_page(df, params, "2001-08-02 00:00:00", page=page, featured_limit=7).collect()]
+    assert len(seen) == len(set(seen)) == totals.total
+    whole = [r.id for r in search.search_page(df, params, "2001-08-02 00:00:00").where("tier = 0").collect()]
+    assert whole == [i for t, i in seen if t == 0]

@@ -133,3 +133,60 @@ def test_update_and_delete_keep_null_conditions(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, x string")
     assert {r.id for r in U.delete_where(df, F.col("x") == "a").collect()} == {2}
     assert {(r.id, r.x) for r in U.update_where(df, F.col("x") == "a", {"x": F.lit("b")}).collect()} == {(1, "b"), (2, None)}
+
+
+# ------------------------------------------------------------------ merge log
+def merge_rows(spark, rows):
+    return spark.createDataFrame(rows, "dedup_hash string, location_city string, salary_min double, seq int")
+
+
+def test_merge_log_reads_its_buckets_and_keeps_disk_bounded(spark):
+    from pathlib import Path
+
+    from listflow.session import shared_dir
+    from listflow.sources.tables import MergeLog, logged_batches
+    from listflow.streaming.jobs import merge_handler
+
+    schema = merge_rows(spark, []).drop("seq").schema
+    path = shared_dir(spark, "merge")
+    log = MergeLog(spark, path, schema, buckets=16, compact_every=4)
+    log.start(merge_rows(spark, [(f"k{i}", None, None, 0) for i in range(40)]).drop("seq"))
+    handle = merge_handler(log, "2024-01-01 00:00:00")
+    want = {f"k{i}": (None, None) for i in range(40)}
+    staged_before = {p.name for p in Path(path.removeprefix("file:")).parent.iterdir()}
+    most = 0
+    for batch in range(50):
+        rows = [(f"k{batch % 45}", None if batch % 3 else f"c{batch}", float(batch), 0), (f"k{(7 * batch) % 45}", f"d{batch}", None, 1)]
+        for _ in range(2 if batch % 5 == 0 else 1):  # some are replayed
+            handle(merge_rows(spark, rows), batch)
+        for k, city, salary, _ in rows:
+            have = want.get(k, (None, None))
+            want[k] = (have[0] if have[0] is not None else city, have[1] if have[1] is not None else salary)
+        most = max(most, len(logged_batches(spark, f"{path}/changes")))
+        assert len(logged_batches(spark, f"{path}/base")) <= 2
+    got = {r.dedup_hash: (r.location_city, r.salary_min) for r in log.current().collect()}
+    assert got == want and most <= 8
+    assert {p.name for p in Path(path.removeprefix("file:")).parent.iterdir()} == staged_before
+    # a batch of one key reads one bucket of each folder
+    one = log.stored(merge_rows(spark, [("k3", None, None, 0)]).select("dedup_hash"), 50)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(bucket" in text or "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [bucket" in text
+    assert [r.dedup_hash for r in one.collect()] == ["k3"]
+    files = log.read(50, [0]).inputFiles()
+    assert files and all("bucket=0/" in f for f in log.read(50, [0]).where("dedup_hash is not null").select(F.input_file_name()).distinct().toPandas().iloc[:, 0] if f)
+
+
+def test_scratch_removes_what_is_staged_inside(spark):
+    from pathlib import Path
+
+    from listflow.sources.tables import scratch, staged
+
+    def place(df):
+        return Path(df.inputFiles()[0].removeprefix("file://")).parent
+
+    with scratch(spark):
+        outer = place(staged(spark.range(3)))
+        with scratch(spark):
+            inner = place(staged(spark.range(3)))
+        assert outer.exists() and not inner.exists()
+    assert not outer.exists() and place(staged(spark.range(3))).exists()
