@@ -40,6 +40,8 @@ LABELS = ("o", "email", "ip", "card", "card+", "phone", "phone+")
 KIND_OF = np.array([-1, 0, 1, 2, 2, 3, 3])
 FIRST_OF, LATER_OF = np.array([1, 2, 3, 5]), np.array([1, 2, 4, 6])
 NEVER = -30.0
+#: Edges whose messages are worked out at a time.
+EDGES = 16_384
 #: Most digits of a card or phone number of several words, by kind.
 LONGEST = {2: 19, 3: 15}
 
@@ -201,6 +203,7 @@ class Graph:
         later = np.flatnonzero(run[1:] == run[:-1]) + 1 if n else np.zeros(0, np.int64)
         skips = np.array(words.skips, np.int64).reshape(-1, 3)
         self.chains, self.skip_kind = len(later), skips[:, 2]
+        self.kind = np.concatenate((np.zeros(len(later), np.int64), 1 + skips[:, 2]))
         self.a = np.concatenate((later - 1, skips[:, 0]))
         self.b = np.concatenate((later, skips[:, 1]))
         self.opens = np.ones(n, bool)
@@ -213,10 +216,8 @@ class Graph:
         return unary
 
     def pairs(self, model: Field) -> np.ndarray:
-        out = np.empty((len(self.a), len(LABELS), len(LABELS)))
-        out[: self.chains] = model.steps + FORBIDDEN
-        out[self.chains :] = model.skips[self.skip_kind][:, None, None] * ALIKE
-        return out
+        """The scores of two labels for each kind of edge: in a chain, and the two kinds of skips."""
+        return np.stack([model.steps + FORBIDDEN, *(reward * ALIKE for reward in model.skips)])
 
     def belief(self, unary: np.ndarray) -> np.ndarray:
         total = unary.copy()
@@ -225,14 +226,18 @@ class Graph:
         return total
 
     def pass_messages(self, unary: np.ndarray, pair: np.ndarray, rounds: int, tolerance: float = 1e-4) -> np.ndarray:
-        """Sum-product messages, damped, until they settle; the beliefs in logarithms."""
+        """Sum-product messages, damped, until they settle; the beliefs in logarithms. Edges are taken ``EDGES`` at a time."""
         total = self.belief(unary)
         for _ in range(rounds if len(self.a) else 0):
-            to_b = _log_sum((total[self.a] - self.into_a)[:, :, None] + pair, 1)
-            to_a = _log_sum((total[self.b] - self.into_b)[:, None, :] + pair, 2)
-            to_a, to_b = (0.5 * old + 0.5 * (new - new.max(axis=1, keepdims=True)) for old, new in ((self.into_a, to_a), (self.into_b, to_b)))
-            change = max(np.abs(to_a - self.into_a).max(), np.abs(to_b - self.into_b).max())
-            self.into_a, self.into_b = to_a, to_b
+            change = 0.0
+            for i in range(0, len(self.a), EDGES):
+                some = slice(i, i + EDGES)
+                between, old_a, old_b = pair[self.kind[some]], self.into_a[some], self.into_b[some]
+                to_b = _log_sum((total[self.a[some]] - old_a)[:, :, None] + between, 1)
+                to_a = _log_sum((total[self.b[some]] - old_b)[:, None, :] + between, 2)
+                to_a, to_b = (0.5 * old + 0.5 * (new - new.max(axis=1, keepdims=True)) for old, new in ((old_a, to_a), (old_b, to_b)))
+                change = max(change, np.abs(to_a - old_a).max(), np.abs(to_b - old_b).max())
+                self.into_a[some], self.into_b[some] = to_a, to_b
             total = self.belief(unary)
             if change < tolerance:
                 break
@@ -289,7 +294,7 @@ def fit(words: Words, labels: np.ndarray, rounds: int = 120, rate: float = 0.15,
         model = Field(*params)
         unary, pair = graph.scores(model), graph.pairs(model)
         total = graph.pass_messages(unary, pair, 3)
-        both = _normal((total[graph.a] - graph.into_a)[:, :, None] + pair + (total[graph.b] - graph.into_b)[:, None, :])
+        both = _normal((total[graph.a] - graph.into_a)[:, :, None] + pair[graph.kind] + (total[graph.b] - graph.into_b)[:, None, :])
         error = (truth - _normal(total)) * weight[:, None]
         first = np.zeros((FEATURES + 1, len(LABELS)))
         np.add.at(first, graph.rows.ravel(), np.repeat(error, WIDTH, axis=0))

@@ -72,12 +72,14 @@ def exact_marginals(graph, model):
     unary, pair, n = graph.scores(model), graph.pairs(model), len(graph.opens)
     out = np.zeros((n, len(LABELS)))
     for y in itertools.product(range(len(LABELS)), repeat=n):
-        score = sum(unary[i, y[i]] for i in range(n)) + sum(pair[e, y[a], y[b]] for e, (a, b) in enumerate(zip(graph.a, graph.b)))
+        score = sum(unary[i, y[i]] for i in range(n)) + sum(pair[k, y[a], y[b]] for k, a, b in zip(graph.kind, graph.a, graph.b))
         out[range(n), y] += np.exp(score)
     return out / out.sum(axis=1, keepdims=True)
 
 
-def test_messages_are_exact_on_trees_and_close_on_loops():
+@pytest.mark.parametrize("edges", [16_384, 2])
+def test_messages_are_exact_on_trees_and_close_on_loops(monkeypatch, edges):
+    monkeypatch.setattr(personal, "EDGES", edges)
     rng = np.random.default_rng(1)
     for skips, bound in (([(1, 3, 0)], 1e-3), ([(0, 2, 0), (1, 3, 1)], 0.15)):
         graph, model = small_graph(rng, 4, [(0, 1), (2, 3)], skips)
