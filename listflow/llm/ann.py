@@ -185,12 +185,15 @@ def _best(top: int):
     """The top of one block of rows for one block of queries."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if queries.num_rows and rows.num_rows:
             q, v = _matrix(queries.column("v")), _matrix(rows.column("v"))
             q_id, v_id = queries.column("id").to_numpy(), rows.column("id").to_numpy()
             near = _unit(q) @ _unit(v).T
-            near[q_id[:, None] == v_id[None, :]] = -np.inf
+            # the query's own row; one with its id and another vector is a candidate
+            a, b = np.nonzero(q_id[:, None] == v_id[None, :])
+            own = (q[a] == v[b]).all(axis=1)
+            near[a[own], b[own]] = -np.inf
             k = min(top, near.shape[1])
             least = -np.partition(-near, k - 1, axis=1)[:, k - 1] - 1e-9
             a, b = np.nonzero((near >= least[:, None]) & np.isfinite(near))
@@ -199,8 +202,8 @@ def _best(top: int):
             a, b, score = a[order], b[order], score[order]
             first = np.searchsorted(a, a)
             keep = np.arange(len(a)) - first < top
-            out = [q_id[a[keep]], v_id[b[keep]], score[keep]]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            out = [q_id[a[keep]], queries.column("h").to_numpy()[a[keep]], v_id[b[keep]], score[keep]]
+        return pa.table({name: pa.array(column) for name, column in zip(("query_id", "h", "vec_id", "score"), out)})
 
     return run
 
@@ -216,40 +219,45 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = 5, id_col
 
     A row is no candidate of its own. Equal scores go by the smaller id. A vector
     that is null, zero or has a null or non-finite component takes no part, nor
-    does one without an id or of another width than the most common one. Rows
-    with the same id and vector count once. An empty table gives no rows.
+    does one without an id. Rows with the same id and vector count once; with the
+    same id and other vectors each asks for itself and is a candidate of the others.
+    Only vectors of one width have a cosine: the most common one is searched by
+    learned parts, every other as one part, whole. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     usable = _usable(vectors, id_column, vector)
-    width = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1)
-    usable = usable.join(F.broadcast(width.select("w")), F.size("v") == F.col("w")).select("id", "v").distinct()
+    usable = usable.distinct()
+    common = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = common.w if common else 0
     # equal vectors: the smallest ids suffice; a limit per group applies below the shuffle
     rank = F.row_number().over(W.partitionBy("v").orderBy("id"))
     rows = staged(usable.withColumn("copy", rank).where(F.col("copy") <= top + 1).select("id", "v"), "vectors")
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    usual, unusual = F.size("v") == width, -F.size("v")
+    chosen = rows.where(usual).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     if not chosen.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit_router(_unit(_matrix(chosen.column("v"))))
 
     filed = "id long, v array<double>, parts array<int>"
-    indexed = rows.mapInArrow(_filed(router, 1), filed).select("id", "v", F.col("parts")[0].alias("part"))
-    indexed = staged(indexed, "index")
+    indexed = rows.where(usual).mapInArrow(_filed(router, 1), filed).select("id", "v", F.col("parts")[0].alias("part"))
+    indexed = staged(indexed.union(rows.where(~usual).select("id", "v", unusual)), "index")
     # one row per part, of which there are at most sample / PART_SAMPLE
     held = np.zeros(router.parts, np.int64)
-    for part, n in indexed.groupBy("part").count().collect():
+    for part, n in indexed.where("part >= 0").groupBy("part").count().collect():
         held[part] = n
     queries = usable.where(F.col("id") % every == 0)
     queries = queries.join(queries.groupBy("id").agg(F.count("*").alias("own")), "id").select("id", "v", "own")
-    asked = queries.mapInArrow(_asked(router, held, top), filed).select("id", "v", F.explode("parts").alias("part"))
+    asked = queries.where(usual).mapInArrow(_asked(router, held, top), filed).select("id", "v", F.explode("parts").alias("part"))
+    asked = asked.union(queries.where(~usual).select("id", "v", unusual))
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
     n_queries = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks"))
     blocks = F.broadcast(sizes.join(n_queries, "part"))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(blocks, "part").select(F.col("part").alias("part"), own("query_blocks").alias("query_block"), all_of("blocks").alias("block"), "id", "v")
+    left = asked.join(blocks, "part").select(F.col("part").alias("part"), own("query_blocks").alias("query_block"), all_of("blocks").alias("block"), "id", "v", F.xxhash64("v").alias("h"))
     right = indexed.join(blocks, "part").select(F.col("part").alias("part"), all_of("query_blocks").alias("query_block"), own("blocks").alias("block"), "id", "v")
     by = ("part", "query_block", "block")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(top), "query_id long, vec_id long, score double")
-    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(top), "query_id long, h long, vec_id long, score double")
+    order = F.row_number().over(W.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

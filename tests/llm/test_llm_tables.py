@@ -161,6 +161,22 @@ def test_odd_vectors_and_ties(spark):
     assert nearest_neighbours(frame.limit(0)).count() == 0 and nearest_neighbours(frame.where("vec_id = 150")).count() == 0
 
 
+def test_other_widths_and_repeated_ids_take_part(spark):
+    rows = [(50 * i, [1.0, 0.01 * i, 0.0]) for i in range(12)] + [(50, [0.0, 1.0, 0.0]), (50, [0.0, 1.0, 0.0])]
+    rows += [(100, [1.0, 1.0]), (101, [1.0, 0.9]), (102, [0.5, 0.1]), (150, [2.0])]
+    got = collections.defaultdict(list)
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    want = collections.defaultdict(list)
+    distinct = list(dict.fromkeys((i, tuple(v)) for i, v in rows))
+    cos = lambda x, y: float(np.dot(x, y) / np.sqrt(np.dot(x, x)) / np.sqrt(np.dot(y, y)))
+    for i, v in distinct:
+        if i % 50 == 0:
+            near = sorted((-cos(v, w), j) for j, w in distinct if (j, w) != (i, v) and len(w) == len(v))
+            want[i] += [(k, j, -s) for k, (s, j) in enumerate(near[:5], 1)]
+    assert {i: sorted((k, j, round(s, 12)) for k, j, s in x) for i, x in got.items()} == {i: sorted((k, j, round(s, 12)) for k, j, s in x) for i, x in want.items() if x}
+
+
 def test_a_query_in_a_small_part_goes_on_to_others(spark, monkeypatch):
     router = Router((np.eye(2), np.zeros(2), np.eye(2), np.zeros(2)), 2, 1)
     monkeypatch.setattr("listflow.llm.ann.fit_router", lambda vectors: router)
