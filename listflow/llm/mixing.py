@@ -10,9 +10,11 @@ the node, so every shard can find its own quotas alone and reruns agree. A
 source's permuted draws are then dealt to the shards in disjoint runs, and each
 shard is put in random order by itself.
 
-Tables on the way have one row per source, or at most ``BLOCKS`` per source and
-round. The global order of sources needs their table in one task; rows of
-documents never meet there.
+Sources can be many, as with one per web host. Their order comes from a range
+shuffle, the level up to which weights fill them from rounds of one aggregate, and
+the tree splits groups of ``GROUP`` neighbouring sources first, then each group's
+sources by themselves within the margins that it got, which is the same
+distribution. So no task holds more than a group, or one number per group.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from listflow.llm.common import hidden, spread_rows, staged
 
 BLOCKS = 1024
+#: Sources whose quotas one task splits.
+GROUP = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,17 +43,37 @@ def shard_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> np.n
     while high - low > 1:
         middle = (low + high) // 2
         draws = int(quotas.sum()) * (middle - low) // (high - low)
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(quotas, draws)
+        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(quotas, draws, method="marginals")
         quotas, low, high = (left, low, middle) if shard < middle else (quotas - left, middle, high)
     return quotas
 
 
-def _leaves(shards: int, seed: int):
+def split_within(quotas: np.ndarray, margins: np.ndarray, seed: int, group: int, low: int = 0) -> np.ndarray:
+    """Quotas by shard (rows) of one group of sources, where each shard's sum is given: the same tree below the group's margins."""
+    if len(margins) == 1:
+        return quotas[None, :]
+    middle = len(margins) // 2
+    rng = np.random.default_rng([seed, group, low, low + len(margins)])
+    left = rng.multivariate_hypergeometric(quotas, int(margins[:middle].sum()), method="marginals")
+    return np.concatenate((split_within(left, margins[:middle], seed, group, low), split_within(quotas - left, margins[middle:], seed, group, low + middle)))
+
+
+def _group_margins(shards: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, quotas in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = shard_quotas(np.array([q["n"] for q in quotas], np.int64), shards, shard, seed)
-                yield pa.record_batch([pa.array([shard] * len(own), pa.int32()), pa.array([q["rank"] for q in quotas], pa.int64()), pa.array(own, pa.int64())], names=["shard", "rank", "n"])
+                yield pa.record_batch([pa.array([shard] * len(own), pa.int32()), pa.array([q["grp"] for q in quotas], pa.int64()), pa.array(own, pa.int64())], names=["shard", "grp", "n"])
+
+    return run
+
+
+def _group_leaves(shards: int, seed: int):
+    def run(quotas: pa.Table, margins: pa.Table) -> pa.Table:
+        quotas, margins = quotas.sort_by("rank"), margins.sort_by("shard")
+        rank, n = quotas.column("rank").to_numpy(), quotas.column("n").to_numpy()
+        split = split_within(n, margins.column("n").to_numpy(), seed, int(quotas.column("grp")[0].as_py()))
+        return pa.table({"shard": pa.array(np.repeat(np.arange(shards, dtype=np.int32), len(rank))), "rank": pa.array(np.tile(rank, shards)), "n": pa.array(split.ravel())})
 
     return run
 
@@ -57,17 +81,30 @@ def _leaves(shards: int, seed: int):
 def _source_targets(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """``source``, ``rank``, ``source_size`` and ``target``: by weight, none above ``most`` times its size."""
     w = F.array(*[F.lit(float(x)) for x in weights])
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    s = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # ranges of the order, numbered by what stands before them; written so that the numbers stay
+    in_order = F.col("source").asc_nulls_last()
+    ranges = staged(sizes.repartitionByRange(in_order).withColumn("part", F.spark_partition_id()), "mix-order")
+    before = ranges.groupBy("part").agg(F.count("*").alias("held"))
+    before = before.select("part", F.coalesce(F.sum("held").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    s = ranges.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(in_order))).join(before, "part")
+    s = s.withColumn("rank", F.col("before") + F.col("place") - 1)
     s = s.withColumn("weight", F.get(w, (F.col("rank") % len(weights)).cast("int"))).withColumn("most", most * F.col("source_size"))
-    # sources in the order in which a rising level fills them
-    earlier = W.orderBy(F.col("most") / F.col("weight"), "rank").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("most"))
-    # once a source is below its limit the level only falls, so the first such level is the largest
-    final = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
-    return s.withColumn("final", final).select("source", "rank", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("final") * F.col("weight")).alias("target"))
+    s = staged(s.select("source", "rank", "source_size", "weight", "most"), "mix-ranked")
+    # what the sources at their limit leave is shared anew by weight, until it lifts no other one to its limit
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level, full = None, F.lit(False)
+    while True:
+        left = s.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count_if(full)).first()
+        held = left[2]
+        level = (share * total - left[0]) / left[1] if left[1] else None
+        if level is None:
+            break
+        full = full | (F.lit(level) * F.col("weight") > F.col("most"))
+        if s.where(full).count() == held:
+            break
+    target = F.col("most") if level is None else F.when(full, F.col("most")).otherwise(F.lit(level) * F.col("weight"))
+    return s.select("source", "rank", "source_size", target.alias("target"))
 
 
 def _position(epoch: Column, seed: int) -> Column:
@@ -98,8 +135,11 @@ def mix_plan(rows: DataFrame, shards: int, weights: Sequence[float], share: floa
 
     turn = W.partitionBy("rank").orderBy("epoch", F.xxhash64("rank", "block", "epoch", F.lit(seed)), "block")
     draws = b.where("drawn").withColumn("ordinal", F.row_number().over(turn).cast("long") - 1)
-    quotas = draws.groupBy("rank").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("quotas"))
-    leaves = quotas.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "quotas").repartition("shard").mapInArrow(_leaves(shards, seed), "shard int, rank long, n long")
+    quotas = draws.groupBy("rank").agg(F.count("*").alias("n")).withColumn("grp", F.expr(f"rank div {GROUP}"))
+    groups = quotas.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.sort_array(F.collect_list(F.struct("grp", "n"))).alias("quotas"))
+    margins = groups.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "quotas").repartition("shard").mapInArrow(_group_margins(shards, seed), "shard int, grp long, n long")
+    own = quotas.select(F.col("grp").alias("grp"), F.col("rank").alias("rank"), F.col("n").alias("n"))
+    leaves = own.groupBy("grp").cogroup(margins.groupBy("grp")).applyInArrow(_group_leaves(shards, seed), "shard int, rank long, n long")
     run = W.partitionBy("rank").orderBy("shard")
     dealt = leaves.withColumn("to", F.sum("n").over(run)).where("n > 0").select("shard", "rank", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("ordinal"))
     draws = draws.join(dealt, ["rank", "ordinal"]).join(last, draws["source"].eqNullSafe(last["of"]) & (draws["block"] == last["in"]) & (draws["epoch"] == last["at"]), "left")

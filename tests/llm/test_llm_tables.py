@@ -256,6 +256,25 @@ def test_tree_splits_quotas_exactly():
     assert (leaves[2] == mixing.shard_quotas(quotas, 7, 2, seed=3)).all()
 
 
+def test_groups_of_sources_are_split_within_their_margins():
+    quotas, margins = np.array([100, 1, 0, 37, 64]), np.array([40, 41, 40, 40, 41])
+    leaves = mixing.split_within(quotas, margins, 3, 2)
+    assert (leaves.sum(axis=0) == quotas).all() and (leaves.sum(axis=1) == margins).all() and (leaves >= 0).all()
+    assert (leaves == mixing.split_within(quotas, margins, 3, 2)).all()
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    rng = random.Random(2)
+    docs = [(i, None if i % 97 == 0 else f"host{rng.randrange(150):03}", "w " * rng.randrange(60)) for i in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = mixing.mix_counts(frame, shards=7).collect()
+    check_mix(got, docs)
+    assert sorted(map(str, mixing.mix_counts(frame.repartition(5), shards=7).collect())) == sorted(map(str, got))
+    held = collections.Counter(s for r in got for s in r.shards)
+    assert set(held) == set(range(7))
+
+
 def test_mix_of_the_test_table(spark):
     docs = [(r.doc_id, r.source, r.text) for r in table(spark, SF, "documents").collect()]
     got = QUERIES["op10_mix_sources"](spark, SF).collect()
