@@ -460,14 +460,14 @@ _ALERT_SQL = f"""WITH {_ALERTS_SQL},
   SELECT alert_id, a.user_id::BIGINT AS user_id, l.id FROM a JOIN l ON {_ALERT_ON.format(as_of=AS_OF)}"""
 
 
-def _alerts(spark, sf):
+def _alerts(spark, sf, active: str = "c_acctbal < 1500"):
     from listflow.schemas import ALERT_FILTERS
 
     fields = ", ".join(
         f"'{f.name}', {_ALERT_SPARK.get(f.name, f'cast(null as {f.dataType.simpleString()})')}" for f in ALERT_FILTERS
     )
     return table(spark, sf, "customer").selectExpr(
-        "c_custkey AS id", "c_nationkey AS user_id", "c_acctbal < 1500 AS is_active", f"named_struct({fields}) AS filters"
+        "c_custkey AS id", "c_nationkey AS user_id", f"{active} AS is_active", f"named_struct({fields}) AS filters"
     )
 
 
