@@ -35,7 +35,7 @@ def digest_handler(spark: SparkSession, folder: str, alerts: Callable[[], DataFr
     waiting = BatchState(spark, f"{folder}/waiting", "alert_id string, user_id string, listing string")
 
     def handle(df: DataFrame, batch: int) -> None:
-        place = shared_dir(spark, "landed")
+        place = shared_dir(spark, "alert-batch")
         df.write.parquet(place)
         rows = spark.read.schema(df.schema).parquet(place)
         now = clock.write(clock.before(batch).union(rows.select(F.col(ts).cast("timestamp"))).agg(F.max("at").alias("at")), batch).first().at

@@ -126,7 +126,7 @@ def test_alerts_fire_by_their_clocks(spark):
     assert clocks["week"] == START + DAY and clocks["none"] is None and "now" not in clocks and "off" not in clocks
     # the folder holds two states and no landed copies, however many batches have run
     assert all(len(logged_batches(spark, f"{folder}/{name}")) == 2 for name in ("clock", "fired", "waiting"))
-    assert not list(Path(folder.removeprefix("file:")).parent.glob("landed-*"))
+    assert not list(Path(folder.removeprefix("file:")).parent.glob("alert-batch-*"))
 
 
 def test_the_stream_digests_as_its_handler_does(spark):
