@@ -30,8 +30,8 @@ from listflow.llm.common import Words, chunks, small_batches, staged, text_bytes
 OPEN = 1024
 #: Tokens of a group in which the sequences that tasks left open are packed again.
 GROUP_TOKENS = 1 << 20
-#: Distinct words whose ids a worker holds; beyond it, it starts over.
-HELD_WORDS = 300_000
+#: Distinct words and pieces of words whose ids a worker holds; beyond it, it starts over.
+HELD_WORDS, HELD_PIECES = 500_000, 200_000
 
 
 #: Words for which lower case and pieces can be found here: no marks to join, no white space but the plain kind, no İ.
@@ -72,7 +72,7 @@ class WordEncoder:
         if found is None:
             seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
-            if len(self.pieces) >= HELD_WORDS:
+            if len(self.pieces) >= HELD_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
