@@ -28,7 +28,7 @@ NATIVE = ("op5_url_filters", "op7_extendible_shards")
 
 def in_duckdb(sql, sf=SF):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     found = con.sql(sql)
     return found.columns, found.fetchall()
