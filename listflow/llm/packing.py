@@ -30,8 +30,8 @@ from listflow.llm.common import Words, chunks, small_batches, staged, text_bytes
 OPEN = 1024
 #: Tokens of a group in which the sequences that tasks left open are packed again.
 GROUP_TOKENS = 1 << 20
-#: Distinct words and pieces of words whose ids a worker holds; beyond it, it starts over.
-HELD_WORDS, HELD_PIECES = 500_000, 200_000
+#: Distinct words whose ids a worker holds, and two fifths as many pieces of words; beyond it, it starts over.
+HELD_WORDS = 1_000_000
 
 
 #: Words for which lower case and pieces can be found here: no marks to join, no white space but the plain kind, no İ.
@@ -49,9 +49,10 @@ class WordEncoder:
     tokenizer as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD_WORDS):
         from tokenizers import Tokenizer
 
+        self.held = held
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
@@ -72,7 +73,7 @@ class WordEncoder:
         if found is None:
             seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
-            if len(self.pieces) >= HELD_PIECES:
+            if len(self.pieces) >= 2 * self.held // 5:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
@@ -90,7 +91,7 @@ class WordEncoder:
         for begin, end in chunks(texts, 2 << 20):
             w = Words(texts[begin:end])
             _, example, which = np.unique(w.hash, return_index=True, return_inverse=True)
-            if len(self.words) > HELD_WORDS:
+            if len(self.words) > self.held:
                 self.words.clear()
             held, found, data = self.words, [], w.data
             for a, b in zip(w.start[example].tolist(), w.end[example].tolist()):
@@ -111,8 +112,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, held: int = HELD_WORDS) -> WordEncoder:
+    return WordEncoder(path, held)
 
 
 class BestFit:
@@ -155,7 +156,7 @@ class BestFit:
         return number, self.size - free
 
 
-def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, most_open: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, most_open: int = OPEN, held_words: int = HELD_WORDS) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids``, ``sequence_id`` and ``offset``.
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id``
@@ -177,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str =
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 33
         bins = BestFit(size, most_open)
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, held_words)
         held: dict[int, list[tuple]] = {}
         out: list[tuple] = []
         tokens = 0
