@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of at most 4096 tokens."""
-    return pack(docs, TOKENIZER)
+    """Token pieces placed in sequences of at most 4096 tokens; fewer words are held, as other stages' workers are still there."""
+    return pack(docs, TOKENIZER, held_words=500_000)
 
 
 STAGES = [
