@@ -60,6 +60,19 @@ def test_common_tags_are_hardly_met(spark):
     assert sum(min(freq[t] for t in sorted(x, key=lambda t: (freq[t], t))[:2]) for _, x in rows) <= 4 * len(rows)
 
 
+@pytest.mark.parametrize("least", [2, 3])
+@pytest.mark.parametrize("common", [0, 8, 30, 1_000])
+def test_common_tags_complete_the_pairs(spark, least, common):
+    rng = random.Random(common + least)
+    rows = [(i, list({f"t{int(rng.random() ** 3 * 15)}" for _ in range(rng.randrange(7))})) for i in range(50)] + [(None, ["t0", "t1", "t2"])]
+    df = spark.createDataFrame(rows, "a long, t array<string>")
+    want = {(i, j, len(set(x) & set(y))) for i, x in rows for j, y in rows if len(set(x) & set(y)) >= least}
+    for ordered in (False, True):
+        got = matching.overlaps_of_at_least(df, "a", "t", df.withColumnRenamed("a", "b"), "b", "t", least, 4, ordered, common).collect()
+        assert len(got) == len(set(map(tuple, got)))
+        assert set(map(tuple, got)) == {w for w in want if not ordered or None not in w and w[0] < w[1]}
+
+
 def recall(exact, approximate):
     want = {(r.query_id, r.vec_id) for r in exact}
     return len(want & {(r.query_id, r.vec_id) for r in approximate}) / len(want)
