@@ -73,6 +73,16 @@ def test_common_tags_complete_the_pairs(spark, least, common):
         assert set(map(tuple, got)) == {w for w in want if not ordered or None not in w and w[0] < w[1]}
 
 
+def test_counts_of_shared_tags_are_dealt_out(spark, monkeypatch):
+    """One input partition, few tags: the pairs are still counted in as many tasks as they ask for."""
+    monkeypatch.setattr(matching, "TASK_MEETINGS", 1_000)
+    left = spark.createDataFrame([(f"b{i}", [f"w{j}" for j in range(20)]) for i in range(5)], "b string, t array<string>")
+    right = spark.range(2_000).coalesce(1).select(F.col("id").alias("a"), F.array(F.concat(F.lit("w"), F.col("id") % 20), F.lit("w0")).alias("t"))
+    found = matching.overlap_counts(left, "b", "t", right, "a", "t")
+    assert {(r.shared, r["count"]) for r in found.groupBy("shared").count().collect()} == {(1, 500), (2, 9_500)}
+    assert found.groupBy(F.spark_partition_id()).count().count() >= 15
+
+
 def recall(exact, approximate):
     want = {(r.query_id, r.vec_id) for r in exact}
     return len(want & {(r.query_id, r.vec_id) for r in approximate}) / len(want)
