@@ -140,6 +140,17 @@ def test_copies_of_a_vector_and_bounded_sends(spark, monkeypatch):
     assert V.top_similar_many(df, queries, 900, 0.9, key="vec_id", block_rows=1).count() == 3 * 123
 
 
+def test_hash_tables_meet_in_buckets_or_in_the_grid(spark, monkeypatch):
+    df = table(spark, "/root/testdata/sf0.001", "embeddings")
+    queries = df.withColumnRenamed("vec_id", "query_id")
+    found = []
+    for share in (0.0, 99.0):
+        monkeypatch.setattr(lsh, "GRID_FROM", share)
+        near = lsh.top_similar_hashed(df, queries, 5, 0.0, key="vec_id", tables=5, bits=3, block_rows=16)
+        found.append(sorted((r.query_id, r["rank"], r.vec_id, round(r.similarity, 9)) for r in near.collect()))
+    assert found[0] == found[1] and found[0]
+
+
 def test_passes_and_blocks_of_people_give_each_ones_ranking(spark):
     df = listings(spark, "/root/testdata/sf0.001")
     people = [(f"{n}{i}", p.skills, level, p.domain, p.words, p.past_title_words) for i in range(6) for n, p in (("a", PERSON), ("b", JUNIOR)) for level in (p.level, None, "odd")][:30]
