@@ -89,6 +89,15 @@ def test_keys_lapse_by_timer_and_leave_the_state(spark):
     assert max(held) >= 3 and held[-1] == 1  # only x is alive
 
 
+def test_keys_of_a_bucket_lapse_each_by_its_own_time(spark, monkeypatch):
+    rows = [("a", 0), ("b", 1), ("c", 2), ("a", 5), ("b", 6), ("d", 14), ("c", 20), ("d", 21), ("a", 40), ("x", 41), ("x", 60)]
+    want, _ = run_lapses(spark, [rows])
+    whole = X.lapses
+    monkeypatch.setattr(X, "lapses", lambda *a: whole(*a, buckets=1))
+    got, held = run_lapses(spark, [rows[:3], rows[3:6], rows[6:8], rows[8:10], rows[10:]])
+    assert got == want and max(held) == 1
+
+
 def listing(i, day, **more):
     values = {"id": str(i), "title": f"Data Engineer {i}", "company_name": "Acme", "created_at": START + day * DAY, "posted_date": START + day * DAY, **more}
     return tuple(values.get(f.name) for f in LISTINGS)
