@@ -260,6 +260,23 @@ def test_alert_match_equals_brute_force(spark):
         assert got.count() == len(want)
 
 
+def test_alert_pairs_are_dealt_out(spark, monkeypatch):
+    """One partition of listings and many alerts of few filters: the pairs come from as many tasks as they need."""
+    monkeypatch.setattr(alerts, "TASK_PAIRS", 500)
+    cols = "id int, title string, company_name string, description string, location_city string, location_country string, remote_type string, experience_level string, job_type string, company_type string, vc_backer string, visa_sponsorship boolean, relocation_support boolean, salary_min double, salary_max double, tech_stack array<string>, source_platforms array<string>, posted_date timestamp"
+    df = spark.createDataFrame([(i, "Data Engineer" if i % 2 else "Chef", *[None] * 16) for i in range(100)], cols).coalesce(1)
+    names = [f.name for f in ALERT_FILTERS]
+    filters = [tuple({"q": q}.get(n) for n in names) for q in ("data", "chef", None)]
+    stored = spark.createDataFrame([(i, i % 7, True, filters[i % 3]) for i in range(90)], f"id int, user_id int, is_active boolean, filters {ALERT_FILTERS.simpleString()}")
+    for bound in (2_000_000, 5):
+        monkeypatch.setattr(alerts, "MAX_BROADCAST_ALERTS", bound)
+        got = alerts.match_alerts(df, stored, AS_OF)
+        want = {(a, a % 7, i) for a in range(90) for i in range(100) if a % 3 == 2 or (a % 3 == 0) == bool(i % 2)}
+        rows = got.withColumn("task", F.spark_partition_id()).collect()
+        assert {(r.alert_id, r.user_id, r.id) for r in rows} == want and len(rows) == len(want) == 6_000
+        assert bound < 100 or len({r.task for r in rows}) > 6
+
+
 def test_accounts(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id int")
     resumes = spark.createDataFrame(
