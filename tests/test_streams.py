@@ -138,6 +138,20 @@ def test_alerts_fire_by_their_clocks(spark):
     assert not list(Path(folder.removeprefix("file:")).parent.glob("alert-batch-*"))
 
 
+def test_a_batch_is_matched_once(spark, monkeypatch):
+    """Digests and waiting rows read the written matches; only their writing evaluates the match."""
+    from listflow.streaming import digests
+
+    seen, whole = spark.sparkContext.accumulator(0), digests.match_alerts
+    count = F.udf(lambda i: seen.add(1) or i, "string").asNondeterministic()
+    monkeypatch.setattr(digests, "match_alerts", lambda *a: whole(*a).withColumn("id", count("id")))
+    folder = shared_dir(spark, "digests")
+    handle = D.digest_handler(spark, folder, lambda: spark.createDataFrame([alert("day", "daily"), alert("now", "realtime")], ALERTS))
+    handle(spark.createDataFrame([listing(i, 0) for i in range(5)], LISTINGS), 0)
+    assert D.read_digests(spark, folder).count() == 10 and seen.value == 10
+    assert not list(Path(folder.removeprefix("file:")).parent.glob("alert-batch-*"))
+
+
 def test_the_stream_digests_as_its_handler_does(spark):
     landing, folder, checkpoint = (shared_dir(spark, p) for p in ("landing", "digests", "checkpoint"))
     handle = D.digest_handler(spark, folder, lambda: spark.createDataFrame([alert("day", "daily")], ALERTS))
