@@ -89,6 +89,14 @@ def test_relative_date_and_age(one):
     assert one(D.age_days(c("t").cast("timestamp"), as_of), t="2024-04-01 00:00:00") == -1
 
 
+def test_relative_date_of_a_large_number(one):
+    """A count that no date reaches is null and does not end the job."""
+    when = lambda t: one(F.date_format(D.relative_date(c("t"), "2024-01-31 00:00:00"), "yyyy-MM-dd"), t=t)
+    assert [when(f"{2_147_483_647} {u} ago") for u in ("days", "weeks", "months")] == [None] * 3
+    assert when("3000000 months ago") is None and when("99999999999 days ago") is None
+    assert when("24700 months ago") == "-0005-04-18"
+
+
 @pytest.mark.parametrize(
     "title, level",
     [
