@@ -7,9 +7,12 @@ the HTML layouts with nested cards need Python: a small parser that runs in
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -288,13 +291,19 @@ class Pick:
     within: tuple["Pick", ...] = ()  # ancestors, the outermost first
 
     def fits(self, node: "_Node") -> bool:
+        return self.fits_kind(node.tag, node.attrs.get("class") or "") and self.fits_rest(node)
+
+    def fits_kind(self, tag: str, classes: str) -> bool:
+        return (not self.tag or tag == self.tag) and (not self.cls or self.cls in classes.split()) and (not self.part or self.part in classes)
+
+    def asks_more(self) -> bool:
+        """Whether tag and classes alone do not tell."""
+        return bool(self.href is not None or self.attr or self.nth or self.id or self.within)
+
+    def fits_rest(self, node: "_Node") -> bool:
         a = node.attrs
-        classes = a.get("class") or ""
         return (
-            (not self.tag or node.tag == self.tag)
-            and (not self.cls or self.cls in classes.split())
-            and (not self.part or self.part in classes)
-            and (self.href is None or ("href" in a and self.href in (a["href"] or "")))
+            (self.href is None or ("href" in a and self.href in (a["href"] or "")))
             and (not self.attr or self.attr in a)
             and (not self.nth or node.place == self.nth)
             and (not self.id or a.get("id") == self.id)
@@ -487,20 +496,15 @@ def source_rank(source: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "items", "place", "elements", "parent")
+    __slots__ = ("tag", "attrs", "items", "place", "elements", "parent", "end")
 
     def __init__(self, tag: str, attrs: dict, place: int, parent: "_Node | None" = None):
         self.tag, self.attrs, self.items, self.place, self.elements, self.parent = tag, attrs, [], place, 0, parent
 
-    def walk(self) -> Iterator["_Node"]:
-        """Descendant elements in document order; unclosed tags may nest very deep."""
-        todo = [c for c in reversed(self.items) if isinstance(c, _Node)]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo.extend(c for c in reversed(node.items) if isinstance(c, _Node))
-
     def text(self) -> str:
+        """The texts within; unclosed tags may nest very deep."""
+        if len(self.items) == 1 and isinstance(self.items[0], str):
+            return self.items[0].strip()
         out, todo = [], list(reversed(self.items))
         while todo:
             item = todo.pop()
@@ -510,41 +514,99 @@ class _Node:
                 todo.extend(reversed(item.items))
         return "".join(out)
 
-    def firsts(self, wanted: dict[str, tuple[Pick, ...]]) -> dict[str, "_Node"]:
-        """The first descendant that fits each of the wanted tests, in one walk."""
-        found, left = {}, dict(wanted)
-        for node in self.walk():
-            for name in [n for n, picks in left.items() if any(p.fits(node) for p in picks)]:
-                found[name] = node
-                del left[name]
-            if not left:
-                break
-        return found
+
+#: Within < and >: a start tag, its attributes in double quotes and without references, or an end tag. Of these there is one reading only.
+_PLAIN = re.compile(r'([a-z][a-z0-9]*)((?:[ \t\n]+[a-z][a-z0-9_-]*="[^"&<>]*")*)[ \t\n]*|/([a-z][a-z0-9]*)')
+_PLAIN_ATTRIBUTE = re.compile(r'([a-z][a-z0-9_-]*)="([^"]*)"')
+#: What stands in these may be no markup.
+_RAW_TEXT = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
 
 
 class _Page(HTMLParser):
-    """Element tree of a page; an end tag closes back to its start tag, as browsers' tolerant readers do."""
+    """Element tree of a page; an end tag closes back to its start tag, as browsers' tolerant readers do.
+
+    ``nodes`` are the elements in document order; those within the element at
+    place ``i`` stand from ``i + 1`` to its ``end``. Plain tags are looked up in
+    ``known``, which pages may share; the parser reads what is not plain.
+    """
 
     _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    def __init__(self, html: str):
+    _KEPT, _LONGEST = 1 << 12, 256
+
+    def __init__(self, html: str, known: dict | None = None):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {}, 0)
-        self.open = [self.root]
-        self.feed(html)
-        self.close()
+        self.known = {} if known is None else known
+        self.open, self.nodes = [_Node("", {}, 0)], []
+        at = self._read_plain(html)
+        if at < len(html):
+            self.feed(html[at:])
+            self.close()
+        for node in self.open:
+            node.end = len(self.nodes)
+
+    def _read_plain(self, html: str) -> int:
+        """Read texts and plain tags from the start; where the first other thing stands."""
+        known, opened = self.known, self.open
+        before, *pieces = html.split("<")
+        if before:
+            opened[-1].items.append(unescape(before))
+        at = len(before)
+        for piece in pieces:
+            inner, closed, data = piece.partition(">")
+            found = known.get(inner) or self._plain(inner)
+            if found is None or not closed:
+                break
+            name, attrs = found
+            if attrs is None:
+                self.handle_endtag(name)
+            else:
+                self.handle_starttag(name, attrs)
+            if data:
+                opened[-1].items.append(unescape(data) if "&" in data else data)
+            at += len(piece) + 1
+        return at
+
+    def _plain(self, inner: str) -> "tuple[str, dict | None] | None":
+        """Name and attributes of a plain start tag, name alone of an end tag; none of anything else."""
+        found = _PLAIN.fullmatch(inner)
+        if found is None or found[1] in _RAW_TEXT:
+            return None
+        out = (found[3], None) if found[3] else (found[1], dict(_PLAIN_ATTRIBUTE.findall(found[2])))
+        if len(inner) <= self._LONGEST:
+            if len(self.known) >= self._KEPT:
+                self.known.clear()
+            self.known[inner] = out
+        return out
+
+    def parse_starttag(self, i):
+        end = self.rawdata.find(">", i)
+        inner = self.rawdata[i + 1 : end]
+        found = (self.known.get(inner) or self._plain(inner)) if end > 0 else None
+        if found is None:
+            return super().parse_starttag(i)
+        self.handle_starttag(*found)
+        return end + 1
+
+    def updatepos(self, i, j):
+        return j
 
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1]
         parent.elements += 1
-        node = _Node(tag, dict(attrs), parent.elements, parent)
+        node = _Node(tag, attrs if type(attrs) is dict else dict(attrs), parent.elements, parent)
         parent.items.append(node)
-        if tag not in self._VOID:
+        self.nodes.append(node)
+        if tag in self._VOID:
+            node.end = len(self.nodes)
+        else:
             self.open.append(node)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                for node in self.open[i:]:
+                    node.end = len(self.nodes)
                 del self.open[i:]
                 return
 
@@ -555,43 +617,94 @@ class _Page(HTMLParser):
 CARD_FIELDS = "pos int, href string, title string, company string, location string, salary_text string"
 
 
+class _CardReader:
+    """Reads the cards of a board's pages. What an element's tag and classes tell of the board's tests is kept for the next one like it."""
+
+    _KEPT = 1 << 12
+
+    def __init__(self, board: HtmlBoard):
+        self.board, self.known, self.tags = board, {}, {}
+        wanted = {"cards": board.cards, "fallback": board.fallback, "title": board.title, "company": board.company, "location": board.location, "salary": board.salary, "link": (Pick(tag="a", href=""),)}
+        self.wanted = {name: picks for name, picks in wanted.items() if picks}
+
+    def _tests(self, tag: str, classes: str) -> tuple[list[str], list[tuple[str, list[Pick]]]]:
+        """What such an element is for certain, and what it is if one of the tests named fits it."""
+        sure, asked = [], []
+        for name, picks in self.wanted.items():
+            picks = [p for p in picks if p.fits_kind(tag, classes)]
+            if any(not p.asks_more() for p in picks):
+                sure.append(name)
+            elif picks:
+                asked.append((name, picks))
+        if len(self.known) >= self._KEPT:
+            self.known.clear()
+        self.known[tag, classes] = found = sure, asked
+        return found
+
+    def _places(self, nodes: list[_Node]) -> dict[str, list[int]]:
+        """For each wanted thing the places of the elements that fit it, in document order."""
+        out = {name: [] for name in self.wanted}
+        known = self.known
+        for at, node in enumerate(nodes):
+            kind = node.tag, node.attrs.get("class") or ""
+            sure, asked = known.get(kind) or self._tests(*kind)
+            for name in sure:
+                out[name].append(at)
+            for name, picks in asked:
+                if any(p.fits_rest(node) for p in picks):
+                    out[name].append(at)
+        return out
+
+    def cards(self, html: str, limit: int | None = None, by_link: bool = False) -> list[tuple]:
+        """The raw texts of the cards; ``by_link`` keeps the first card of each link alone."""
+        nodes = _Page(html or "", self.tags).nodes
+        places = self._places(nodes)
+        out, met = [], {None, ""}
+        for pos, at in enumerate((places.get("cards") or places.get("fallback") or [])[:limit]):
+            card = nodes[at]
+
+            def first(name: str) -> "_Node | None":
+                here = places.get(name, ())
+                i = bisect_right(here, at)
+                return nodes[here[i]] if i < len(here) and here[i] < card.end else None
+
+            link = card if card.tag == "a" else first("link")
+            href = (link.attrs.get("href") or "") if link is not None else None
+            if by_link:
+                if href in met:
+                    continue
+                met.add(href)
+            title, company, place, pay = (n.text() if (n := first(name)) is not None else None for name in ("title", "company", "location", "salary"))
+            if title is None and self.board.link_title and link is not None:
+                title = link.text()
+            out.append((pos, href, title, company, place, pay))
+        for node in nodes:
+            node.parent = None  # no cycles are left to the garbage collector
+        return out
+
+
 def page_cards(html: str, board: HtmlBoard, limit: int | None = None) -> list[tuple]:
     """Raw texts of a page's cards, or of the first ``limit``, in document order."""
-    root = _Page(html or "").root
-    for picks in filter(None, (board.cards, board.fallback)):
-        cards = [n for n in root.walk() if any(p.fits(n) for p in picks)]
-        if cards:
-            break
-
-    wanted = {"title": board.title, "company": board.company, "location": board.location, "salary": board.salary, "link": (Pick(tag="a", href=""),)}
-    wanted = {name: picks for name, picks in wanted.items() if picks}
-    out = []
-    for pos, card in enumerate(cards[:limit]):
-        hits = card.firsts(wanted)
-        link = card if card.tag == "a" else hits.get("link")
-        href = (link.attrs.get("href") or "") if link is not None else None
-        title, company, place, pay = (hits[n].text() if n in hits else None for n in ("title", "company", "location", "salary"))
-        if title is None and board.link_title and link is not None:
-            title = link.text()
-        out.append((pos, href, title, company, place, pay))
-    return out
+    return _CardReader(board).cards(html, limit)
 
 
 def extract_cards(pages: DataFrame, page: str, html: str, source: str, boards: list[HtmlBoard] = HTML_BOARDS, limit: int | None = None) -> DataFrame:
     """One row per card: page key, source and the raw card texts.
 
-    Every page names its board in ``source``, so all boards take one pass.
+    Every page names its board in ``source``, so all boards take one pass. Boards
+    that go by links give one row per link of a page, its first card.
     """
     names = [f.split()[0] for f in CARD_FIELDS.split(", ")]
     kind = pages.schema[page].dataType.simpleString()
     by_source = {b.source: b for b in boards}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        readers = {name: _CardReader(b) for name, b in by_source.items()}
         for pdf in batches:
             rows = [
                 (key, name, *card)
                 for key, name, body in zip(pdf[page], pdf[source], pdf[html])
-                for card in page_cards(body, by_source[name], limit)
+                for card in readers[name].cards(body, limit, by_source[name].unique_links)
             ]
             yield pd.DataFrame(rows, columns=[page, source, *names])
 

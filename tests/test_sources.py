@@ -321,3 +321,25 @@ def test_a_cycle_records_what_it_could_not_read(spark, tmp_path):
     assert told(again)["all", "updated"] == 1 and again.snapshot.count() == 1
     nothing = ingest_cycle(first.snapshot, {"Adzuna": paths["Adzuna"]}, AS_OF)
     assert told(nothing) == {("Adzuna", "failed"): 1} and nothing.snapshot.count() == 1 and nothing.errors.count() == 0
+
+
+def test_plain_and_other_markup_read_alike():
+    """A page gives the same cards whether its tags are plain, and looked up, or left to the parser."""
+    job = '<div class="job"{}><h3>Dev {}<br{}> &amp; Ops</h3><span class="org">Acme</span><a href="/j/{}">x</a></div>'
+    plain = "".join(job.format("", i, "", i) for i in range(3))
+    want = [(i, f"/j/{i}", f"Dev {i}& Ops", "Acme", None, None) for i in range(3)]
+    assert B.page_cards(plain, board("ArcDev")) == want
+    assert B.page_cards("".join(job.format(" hidden", i, "/", i) for i in range(3)), board("ArcDev")) == want
+    raw = "<!DOCTYPE html><script>if (a<b) '<div class=\"job\"><h3>no</h3></div>'</script><!-- <div class=job> -->"
+    for page in (raw + plain, plain + raw, f"<p class='a>b'>{plain}", f"1 < 2{plain}", f"{plain}<div", plain.replace("<h3>", "<H3 >")):
+        assert B.page_cards(page, board("ArcDev")) == want
+
+
+def test_elements_of_a_page_are_visited_once(monkeypatch):
+    """Cards nested in cards: the tests of tag and classes are made per kind of element, the texts are looked up by place."""
+    asked = []
+    kind = B.Pick.fits_kind
+    monkeypatch.setattr(B.Pick, "fits_kind", lambda self, *a: asked.append(a) or kind(self, *a))
+    page = "".join(f'<div class="job"><a href="/j/{i}">Post {i}</a>' for i in range(400))
+    cards = B.page_cards(page, board("ArcDev"))
+    assert len(cards) == 400 and cards[-1][:2] == (399, "/j/399") and len(asked) < 100
