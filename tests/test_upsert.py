@@ -190,3 +190,22 @@ def test_scratch_removes_what_is_staged_inside(spark):
             inner = place(staged(spark.range(3)))
         assert outer.exists() and not inner.exists()
     assert not outer.exists() and place(staged(spark.range(3))).exists()
+
+
+def test_merge_log_writes_a_large_bucket_in_several_tasks(spark, tmp_path):
+    """A bucket is cut by its size, so few buckets do not leave a large table to few tasks; nothing of the log is read through Python."""
+    from listflow.sources.tables import MergeLog
+
+    rows = spark.range(0, 20_000, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_hash"), F.col("id").alias("v"))
+    log = MergeLog(spark, str(tmp_path / "log"), rows.schema, buckets=1)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "128k")
+    try:
+        log.start(rows)
+    finally:
+        spark.conf.set(size, before)
+    stored = spark.read.parquet(str(tmp_path / "log" / "base" / "batch=-1"))
+    assert stored.select(F.input_file_name()).distinct().count() > 1
+    assert log.current().select("v").distinct().count() == log.current().count() == 20_000
+    assert "ExistingRDD" not in log.current()._jdf.queryExecution().toString()
