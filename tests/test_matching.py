@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -83,6 +84,24 @@ def test_counts_of_shared_tags_are_dealt_out(spark, monkeypatch):
     assert found.groupBy(F.spark_partition_id()).count().count() >= 15
 
 
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_lists_of_a_hot_tag_are_dealt_out(spark, monkeypatch, broadcast):
+    """A few tags hold all rows: their ids are gathered, and their lists meet, in as many tasks as rows and meetings ask for."""
+    monkeypatch.setattr(matching, "TASK_MEETINGS", 1_000)
+    monkeypatch.setattr(matching, "GATHERED_ROWS", 200)
+    monkeypatch.setattr(matching, "MAX_BROADCAST_ROWS", broadcast)
+    left = spark.createDataFrame([(f"b{i}", ["x", "y"] if i % 2 else ["y", "z"]) for i in range(5)], "b string, t array<string>")
+    right = spark.range(2_000).coalesce(1).select(F.col("id").alias("a"), F.array(F.lit("y"), F.when(F.col("id") % 2 == 0, F.lit("x"))).alias("t"))
+    found = matching.overlap_counts(left, "b", "t", right, "a", "t", block=100)
+    want = {(f"b{i}", a, 2 if i % 2 and a % 2 == 0 else 1) for i in range(5) for a in range(2_000)}
+    rows = found.collect()
+    assert set(map(tuple, rows)) == want and len(rows) == len(want)
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().optimizedPlan().toString())
+    # meetings: x 2 * 1,000 and y 5 * 2,000; rows of both sides: 7 and 3,000
+    assert plan.count("RepartitionByExpression [tag, left, right], 16") == 2
+    assert "RepartitionByExpression [tag, right], 16" in plan and "RepartitionByExpression [tag, left], 1" in plan
+
+
 def recall(exact, approximate):
     want = {(r.query_id, r.vec_id) for r in exact}
     return len(want & {(r.query_id, r.vec_id) for r in approximate}) / len(want)
