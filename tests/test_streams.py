@@ -162,6 +162,28 @@ def test_the_stream_digests_as_its_handler_does(spark):
     assert sorted(((r.fired_at - START) / DAY, r.l) for r in got) == [(0.0, ["0"]), (1.5, ["1", "2"])]
 
 
+def test_the_digest_query_reads_all_alerts_and_listings(spark, tmp_path):
+    """Alerts of any balance below the bound are in use, and listings without a date land too."""
+    import duckdb
+
+    from listflow.suite import ORACLES, QUERIES
+
+    customers = [(1, 1, -600.0), (21, 1, 0.0), (41, 1, 1400.0), (61, 1, 1600.0), (2, 1, None), (40, 1, 700.0)]
+    spark.createDataFrame([(k, n, "HOUSEHOLD", b) for k, n, b in customers], "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/sf/customer.parquet")
+    dates = [datetime(2001, 7, 1), datetime(2001, 7, 25), datetime(2001, 7, 30), datetime(2001, 8, 1, 12), None, None]
+    spark.createDataFrame([(i + 1, 5, "O", 100.0, d, "1-URGENT") for i, d in enumerate(dates)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/sf/orders.parquet")
+    got = {(r.alert_id, r.fired_at): r.n for r in QUERIES["stream_alert_digests"](spark, f"{tmp_path}/sf").collect()}
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/sf/{t}.parquet/*.parquet')")
+    rel = con.sql(ORACLES["stream_alert_digests"])
+    place = [rel.columns.index(c) for c in ("alert_id", "fired_at", "n")]
+    assert got == {(a, f): n for a, f, n in ([r[i] for i in place] for r in rel.fetchall())}
+    sent = {a: sum(n for (x, _), n in got.items() if x == a) for a, _ in got}
+    # a balance below 0 asks for listings of the last month, which undated ones are not
+    assert (sent["21"], sent["41"], sent["1"]) == (6, 6, 4) and "61" not in sent and "2" not in sent
+
+
 @pytest.mark.parametrize("rows", [[], [("a", 0)]])
 def test_empty_and_single_landings(spark, rows):
     folder = shared_dir(spark, "late")
