@@ -277,6 +277,22 @@ def test_alert_pairs_are_dealt_out(spark, monkeypatch):
         assert bound < 100 or len({r.task for r in rows}) > 6
 
 
+def test_alert_pairs_come_in_runs(spark):
+    """Where alerts share a filter, one stands in a run over a block of listings; repeated and null keys keep their rows."""
+    from collections import Counter
+
+    cols = "id int, title string, company_name string, description string, location_city string, location_country string, remote_type string, experience_level string, job_type string, company_type string, vc_backer string, visa_sponsorship boolean, relocation_support boolean, salary_min double, salary_max double, tech_stack array<string>, source_platforms array<string>, posted_date timestamp"
+    ids = [*range(600), 7, 7, None, None]
+    df = spark.createDataFrame([(i, "Data Engineer" if (i or 0) % 3 else "Chef", *[None] * 16) for i in ids], cols)
+    names = [f.name for f in ALERT_FILTERS]
+    filters = [tuple({"q": q}.get(n) for n in names) for q in ("data", None)]
+    stored = spark.createDataFrame([(a, a % 7, a != 5, filters[a % 2]) for a in range(40)] + [(3, 9, True, filters[0])], f"id int, user_id int, is_active boolean, filters {ALERT_FILTERS.simpleString()}")
+    want = Counter((a, u, i) for a, u, q in [(a, a % 7, a % 2 == 0) for a in range(40) if a != 5] + [(3, 9, True)] for i in ids if not q or (i or 0) % 3)
+    rows = alerts.match_alerts(df, stored, AS_OF).collect()
+    assert Counter((r.alert_id, r.user_id, r.id) for r in rows) == want
+    assert 50 * sum(a.alert_id != b.alert_id for a, b in zip(rows, rows[1:])) < len(rows)
+
+
 def test_accounts(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id int")
     resumes = spark.createDataFrame(
