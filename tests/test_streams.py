@@ -152,6 +152,30 @@ def test_a_batch_is_matched_once(spark, monkeypatch):
     assert not list(Path(folder.removeprefix("file:")).parent.glob("alert-batch-*"))
 
 
+def test_digests_are_kept_by_what_alerts_share(spark):
+    """Matches of alerts alike are written once; a digest keeps what its alert asked for when the listings came."""
+    folder = shared_dir(spark, "digests")
+    weekly = [alert(f"w{i}", "weekly", last=START - 6 * DAY, q="engineer") for i in range(60)]
+    moved = [alert(f"w{i}", "weekly", last=START - 6 * DAY, q="7") for i in range(60)]
+    now = [alert(f"n{i}", "realtime", q=("engineer", "zebra")[i % 2]) for i in range(40)]
+    current = {"rows": [*weekly, weekly[0], *now]}
+    handle = D.digest_handler(spark, folder, lambda: spark.createDataFrame(current["rows"], ALERTS))
+    for batch, rows in enumerate([[*(listing(i, 0) for i in range(20)), listing(3, 0)], [listing(i, 1) for i in range(27, 30)]]):
+        if batch:
+            current["rows"] = [*moved, moved[0], *now]
+        for _ in range(2):  # replayed
+            handle(spark.createDataFrame(rows, LISTINGS), batch)
+    got = D.read_digests(spark, folder).groupBy("alert_id", "batch").agg(F.sort_array(F.collect_list(F.col("listing").cast("int"))).alias("l")).collect()
+    first, last = sorted([*range(20), 3]), [27, 28, 29]
+    want = {(f"n{i}", b): l for i in range(0, 40, 2) for b, l in enumerate((first, last))} | {(f"w{i}", 1): [*first, 27] for i in range(1, 60)} | {("w0", 1): sorted([*first, 27] * 2)}
+    assert {(r.alert_id, r.batch): r.l for r in got} == want
+    sums = D.read_digests(spark, folder, counted=True).groupBy("alert_id", "batch").agg(F.sum("n").alias("n")).collect()
+    assert {(r.alert_id, r.batch): r.n for r in sums} == {k: len(v) for k, v in want.items()}
+    # two sorts of alerts, then two: rows of listings and of alerts, not of their pairs
+    assert read_changes(spark, f"{folder}/matches").count() == 2 * 21 + 3 + 1
+    assert read_changes(spark, f"{folder}/digests").count() == 20 + 20 + 2 * 61 and read_changes(spark, f"{folder}/fired").where("batch = 1").count() == 100
+
+
 def test_the_stream_digests_as_its_handler_does(spark):
     landing, folder, checkpoint = (shared_dir(spark, p) for p in ("landing", "digests", "checkpoint"))
     handle = D.digest_handler(spark, folder, lambda: spark.createDataFrame([alert("day", "daily")], ALERTS))
